@@ -201,3 +201,24 @@ SKIN_CB = (77, 127)
 SKIN_CR = (133, 177)
 SKIN_MIN_SUM = 90
 CELL_PX = 4
+
+# fixed values: wording of planned actions and of the model prompt
+PLAN_TEXT = {
+    "scroll": "Target fields are below the fold; scrolling first.",
+    "fill": "Filling %s '%s' %s",
+    "fill_token": "(token resolved client-side).",
+    "fill_plain": ".",
+    "click": "Activating primary control '%s'.",
+    "finish": "Task '%s' plan executed (%d fields, submit=%s).",
+    "idle": "No remaining actionable fields; page state indicates completion.",
+}
+PLAN_CONFIDENCE = {"scroll": 0.90, "type": 0.92, "click": 0.90, "finish": 0.95, "idle": 0.90}
+EMPTY_SUMMARY = "  (no interactive elements)"
+PROMPT_TEXT = (
+    "TASK: %s\nURL: %s\nSTEP: %d\nVIEWPORT: %dx%d\n"
+    "DOM SUMMARY (sanitized, values are tokens):\n%s\n\n"
+    "Decide the single next action. Respond with the JSON object only."
+)
+FOLD_SHARE = 0.85
+SCROLL_SHARE = 0.6
+DEFAULT_VIEWPORT = (1280, 800)

@@ -13,12 +13,22 @@ def _lower(name: str) -> Column:
     return F.lower(F.coalesce(F.col(name), F.lit("")))
 
 
-def _hit(pii_type: str | Column, confidence: float | Column, evidence: str | Column) -> Column:
-    def col(v):
-        return v if isinstance(v, Column) else F.lit(v)
+def _rlike(column: str, pattern: str) -> str:
+    """SQL text of a case-insensitive match; raw literals keep the backslashes."""
+    return f'rlike({column}, r"{P.java_regex(pattern, ignore_case=True)}")'
 
-    return F.struct(
-        col(pii_type).alias("pii_type"), col(confidence).alias("confidence"), col(evidence).alias("evidence")
+
+def _in(column: str, values) -> str:
+    return f"{column} IN (" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _hit(pii_type: str, confidence: float, evidence: str, tokenised: bool = True) -> str:
+    """Detection struct of one rule; mode and token kind are known when the plan is built."""
+    kind = f"'{fixed.TOKEN_KIND.get(pii_type, fixed.DEFAULT_KIND)}'" if tokenised else "CAST(NULL AS STRING)"
+    mode = fixed.REDACTION_MODE.get(pii_type, fixed.DEFAULT_MODE)
+    return (
+        f"named_struct('pii_type', '{pii_type}', 'confidence', {confidence}D, 'evidence', {evidence}, "
+        f"'mode', '{mode}', 'token_kind', {kind})"
     )
 
 
@@ -26,50 +36,51 @@ def is_textual(types: tuple[str, ...]) -> Column:
     return (F.col("tag") == "textarea") | ((F.col("tag") == "input") & _lower("type").isin(*types))
 
 
-def is_field() -> Column:
-    return F.col("tag").isin("input", "textarea")
+def fence(column: str) -> Column:
+    """The column unchanged, as a one-element generator.
 
+    A filter on a generated column stays above it.  Without this the optimizer
+    would copy the whole rule expression into a filter below, with the context
+    string repeated in every arm.
+    """
+    return F.explode_outer(F.array(column))
 
-def _found(column: str, pattern: str) -> Column:
-    return F.rlike(F.col(column), F.lit(P.java_regex(pattern, ignore_case=True)))
 
+_FIELD = "tag IN ('input', 'textarea')"
+_TEXTUAL = (
+    "(tag = 'textarea' OR (tag = 'input' AND " + _in("_type", fixed.TEXTUAL_TYPES_DETECTOR) + "))"
+)
 
-def element_rules() -> Column:
-    """Ordered rules over ``_ctx`` and the element columns; NULL when none hits."""
-    kind, auto = F.col("_type"), F.col("_auto")
-    rules: list[tuple[Column, Column]] = [
-        (is_field() & (kind == "password"), _hit("password", 0.99, "type=password")),
-        (is_field() & ((kind == "email") | (auto == "email")), _hit("email", 0.95, "email field")),
-        (is_field() & ((kind == "tel") | auto.isin("tel", "mobile")), _hit("phone", 0.93, "tel field")),
+
+def element_rules() -> str:
+    """Ordered rules over ``_type``, ``_auto``, ``_ctx`` and ``_hits`` as one SQL
+    CASE; NULL when none hits."""
+    rules = [
+        (f"{_FIELD} AND _type = 'password'", _hit("password", 0.99, "'type=password'")),
+        (f"{_FIELD} AND (_type = 'email' OR _auto = 'email')", _hit("email", 0.95, "'email field'")),
+        (f"{_FIELD} AND (_type = 'tel' OR _auto IN ('tel', 'mobile'))", _hit("phone", 0.93, "'tel field'")),
         (
-            is_field() & (kind == "date") & _found("_ctx", fixed.BIRTH_HINT),
-            _hit("dob", 0.93, "date-of-birth field"),
+            f"{_FIELD} AND _type = 'date' AND " + _rlike("_ctx", fixed.BIRTH_HINT),
+            _hit("dob", 0.93, "'date-of-birth field'"),
         ),
     ]
     for name, pii_type in fixed.AUTOCOMPLETE_CLASS.items():
-        rules.append((auto == name, _hit(pii_type, fixed.AUTOCOMPLETE_CONFIDENCE, f"autocomplete={name}")))
-    rules.append((auto == "cc-name", _hit("name", 0.90, "autocomplete=cc-name")))
-    rules.append((auto == "one-time-code", _hit("otp", 0.95, "autocomplete=one-time-code")))
+        rules.append((f"_auto = '{name}'", _hit(pii_type, fixed.AUTOCOMPLETE_CONFIDENCE, f"'autocomplete={name}'")))
+    rules.append(("_auto = 'cc-name'", _hit("name", 0.90, "'autocomplete=cc-name'")))
+    rules.append(("_auto = 'one-time-code'", _hit("otp", 0.95, "'autocomplete=one-time-code'")))
     for _, pattern, pii_type, confidence in fixed.KEYWORD_RULES:
-        word = F.regexp_extract(F.col("_ctx"), P.java_regex(pattern, ignore_case=True), 0)
+        word = f'regexp_extract(_ctx, r"{P.java_regex(pattern, ignore_case=True)}", 0)'
         rules.append(
-            (
-                _found("_ctx", pattern),
-                _hit(pii_type, confidence, F.concat(F.lit('context "'), word, F.lit('"'))),
-            )
+            (_rlike("_ctx", pattern), _hit(pii_type, confidence, f"concat('context \"', {word}, '\"')"))
         )
-    textual = is_textual(fixed.TEXTUAL_TYPES_DETECTOR)
     for pattern, pii_type, confidence in fixed.GATED_RULES:
-        rules.append((textual & _found("_ctx", pattern), _hit(pii_type, confidence, f"{pii_type} context")))
-    card = F.exists("_hits", lambda h: h["type"] == "credit_card")
-    first = F.element_at(F.col("_hits"), 1)["type"]
-    rules.append((card, _hit("credit_card", 0.96, "value pattern: credit_card")))
-    rules.append((F.size("_hits") > 0, _hit(first, 0.88, F.concat(F.lit("value pattern: "), first))))
-
-    arms = F
-    for condition, value in rules:
-        arms = arms.when(condition, value)
-    return arms
+        rules.append((f"{_TEXTUAL} AND {_rlike('_ctx', pattern)}", _hit(pii_type, confidence, f"'{pii_type} context'")))
+    rules.append(
+        ("exists(_hits, f -> f.type = 'credit_card')", _hit("credit_card", 0.96, "'value pattern: credit_card'"))
+    )
+    for name in ("email", "phone", "ssn", "national_id", "dob"):
+        rules.append((f"try_element_at(_hits, 1).type = '{name}'", _hit(name, 0.88, f"'value pattern: {name}'")))
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in rules) + " END"
 
 
 def _prepared(df: DataFrame) -> DataFrame:
@@ -93,30 +104,17 @@ def with_detection(elements: DataFrame, include_invisible: bool = False) -> Data
     photo words are blurred and have no token.
     """
     image_ctx = E.joined("id", "name", "classes", "alt", "aria_label", "selector", "img_hints")
-    is_image = (F.col("tag") == "img") | F.coalesce(F.col("is_img"), F.lit(False))
-    photo = is_image & F.rlike(F.col("_image"), F.lit(P.java_regex(fixed.PHOTO_WORDS, ignore_case=True)))
-    region = F.struct(
-        F.lit("photo").alias("pii_type"),
-        F.lit(0.80).alias("confidence"),
-        F.concat(F.lit("image region: "), F.substring("_image", 1, 40)).alias("evidence"),
+    photo = f"(tag = 'img' OR coalesce(is_img, false)) AND {_rlike('_image', fixed.PHOTO_WORDS)}"
+    region = _hit("photo", 0.80, "concat('image region: ', substring(_image, 1, 40))", tokenised=False)
+    det = F.expr(
+        f"CASE WHEN _shown THEN CASE WHEN {photo} THEN {region} ELSE {element_rules()} END END"
     )
     shown = E.is_on_screen(include_invisible) & (F.col("rect.width") > 1) & (F.col("rect.height") > 1)
-    mode = F.coalesce(P.lookup(F.col("_det.pii_type"), fixed.REDACTION_MODE), F.lit(fixed.DEFAULT_MODE))
-    kind = F.coalesce(P.lookup(F.col("_det.pii_type"), fixed.TOKEN_KIND), F.lit(fixed.DEFAULT_KIND))
-    full = F.struct(
-        F.col("_det.pii_type").alias("pii_type"),
-        F.col("_det.confidence").alias("confidence"),
-        F.col("_det.evidence").alias("evidence"),
-        mode.alias("mode"),
-        F.when(~F.col("_photo"), kind).alias("token_kind"),
-    )
     return (
         _prepared(elements)
-        .withColumn("_image", image_ctx)
-        .withColumn("_photo", F.coalesce(photo, F.lit(False)))
-        .withColumn("_det", F.when(shown, F.when(F.col("_photo"), region).otherwise(element_rules())))
-        .withColumn("det", F.when(F.col("_det").isNotNull(), full))
-        .drop("_type", "_auto", "_ctx", "_hits", "_image", "_photo", "_det")
+        .withColumns({"_image": image_ctx, "_shown": shown})
+        .withColumn("_det", det)
+        .select(*elements.columns, fence("_det").alias("det"))
     )
 
 
@@ -181,40 +179,46 @@ def audit_context() -> Column:
 
 def with_audit_kind(elements: DataFrame) -> DataFrame:
     """Add ``field_kind`` (or NULL) and keep ``_actx`` for later rules."""
-    kind, auto = _lower("type"), _lower("autocomplete")
-    rules: list[tuple[Column, str]] = [
-        (is_field() & (kind == "password"), "password"),
-        (is_field() & ((kind == "email") | (auto == "email")), "email"),
-        (is_field() & ((kind == "tel") | auto.isin("tel", "mobile")), "phone"),
+    kind, auto = "lower(coalesce(type, ''))", "lower(coalesce(autocomplete, ''))"
+    rules = [
+        (f"{_FIELD} AND {kind} = 'password'", "password"),
+        (f"{_FIELD} AND ({kind} = 'email' OR {auto} = 'email')", "email"),
+        (f"{_FIELD} AND ({kind} = 'tel' OR {auto} IN ('tel', 'mobile'))", "phone"),
     ]
-    rules += [(auto == name, pii_type) for name, pii_type in fixed.AUTOCOMPLETE_CLASS.items()]
-    rules.append((auto == "one-time-code", "otp"))
-    rules += [(_found("_actx", rx), pii_type) for _, rx, pii_type in fixed.AUDIT_KEYWORD_RULES]
+    rules += [(f"{auto} = '{name}'", pii_type) for name, pii_type in fixed.AUTOCOMPLETE_CLASS.items()]
+    rules.append((f"{auto} = 'one-time-code'", "otp"))
+    rules += [(_rlike("_actx", rx), pii_type) for _, rx, pii_type in fixed.AUDIT_KEYWORD_RULES]
     rules += [
-        (_found("_actx", fixed.AUDIT_EMAIL), "email"),
-        (_found("_actx", fixed.AUDIT_PHONE), "phone"),
-        (_found("_actx", fixed.AUDIT_NAME) & is_field(), "name"),
-        (_found("_actx", fixed.AUDIT_ADDRESS), "address"),
+        (_rlike("_actx", fixed.AUDIT_EMAIL), "email"),
+        (_rlike("_actx", fixed.AUDIT_PHONE), "phone"),
+        (f"{_FIELD} AND {_rlike('_actx', fixed.AUDIT_NAME)}", "name"),
+        (_rlike("_actx", fixed.AUDIT_ADDRESS), "address"),
     ]
-    arms = F
-    for condition, pii_type in rules:
-        arms = arms.when(condition, F.lit(pii_type))
-    return elements.withColumn("_actx", audit_context()).withColumn("field_kind", arms)
+    case = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, v in rules) + " END"
+    return (
+        elements.withColumn("_actx", audit_context())
+        .withColumn("_kind", F.expr(case))
+        .select(*elements.columns, "_actx", fence("_kind").alias("field_kind"))
+    )
 
 
 def fill_value() -> Column:
     """Value a planned type action writes; needs ``_actx`` and ``field_kind``."""
     literal = fixed.FILL_LITERALS
-    kind = F.col("field_kind")
-    return (
-        F.when(_found("_actx", fixed.AUDIT_CAPTCHA), literal["captcha"])
-        .when(_found("_actx", fixed.AUDIT_COUNTRY), literal["country"])
-        .when(_found("_actx", fixed.AUDIT_ID_TYPE), literal["id_type"])
-        .when((kind == "address") & _found("_actx", fixed.AUDIT_CITY), literal["city"])
-        .when((kind == "address") & _found("_actx", fixed.AUDIT_ZIP), literal["zip"])
-        .when((kind == "address") & _found("_actx", fixed.AUDIT_STATE), literal["state"])
-        .otherwise(F.coalesce(P.lookup(kind, fixed.FILL_TOKEN), F.lit(literal["other"])))
-    )
+    arms = [
+        (_rlike("_actx", fixed.AUDIT_CAPTCHA), literal["captcha"]),
+        (_rlike("_actx", fixed.AUDIT_COUNTRY), literal["country"]),
+        (_rlike("_actx", fixed.AUDIT_ID_TYPE), literal["id_type"]),
+        (f"field_kind = 'address' AND {_rlike('_actx', fixed.AUDIT_CITY)}", literal["city"]),
+        (f"field_kind = 'address' AND {_rlike('_actx', fixed.AUDIT_ZIP)}", literal["zip"]),
+        (f"field_kind = 'address' AND {_rlike('_actx', fixed.AUDIT_STATE)}", literal["state"]),
+    ]
+    arms += [(f"field_kind = '{kind}'", token) for kind, token in fixed.FILL_TOKEN.items()]
+    return F.expr("CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, v in arms) + f" ELSE '{literal['other']}' END")
+
+
+def is_textual_for_audit() -> Column:
+    return is_textual(fixed.TEXTUAL_TYPES_AUDIT)
 
 
 def first_per_selector(page: list[str]) -> Window:

@@ -162,7 +162,15 @@ VISIBLE_RULE = "visible AND NOT (k % 9 = 0 AND pos = 2)"
 
 
 def template_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(FORM_TEMPLATE), TEMPLATE_DDL)
+    """The fixed rows as an inline table, part of the plan itself."""
+    return spark.sql(template_sql(dict(int="INT", string="STRING", boolean="BOOLEAN")))
+
+
+def template_sql(type_names: dict[str, str]) -> str:
+    columns = [c.split() for c in TEMPLATE_DDL.split(", ")]
+    rows = ",\n".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in FORM_TEMPLATE)
+    casts = ", ".join(f"CAST({n} AS {type_names[t]}) AS {n}" for n, t in columns)
+    return f"SELECT {casts} FROM (VALUES {rows}) AS v({', '.join(n for n, _ in columns)})"
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -206,16 +214,12 @@ def _sql_literal(v) -> str:
 
 def form_elements_sql() -> str:
     """CTE body with the same rows; classes joined by a blank, box flat."""
-    names = [c.split()[0] for c in TEMPLATE_DDL.split(", ")]
-    types = {c.split()[0]: c.split()[1] for c in TEMPLATE_DDL.split(", ")}
-    duck = {"int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
-    rows = ",\n".join("(" + ", ".join(_sql_literal(v) for v in r) + ")" for r in FORM_TEMPLATE)
-    casts = ", ".join(f"CAST({n} AS {duck[types[n]]}) AS {n}" for n in names)
+    template = template_sql(dict(int="INTEGER", string="VARCHAR", boolean="BOOLEAN"))
     return f"""
     SELECT k AS page_id, k // {STEPS_PER_SESSION} AS session_id, CAST(k % {STEPS_PER_SESSION} AS INTEGER) AS step,
            t.* EXCLUDE (rule, visible), {value_case('varchar')} AS value, ({VISIBLE_RULE}) AS visible
     FROM (SELECT c_custkey AS k, c_name FROM customer) c
-    JOIN (SELECT {casts} FROM (VALUES {rows}) v({', '.join(names)})) t ON t.template = c.k % {TEMPLATES}
+    JOIN ({template}) t ON t.template = c.k % {TEMPLATES}
     """
 
 
@@ -275,7 +279,7 @@ SHIFTED_SQL = """
 
 def default_values(spark: SparkSession) -> DataFrame:
     """Fallback values, one per token kind (fixed size)."""
-    return spark.createDataFrame(list(DEFAULT_VALUES), "ord int, token_name string, raw_value string")
+    return spark.sql(default_values_sql())
 
 
 # fixed values: synthetic fallbacks, in lookup order
@@ -296,9 +300,9 @@ DEFAULT_VALUES = (
 
 
 def default_values_sql() -> str:
-    return "SELECT * FROM (VALUES " + ", ".join(
+    return "SELECT ord, token_name, raw_value FROM (VALUES " + ", ".join(
         f"({o}, '{n}', '{v}')" for o, n, v in DEFAULT_VALUES
-    ) + ") d(ord, token_name, raw_value)"
+    ) + ") AS d(ord, token_name, raw_value)"
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,21 +21,21 @@ PATTERN = {kind: rx(p) for kind, p in fixed.TEXT_PATTERNS}
 
 def luhn(value: str) -> str:
     d = f"regexp_replace({value}, '[ -]', '', 'g')"
-    digit = f"CAST(substr({d}, length({d}) - CAST(i AS INTEGER), 1) AS INTEGER)"
+    digit = f"CAST(substr({d}, length({d}) - CAST(ix AS INTEGER), 1) AS INTEGER)"
     return (
-        f"(length({d}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(0, length({d})), lambda i: "
-        f"CASE WHEN i % 2 = 1 THEN 2 * {digit} - 9 * ({digit} // 5) ELSE {digit} END)) % 10 = 0)"
+        f"(length({d}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(0, length({d})), lambda ix: "
+        f"CASE WHEN ix % 2 = 1 THEN 2 * {digit} - 9 * ({digit} // 5) ELSE {digit} END)) % 10 = 0)"
     )
 
 
 def found(kind: str, text: str) -> str:
     m = f"regexp_extract_all({text}, {PATTERN[kind]})"
-    return f"list_filter({m}, lambda v: {luhn('v')})" if kind == "credit_card" else m
+    return f"list_filter({m}, lambda cand: {luhn('cand')})" if kind == "credit_card" else m
 
 
 def scan(text: str) -> str:
     parts = [
-        f"list_transform({found(k, text)}, lambda w: {{'type': '{k}', 'value': w}})" for k, _ in fixed.TEXT_PATTERNS
+        f"list_transform({found(k, text)}, lambda mtch: {{'type': '{k}', 'value': mtch}})" for k, _ in fixed.TEXT_PATTERNS
     ]
     return "(" + " || ".join(parts) + ")"
 
@@ -148,7 +148,7 @@ def detector_rules() -> str:
         arms.append((cond, hit(f"'{t}'", c, f"concat('context \"', {word}, '\"')")))
     for p, t, c in fixed.GATED_RULES:
         arms.append((f"{textual} AND regexp_matches(ctx, {rx(p, True)})", hit(f"'{t}'", c, f"'{t} context'")))
-    arms.append(("len(list_filter(hits, lambda h: h.type = 'credit_card')) > 0",
+    arms.append(("len(list_filter(hits, lambda hh: hh.type = 'credit_card')) > 0",
                  hit("'credit_card'", 0.96, "'value pattern: credit_card'")))
     arms.append(("len(hits) > 0", hit("hits[1].type", 0.88, "concat('value pattern: ', hits[1].type)")))
     return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in arms) + " END"
