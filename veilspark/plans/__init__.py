@@ -1,6 +1,6 @@
 """Registered queries; importing the modules fills the registry."""
 
-from veilspark.plans import forms, payloads, planning, text  # noqa: F401
+from veilspark.plans import evaluation, forms, payloads, planning, text  # noqa: F401
 from veilspark.plans.registry import CHECK_SQL, QUERIES
 
 __all__ = ["CHECK_SQL", "QUERIES"]

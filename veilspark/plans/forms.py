@@ -11,12 +11,16 @@ from veilspark.operators import vault as V
 from veilspark.plans import derived as D
 from veilspark.plans import sqlparts as Q
 from veilspark.plans.registry import query
+from veilspark.session import materialise
 
 _PAGE = ["page_id"]
 
 
 def tagged(spark, sf_dir):
-    return V.attach_detection(C.with_detection(D.form_elements(spark, sf_dir)), _PAGE)
+    """Elements with their own detection and that of their selector; written
+    once, since numbering, substitution and checks all read it."""
+    done = V.attach_detection(C.with_detection(D.form_elements(spark, sf_dir)), _PAGE)
+    return materialise(done, "tagged")
 
 
 @query(

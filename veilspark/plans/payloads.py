@@ -15,7 +15,7 @@ from veilspark.plans import derived as D
 from veilspark.plans import sqlparts as Q
 from veilspark.plans.forms import tagged
 from veilspark.plans.registry import query
-from veilspark.session import spread
+from veilspark.session import materialise, spread
 
 _KEYS = ["session_id", "page_id"]
 _TASK = "CASE WHEN page_id % 12 = 0 THEN concat('mail user', cast(page_id AS {s}), '@example.com') ELSE 'Fill the form' END"
@@ -80,10 +80,11 @@ _ALLOWED = "sample.user@example.com"
 )
 def payload_leaks(spark, sf_dir):
     sent, tokenised = outgoing_elements(spark, sf_dir)
-    out = payloads(sent)
+    out = materialise(payloads(sent), "payloads")
     items = tokenised.filter(F.coalesce("value", F.lit("")) != "").select(
         "session_id", "token", F.col("step").alias("known_from"), F.col("value").alias("raw_value")
     )
+    items = materialise(items, "vault")
     pairs = containment(
         out, ["session_id", "page_id", "step"], "body", items, ["session_id", "token", "known_from"], "raw_value",
         scope=["session_id"],

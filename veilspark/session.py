@@ -44,6 +44,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex[:12]}")
 
 
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a frame that several branches read to the shared folder, once.
+
+    Readers get a plain parquet scan (pruned and pushed down), the lineage is
+    cut, and a lost executor costs only its own tasks.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Repartition only when the scan has fewer tasks than the session has cores.
 
