@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import fixed
@@ -10,11 +10,13 @@ from veilspark.functions import geometry as G
 from veilspark.operators import boxes as B
 from veilspark.operators import elements as E
 from veilspark.operators import matching as M
+from veilspark.operators import scoring as S
 from veilspark.operators import sessions as T
 from veilspark.operators.ranking import exact_rank_value
 from veilspark.plans import derived as D
 from veilspark.plans import sqlparts as Q
 from veilspark.plans.registry import query
+from veilspark.session import materialise
 
 _PAGE = ["page_id"]
 
@@ -149,30 +151,12 @@ def pii_f1(spark, sf_dir):
     return M.with_scores(counts).withColumn("f1", F.round("f1", 9))
 
 
+def sensitive(elements: DataFrame) -> DataFrame:
+    return elements.filter(F.col("gt_class").isNotNull() & F.col("visible") & (F.col("rect.width") > 0))
+
+
 def pii_counts(elements: DataFrame) -> DataFrame:
-    """tp counts detections (two may meet one truth), fn counts distinct truths."""
-    found, faces = detected(elements), gt_faces(elements)
-    gt = elements.filter(F.col("gt_class").isNotNull() & F.col("visible") & (F.col("rect.width") > 0))
-    keys = gt.select("page_id", "selector").distinct()
-    named = keys.filter(F.col("selector") != "").withColumn("_gt", F.lit(True))
-    best = M.best_overlap(found, "pos", "box", faces, "face_id", "face_box", _PAGE)
-    hit = F.when(F.col("_gt"), F.col("selector")).when(
-        F.col("best_iou") >= fixed.FACE_IOU, F.concat(F.lit("face["), F.col("best_id").cast("string"), F.lit("]"))
-    )
-    hits = best.join(named, ["page_id", "selector"], "left").select("page_id", hit.alias("key"))
-    truth = keys.select("page_id", F.col("selector").alias("key")).unionByName(
-        faces.select("page_id", F.concat(F.lit("face["), F.col("face_id").cast("string"), F.lit("]")).alias("key"))
-    )
-    # one pass: reported keys are counted per key, then met with the truth
-    per_key = hits.groupBy("page_id", "key").agg(F.count("*").alias("n"))
-    met = truth.distinct().withColumn("_t", F.lit(True)).join(per_key.filter("key IS NOT NULL"), ["page_id", "key"], "left")
-    misses = met.agg(F.count_if(F.col("n").isNull()).alias("fn"))
-    totals = per_key.agg(
-        F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("n"))), F.lit(0)).alias("tp"),
-        F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0)).alias("fp"),
-    )
-    one = totals.withColumn("_k", F.lit(1)).join(misses.withColumn("_k", F.lit(1)), "_k")  # one row each
-    return one.select("tp", "fp", "fn")
+    return S.class_match_counts(sensitive(elements), gt_faces(elements), detected(elements), _PAGE)
 
 
 _APPLIED = """applied AS (
@@ -188,15 +172,8 @@ def applied(elements: DataFrame) -> DataFrame:
     return B.redaction_boxes(found, float(w), float(h))
 
 
-def regions(elements: DataFrame) -> DataFrame:
-    gt = elements.filter(F.col("gt_class").isNotNull() & F.col("visible") & (F.col("rect.width") > 0)).select(
-        "page_id", F.col("pos").alias("gt_pos"), F.col("rect").alias("gt_box")
-    )
-    best = M.best_overlap(gt, "gt_pos", "gt_box", applied(elements), "pos", "box", _PAGE)
-    area = G.area(F.col("gt_box"))
-    return best.withColumn(
-        "coverage", F.least(F.lit(1.0), F.col("overlap") / F.greatest(F.lit(1e-9), area))
-    )
+def gt_regions(elements: DataFrame) -> DataFrame:
+    return sensitive(elements).select("page_id", F.col("pos").alias("gt_pos"), F.col("rect").alias("gt_box"))
 
 
 _REGIONS = f"""regions AS (
@@ -213,7 +190,8 @@ _REGIONS = f"""regions AS (
     ),
 )
 def redaction_regions(spark, sf_dir):
-    return regions(D.form_elements(spark, sf_dir)).select(
+    elements = D.form_elements(spark, sf_dir)
+    return S.region_quality(gt_regions(elements), applied(elements), _PAGE).select(
         "page_id", "gt_pos", F.round("best_iou", 9).alias("best_iou"), F.round("coverage", 9).alias("coverage")
     )
 
@@ -228,31 +206,8 @@ m3 AS (SELECT (SELECT avg(best_iou) FROM regions) AS mean_iou, (SELECT avg(cover
 
 
 def redaction_parts(elements: DataFrame) -> DataFrame:
-    """Mean IoU, coverage, over-masking penalty and the gate, one row.
-
-    Both halves are sums over pages; they are brought to one row each before
-    they meet.
-    """
-    from_regions = regions(elements).groupBy().agg(
-        F.avg("best_iou").alias("mean_iou"),
-        F.avg("coverage").alias("mean_coverage"),
-        F.bool_and(F.col("page_id") % 1000 != 999).alias("gates_ok"),
-    )
-    gt = elements.filter(F.col("gt_class").isNotNull() & F.col("visible") & (F.col("rect.width") > 0)).select(
-        "page_id", F.col("rect").alias("box")
-    )
-    ub, ug = B.union_per(applied(elements), "page_id"), B.union_per(gt, "page_id").withColumnRenamed("box", "gt_box")
-    a, g = F.col("box"), F.col("gt_box")
-    over = ub.join(ug, "page_id").groupBy().agg(
-        (F.sum(F.greatest(F.lit(0.0), G.area(a) - G.overlap_area(a, g))) / F.greatest(F.lit(1e-9), F.sum(G.area(a)))).alias("overmask")
-    )
-    one = from_regions.withColumn("_k", F.lit(1)).join(over.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return one.withColumn("penalty", G.clamp((F.col("overmask") - 0.10) / 0.40, 0.0, 0.5))
-
-
-def redaction_score_value(gated: bool) -> Column:
-    raw = 100 * (0.45 * F.col("mean_iou") + 0.55 * F.col("mean_coverage")) * (1 - F.col("penalty"))
-    return F.when(F.col("gates_ok"), raw).otherwise(0.0) if gated else raw
+    gates = sensitive(elements).select("page_id", (F.col("page_id") % 1000 != 999).alias("ok"))
+    return S.redaction_summary(gt_regions(elements), applied(elements), gates, _PAGE)
 
 
 @query(
@@ -267,12 +222,8 @@ def redaction_score_value(gated: bool) -> Column:
 )
 def redaction_score(spark, sf_dir):
     p = redaction_parts(D.form_elements(spark, sf_dir))
-    return p.select(
-        *[F.round(c, 6).alias(c) for c in ("mean_iou", "mean_coverage", "overmask", "penalty")],
-        "gates_ok",
-        F.round(redaction_score_value(False), 6).alias("ungated"),
-        F.round(redaction_score_value(True), 6).alias("score"),
-    )
+    rounded = ("mean_iou", "mean_coverage", "overmask", "penalty", "ungated", "score")
+    return p.select("gates_ok", *[F.round(c, 6).alias(c) for c in rounded])
 
 
 _LAT = "floor((capture_ms + dom_ms + perception_ms + redaction_ms + network_ms + coalesce(exec_ms, 0)) * 10 + 0.5) / 10"
@@ -285,20 +236,12 @@ s45 AS (SELECT 100 * (0.5 * (1 - greatest(0, least(1, (heap - 60) / 190))) + 0.5
 
 
 def speed_scores(spark, sf_dir) -> DataFrame:
-    t = D.telemetry(spark, sf_dir).groupBy().agg(
-        F.avg(60 + F.col("perception_ms")).alias("heap"),
-        F.avg(F.col("perception_ms") * 10).alias("infer"),
-        F.avg(F.col("redaction_ms") * 10).alias("redact"),
-        F.avg(F.col("network_ms") * 10).alias("server"),
-    )
-    heap, infer = F.col("heap"), F.col("infer")
-    cycle = infer + F.col("redact") + F.col("server")
-    return t.select(
-        (100 * (0.5 * G.linear_score(heap, *fixed.HEAP_BAND_MB) + 0.5 * G.linear_score(infer, *fixed.PERCEPTION_BAND_MS))).alias("resource"),
-        (100 * G.linear_score(cycle, *fixed.CYCLE_BAND_MS)).alias("latency"),
-        cycle.alias("cycle_ms"),
-        heap,
-        infer,
+    return S.speed_scores(
+        D.telemetry(spark, sf_dir),
+        60 + F.col("perception_ms"),
+        F.col("perception_ms") * 10,
+        F.col("redaction_ms") * 10,
+        F.col("network_ms") * 10,
     )
 
 
@@ -336,25 +279,19 @@ def latency_score(spark, sf_dir):
 def composite(spark, sf_dir):
     elements = D.form_elements(spark, sf_dir)
     flags = M.set_match(expected_keys(elements), reported_keys(elements), _PAGE, "selector")
-    m1 = M.with_scores(M.match_counts(flags, "page_id").filter(F.col("page_id").isNull()))
-    m2 = M.with_scores(pii_counts(elements))
-    m3 = redaction_parts(elements)
-    speed = speed_scores(spark, sf_dir)
-    parts = (
-        m1.select(F.lit("m1").alias("metric"), (100 * F.col("f1")).alias("score"))
-        .unionByName(m2.select(F.lit("m2").alias("metric"), (100 * F.col("f1")).alias("score")))
-        .unionByName(m3.select(F.lit("m3").alias("metric"), redaction_score_value(True).alias("score")))
-        .unionByName(speed.select(F.lit("m4").alias("metric"), F.col("resource").alias("score")))
-        .unionByName(speed.select(F.lit("m5").alias("metric"), F.col("latency").alias("score")))
-    )
-    weight = F.expr("CASE metric " + " ".join(f"WHEN '{k}' THEN {w}D" for k, w in fixed.METRIC_WEIGHTS.items()) + " END")
-    weighted = parts.withColumn("w", F.col("score") * weight).rollup("metric").agg(
-        F.sum("score").alias("score"), F.sum("w").alias("w")
-    )
-    return weighted.select(
-        F.coalesce("metric", F.lit("composite")).alias("metric"),
-        F.round(F.when(F.col("metric").isNull(), F.col("w")).otherwise(F.col("score")), 6).alias("score"),
+    context = M.with_scores(M.match_counts(flags, "page_id").filter(F.col("page_id").isNull()))
+    classes = M.with_scores(pii_counts(elements))
+    speed = materialise(speed_scores(spark, sf_dir), "speed")
+    scores = S.composite(
+        {
+            "m1": context.select((100 * F.col("f1")).alias("score")),
+            "m2": classes.select((100 * F.col("f1")).alias("score")),
+            "m3": redaction_parts(elements),
+            "m4": speed.withColumnRenamed("resource", "score"),
+            "m5": speed.withColumnRenamed("latency", "score"),
+        }
     )
+    return scores.withColumn("score", F.round("score", 6))
 
 
 # ---------------------------------------------------------------------------
