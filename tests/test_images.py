@@ -132,3 +132,24 @@ def test_mutation_black_share_and_data_url(spark):
     df = I.to_data_url(frame(spark, a), "data", "image/png")
     assert df.first().url.startswith("data:image/png;base64,")
     assert I.from_data_url(df, "url", "copy").filter(F.col("copy") == F.col("data")).count() == 1
+
+
+def test_whole_step_blocks_what_is_not_verified(spark):
+    from veilspark.operators.flow import audit_sent, run_step
+    from tests.test_forms import table
+
+    pages = [dict(tag="input", type="email", selector="#e", label="Email", value="ana@example.com", rect=(20, 20, 60, 20)),
+             dict(tag="input", type="text", selector="#n", label="Note", value="free text", rect=(20, 60, 60, 20))]
+    rows = [dict(p, page_id=str(i), session_id=str(i), pos=k) for i in range(3) for k, p in enumerate(pages)]
+    # page 2 repeats the value of its e-mail field in a place that is not a value
+    rows[5] = dict(rows[5], label="Note for ana@example.com")
+    elements = table(spark, rows).withColumn("page_id", F.col("page_id").cast("bigint")).withColumn("session_id", F.col("session_id").cast("bigint"))
+    images = frame(spark, oval(160, 200), oval(160, 200), oval(160, 200)).filter("image_id <> 1")  # page 1 has no capture
+    step = run_step(elements, images, (160.0, 200.0), F.lit("Fill the form"))
+    got = {r.page_id: (r.status, r.detections, r.vault_leaks > 0) for r in step.verdicts.collect()}
+    assert got[0] == ("sent", 2, False)
+    assert got[1][0] == "unverified image"
+    assert got[2][0] == "leak" and got[2][2]
+    assert {r.page_id for r in step.payloads.collect()} == {0}
+    assert audit_sent(step).count() == 0
+    assert step.vault.filter("token = '[USER_EMAIL_1]'").count() == 3

@@ -54,8 +54,9 @@ def _java_text_regex(kind: str, pattern: str) -> str:
 TEXT_REGEX = {kind: _java_text_regex(kind, p) for kind, p in fixed.TEXT_PATTERNS}
 TOKEN_WHOLE = fixed.TOKEN_WHOLE
 TOKEN_BRACKETED = fixed.TOKEN_BRACKETED
-# every numeric pattern has a digit followed by at least eight digits or separators
-NUMERIC_GUARD = "[0-9][^A-Za-z]{8}"
+# every numeric pattern has a digit followed by at least eight digits, dashes or blanks;
+# the class leaves out ASCII letters and all other ASCII punctuation
+NUMERIC_GUARD = "[0-9][^!-,./:-~]{8}"
 
 
 def luhn_ok(value: Column) -> Column:
@@ -113,6 +114,11 @@ def is_token(value: Column) -> Column:
     return F.rlike(value, F.lit(TOKEN_WHOLE))
 
 
+def named_tokens(text: Column) -> Column:
+    """Tokens of the known kinds inside a text, left to right."""
+    return F.regexp_extract_all(text, F.lit(fixed.TOKEN_NAMED), F.lit(0))
+
+
 def masked(value: Column, shown: int | Column, tail: str = "***") -> Column:
     shown = F.lit(shown) if isinstance(shown, int) else shown
     return F.concat(F.substring(value, F.lit(1), shown), F.lit(tail))

@@ -21,6 +21,11 @@ from veilspark.session import materialise
 _PAGE = ["page_id"]
 
 
+def element_table(spark, sf_dir) -> DataFrame:
+    """The element table for jobs that read it in several branches."""
+    return materialise(D.form_elements(spark, sf_dir), "elements")
+
+
 def expected_keys(elements: DataFrame) -> DataFrame:
     return elements.filter(F.coalesce("visible", F.lit(True)) & ~F.col("tag").isin("img", "span")).select("page_id", "selector")
 
@@ -56,7 +61,7 @@ _SCORES = """tp / greatest(1, tp + fp) AS precision, tp / greatest(1, tp + fn) A
     ),
 )
 def context_f1(spark, sf_dir):
-    elements = D.form_elements(spark, sf_dir)
+    elements = element_table(spark, sf_dir)
     flags = M.set_match(expected_keys(elements), reported_keys(elements), _PAGE, "selector")
     return M.with_scores(M.match_counts(flags, "page_id")).withColumn("f1", F.round("f1", 9))
 
@@ -72,7 +77,7 @@ def context_f1(spark, sf_dir):
     ),
 )
 def key_set_ops(spark, sf_dir):
-    elements = D.form_elements(spark, sf_dir)
+    elements = element_table(spark, sf_dir)
     flags = M.set_match(expected_keys(elements), reported_keys(elements), _PAGE, "selector")
     e, r = F.col("expected"), F.col("reported")
     # intersect, both differences and union from one match instead of four set jobs
@@ -126,7 +131,7 @@ def detected(elements: DataFrame) -> DataFrame:
     ),
 )
 def face_match(spark, sf_dir):
-    elements = D.form_elements(spark, sf_dir)
+    elements = element_table(spark, sf_dir)
     best = M.best_overlap(detected(elements), "pos", "box", gt_faces(elements), "face_id", "face_box", _PAGE)
     return best.select("page_id", "pos", F.round("best_iou", 9).alias("best_iou"))
 
@@ -147,7 +152,7 @@ def face_match(spark, sf_dir):
     ),
 )
 def pii_f1(spark, sf_dir):
-    counts = pii_counts(D.form_elements(spark, sf_dir))
+    counts = pii_counts(element_table(spark, sf_dir))
     return M.with_scores(counts).withColumn("f1", F.round("f1", 9))
 
 
@@ -190,7 +195,7 @@ _REGIONS = f"""regions AS (
     ),
 )
 def redaction_regions(spark, sf_dir):
-    elements = D.form_elements(spark, sf_dir)
+    elements = element_table(spark, sf_dir)
     return S.region_quality(gt_regions(elements), applied(elements), _PAGE).select(
         "page_id", "gt_pos", F.round("best_iou", 9).alias("best_iou"), F.round("coverage", 9).alias("coverage")
     )
@@ -221,7 +226,7 @@ def redaction_parts(elements: DataFrame) -> DataFrame:
     ),
 )
 def redaction_score(spark, sf_dir):
-    p = redaction_parts(D.form_elements(spark, sf_dir))
+    p = redaction_parts(element_table(spark, sf_dir))
     rounded = ("mean_iou", "mean_coverage", "overmask", "penalty", "ungated", "score")
     return p.select("gates_ok", *[F.round(c, 6).alias(c) for c in rounded])
 
@@ -277,7 +282,7 @@ def latency_score(spark, sf_dir):
     ),
 )
 def composite(spark, sf_dir):
-    elements = D.form_elements(spark, sf_dir)
+    elements = element_table(spark, sf_dir)
     flags = M.set_match(expected_keys(elements), reported_keys(elements), _PAGE, "selector")
     context = M.with_scores(M.match_counts(flags, "page_id").filter(F.col("page_id").isNull()))
     classes = M.with_scores(pii_counts(elements))
@@ -318,7 +323,7 @@ def union_box(spark, sf_dir):
     ),
 )
 def box_iou(spark, sf_dir):
-    found = detected(D.form_elements(spark, sf_dir)).select("page_id", "pos", "box")
+    found = detected(element_table(spark, sf_dir)).select("page_id", "pos", "box")
     other = found.select("page_id", F.col("pos").alias("other"), F.col("box").alias("other_box"))
     pairs = M.overlapping(found, "box", other, "other_box", _PAGE).filter(F.col("pos") < F.col("other"))
     a, b = F.col("box"), F.col("other_box")

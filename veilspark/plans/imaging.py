@@ -13,7 +13,8 @@ from veilspark import fixed
 from veilspark.functions import geometry as G
 from veilspark.functions import raster as R
 from veilspark.operators import images as I
-from veilspark.plans.derived import load
+from veilspark.operators.flow import run_step
+from veilspark.plans.derived import form_elements, load
 from veilspark.plans.registry import query
 from veilspark.session import spread
 
@@ -266,3 +267,12 @@ def image_round_trip(spark, sf_dir):
         F.bround(F.length(F.substring_index("url", ",", -1)) / 1024, 1).alias("kb"),
         (F.col("copy") == F.col("data")).alias("same"),
     )
+
+
+@query("protected_step")
+def protected_step(spark, sf_dir):
+    """The whole step for every form page, with the page's part image as capture."""
+    elements = form_elements(spark, sf_dir)
+    images = rasters(spark, sf_dir)
+    step = run_step(elements, images, (1280.0, 800.0), F.lit("Fill the form"))
+    return step.verdicts.select("page_id", "detections", "boxes", "verified", "vault_leaks", "pattern_leaks", "status")

@@ -7,17 +7,16 @@ from pyspark.sql import functions as F
 
 from veilspark import fixed
 from veilspark.functions import patterns as P
+from veilspark.operators import flow as W
 from veilspark.operators import quality as K
 from veilspark.operators import scan as S
 from veilspark.operators import vault as V
-from veilspark.operators.containment import containment
 from veilspark.plans import derived as D
 from veilspark.plans import sqlparts as Q
 from veilspark.plans.forms import tagged
 from veilspark.plans.registry import query
 from veilspark.session import materialise, spread
 
-_KEYS = ["session_id", "page_id"]
 _TASK = "CASE WHEN page_id % 12 = 0 THEN concat('mail user', cast(page_id AS {s}), '@example.com') ELSE 'Fill the form' END"
 
 
@@ -33,18 +32,7 @@ def outgoing_elements(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def payloads(sent: DataFrame) -> DataFrame:
-    """One row per page with the serialised payload text; at most ELEMENT_CAP elements each."""
-    element = F.struct(
-        "pos", "tag", "type", "id", "name", "selector", "text", "label", "aria_label", "autocomplete", "role", "value"
-    )
-    grouped = sent.groupBy("session_id", "page_id", "step").agg(F.array_sort(F.collect_list(element)).alias("dom_elements"))
-    body = F.struct(
-        F.expr(_TASK.format(s="string")).alias("task"),
-        "dom_elements",
-        F.col("step").alias("step_index"),
-        F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("session_id"),
-    )
-    return grouped.select(*_KEYS, "step", F.to_json(body, {"ignoreNullFields": "false"}).alias("body"))
+    return W.payload_bodies(sent, F.expr(_TASK.format(s="string")))
 
 
 _SENT = f"""sent AS (
@@ -81,15 +69,7 @@ _ALLOWED = "sample.user@example.com"
 def payload_leaks(spark, sf_dir):
     sent, tokenised = outgoing_elements(spark, sf_dir)
     out = materialise(payloads(sent), "payloads")
-    items = tokenised.filter(F.coalesce("value", F.lit("")) != "").select(
-        "session_id", "token", F.col("step").alias("known_from"), F.col("value").alias("raw_value")
-    )
-    items = materialise(items, "vault")
-    pairs = containment(
-        out, ["session_id", "page_id", "step"], "body", items, ["session_id", "token", "known_from"], "raw_value",
-        scope=["session_id"],
-    )
-    vault_leaks = pairs.filter(F.col("known_from") <= F.col("step")).select(
+    vault_leaks = W.vault_leaks(out, tokenised).select(
         "page_id",
         F.lit("raw vault value present").alias("reason"),
         F.col("token").alias("what"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark import fixed
 from veilspark.operators import planning as L
+from veilspark.operators import providers as R
 from veilspark.operators import quality as K
 from veilspark.plans import derived as D
 from veilspark.plans import sqlparts as Q
@@ -242,3 +243,29 @@ def form_validation(spark, sf_dir):
     return K.form_errors(wide).select("page_id", "valid", F.array_join("errors", " ").alias("errors"))
 
 
+
+
+def _template_provider():
+    """Stand-in for a remote model: answers from the text of the prompt alone."""
+    def answer(prompts: list[str]) -> list[str]:
+        return [
+            '```json\n{"action": "click", "selector": "#n%d", "confidence": 0.5}\n```' % len(p) if len(p) % 3 else "no idea"
+            for p in prompts
+        ]
+
+    return answer
+
+
+@query(
+    "provider_actions",
+    Q.with_ctes(
+        Q.FORM, _SUMMARY,
+        select="""SELECT page_id, CASE WHEN length(summary) % 3 <> 0 THEN 'click' END AS action,
+        CASE WHEN length(summary) % 3 <> 0 THEN concat('#n', length(summary)) END AS selector,
+        CASE WHEN length(summary) % 3 = 0 THEN 'no JSON' END AS error FROM summaries""",
+    ),
+)
+def provider_actions(spark, sf_dir):
+    summaries = L.page_summary(D.form_elements(spark, sf_dir), "page_id")
+    done = R.provider_actions(summaries, "summary", _template_provider, "page_id")
+    return done.select("page_id", "action", "selector", "error")
