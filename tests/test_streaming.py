@@ -29,9 +29,8 @@ def test_counts_continue_and_a_repeated_batch_is_harmless(spark):
 def test_blocked_records_keep_no_text(spark):
     records = spark.createDataFrame([("s", 0, "mail a@b.co"), ("s", -1, "mail a@b.co"), ("s", 1, ""), ("s", 2, "x" * 2001), ("s", 3, "fine")],
                                     "session string, step int, text string")
-    stream = J.replay(spark, records, "step", slices=2)
     out = shared_dir(spark, "san")
-    J.run_available(J.sanitise(stream, "text", "session", "step"), J.sanitise_sink(out))
+    J.replay(records, "step", lambda s: J.sanitise(s, "text", "session", "step"), J.sanitise_sink(out), slices=2)
     clean = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/clean")
     blocked = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/quarantine")
     assert {(r.step, r.clean_text) for r in clean.collect()} == {(0, "mail [USER_EMAIL]"), (3, "fine")}
@@ -43,7 +42,7 @@ def test_vault_stream_equals_batch_numbers(spark, slices):
     rows = [(i, "hot" if i % 3 else f"s{i % 5}", "ADDRESS" if i % 2 else "CVV", f"v{i}", i in (40, 41, 90)) for i in range(120)]
     df = spark.createDataFrame(rows, "event_id bigint, session_id string, kind string, raw_value string, is_reset boolean")
     out = shared_dir(spark, "vault")
-    J.run_available(J.replay(spark, df, "event_id", slices), J.vault_job(out, "string", ["event_id"], F.floor(F.col("event_id") / 8)))
+    J.replay(df, "event_id", lambda s: s, J.vault_job(out, "string", ["event_id"], F.floor(F.col("event_id") / 8)), slices)
     got = {r.event_id: (r.epoch, r.token) for r in spark.read.parquet(f"{out}/vault").collect()}
     epoch, seq, want = {}, {}, {}
     for i, s, kind, _, reset in rows:
@@ -63,7 +62,7 @@ def test_cursor_stream_restarts_at_step_zero(spark):
     rows = [(i, f"s{i % 2}", 0 if i in (0, 1, 10, 21) else 1) for i in range(30)]
     df = spark.createDataFrame(rows, "call_id bigint, session_id string, step int")
     out = shared_dir(spark, "cursor")
-    J.run_available(J.replay(spark, df, "call_id", 3), J.cursor_job(out, "string", ["call_id"], F.floor(F.col("call_id") / 4)))
+    J.replay(df, "call_id", lambda s: s, J.cursor_job(out, "string", ["call_id"], F.floor(F.col("call_id") / 4)))
     got = {r.call_id: (r.run, r.n) for r in spark.read.parquet(f"{out}/cursor").collect()}
     run, n, want = {}, {}, {}
     for i, s, step in rows:

@@ -1,7 +1,9 @@
 """Order-dependent box jobs per page or image, and coordinate fusion.
 
 One group is one screenshot: its element boxes are bounded by the element cap
-and its image boxes by the sampling grid, so gathering a group is safe.
+and its image boxes by the sampling grid, so gathering a group is safe.  Lists
+are exploded in the outer form, because the inner form makes the optimizer
+repeat the list expression in a size filter.
 """
 
 from __future__ import annotations
@@ -26,7 +28,8 @@ def _items(where: Column | None = None) -> Column:
 
 def deduped(boxes: DataFrame, *keys: str, threshold: float = fixed.DEDUPE_IOU) -> DataFrame:
     kept = boxes.groupBy(*keys).agg(_items().alias("_i")).withColumn("_k", G.dedupe_boxes(F.col("_i"), ITEM, threshold))
-    return kept.select(*keys, F.explode("_k").alias("_x")).select(*keys, "_x.*")
+    rows = kept.select(*keys, F.explode_outer("_k").alias("_x")).filter(F.col("_x").isNotNull())
+    return rows.select(*keys, "_x.*")
 
 
 def merged(
@@ -38,7 +41,8 @@ def merged(
     groups = (
         boxes.groupBy(*keys)
         .agg(_items(big_enough).alias("_i"))
-        .select(*keys, F.posexplode(G.overlap_groups(F.col("_i"), ITEM, min_iou, min_containment)).alias("grp", "_g"))
+        .select(*keys, F.posexplode_outer(G.overlap_groups(F.col("_i"), ITEM, min_iou, min_containment)).alias("grp", "_g"))
+        .filter(F.col("_g").isNotNull())
     )
     union = F.aggregate(
         F.slice("_g", F.lit(2), F.size("_g")), F.element_at("_g", 1)["box"], lambda acc, d: G.union_box(acc, d["box"])
@@ -57,7 +61,8 @@ def merged(
 def unions(boxes: DataFrame, *keys: str, threshold: float = fixed.UNION_IOU) -> DataFrame:
     packed = boxes.groupBy(*keys).agg(_items().alias("_i"))
     plain = F.transform("_i", lambda d: d["box"])
-    return packed.select(*keys, F.posexplode(G.growing_union(plain, threshold)).alias("ord", "box"))
+    rows = packed.select(*keys, F.posexplode_outer(G.growing_union(plain, threshold)).alias("ord", "box"))
+    return rows.filter(F.col("box").isNotNull())
 
 
 def fused(detections: DataFrame, frames: DataFrame, *keys: str) -> DataFrame:

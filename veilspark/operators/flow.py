@@ -15,6 +15,7 @@ from veilspark.operators import images as I
 from veilspark.operators import scan as S
 from veilspark.operators import vault as V
 from veilspark.operators.containment import containment
+from veilspark.operators.ranking import running_total
 from veilspark.session import materialise
 
 
@@ -49,16 +50,40 @@ def payload_bodies(sanitised: DataFrame, task: Column) -> DataFrame:
 
 
 def vault_leaks(payloads: DataFrame, tokenised: DataFrame) -> DataFrame:
-    """(page, token, raw value) where a payload shows a value its session had
-    registered up to that step."""
-    items = tokenised.filter(F.coalesce("value", F.lit("")) != "").select(
-        "session_id", "token", F.col("step").alias("known_from"), F.col("value").alias("raw_value")
+    """Raw values a payload shows although its session had registered them by
+    that step: (session_id, page_id, step, raw_value, token, tokens).
+
+    A value may have been registered many times.  The search runs on distinct
+    values, each with its first token; how many tokens it had by the step of the
+    payload is a running total over registrations, so registrations and payloads
+    of a busy session are never paired.
+    """
+    registered = materialise(
+        tokenised.filter(F.coalesce("value", F.lit("")) != "").select(
+            "session_id", "token", "step", "pos", F.col("value").alias("raw_value")
+        ),
+        "vault",
+    )
+    values = registered.groupBy("session_id", "raw_value").agg(
+        F.min("step").alias("known_from"), F.min_by("token", F.struct("step", "pos")).alias("token")
     )
     pairs = containment(
-        payloads, ["session_id", "page_id", "step"], "body", materialise(items, "vault"),
-        ["session_id", "token", "known_from"], "raw_value", scope=["session_id"],
+        payloads, ["session_id", "page_id", "step"], "body", values, ["session_id", "token", "known_from"], "raw_value",
+        scope=["session_id"],
+    )
+    leaks = pairs.filter(F.col("known_from") <= F.col("step"))
+    timeline = leaks.select(
+        "session_id", "raw_value", "page_id", "step", "token", F.lit(1).alias("after"), F.lit(0).alias("amount")
+    ).unionByName(
+        registered.select(
+            "session_id", "raw_value", F.lit(None).cast(leaks.schema["page_id"].dataType).alias("page_id"), "step", "token",
+            F.lit(0).alias("after"), F.lit(1).alias("amount"),
+        )
+    )
+    counted = running_total(
+        timeline, ["session_id", "raw_value"], F.floor(F.col("step") / V.STEP_BUCKET), ["step", "after"], F.col("amount"), "tokens"
     )
-    return pairs.filter(F.col("known_from") <= F.col("step"))
+    return counted.filter(F.col("after") == 1).drop("after", "amount")
 
 
 def run_step(elements: DataFrame, images: DataFrame, viewport: tuple[float, float], task: Column) -> Step:
@@ -81,7 +106,7 @@ def run_step(elements: DataFrame, images: DataFrame, viewport: tuple[float, floa
     tokenised = V.tokens(tagged)
     sanitised = V.sanitised_elements(tagged, tokenised)
     payloads = materialise(payload_bodies(sanitised, task), "payloads")
-    leaks = vault_leaks(payloads, tokenised).groupBy("page_id").agg(F.count("*").alias("vault_leaks"))
+    leaks = vault_leaks(payloads, tokenised).groupBy("page_id").agg(F.sum("tokens").alias("vault_leaks"))
     shown = F.size(P.scan_text(P.strip_tokens(F.col("body"))))
     counted = every.groupBy(F.col("image_id").alias("page_id")).agg(F.count("*").alias("detections"))
     verdicts = (

@@ -1,8 +1,9 @@
 """Image jobs: one row per image, kernels in Arrow batches.
 
-Image rows are large; ``image_session`` keeps the Arrow batches small.  The
-per-image work never crosses rows, so these jobs need no shuffle of pixels
-except where detections from another table are joined in.
+Image rows are large: Arrow batches into Python are bounded in bytes by
+``spark.sql.execution.arrow.maxBytesPerBatch``, batches out of it by
+``BATCH_BYTES``.  The per-image work never crosses rows, so pixels are shuffled
+only where detections from another table are joined in.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from veilspark.operators import boxes as B
 IMAGE = "image_id bigint, width int, height int, data binary"
 FACES = f"image_id bigint, pos bigint, box {G.BOX}, confidence double, pii_type string, mode string, source string, tier string"
 Detector = Callable[[object], list]
+BATCH_ROWS, BATCH_BYTES = 2048, 32 << 20
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
@@ -29,13 +31,15 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
             yield row
 
 
-def _batched(rows: Iterator[tuple], columns: list[str], size: int = 256) -> Iterator[pd.DataFrame]:
+def _batched(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
     buffer: list[tuple] = []
+    held = 0
     for row in rows:
         buffer.append(row)
-        if len(buffer) == size:
+        held += sum(len(v) for v in row if isinstance(v, bytes))
+        if len(buffer) >= BATCH_ROWS or held >= BATCH_BYTES:
             yield pd.DataFrame(buffer, columns=columns)
-            buffer = []
+            buffer, held = [], 0
     if buffer:
         yield pd.DataFrame(buffer, columns=columns)
 
@@ -142,7 +146,7 @@ def redact_images(images: DataFrame, applied: DataFrame) -> DataFrame:
                     len(checked), all(ok), min(change) if change else None, R.black_share(after),
                 )
 
-        yield from _batched(painted(), [c.split()[0] for c in out.split(", ")], 64)
+        yield from _batched(painted(), [c.split()[0] for c in out.split(", ")])
 
     out = (
         "image_id bigint, width int, height int, data binary, boxes int, blackouts int, blurs int, checked int, "
@@ -160,6 +164,6 @@ def per_image(images: DataFrame, kernel: Callable[[object], Iterator[tuple]], sc
         rows = (
             (row.image_id, *values) for row in _rows(batches) for values in kernel(R.decode(row.data, row.width, row.height))
         )
-        yield from _batched(rows, names, 1024)
+        yield from _batched(rows, names)
 
     return images.select("image_id", "width", "height", "data").mapInPandas(run, schema)

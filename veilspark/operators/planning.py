@@ -142,7 +142,9 @@ def page_plans(elements: DataFrame, keys: Sequence[str], viewport_height: float
 
 
 def plan_rows(plans: DataFrame, *keys: str) -> DataFrame:
-    return plans.select(*keys, F.posexplode("plan").alias("step", "_a")).select(*keys, "step", "_a.*")
+    # outer form: the inner one would repeat the plan expression in a size filter
+    rows = plans.select(*keys, F.posexplode_outer("plan").alias("step", "_a")).filter(F.col("_a").isNotNull())
+    return rows.select(*keys, "step", "_a.*")
 
 
 def answer_calls(calls: DataFrame, plans: DataFrame, keys: Sequence[str], call: str) -> DataFrame:

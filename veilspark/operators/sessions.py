@@ -70,9 +70,9 @@ def end_reasons(steps: DataFrame, session: str, order: list[str], is_finish: Col
 
 def restart_runs(steps: DataFrame, session: str, ts: str, tie: str, step: str) -> DataFrame:
     """Run number of each row: step 0 starts a new run of its session."""
-    day = F.floor(F.unix_micros(F.col(ts)) / 86_400_000_000)
+    slot = F.floor(F.unix_micros(F.col(ts)) / 600_000_000)  # ten minutes
     return running_total(
-        steps, [session], day, [ts, tie], F.when(F.col(step) == 0, 1).otherwise(0), "run"
+        steps, [session], slot, [ts, tie], F.when(F.col(step) == 0, 1).otherwise(0), "run"
     )
 
 

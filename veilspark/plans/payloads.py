@@ -56,12 +56,13 @@ _ALLOWED = "sample.user@example.com"
     Q.with_ctes(
         Q.FORM, Q.CLASSIFIED, Q.TOKENISED, _SENT,
         select=rf"""SELECT * FROM (
-        SELECT p.page_id, 'raw vault value present' AS reason, v.token AS what, concat(substr(v.raw_value, 1, 2), '***') AS hint
+        SELECT p.page_id, 'raw vault value present' AS reason, min_by(v.token, (t.step, t.pos)) AS what,
+               concat(substr(v.raw_value, 1, 2), '***') AS hint, count(*) AS n
         FROM payloads p JOIN tokenised t ON t.session_id = p.session_id AND t.step <= p.step
         JOIN vault v ON v.session_id = t.session_id AND v.token = t.token
-        WHERE length(v.raw_value) >= 4 AND contains(p.body, v.raw_value)
+        WHERE length(v.raw_value) >= 4 AND contains(p.body, v.raw_value) GROUP BY p.page_id, v.raw_value
         UNION ALL
-        SELECT page_id, 'PII pattern in payload', pii_type, concat(substr(value, 1, 3), '***')
+        SELECT page_id, 'PII pattern in payload', pii_type, concat(substr(value, 1, 3), '***'), 1
         FROM ({Q.findings(r"(SELECT page_id, regexp_replace(body, '" + fixed.TOKEN_BRACKETED + r"', '[]', 'g') AS body FROM payloads)", 'body', 'page_id')})
         WHERE value <> '{_ALLOWED}')""",
     ),
@@ -74,10 +75,11 @@ def payload_leaks(spark, sf_dir):
         F.lit("raw vault value present").alias("reason"),
         F.col("token").alias("what"),
         P.masked(F.col("raw_value"), 2).alias("hint"),
+        F.col("tokens").alias("n"),
     )
     allow = spark.sql(f"SELECT '{_ALLOWED}' AS value")
     pattern = S.pattern_leaks(out, "body", ["page_id"], allow)
-    return vault_leaks.unionByName(pattern.select("page_id", "reason", F.col("pii_type").alias("what"), "hint"))
+    return vault_leaks.unionByName(pattern.select("page_id", "reason", F.col("pii_type").alias("what"), "hint", F.lit(1).cast("long").alias("n")))
 
 
 @query(

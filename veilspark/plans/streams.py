@@ -15,6 +15,8 @@ from veilspark.plans.registry import query
 from veilspark.session import materialise, shared_dir
 from veilspark.streaming import jobs as J
 
+ID_BUCKET = 65536  # ids per numbering bucket
+
 _PLANTED = "CASE WHEN turn % 3 = 1 THEN concat(text, ' mail user', cast(conv_id AS {s}), '@example.com or 4111 1111 1111 1111 now') ELSE text END"
 
 
@@ -26,9 +28,8 @@ _PLANTED = "CASE WHEN turn % 3 = 1 THEN concat(text, ' mail user', cast(conv_id
 )
 def stream_sanitize(spark, sf_dir):
     planted = D.load(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_PLANTED.format(s="string")).alias("text"))
-    stream = J.replay(spark, planted, "conv_id")
     out = shared_dir(spark, "sanitised")
-    J.run_available(J.sanitise(stream, "text", "conv_id", "turn"), J.sanitise_sink(out))
+    J.replay(planted, "conv_id", lambda s: J.sanitise(s, "text", "conv_id", "turn"), J.sanitise_sink(out))
     both = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/clean", f"{out}/quarantine")
     return both.select("conv_id", "turn", "status", F.md5("clean_text").alias("clean_md5"))
 
@@ -53,8 +54,8 @@ n AS (SELECT *, row_number() OVER (PARTITION BY session_id, epoch, kind ORDER BY
 
 def _vault_stream(spark, sf_dir) -> str:
     out = shared_dir(spark, "stream-vault")
-    stream = J.replay(spark, secrets(spark, sf_dir), "event_id")
-    J.run_available(stream, J.vault_job(out, "bigint", ["event_id"], F.floor(F.col("event_id") / 4096)))
+    job = J.vault_job(out, "bigint", ["event_id"], F.floor(F.col("event_id") / ID_BUCKET))
+    J.replay(secrets(spark, sf_dir), "event_id", lambda s: s, job)
     return out
 
 
@@ -102,8 +103,8 @@ def stream_cursor(spark, sf_dir):
         F.when(F.col("o_orderkey") % 6 == 0, 0).otherwise(1).alias("step"),
     )
     out = shared_dir(spark, "stream-cursor")
-    stream = J.replay(spark, calls, "call_id")
-    J.run_available(stream, J.cursor_job(out, "bigint", ["call_id"], F.floor(F.col("call_id") / 4096)))
+    job = J.cursor_job(out, "bigint", ["call_id"], F.floor(F.col("call_id") / ID_BUCKET))
+    J.replay(calls, "call_id", lambda s: s, job)
     numbered = spark.read.parquet(f"{out}/cursor")
     answers = L.answer_calls(
         numbered.withColumnRenamed("session_id", "page_id"), materialise(plans(spark, sf_dir), "plans"), ["page_id"], "n"
@@ -121,13 +122,12 @@ def stream_cursor(spark, sf_dir):
     ),
 )
 def stream_telemetry(spark, sf_dir):
-    stream = J.replay(spark, D.telemetry(spark, sf_dir), "event_id")
     out = shared_dir(spark, "telemetry")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    J.run_available(J.telemetry_windows(stream), handle, mode="update")
+    J.replay(D.telemetry(spark, sf_dir), "event_id", J.telemetry_windows, handle, mode="update")
     values = F.struct("steps", "sum_ms", "worst_ms", "slow_steps")
     updates = spark.read.option("recursiveFileLookup", True).parquet(out)
     latest = updates.groupBy("window", "event_type").agg(F.max_by(values, "batch_id").alias("v"))
@@ -148,13 +148,12 @@ def stream_telemetry(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     """Closed sessions only: the last ones stay open until the watermark passes them."""
     events = D.load(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    stream = J.replay(spark, events, "event_id")
     out = shared_dir(spark, "sessions")
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.drop("w").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    J.run_available(J.idle_windows(stream, "user_id", "ts"), handle)
+    J.replay(events, "event_id", lambda s: J.idle_windows(s, "user_id", "ts"), handle)
     rows = spark.read.option("recursiveFileLookup", True).parquet(out)
     return rows.select(
         "user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "events"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,36 +16,46 @@ from veilspark.session import shared_dir
 from veilspark.streaming.state import RunningCounts
 
 
-def replay(spark: SparkSession, df: DataFrame, order: str, slices: int = 3, purpose: str = "replay") -> DataFrame:
-    """A table as a stream: written in ``slices`` ranges of a numeric column, one
-    file set after the other, and read back one slice per micro-batch."""
+def replay(
+    df: DataFrame,
+    order: str,
+    build: Callable[[DataFrame], DataFrame],
+    handle: Callable[[DataFrame, int], None],
+    slices: int = 3,
+    mode: str = "append",
+) -> None:
+    """Run a table through a streaming job in ``slices`` ranges of a numeric column.
+
+    Each range is appended to a source folder (in parallel, any number of files)
+    and processed as one or more micro-batches before the next one arrives; every
+    run goes on from the checkpoint of the one before.
+    """
+    spark = df.sparkSession
     low, high = df.agg(F.min(order), F.max(order)).first()
     low, high = low or 0, high or 0
-    path = shared_dir(spark, purpose)
+    source, progress = shared_dir(spark, "replay"), shared_dir(spark, "progress")
     step = (high - low) // slices + 1
     for i in range(slices):
         part = df.filter((F.col(order) >= low + i * step) & (F.col(order) < low + (i + 1) * step))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.write.mode("append").parquet(source)
+        run_available(build(spark.readStream.schema(df.schema).parquet(source)), handle, mode, progress)
 
 
-def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+def run_available(
+    stream: DataFrame, handle: Callable[[DataFrame, int], None], mode: str = "append", progress: str | None = None
+) -> None:
     """Process everything that is there, micro-batch by micro-batch, and stop."""
     spark = stream.sparkSession
     q: StreamingQuery = (
         stream.writeStream.foreachBatch(handle)
         .outputMode(mode)
-        .option("checkpointLocation", shared_dir(spark, "progress"))
+        .option("checkpointLocation", progress or shared_dir(spark, "progress"))
         .trigger(availableNow=True)
         .start()
     )
     q.awaitTermination()
 
 
-def _read(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
-
-
 # ---------------------------------------------------------------------------
 def sanitise(records: DataFrame, text: str, session: str, step: str) -> DataFrame:
     """Redacted text and a status; a record that is invalid or that still shows a
