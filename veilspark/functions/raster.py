@@ -107,11 +107,12 @@ def pixelate(image: np.ndarray, box: tuple[int, int, int, int], block: int) -> N
 
 
 def _sliding_mean(values: np.ndarray, radius: int, axis: int) -> np.ndarray:
-    width = [(0, 0)] * values.ndim
-    width[axis] = (radius, radius)
-    padded = np.pad(values.astype(np.float64), width, mode="edge")
-    n = values.shape[axis]
-    return sum(np.take(padded, range(k, k + n), axis=axis) for k in range(2 * radius + 1)) / (2 * radius + 1)
+    n, taps = values.shape[axis], 2 * radius + 1
+    padded = values.astype(np.float64).take(np.clip(np.arange(-radius, n + radius), 0, n - 1), axis=axis)
+    total = np.zeros(values.shape)
+    for k in range(taps):
+        total += padded[k:k + n] if axis == 0 else padded[:, k:k + n]
+    return total / taps
 
 
 def blur(image: np.ndarray, box: tuple[int, int, int, int], radius: int, passes: int = 2) -> None:
@@ -132,31 +133,27 @@ def destroy(image: np.ndarray, box: tuple[int, int, int, int], mode: str, block:
         blur(image, box, max(1, int(block / 8 + 0.5)))
 
 
-def _luma(image: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
-    h, w = image.shape[:2]
-    return image[np.ix_(np.minimum(h - 1, ys), np.minimum(w - 1, xs))][..., :3] @ LUMA
-
-
 def is_destroyed(image: np.ndarray, box: tuple[int, int, int, int], mode: str, block: int | None) -> bool:
     """Blackout: dark and flat on a sample grid.  Blur: every pixelation block
     flat inside its smeared rim; a region without a sampled block fails."""
     x, y, w, h = box
+    luma = image[y:y + h, x:x + w, :3] @ LUMA
     if mode == "blackout":
         step = max(1, min(w, h) // 8)
-        luma = _luma(image, np.arange(y, y + h, step), np.arange(x, x + w, step))
-        return bool(luma.mean() < 10 and luma.var() < 8)
+        sample = luma[::step, ::step]
+        return bool(sample.mean() < 10 and sample.var() < 8)
     block = int(block or max(6, int(min(w, h) / 6 + 0.5)))
     rim = min(6, max(1, int(block / 4 + 0.5)))
     step = max(1, (block - rim) // 3)
     checked = 0
-    for by in range(y, y + h - rim, block):
-        ys = np.arange(by + rim, min(by + block - rim, y + h), step)
-        for bx in range(x, x + w - rim, block):
-            xs = np.arange(bx + rim, min(bx + block - rim, x + w), step)
-            if len(ys) * len(xs) < 3:
+    for by in range(0, h - rim, block):
+        rows = luma[by + rim:by + block - rim:step]
+        for bx in range(0, w - rim, block):
+            sample = rows[:, bx + rim:bx + block - rim:step]
+            if sample.size < 3:
                 continue
             checked += 1
-            if _luma(image, ys, xs).var() > 12:
+            if sample.var() > 12:
                 return False
     return checked > 0
 
@@ -165,8 +162,7 @@ def block_means(image: np.ndarray, box: tuple[int, int, int, int], grid: int) ->
     """Mean colour of the cells of a grid laid over the box; (cells, 3)."""
     x, y, w, h = box
     part = image[y:y + h, x:x + w, :3].astype(np.int64)
-    cut_y = np.unique(np.arange(h) * grid // h, return_index=True)[1]
-    cut_x = np.unique(np.arange(w) * grid // w, return_index=True)[1]
+    cut_y, cut_x = (sorted({-(-i * n // grid) for i in range(grid)} - {n}) for n in (h, w))
     sums = np.add.reduceat(np.add.reduceat(part, cut_y, axis=0), cut_x, axis=1)
     rows, cols = np.diff(np.append(cut_y, h)), np.diff(np.append(cut_x, w))
     return (sums / (rows[:, None] * cols[None, :])[..., None]).reshape(-1, 3)

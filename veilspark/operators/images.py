@@ -18,6 +18,7 @@ from veilspark import fixed
 from veilspark.functions import geometry as G
 from veilspark.functions import raster as R
 from veilspark.operators import boxes as B
+from veilspark.session import ship_package
 
 IMAGE = "image_id bigint, width int, height int, data binary"
 FACES = f"image_id bigint, pos bigint, box {G.BOX}, confidence double, pii_type string, mode string, source string, tier string"
@@ -68,6 +69,7 @@ def face_candidates(
     nothing, or when it fails, the skin-region heuristic is used, and ``tier``
     tells which one spoke.
     """
+    ship_package(images.sparkSession)
     columns = [c.split()[0] for c in FACES.replace(G.BOX, "box_t").split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,6 +117,7 @@ def redact_images(images: DataFrame, applied: DataFrame) -> DataFrame:
     The boxes of an image travel as one bounded list; an image without boxes
     passes unchanged and is verified.
     """
+    ship_package(images.sparkSession)
     b = F.col("box")
     packed = applied.groupBy("image_id").agg(
         F.array_sort(
@@ -158,6 +161,7 @@ def redact_images(images: DataFrame, applied: DataFrame) -> DataFrame:
 
 def per_image(images: DataFrame, kernel: Callable[[object], Iterator[tuple]], schema: str) -> DataFrame:
     """Rows of ``kernel(image array)`` prefixed with the image id."""
+    ship_package(images.sparkSession)
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.operators.quality import repaired_actions
+from veilspark.session import ship_package
 
 Provider = Callable[[list[str]], list[str]]
 
@@ -20,6 +21,7 @@ def provider_actions(prompts: DataFrame, prompt: str, load_provider: Callable[[]
     prompts to a list of responses of the same length.  A failing batch gives
     empty responses, which end up with an ``error`` instead of an action.
     """
+    ship_package(prompts.sparkSession)
     rows = prompts.select(*keys, F.col(prompt).alias("prompt"))
     schema = rows.drop("prompt").schema.add("response", "string")
 

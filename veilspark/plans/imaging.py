@@ -16,7 +16,7 @@ from veilspark.operators import images as I
 from veilspark.operators.flow import run_step
 from veilspark.plans.derived import form_elements, load
 from veilspark.plans.registry import query
-from veilspark.session import spread
+from veilspark.session import ship_package, spread
 
 SIDE = 32
 
@@ -24,6 +24,7 @@ SIDE = 32
 def rasters(spark, sf_dir) -> DataFrame:
     """One image per part: dark noise, a skin-coloured square for two keys of
     three, a small second patch for one key of five."""
+    ship_package(spark)
     keys = spread(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id")), "image_id")
 
     def paint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
