@@ -13,12 +13,28 @@ from veilspark import fixed
 _SHINGLE = "(?<= )(?=([^ ]+ [^ ]+ [^ ]+) )"
 # every run of four characters; a protected string has at least four
 _GRAM = f"(?s)(?=(.{{{fixed.MIN_PROTECTED_CHARS}}}))"
+# the same, beginning with a digit or capital: few places of a text, but found in most personal values
+_MARKED = f"(?s)(?=([0-9A-Z].{{{fixed.MIN_PROTECTED_CHARS - 1}}}))"
 
 
 def _pieces(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
 
+SCOPE_BROADCAST_ROWS = 100_000
+
+
+def _within_scope(texts: DataFrame, items: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Texts of the scopes that have items of this class, when those are few
+    (checked); otherwise all texts, which the candidate join narrows anyway."""
+    if not scope:
+        return texts
+    scopes = items.select(*scope).distinct()
+    if scopes.limit(SCOPE_BROADCAST_ROWS + 1).count() > SCOPE_BROADCAST_ROWS:
+        return texts
+    return texts.join(F.broadcast(scopes), list(scope), "left_semi")
+
+
 def _candidates(texts, keys, text, items, item_text, scope, pattern, anchor):
     probe = texts.select(*keys, F.explode(F.array_distinct(_pieces(F.col(text), pattern))).alias("_a"))
     anchored = items.withColumn("_a", anchor).select(*scope, item_text, "_a")
@@ -37,29 +53,38 @@ def containment(
     """Pairs (text keys, item keys) where the item text occurs in the text.
 
     A string can only occur where its anchor occurs, so each distinct item text
-    keeps one anchor (its longest inner three-word run, or a four-character run
-    when it has too few words), texts give their distinct runs, and the two meet
-    in an equi-join.  Only candidates are compared in full.  No side is forced
-    to be broadcast: the join strategy follows the measured sizes, and a common
-    anchor is split by the skew-join rule.  ``scope`` columns (for example the
-    session) must be among both key lists.
+    keeps one anchor: its longest inner three-word run, else a four-character run
+    that begins with a digit or capital, else any four-character run.  Texts give
+    their distinct runs of the classes in use, and the two meet in an equi-join.
+    Only candidates are compared in full.  No side is forced to be broadcast: the
+    join strategy follows the measured sizes, and a common anchor is split by the
+    skew-join rule.  ``scope`` columns (for example the session) must be among
+    both key lists.
     """
     wanted = items.filter(F.length(item_text) >= fixed.MIN_PROTECTED_CHARS)
     unique = wanted.select(*scope, item_text).distinct().withColumn("_s", _pieces(F.col(item_text), _SHINGLE))
-    wordy = unique.filter(F.size("_s") > 0)
-    short = unique.filter(F.size("_s") == 0)
+    marked, plain = _pieces(F.col(item_text), _MARKED), _pieces(F.col(item_text), _GRAM)
     longest = F.array_max(F.transform("_s", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
-    rarest = F.array_max(
-        F.transform(_pieces(F.col(item_text), _GRAM), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))
-    )["g"]
-    parts = []
-    if not wordy.isEmpty():
-        parts.append(_candidates(texts, keys, text, wordy, item_text, scope, _SHINGLE, longest))
-    if not short.isEmpty():
-        parts.append(_candidates(texts, keys, text, short, item_text, scope, _GRAM, rarest))
+
+    def scattered(grams: Column) -> Column:
+        return F.array_max(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+
+    wordless = unique.filter(F.size("_s") == 0)
+    classes = (
+        (unique.filter(F.size("_s") > 0), _SHINGLE, longest),
+        (wordless.filter(F.size(marked) > 0), _MARKED, scattered(marked)),
+        (wordless.filter(F.size(marked) == 0), _GRAM, scattered(plain)),
+    )
+    parts = [
+        _candidates(_within_scope(texts, part, scope), keys, text, part, item_text, scope, pattern, anchor)
+        for part, pattern, anchor in classes
+        if not part.isEmpty()
+    ]
     if not parts:  # nothing to protect
         parts.append(texts.select(*keys, F.lit("").alias(item_text)).filter(F.lit(False)))
-    pairs = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    pairs = parts[0]
+    for part in parts[1:]:
+        pairs = pairs.unionByName(part)
     hits = (
         pairs.join(texts.select(*keys, text), list(keys))
         .filter(F.contains(F.col(text), F.col(item_text)))

@@ -16,7 +16,7 @@ from veilspark.operators import scan as S
 from veilspark.operators import vault as V
 from veilspark.operators.containment import containment
 from veilspark.operators.ranking import running_total
-from veilspark.session import materialise
+from veilspark.session import materialise, spread
 
 
 @dataclass
@@ -68,10 +68,10 @@ def vault_leaks(payloads: DataFrame, tokenised: DataFrame) -> DataFrame:
         F.min("step").alias("known_from"), F.min_by("token", F.struct("step", "pos")).alias("token")
     )
     pairs = containment(
-        payloads, ["session_id", "page_id", "step"], "body", values, ["session_id", "token", "known_from"], "raw_value",
+        spread(payloads, "session_id", "page_id"), ["session_id", "page_id", "step"], "body", values, ["session_id", "token", "known_from"], "raw_value",
         scope=["session_id"],
     )
-    leaks = pairs.filter(F.col("known_from") <= F.col("step"))
+    leaks = materialise(pairs.filter(F.col("known_from") <= F.col("step")), "leaks")
     timeline = leaks.select(
         "session_id", "raw_value", "page_id", "step", "token", F.lit(1).alias("after"), F.lit(0).alias("amount")
     ).unionByName(

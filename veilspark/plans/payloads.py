@@ -78,7 +78,7 @@ def payload_leaks(spark, sf_dir):
         F.col("tokens").alias("n"),
     )
     allow = spark.sql(f"SELECT '{_ALLOWED}' AS value")
-    pattern = S.pattern_leaks(out, "body", ["page_id"], allow)
+    pattern = S.pattern_leaks(spread(out, "page_id"), "body", ["page_id"], allow)
     return vault_leaks.unionByName(pattern.select("page_id", "reason", F.col("pii_type").alias("what"), "hint", F.lit(1).cast("long").alias("n")))
 
 
