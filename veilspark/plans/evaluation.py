@@ -416,7 +416,27 @@ def box_merge(spark, sf_dir):
     return B.merged(found, "page_id").select("page_id", "grp", "members", "box.*", F.round("confidence", 6).alias("confidence"))
 
 
-@query("box_growing_union")
+_C_IOU, _ = _list_iou("cur", "b")
+_NEW_CUR = """{'x': least(cur.x, b.x), 'y': least(cur.y, b.y), 'w': greatest(cur.x + cur.w, b.x + b.w) - least(cur.x, b.x),
+    'h': greatest(cur.y + cur.h, b.y + b.h) - least(cur.y, b.y)}"""
+
+
+@query(
+    "box_growing_union",
+    "WITH RECURSIVE " + ",\n".join([
+        Q.FORM, _BOXES,
+        "al AS (SELECT page_id, list({'x': x, 'y': y, 'w': w, 'h': h} ORDER BY pos) AS bs FROM boxes GROUP BY page_id)",
+        f"""st AS (SELECT page_id, bs[1] AS cur, bs[2:] AS rest, bs[1:0] AS skipped, bs[1:0] AS done FROM al
+        UNION ALL SELECT page_id,
+            CASE WHEN len(rest) > 0 THEN CASE WHEN {_C_IOU} >= {fixed.UNION_IOU} THEN {_NEW_CUR} ELSE cur END ELSE skipped[1] END,
+            CASE WHEN len(rest) > 0 THEN rest[2:] ELSE skipped[2:] END,
+            CASE WHEN len(rest) > 0 THEN CASE WHEN {_C_IOU} >= {fixed.UNION_IOU} THEN skipped ELSE list_append(skipped, b) END
+                 ELSE skipped[1:0] END,
+            CASE WHEN len(rest) > 0 THEN done ELSE list_append(done, cur) END
+        FROM (SELECT *, rest[1] AS b FROM st WHERE cur IS NOT NULL))""",
+    ]) + """ SELECT page_id, i - 1 AS ord, done[i].x AS x, done[i].y AS y, done[i].w AS width, done[i].h AS height
+    FROM (SELECT page_id, done, unnest(range(1, len(done) + 1)) AS i FROM st WHERE cur IS NULL)""",
+)
 def box_growing_union(spark, sf_dir):
     found = detected(D.form_elements(spark, sf_dir)).withColumn("mode", F.lit("blackout"))
     return B.unions(found, "page_id").select("page_id", "ord", "box.*")
