@@ -122,6 +122,7 @@ def build(words: Words, depth: int) -> SuffixArray:
         keep = ~alone & (sorted_keys & ((1 << _BITS) - 1) != 0)
         tied, group = tied[keep], group[keep]
         if not len(tied):
+            reach = len(keys) + depth  # in full order
             break
         sorted_keys = keys[np.minimum(order[tied] + reach, len(keys) - 1)]
         by = np.lexsort((sorted_keys, group))
