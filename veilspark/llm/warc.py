@@ -251,7 +251,7 @@ def write(records: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         from pyarrow import fs
 
-        out, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("/") else f"file:{folder}")
+        out, root = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", folder))
         out.create_dir(f"{root}/archives", recursive=True)
         done, held, size = [], [], 0
 
