@@ -14,7 +14,7 @@ def _docs(spark):
     rows = [(1, long + "one"), (2, long + "one"), (3, ITEM), (4, "short text"), (5, None), (6, "Привет " * 30)]
     words = [f"word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(90)]
     rows += [(7, " ".join(words)), (8, " ".join([*words[:-1], "changed"])), (9, " ".join(words[:60])), (7, " ".join(words))]
-    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return spark.createDataFrame([(i, t, None if i == 6 else "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
 
 
 def test_stages_against_brute_force(spark, tmp_path):

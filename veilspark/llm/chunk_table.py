@@ -2,60 +2,62 @@
 
 A tokenizer whose pieces never cross certain borders gives the same ids for the
 chunks between them as for the whole text. Texts become chunk numbers, and ids
-are gathered from a pool. A table lives as long as a Python worker and is emptied
-when it holds more than ``room`` chunks, so its memory is bounded.
+are gathered from a pool. A table lives as long as a Python worker. When it holds more
+than ``room`` chunks, only the ``keep`` first stay, so its memory is bounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import chain, islice, repeat
 
 import numpy as np
 
-ROOM = 600_000
-"""Chunks a table may hold before it starts anew, some 120 MB."""
+ROOM, KEEP, SLICE = 800_000, 300_000, 2_000
+"""Chunks that a table may hold (some 180 MB), those that stay when it is full, and those encoded in one call."""
 
 
 class ChunkTable:
-    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], room: int = ROOM):
-        self.encode, self.room = encode, room
-        self._clear()
-
-    def _clear(self) -> None:
+    def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], room: int = ROOM, keep: int = KEEP):
+        self.encode, self.room, self.keep = encode, room, keep
         self.number: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, np.int32)
-        self.used = 0
-        self.start = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+        self.start = np.zeros(1, np.int64)  # of each chunk's ids in the pool, and the end of the last
+
+    def _shrink(self) -> None:
+        """Keep the chunks met first, which are the frequent ones."""
+        self.number = dict(islice(self.number.items(), self.keep))
+        self.start = self.start[: len(self.number) + 1].copy()
+        self.pool = self.pool[: max(1, self.start[-1])].copy()
 
     def _add(self, missing: list[str]) -> None:
-        encoded = self.encode(missing)
-        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        total = int(size.sum())
-        while self.used + total > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        flat = np.fromiter((i for ids in encoded for i in ids), np.int32, total)
-        self.pool[self.used: self.used + total] = flat
-        self.start = np.append(self.start, self.used + np.cumsum(size) - size)
-        self.size = np.append(self.size, size)
-        base = len(self.number)
-        self.number.update(zip(missing, range(base, base + len(missing)), strict=True))
-        self.used += total
+        for a in range(0, len(missing), SLICE):
+            part = missing[a: a + SLICE]
+            encoded = self.encode(part)
+            ends = self.start[-1] + np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+            while ends[-1] > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.start[-1]: ends[-1]] = np.fromiter(chain.from_iterable(encoded), np.int32)
+            base = len(self.number)
+            self.number.update(zip(part, range(base, base + len(part)), strict=True))
+            self.start = np.append(self.start, ends)
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, given as chunks, one after the other, and how many each text has."""
         if len(self.number) > self.room:
-            self._clear()
-        number = self.number
-        missing = dict.fromkeys(c for chunks in texts for c in chunks if c not in number)
-        if missing:
-            self._add(list(missing))
+            self._shrink()
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
-        get = number.__getitem__
-        at = np.fromiter((n for chunks in texts for n in map(get, chunks)), np.int64, int(counts.sum()))
-        size = self.size[at]
+        flat = list(chain.from_iterable(texts))
+        at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            missing = [flat[i] for i in new.tolist()]
+            self._add(list(dict.fromkeys(missing)))
+            at[new] = np.fromiter(map(self.number.__getitem__, missing), np.int64, len(missing))
+        start = self.start[at]
+        size = self.start[at + 1] - start
         ends = np.cumsum(size)
-        flat = self.pool[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        chunk_ends = np.cumsum(counts)
-        padded = np.concatenate([[0], ends])
-        return flat, padded[chunk_ends] - padded[chunk_ends - counts]
+        out = self.pool[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        last = np.cumsum(counts)
+        ends = np.concatenate([[0], ends])
+        return out, ends[last] - ends[last - counts]

@@ -13,8 +13,6 @@ TOKENIZER = "byte_bpe_50k.json"
 def op8_token_files(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     folder = token_files.encoded_files(docs, public_tokenizers.path(TOKENIZER))
-    checked = token_files.read(spark, folder).select(
-        "place", "doc", "n_ids", token_files.crc32_of("n_ids", "control", "data").alias("ids_crc32")
-    )
+    checked = token_files.checksums(spark, folder)
     out = checked.join(token_files.starts(spark, folder), "place")
-    return out.selectExpr("doc AS doc_id", "start", "n_ids AS n_tokens", "ids_crc32")
+    return out.selectExpr("doc AS doc_id", "start", "n_ids AS n_tokens", "crc32 AS ids_crc32")
