@@ -168,3 +168,22 @@ def test_form_checks(spark):
 def test_textual_gate(spark):
     df = table(spark, [dict(tag="input", type=t) for t in ("", "date", "checkbox")] + [dict(tag="textarea"), dict(tag="select")])
     assert [r[0] for r in df.select(C.is_textual_for_audit()).collect()] == [True, True, False, True, False]
+
+
+def test_candidates_stay_near_the_hits_when_values_share_a_shape(spark):
+    """One hot session: the anchors of values of one shape differ, so few texts meet a value that they lack."""
+    from veilspark.operators.containment import anchors, candidates
+
+    ratio = []
+    for n in (100, 1000):
+        values = [("hot", f"Customer#{i * 7919 % 10**9:09d}") for i in range(n)] + [("hot", f"user{i}@example.com") for i in range(n)]
+        items = spark.createDataFrame(values, "s string, raw string")
+        texts = spark.createDataFrame(
+            [("hot", i, f"order of {values[i][1]} and {values[n + i][1]} done") for i in range(n)], "s string, p int, body string"
+        )
+        anchored = anchors(items, "raw", ["s"])
+        assert anchored.count() == len(values)
+        ratio.append(candidates(texts, ["s", "p"], "body", anchored, "raw", ["s"]).distinct().count() / (2 * n))
+        hits = containment(texts, ["s", "p"], "body", items, ["s", "raw"], "raw", scope=["s"])
+        assert hits.count() >= 2 * n
+    assert max(ratio) < 12

@@ -14,7 +14,8 @@ def op3_language_id(spark, sf_dir):
     """Documents: the label is the declaration, the source is the host."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").withColumnRenamed("lang", "declared")
     model = language_id.fit_text(docs, "declared", "text")
-    return language_id.identify(docs, model, declared_col="declared", host_col="source")
+    found = language_id.identify(docs, model, declared_col="declared", host_col="source")
+    return found.withColumnRenamed("accepted", "kept")
 
 
 @query("page_language")
@@ -27,4 +28,4 @@ def page_language(spark, sf_dir):
         F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", 1).alias("declared"),
         F.regexp_extract("url", r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1).alias("host"),
     )
-    return language_id.identify(pages, model, declared_col="declared", host_col="host")
+    return language_id.identify(pages, model, declared_col="declared", host_col="host").withColumnRenamed("accepted", "kept")

@@ -11,34 +11,53 @@ from veilspark import fixed
 
 # three words in a row with a blank on both sides: whole words of any text holding the string
 _SHINGLE = "(?<= )(?=([^ ]+ [^ ]+ [^ ]+) )"
+# eight characters that begin with a digit or capital: few places of a text, but found in most personal values
+_LONG = "(?s)(?=([0-9A-Z].{7}))"
 # every run of four characters; a protected string has at least four
-_GRAM = f"(?s)(?=(.{{{fixed.MIN_PROTECTED_CHARS}}}))"
-# the same, beginning with a digit or capital: few places of a text, but found in most personal values
-_MARKED = f"(?s)(?=([0-9A-Z].{{{fixed.MIN_PROTECTED_CHARS - 1}}}))"
+_SHORT = f"(?s)(?=(.{{{fixed.MIN_PROTECTED_CHARS}}}))"
+_KINDS = (_SHINGLE, _LONG, _SHORT)
 
 
 def _pieces(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-
-
-SCOPE_BROADCAST_ROWS = 100_000
-
-
-def _within_scope(texts: DataFrame, items: DataFrame, scope: Sequence[str]) -> DataFrame:
-    """Texts of the scopes that have items of this class, when those are few
-    (checked); otherwise all texts, which the candidate join narrows anyway."""
-    if not scope:
-        return texts
-    scopes = items.select(*scope).distinct()
-    if scopes.limit(SCOPE_BROADCAST_ROWS + 1).count() > SCOPE_BROADCAST_ROWS:
-        return texts
-    return texts.join(F.broadcast(scopes), list(scope), "left_semi")
+    """Hashes of the distinct runs of a text."""
+    return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), lambda p: F.xxhash64(p))
+
+
+def anchors(items: DataFrame, item_text: str, scope: Sequence[str] = ()) -> DataFrame:
+    """(scope, item text, kind, run): one run per distinct string, of the first kind that it has, and of those the
+    one that the fewest strings of its scope share."""
+    unique = items.select(*scope, item_text).distinct()
+    by_kind = [_pieces(F.col(item_text), k) for k in _KINDS]
+    kind = F.when(F.size(by_kind[0]) > 0, 0).when(F.size(by_kind[1]) > 0, 1).otherwise(2)
+    runs = unique.withColumn("_kind", kind).select(
+        *scope, item_text, "_kind",
+        F.explode(F.when(F.col("_kind") == 0, by_kind[0]).when(F.col("_kind") == 1, by_kind[1]).otherwise(by_kind[2])).alias("_run"),
+    )
+    shared = runs.groupBy(*scope, "_kind", "_run").agg(F.count(F.lit(1)).alias("_n"))
+    best = F.min_by(F.struct("_kind", "_run"), F.struct("_n", "_run"))
+    return (
+        runs.join(shared, [*scope, "_kind", "_run"]).groupBy(*scope, item_text).agg(best.alias("_best"))
+        .select(*scope, item_text, "_best._kind", "_best._run")
+    )
 
 
-def _candidates(texts, keys, text, items, item_text, scope, pattern, anchor):
-    probe = texts.select(*keys, F.explode(F.array_distinct(_pieces(F.col(text), pattern))).alias("_a"))
-    anchored = items.withColumn("_a", anchor).select(*scope, item_text, "_a")
-    return probe.join(anchored, [*scope, "_a"]).select(*keys, item_text)
+def candidates(texts: DataFrame, keys: Sequence[str], text: str, anchored: DataFrame, item_text: str,
+               scope: Sequence[str] = ()) -> DataFrame:
+    """Pairs (text keys, item text) where the text has the item's anchor."""
+    kinds = F.array(*[
+        F.struct(F.lit(i).alias("_kind"), _pieces(F.col(text), k).alias("_runs")) for i, k in enumerate(_KINDS)
+    ])
+    # Only kinds that the text's scope has anchors of are cut into runs.
+    used = anchored.groupBy(*scope).agg(F.collect_set("_kind").alias("_used"))
+    if scope:
+        wanted = texts.join(used, list(scope))
+    else:  # without a scope: all kinds
+        wanted = texts.withColumn("_used", F.sequence(F.lit(0), F.lit(len(_KINDS) - 1)))
+    probe = (
+        wanted.select(*keys, F.explode(F.filter(kinds, lambda k: F.array_contains("_used", k["_kind"]))).alias("_k"))
+        .select(*keys, "_k._kind", F.explode("_k._runs").alias("_run"))
+    )
+    return probe.join(anchored, [*scope, "_kind", "_run"]).select(*keys, item_text)
 
 
 def containment(
@@ -49,42 +68,21 @@ def containment(
     item_keys: Sequence[str],
     item_text: str,
     scope: Sequence[str] = (),
+    least: int = fixed.MIN_PROTECTED_CHARS,
 ) -> DataFrame:
     """Pairs (text keys, item keys) where the item text occurs in the text.
 
-    A string can only occur where its anchor occurs, so each distinct item text
-    keeps one anchor: its longest inner three-word run, else a four-character run
-    that begins with a digit or capital, else any four-character run.  Texts give
-    their distinct runs of the classes in use, and the two meet in an equi-join.
-    Only candidates are compared in full.  No side is forced to be broadcast: the
-    join strategy follows the measured sizes, and a common anchor is split by the
-    skew-join rule.  ``scope`` columns (for example the session) must be among
-    both key lists.
+    A string can only occur where each of its runs occurs, so each distinct item
+    text keeps one anchor: an inner run of three words, else eight characters from
+    a digit or capital on, else four characters; among those, the rarest one in its
+    scope, so that values of one shape do not meet in it.  Texts give hashes of
+    their distinct runs, and the two meet in an equi-join.  Only candidates are
+    compared in full.  The plan is lazy and forces no join strategy.  ``scope``
+    columns (for example the session) must be among both key lists.  Strings under
+    ``least`` characters (four at least) are not looked for; ``too_short`` counts them.
     """
-    wanted = items.filter(F.length(item_text) >= fixed.MIN_PROTECTED_CHARS)
-    unique = wanted.select(*scope, item_text).distinct().withColumn("_s", _pieces(F.col(item_text), _SHINGLE))
-    marked, plain = _pieces(F.col(item_text), _MARKED), _pieces(F.col(item_text), _GRAM)
-    longest = F.array_max(F.transform("_s", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))["s"]
-
-    def scattered(grams: Column) -> Column:
-        return F.array_max(F.transform(grams, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
-
-    wordless = unique.filter(F.size("_s") == 0)
-    classes = (
-        (unique.filter(F.size("_s") > 0), _SHINGLE, longest),
-        (wordless.filter(F.size(marked) > 0), _MARKED, scattered(marked)),
-        (wordless.filter(F.size(marked) == 0), _GRAM, scattered(plain)),
-    )
-    parts = [
-        _candidates(_within_scope(texts, part, scope), keys, text, part, item_text, scope, pattern, anchor)
-        for part, pattern, anchor in classes
-        if not part.isEmpty()
-    ]
-    if not parts:  # nothing to protect
-        parts.append(texts.select(*keys, F.lit("").alias(item_text)).filter(F.lit(False)))
-    pairs = parts[0]
-    for part in parts[1:]:
-        pairs = pairs.unionByName(part)
+    wanted = items.filter(F.length(item_text) >= max(least, fixed.MIN_PROTECTED_CHARS))
+    pairs = candidates(texts, keys, text, anchors(wanted, item_text, scope), item_text, scope)
     hits = (
         pairs.join(texts.select(*keys, text), list(keys))
         .filter(F.contains(F.col(text), F.col(item_text)))
@@ -92,3 +90,9 @@ def containment(
     )
     ids = wanted.select(*dict.fromkeys([*scope, *item_keys, item_text]))
     return hits.join(ids, [*scope, item_text]).select(*dict.fromkeys([*keys, *item_keys]), item_text)
+
+
+def too_short(items: DataFrame, item_text: str, scope: Sequence[str] = (), least: int = fixed.MIN_PROTECTED_CHARS) -> DataFrame:
+    """How many strings of each scope are too short to be looked for."""
+    short = F.length(item_text) < max(least, fixed.MIN_PROTECTED_CHARS)
+    return items.groupBy(*scope).agg(F.count_if(F.coalesce(short, F.lit(False))).alias("too_short"))

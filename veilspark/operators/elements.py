@@ -50,8 +50,9 @@ def is_interactive() -> Column:
 def is_on_screen(include_invisible: bool = False) -> Column:
     if include_invisible:
         return F.lit(True)
+    # Only a known box hides an element; markup alone often gives none.
     sized = (F.col("rect.width") >= 2) & (F.col("rect.height") >= 2)
-    return F.coalesce(F.col("visible"), F.lit(True)) & F.coalesce(sized, F.lit(False))
+    return F.coalesce(F.col("visible"), F.lit(True)) & F.coalesce(sized, F.lit(True))
 
 
 def interactive_context(elements: DataFrame, *keys: str, include_invisible: bool = False) -> DataFrame:
@@ -110,7 +111,7 @@ def resolve_labels(fields: DataFrame, labels: DataFrame, *page: str) -> DataFram
     )
 
 
-def capped(elements: DataFrame, *page: str, limit: int = fixed.ELEMENT_CAP) -> DataFrame:
+def capped(elements: DataFrame, *page: str, limit: int) -> DataFrame:
     """First ``limit`` elements of each page in document order.
 
     ``pos`` is the document position (0-based and dense within a page), so the

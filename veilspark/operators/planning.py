@@ -249,7 +249,7 @@ def action_targets(actions: DataFrame, elements: DataFrame, page: Sequence[str],
         F.explode(
             F.array(
                 way("selector", s),
-                way("id", F.when(id_form, F.substring(s, 2, 1 << 20))),
+                way("id", F.when(id_form, F.regexp_replace(s, "^#", ""))),
                 way("name", F.when(~id_form, F.regexp_replace(s, r'["\\]', ""))),
                 way("text", F.when(~id_form, F.lower(F.trim(filled(F.regexp_extract(s, r"^text=(.+)$", 1)))))),
             )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,11 @@ from veilspark import fixed
 from veilspark.functions import patterns as P
 
 
+def record_is_valid(text: Column, session: Column, step: Column) -> Column:
+    """A turn of a conversation: some text, a session and a step."""
+    return F.coalesce((F.length(text) > 0) & F.length(session).between(1, 128) & (step >= 0), F.lit(False))
+
+
 def payload_is_valid(task: Column, session: Column, step: Column) -> Column:
     return F.coalesce(
         F.length(task).between(1, 2000) & F.length(session).between(1, 128) & (step >= 0), F.lit(False)
@@ -50,7 +58,8 @@ def action_ok_for_server() -> Column:
 
 def repaired_actions(df: DataFrame, response: str, *keep: str) -> DataFrame:
     """Action out of a model response: fences stripped, whole text or the outermost
-    braces parsed, defaults applied; what cannot be repaired has an ``error``."""
+    braces parsed, defaults applied; what cannot be repaired, or has a field of a
+    wrong type, has an ``error``."""
     text = F.trim(F.regexp_replace(F.trim(F.col(response)), r"(?m)^```(?:json)?|```$", ""))
     braces = F.regexp_extract("_t", r"(?s)\{.*\}", 0)
     first = F.try_parse_json("_t")
@@ -59,6 +68,14 @@ def repaired_actions(df: DataFrame, response: str, *keep: str) -> DataFrame:
     def field(name: str, kind: str = "string") -> Column:
         return F.try_variant_get("_v", f"$.{name}", kind)
 
+    def kind(name: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get("_v", f"$.{name}", "variant")), F.lit("VOID"))
+
+    texts, numbers = ("selector", "value", "direction", "reasoning"), ("confidence", "distance")
+    wrong_type = reduce(or_, [
+        *[~kind(n).isin("STRING", "VOID") for n in texts],
+        *[~F.rlike(kind(n), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|VOID)$")) for n in numbers],
+    ])
     is_object = F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT"))
     action = F.when(F.coalesce(field("action").isin(*fixed.ACTIONS), F.lit(False)), field("action")).otherwise("finish")
     out = (
@@ -78,15 +95,18 @@ def repaired_actions(df: DataFrame, response: str, *keep: str) -> DataFrame:
             F.when(F.col("_o"), F.coalesce(field("confidence", "double"), F.lit(0.8))).alias("confidence"),
             field("direction").alias("direction"),
             field("distance", "int").alias("distance"),
+            F.when(F.col("_o"), F.coalesce(field("reasoning"), F.lit(""))).alias("reasoning"),
+            wrong_type.alias("_wrong"),
         )
     )
     error = (
         F.when(F.coalesce("_t", F.lit("")) == "", "empty response")
         .when(~F.col("_json"), "no JSON")
         .when(~F.col("_o"), "not an object")
+        .when(F.col("_wrong"), "wrong type")
         .when(~action_ok_for_server(), "invalid action")
     )
-    return out.withColumn("error", error).drop("_t", "_o", "_json")
+    return out.withColumn("error", error).drop("_t", "_o", "_json", "_wrong")
 
 
 def form_errors(wide: DataFrame) -> DataFrame:

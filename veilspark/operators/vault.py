@@ -24,12 +24,12 @@ def tokens(tagged: DataFrame, session: str = "session_id", step: str = "step") -
     """Sensitive elements with their token ``[KIND_n]``.
 
     n counts all sensitive elements of the kind in the session, empty ones
-    included, in (step, pos) order.  Numbering is two-level, so a session that
+    included, in (step, page_id, pos) order, which no two elements share.  Numbering is two-level, so a session that
     holds a large share of all rows is still spread over many tasks.
     """
     sensitive = tagged.filter(F.col("hit").isNotNull()).withColumn("kind", F.col("hit.token_kind"))
     ranked = numbered(
-        sensitive, [session, "kind"], F.floor(F.col(step) / STEP_BUCKET), [step, "pos"], "seq"
+        sensitive, [session, "kind"], F.floor(F.col(step) / STEP_BUCKET), [step, "page_id", "pos"], "seq"
     )
     return ranked.withColumn(
         "token", F.concat(F.lit("["), "kind", F.lit("_"), F.col("seq").cast("string"), F.lit("]"))
@@ -59,8 +59,8 @@ def well_formed_token_count(value: Column) -> Column:
 
 
 def resolve_tokens(requests: DataFrame, vault: DataFrame, defaults: DataFrame, session: str = "session_id") -> DataFrame:
-    """Resolve ``value`` of each request: vault, exact default, default of the
-    kind, else NULL; a literal passes through.
+    """Resolve ``value`` of each request: vault, exact default, first default that
+    begins with the token's kind and an underscore, else NULL; a literal passes through.
 
     ``defaults`` has (token_name, raw_value) with the order ``ord``; it is a
     fixed table of one row per token kind.
@@ -70,8 +70,12 @@ def resolve_tokens(requests: DataFrame, vault: DataFrame, defaults: DataFrame, s
     name = F.regexp_replace(trimmed, r"[\[\]]", "")
     base = F.regexp_replace(name, r"_\d+$", "")
     exact = defaults.select(F.col("token_name").alias("_name"), F.col("raw_value").alias("_exact"))
-    by_kind = defaults.groupBy(F.regexp_replace("token_name", r"_\d+$", "").alias("_base")).agg(
-        F.min_by("raw_value", "ord").alias("_by_kind")
+    # A name of k parts answers to each of its k - 1 beginnings.
+    parts = F.split("token_name", "_")
+    begins = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, 1, n), "_"))
+    by_kind = (
+        defaults.where(F.size(parts) > 1).select("raw_value", "ord", F.explode(begins).alias("_base"))
+        .groupBy("_base").agg(F.min_by("raw_value", "ord").alias("_by_kind"))
     )
     asked = requests.withColumns(
         {
@@ -95,14 +99,10 @@ def resolve_tokens(requests: DataFrame, vault: DataFrame, defaults: DataFrame, s
 
 def known_tokens(requests: DataFrame, vault: DataFrame, defaults: DataFrame, session: str = "session_id") -> DataFrame:
     """Requests whose token exists in the session's vault or in the defaults."""
-    in_vault = requests.join(vault.select(session, F.col("token").alias("value")), [session, "value"], "left_semi")
-    names = defaults.select(F.col("token_name").alias("_name"))
-    rest = requests.join(vault.select(session, F.col("token").alias("value")), [session, "value"], "left_anti")
-    in_defaults = (
-        rest.withColumn("_name", F.regexp_replace("value", r"[\[\]]", ""))
-        .join(names, "_name", "left_semi")
-        .drop("_name")
+    held = vault.select(session, F.col("token").alias("value"), F.lit(True).alias("_held")).distinct()
+    names = defaults.select(F.col("token_name").alias("_name"), F.lit(True).alias("_named")).distinct()
+    return (
+        requests.withColumn("_name", F.regexp_replace("value", r"[\[\]]", ""))
+        .join(names, "_name", "left").join(held, [session, "value"], "left")
+        .where(F.col("_held") | F.col("_named")).select(*requests.columns)
     )
-    return in_vault.unionByName(in_defaults)
-
-

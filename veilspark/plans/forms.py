@@ -206,7 +206,7 @@ _DEFAULTS = f"defaults AS ({D.default_values_sql()})"
     Q.with_ctes(
         Q.FORM, Q.CLASSIFIED, Q.TOKENISED, Q.AUDIT_KINDS, _REQUESTS_SQL, _DEFAULTS,
         select=rf"""SELECT r.page_id, r.pos, md5(CASE WHEN NOT tok THEN r.value ELSE coalesce(v.raw_value, d.raw_value,
-            (SELECT min_by(k.raw_value, k.ord) FROM defaults k WHERE regexp_replace(k.token_name, '_\d+$', '') = r.base)) END) AS resolved_md5
+            (SELECT min_by(k.raw_value, k.ord) FROM defaults k WHERE starts_with(k.token_name, r.base || '_'))) END) AS resolved_md5
         FROM (SELECT *, regexp_matches(trim(value), '{fixed.TOKEN_WHOLE}') AS tok,
                      regexp_replace(trim(value), '[\[\]]', '', 'g') AS name,
                      regexp_replace(regexp_replace(trim(value), '[\[\]]', '', 'g'), '_\d+$', '') AS base FROM requests) r

@@ -86,7 +86,7 @@ def page_form_elements(spark, sf_dir):
     src = pages(spark, sf_dir, "html").withColumn("k", F.col("page_id"))
     with_form = src.select("page_id", F.concat("html", F.expr(_FORM)).alias("html"))
     return (
-        H.snapshot_elements(with_form, limit=1 << 20)
+        H.snapshot_elements(with_form)
         .filter(F.col("tag") != "a")
         .select("page_id", "pos", "tag", "value", "label", "text", "visible", F.size("classes").alias("n_classes"), "img_hints")
     )

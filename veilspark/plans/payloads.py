@@ -86,14 +86,29 @@ def payload_leaks(spark, sf_dir):
     "leak_verdict",
     Q.with_ctes(
         Q.FORM, Q.CLASSIFIED, Q.TOKENISED, _SENT,
-        select=rf"""SELECT page_id, len({Q.scan("b")}) AS pattern_leaks, len({Q.scan("b")}) = 0 AS ok
-        FROM (SELECT page_id, regexp_replace(body, '{fixed.TOKEN_BRACKETED}', '[]', 'g') AS b FROM payloads)""",
+        rf"""shown AS (SELECT page_id, count(*) AS n FROM
+            ({Q.findings(r"(SELECT page_id, regexp_replace(body, '" + fixed.TOKEN_BRACKETED + r"', '[]', 'g') AS body FROM payloads)", 'body', 'page_id')})
+            WHERE value <> '{_ALLOWED}' GROUP BY page_id),
+        raw AS (SELECT p.page_id, count(DISTINCT v.raw_value) AS n
+            FROM payloads p JOIN tokenised t ON t.session_id = p.session_id AND t.step <= p.step
+            JOIN vault v ON v.session_id = t.session_id AND v.token = t.token
+            WHERE length(v.raw_value) >= 4 AND contains(p.body, v.raw_value) GROUP BY p.page_id)""",
+        select="""SELECT p.page_id, coalesce(s.n, 0) AS pattern_leaks, coalesce(r.n, 0) AS vault_leaks,
+            coalesce(s.n, 0) + coalesce(r.n, 0) = 0 AS ok
+        FROM payloads p LEFT JOIN shown s USING (page_id) LEFT JOIN raw r USING (page_id)""",
     ),
 )
 def leak_verdict(spark, sf_dir):
-    out = payloads(outgoing_elements(spark, sf_dir)[0])
-    hits = P.scan_text(P.strip_tokens(F.col("body")))
-    return out.select("page_id", F.size(hits).alias("pattern_leaks")).withColumn("ok", F.col("pattern_leaks") == 0)
+    """Every payload, with its leaks of both kinds; it is fine only without any."""
+    found = payload_leaks(spark, sf_dir)
+    of_vault = F.col("reason") == "raw vault value present"
+    counts = found.groupBy("page_id").agg(
+        F.count_if(~of_vault).alias("pattern_leaks"), F.count_if(of_vault).alias("vault_leaks")
+    )
+    pages = tagged(spark, sf_dir).select("page_id").distinct()
+    return pages.join(counts, "page_id", "left").na.fill(0, ["pattern_leaks", "vault_leaks"]).withColumn(
+        "ok", F.col("pattern_leaks") + F.col("vault_leaks") == 0
+    )
 
 
 _VIOLATIONS = rf"""element_hits AS (
@@ -243,10 +258,15 @@ _ACT = "CASE event_type WHEN 'purchase' THEN 'type' WHEN 'click' THEN 'click' EL
               CASE WHEN json_extract_string(j, '$.action') IN ('click', 'type', 'scroll', 'finish')
                    THEN json_extract_string(j, '$.action') ELSE 'finish' END AS a,
               coalesce(json_extract_string(j, '$.selector'), '') AS s, json_extract_string(j, '$.value') AS v,
-              coalesce(CAST(json_extract_string(j, '$.confidence') AS DOUBLE), 0.8::DOUBLE) AS c FROM p)""",
-        select="""SELECT event_id, CASE WHEN o THEN a END AS action, CASE WHEN o THEN s END AS selector,
+              coalesce(TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE), 0.8::DOUBLE) AS c,
+              coalesce(json_extract_string(j, '$.reasoning'), '') AS why,
+              coalesce(json_type(j, '$.selector'), 'NULL') NOT IN ('VARCHAR', 'NULL') OR coalesce(json_type(j, '$.value'), 'NULL') NOT IN ('VARCHAR', 'NULL')
+              OR coalesce(json_type(j, '$.reasoning'), 'NULL') NOT IN ('VARCHAR', 'NULL')
+              OR coalesce(json_type(j, '$.confidence'), 'NULL') NOT IN ('DOUBLE', 'UBIGINT', 'BIGINT', 'NULL') AS wrong FROM p)""",
+        select="""SELECT event_id, CASE WHEN o THEN a END AS action, CASE WHEN o THEN s END AS selector, CASE WHEN o THEN why END AS reasoning,
             CASE WHEN o THEN CASE WHEN a = 'type' AND v IS NULL THEN '' ELSE v END END AS value,
             CASE WHEN t = '' THEN 'empty response' WHEN j IS NULL THEN 'no JSON' WHEN NOT o THEN 'not an object'
+                 WHEN wrong THEN 'wrong type'
                  WHEN (a IN ('click', 'type') AND s = '') OR NOT c BETWEEN 0 AND 1 THEN 'invalid action' END AS error
             FROM f""",
     ),
@@ -254,4 +274,4 @@ _ACT = "CASE event_type WHEN 'purchase' THEN 'type' WHEN 'click' THEN 'click' EL
 def action_json_repair(spark, sf_dir):
     e = spread(D.load(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
     responses = e.withColumn("act", F.expr(_ACT)).withColumn("response", F.expr(_RESPONSE.format(s="string")))
-    return K.repaired_actions(responses, "response", "event_id").select("event_id", "action", "selector", "value", "error")
+    return K.repaired_actions(responses, "response", "event_id").select("event_id", "action", "selector", "value", "reasoning", "error")

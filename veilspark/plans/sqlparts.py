@@ -215,7 +215,7 @@ TOKENISED = f"""tagged AS (
     FROM classified),
 tokenised AS (
     SELECT *, concat('[', kind, '_', seq, ']') AS token FROM (
-        SELECT *, row_number() OVER (PARTITION BY session_id, kind ORDER BY step, pos) AS seq
+        SELECT *, row_number() OVER (PARTITION BY session_id, kind ORDER BY step, page_id, pos) AS seq
         FROM tagged WHERE kind IS NOT NULL)),
 vault AS (
     SELECT session_id, token, kind, seq, value AS raw_value FROM tokenised WHERE coalesce(value, '') <> ''),

@@ -23,15 +23,14 @@ _PLANTED = "CASE WHEN turn % 3 = 1 THEN concat(text, ' mail user', cast(conv_id
 @query(
     "stream_sanitize",
     f"""WITH p AS (SELECT conv_id, turn, {_PLANTED.format(s='varchar')} AS t FROM conversations)
-    SELECT conv_id, turn, CASE WHEN length(t) BETWEEN 1 AND 2000 THEN 'clean' ELSE 'invalid' END AS status,
-           CASE WHEN length(t) BETWEEN 1 AND 2000 THEN md5({Q.redacted('t')}) END AS clean_md5 FROM p""",
+    SELECT conv_id, turn, CASE WHEN length(t) > 0 THEN 'clean' ELSE 'invalid' END AS status,
+           CASE WHEN length(t) > 0 THEN md5({Q.redacted('t')}) END AS clean_md5 FROM p""",
 )
 def stream_sanitize(spark, sf_dir):
     planted = D.load(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_PLANTED.format(s="string")).alias("text"))
     out = shared_dir(spark, "sanitised")
     J.replay(planted, "conv_id", lambda s: J.sanitise(s, "text", "conv_id", "turn"), J.sanitise_sink(out))
-    both = spark.read.option("recursiveFileLookup", True).parquet(f"{out}/clean", f"{out}/quarantine")
-    return both.select("conv_id", "turn", "status", F.md5("clean_text").alias("clean_md5"))
+    return spark.read.parquet(out).select("conv_id", "turn", "status", F.md5("clean_text").alias("clean_md5"))
 
 
 def secrets(spark, sf_dir) -> DataFrame:

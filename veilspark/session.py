@@ -11,6 +11,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+SPREAD = "spark.veilspark.inputPartitions"
+"""Where set, small tables of one row group are dealt to so many partitions after the scan."""
+
+
 def local_session(cores: str = "8", app: str = "veilspark") -> SparkSession:
     """Session for tests and local benchmarks; a cluster brings its own."""
     spark = (
@@ -21,6 +25,7 @@ def local_session(cores: str = "8", app: str = "veilspark") -> SparkSession:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(SPREAD, cores if cores.isdigit() else "8")
         .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
@@ -35,13 +40,15 @@ def local_session(cores: str = "8", app: str = "veilspark") -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, local runs) a temporary folder is
-    created and recorded in the session.
+    Where that setting is absent, a local session (tests, one machine) gets a
+    temporary folder; on a cluster no other machine would see it, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex[:12]}")
@@ -80,12 +87,10 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition only when the scan has fewer tasks than the session has cores.
+    """Deal the rows to as many partitions as the session asks for, if it asks.
 
-    A large input already has one task per file split and is left alone; a
-    single-row-group file would otherwise keep all work in one task.
+    A large input has a task per file split and needs no such shuffle; the setting
+    is for small files of a single row group on one machine.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    wanted = df.sparkSession.conf.get(SPREAD, None)
+    return df.repartition(int(wanted), *keys) if wanted else df

@@ -23,10 +23,30 @@ _ELEMENT = (
     r"""|[a-z][\w-]*(?=\s[^>]*?(?:\brole\s*=\s*["']?(?:button|checkbox|combobox)\b"""
     r"""|\bcontenteditable\s*=\s*["']?true\b)))""" + _ATTRS + r">(?=(?:(.*?)</\1[\s>])?+))"
 )
-_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+_NUMERIC = r"&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"
+
+
+def _character(entity: Column) -> Column:
+    """The character of a numeric reference; '' for one that is no character."""
+    digits = F.regexp_extract(entity, "([0-9A-Fa-f]+);", 1)
+    code = F.when(F.lower(F.substring(entity, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    # UTF-32 bytes of the code, decoded.
+    return F.when((code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF),
+                  F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("")
+
+
+def _numeric(c: Column) -> Column:
+    """Text with numeric character references replaced."""
+    parts = F.split(c, f"(?={_NUMERIC})|(?<=;)")
+    return F.array_join(F.transform(parts, lambda p: F.when(F.rlike(p, F.lit(f"^{_NUMERIC}$")), _character(p)).otherwise(p)), "")
 
 
 def unescape(c: Column) -> Column:
+    """Text with the common named references and all numeric ones replaced."""
+    c = F.when(F.rlike(c, F.lit(_NUMERIC)), _numeric(c)).otherwise(c)
     for entity, char in _ENTITIES:
         c = F.replace(c, F.lit(entity), F.lit(char))
     return c
@@ -53,10 +73,10 @@ def _px(style: Column, name: str) -> Column:
     return F.nullif(found, F.lit("")).cast("double")
 
 
-def snapshot_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html", limit: int = fixed.ELEMENT_CAP) -> DataFrame:
-    """One row per element in document order, the first ``limit`` of each page.
+def snapshot_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html", limit: int | None = None) -> DataFrame:
+    """One row per element in document order; all of them, unless a ``limit`` per page is given.
 
-    The element list of a page is cut before it is exploded, so the cap needs
+    The element list of a page is cut before it is exploded, so a limit needs
     neither a sort nor a shuffle.
     """
     clean = pages.select(page_id, F.regexp_replace(html, _IGNORED, " ").alias("_h"))
@@ -65,7 +85,7 @@ def snapshot_elements(pages: DataFrame, page_id: str = "page_id", html: str = "h
         F.regexp_extract_all("_h", F.lit(_ELEMENT), F.lit(2)).alias("inner"),
     )
     rows = (
-        clean.select(page_id, F.slice(zipped, 1, limit).alias("_all"))
+        clean.select(page_id, (zipped if limit is None else F.slice(zipped, 1, limit)).alias("_all"))
         .select(page_id, F.posexplode_outer("_all").alias("pos", "_e"))
         .filter(F.col("_e").isNotNull())
         .select(page_id, "pos", F.col("_e.open").alias("_o"), F.col("_e.inner").alias("_inner"))
@@ -87,11 +107,15 @@ def snapshot_elements(pages: DataFrame, page_id: str = "page_id", html: str = "h
     chosen = F.regexp_extract(inner, rf"(?is)<option\b(?=[^>]*\sselected\b){_ATTRS}>", 0)
     first = F.regexp_extract(inner, rf"(?is)<option\b{_ATTRS}>", 0)
     option = F.when(chosen != "", chosen).otherwise(first)
+    # An option without a value stands for its text.
+    chosen_text = F.regexp_extract(inner, rf"(?is)<option\b(?=[^>]*\sselected\b){_ATTRS}>([^<]*)", 1)
+    first_text = F.regexp_extract(inner, rf"(?is)<option\b{_ATTRS}>([^<]*)", 1)
+    option_text = plain_text(F.when(chosen != "", chosen_text).otherwise(first_text))
     is_file = F.lower(F.coalesce("type", F.lit(""))) == "file"
     value = (
         F.when((tag == "input") & ~is_file, F.coalesce("_value", F.lit("")))
         .when(tag == "textarea", unescape(inner))
-        .when((tag == "select") & (option != ""), attribute(option, "value"))
+        .when((tag == "select") & (option != ""), F.coalesce(attribute(option, "value"), option_text))
     )
     hints = F.when(tag == "img", F.substring(E.joined("id", "_class", "alt"), 1, fixed.HINT_CHARS))
     caption = F.when(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import geometry as G
@@ -24,6 +26,13 @@ _VERDICT = ("sensitive", "piiType", "mode", "hint")
 _NAMES = {"ariaLabel": "aria_label", "isImg": "is_img", "imgHints": "img_hints"}
 
 
+def below(file: Column, root: str) -> Column:
+    """Path of a file below ``root``, or its name if ``root`` is the file or a pattern."""
+    base = re.sub("^[a-z0-9+.-]+:/*", "/", root).rstrip("/") + "/"
+    at = F.instr(file, base)
+    return F.when(at > 0, F.substr(file, at + len(base))).otherwise(F.regexp_extract(file, r"([^/]+)$", 1))
+
+
 def _exploded(pages: DataFrame, *keep: str) -> DataFrame:
     rows = pages.select(*keep, F.posexplode("elements").alias("pos", "_e")).select(*keep, "pos", "_e.*")
     for old, new in _NAMES.items():
@@ -32,9 +41,13 @@ def _exploded(pages: DataFrame, *keep: str) -> DataFrame:
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Element rows of snapshot files, keyed by file name; the schema is declared, never inferred."""
-    raw = spark.read.schema(SNAPSHOT).option("multiLine", True).json(path)
-    pages = raw.withColumn("page_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
+    """Element rows of snapshot files; the schema is declared, never inferred.
+
+    ``page_id`` is the file's path below ``path`` without its ending, so files of
+    one name in several folders are several pages.
+    """
+    raw = spark.read.schema(SNAPSHOT).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    pages = raw.withColumn("page_id", F.regexp_replace(below(F.input_file_name(), path), r"\.json$", ""))
     return _exploded(pages, "page_id", "url", "title", "viewport")
 
 
@@ -50,9 +63,9 @@ def read_ground_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def read_raw_images(spark: SparkSession, path: str, width: int, height: int) -> DataFrame:
-    """Raw RGBA files of one size as image rows, keyed by file name."""
-    files = spark.read.format("binaryFile").load(path)
+    """Raw RGBA files of one size as image rows, keyed by their path below ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
+        below(F.col("path"), path).alias("name"),
         F.lit(width).alias("width"), F.lit(height).alias("height"), F.col("content").alias("data"),
     ).withColumn("image_id", F.xxhash64("name"))

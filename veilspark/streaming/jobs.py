@@ -59,22 +59,21 @@ def run_available(
 # ---------------------------------------------------------------------------
 def sanitise(records: DataFrame, text: str, session: str, step: str) -> DataFrame:
     """Redacted text and a status; a record that is invalid or that still shows a
-    finding after redaction is blocked.  Works on batch and streaming frames."""
+    finding after redaction is blocked.  Texts may have any length but none.  Works
+    on batch and streaming frames."""
     done = P.redact_text(records, text, "clean_text")
-    valid = K.payload_is_valid(F.col(text), F.col(session).cast("string"), F.col(step))
+    valid = K.record_is_valid(F.col(text), F.col(session).cast("string"), F.col(step))
     leak_free = ~P.has_finding(P.strip_tokens(F.col("clean_text")))
     status = F.when(~valid, "invalid").when(~leak_free, "leak").otherwise("clean")
     return done.withColumn("status", status).drop(text)
 
 
 def sanitise_sink(out: str) -> Callable[[DataFrame, int], None]:
-    """Clean records and blocked records to separate folders; a repeated batch
-    overwrites its own folders.  Blocked records keep no text."""
+    """Records by status, clean and blocked ones in folders of their own; a repeated
+    batch overwrites its own folder.  Blocked records keep no text."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        ok = F.col("status") == "clean"
-        batch.filter(ok).write.mode("overwrite").parquet(f"{out}/clean/batch={batch_id}")
-        blocked = batch.filter(~ok).withColumn("clean_text", F.lit(None).cast("string"))
-        blocked.write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
+        kept = batch.withColumn("clean_text", F.when(F.col("status") == "clean", F.col("clean_text")))
+        kept.write.mode("overwrite").partitionBy("status").parquet(f"{out}/batch={batch_id}")
 
     return handle
 
