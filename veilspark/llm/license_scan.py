@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import sha256_hex, text_or_empty
+from veilspark.session import materialise
 
 # Public licence texts and the short notices that stand for them.
 KNOWN = (
@@ -121,7 +122,8 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
     spelled = "|".join(rf"\b{s}\b" for s, _ in SAME_WORD)
     blocks = F.transform(F.split("canon", r"\n[ \n]*\n"), words_only)
     lines = F.transform(F.split("canon", "\n"), lambda x: F.trim(x))
-    units = canon.select(
+    # Written once: a digest per row and the few units with an anchor; row numbers are fixed from here on.
+    units = materialise(canon.select(
         "row", "id",
         sha256_hex(F.when(F.col("whole").rlike(spelled), same_words(F.col("whole"))).otherwise(F.col("whole")))
         .alias("text_digest"),
@@ -129,7 +131,7 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: st
             _likely(F.col("canon"), anchors),
             F.filter(F.array_distinct(F.concat(F.array("whole"), blocks, lines)), lambda u: _likely(u, anchors)),
         ).alias("units"),
-    )
+    ), "license-units")
     found = (
         units.select("row", "text_digest", F.explode("units").alias("unit"))
         .select("row", "text_digest", sha256_hex(same_words(F.col("unit"))).alias("digest")).distinct()
