@@ -127,7 +127,7 @@ def test_classifier_unit_cases(spark):
         dict(tag="button", selector="#go", text="Sign in"),
         dict(tag="input", type="text", selector="#h", label="Password", value="X1", visible=False),
         dict(tag="input", type="text", selector="#small", label="Password", rect=(0, 0, 1, 30)),
-        dict(tag="input", type="text", selector="#none", label="Password", rect=None),
+        dict(tag="input", type="text", selector="#none", label="Password", rect=None),                # an unknown box hides nothing
         dict(tag="a", selector="#forgot", label="Forgot password?"),                     # keyword rules have no textual gate
         dict(tag="button", selector="#mail", label="Email us"),                          # gated rules do
         dict(tag="input", type="text", selector="#n", id="n", label="Name"),             # ^name only at the start
@@ -144,6 +144,7 @@ def test_classifier_unit_cases(spark):
     got = {r.selector: (r.pii_type, r.confidence, r.token_kind) for r in C.detections(C.with_detection(rows), "page_id").collect()}
     assert got == {
         "#card": ("credit_card", 0.96, "CARD_NUMBER"),
+        "#none": ("password", 0.99, "USER_PASSWORD"),
         "#forgot": ("password", 0.99, "USER_PASSWORD"),
         "#x": ("name", 0.80, "USER_NAME"),
         "#t1": ("sensitive", 0.75, "USER_SECRET"),
@@ -223,7 +224,8 @@ def test_sinks_refuse_vault_columns(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.write_sanitised(bad, str(tmp_path / "no"))
     good = spark.createDataFrame([("a b/c", 0, "t"), ("a b/c", 1, "u")], "session_id string, step_index int, task string")
-    sinks.write_payload_log(good, str(tmp_path / "log"))
+    for _ in range(2):  # a repeated run leaves one copy
+        sinks.write_payload_log(good, str(tmp_path / "log"))
     back = spark.read.json(str(tmp_path / "log"))
     assert {r.session_id for r in back.collect()} == {"a_b_c"} and back.count() == 2
     sinks.write_results({"context": good}, str(tmp_path / "res"))
@@ -260,3 +262,13 @@ def test_audit_kind_differs_from_the_detector(spark):
 def test_lookup_gives_null_for_unknown(spark):
     df = spark.createDataFrame([("a",), ("z",)], "k string")
     assert [r[0] for r in df.select(P.lookup(F.col("k"), {"a": "1"})).collect()] == ["1", None]
+
+
+def test_snapshot_ids_are_paths(spark, tmp_path):
+    from veilspark.sources import snapshots
+
+    for folder in ("a", "b/c"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "elements.json").write_text('{"url": "u", "elements": [{"tag": "a"}]}')
+    rows = snapshots.read_snapshots(spark, str(tmp_path)).collect()
+    assert {r.page_id for r in rows} == {"a/elements", "b/c/elements"}

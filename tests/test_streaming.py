@@ -33,8 +33,8 @@ def test_blocked_records_keep_no_text(spark):
     J.replay(records, "step", lambda s: J.sanitise(s, "text", "session", "step"), J.sanitise_sink(out), slices=2)
     clean = spark.read.parquet(out).where("status = 'clean'")
     blocked = spark.read.parquet(out).where("status <> 'clean'")
-    assert {(r.step, r.clean_text) for r in clean.collect()} == {(0, "mail [USER_EMAIL]"), (3, "fine")}
-    assert {(r.step, r.status, r.clean_text) for r in blocked.collect()} == {(s, "invalid", None) for s in (-1, 1, 2)}
+    assert {(r.step, r.clean_text) for r in clean.collect()} == {(0, "mail [USER_EMAIL]"), (2, "x" * 2001), (3, "fine")}
+    assert {(r.step, r.status, r.clean_text) for r in blocked.collect()} == {(s, "invalid", None) for s in (-1, 1)}
 
 
 @pytest.mark.parametrize("slices", [1, 4])

@@ -31,7 +31,7 @@ class Step:
 
 
 def payload_bodies(sanitised: DataFrame, task: Column) -> DataFrame:
-    """Serialised payload per page; a page holds at most ELEMENT_CAP elements."""
+    """Serialised payload per page; the elements of one page form one row."""
     element = F.struct(
         "pos", "tag", "type", "id", "name", "selector", "text", "label", "aria_label", "autocomplete", "role", "value"
     )

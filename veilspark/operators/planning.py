@@ -1,7 +1,7 @@
 """Action plans, prompts and action targets as page-level jobs.
 
-A page holds at most ``ELEMENT_CAP`` elements, so the per-page lists built here
-are bounded; one shuffle by page gathers everything a plan needs.
+The elements of one page are the natural unit here: one shuffle by page gathers
+everything that its plan needs.
 """
 
 from __future__ import annotations

@@ -12,28 +12,42 @@ from veilspark.operators.ranking import running_total
 TIMINGS = ("capture_ms", "dom_ms", "perception_ms", "redaction_ms", "network_ms", "exec_ms")
 
 
-def idle_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int = fixed.SESSION_IDLE_SECONDS) -> DataFrame:
-    """Sessions split where a key was idle for more than ``gap_seconds``.
+def activity_slots(events: DataFrame, key: str, ts: str, gap_seconds: int = fixed.SESSION_IDLE_SECONDS) -> DataFrame:
+    """Events of a key by slots of half a gap: first, last and number.
 
-    Events are first reduced to slots of half a gap, which never contain an
-    idle period; the reduction is a partial aggregate, so a hot key shrinks to
-    one row per slot before anything is ordered.
+    A slot never contains an idle period, so it lies in one session; slots of
+    several batches add up, in any order.
     """
     t = F.unix_micros(F.col(ts))
-    slot_micros = gap_seconds * 500_000
-    slots = events.groupBy(key, F.floor(t / slot_micros).alias("_slot")).agg(
-        F.min(t).alias("_from"), F.max(t).alias("_to"), F.count("*").alias("_n")
+    return events.groupBy(key, F.floor(t / (gap_seconds * 500_000)).alias("slot")).agg(
+        F.min(t).alias("first_us"), F.max(t).alias("last_us"), F.count("*").alias("n")
+    )
+
+
+def sessions_of_slots(slots: DataFrame, key: str, gap_seconds: int = fixed.SESSION_IDLE_SECONDS) -> DataFrame:
+    """Sessions out of activity slots, which may have several rows each."""
+    whole = slots.groupBy(key, "slot").agg(
+        F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.sum("n").alias("n")
     )
-    order = Window.partitionBy(key).orderBy("_slot")
-    fresh = F.coalesce(F.col("_from") - F.lag("_to").over(order) > gap_seconds * 1_000_000, F.lit(True))
-    numbered = slots.withColumn("_new", fresh.cast("int")).withColumn("session_no", F.sum("_new").over(order))
+    order = Window.partitionBy(key).orderBy("slot")
+    fresh = F.coalesce(F.col("first_us") - F.lag("last_us").over(order) > gap_seconds * 1_000_000, F.lit(True))
+    numbered = whole.withColumn("_new", fresh.cast("int")).withColumn("session_no", F.sum("_new").over(order))
     return numbered.groupBy(key, "session_no").agg(
-        F.timestamp_micros(F.min("_from")).alias("session_start"),
-        F.timestamp_micros(F.max("_to")).alias("session_end"),
-        F.sum("_n").alias("events"),
+        F.timestamp_micros(F.min("first_us")).alias("session_start"),
+        F.timestamp_micros(F.max("last_us")).alias("session_end"),
+        F.sum("n").alias("events"),
     )
 
 
+def idle_sessions(events: DataFrame, key: str, ts: str, gap_seconds: int = fixed.SESSION_IDLE_SECONDS) -> DataFrame:
+    """Sessions split where a key was idle for more than ``gap_seconds``.
+
+    Events are first reduced to slots; the reduction is a partial aggregate, so a
+    hot key shrinks to one row per slot before anything is ordered.
+    """
+    return sessions_of_slots(activity_slots(events, key, ts, gap_seconds), key, gap_seconds)
+
+
 def total_ms(digits: int = 1) -> Column:
     """Sum of the stage timings, a missing last stage counted as zero."""
     parts = [F.coalesce(c, F.lit(0.0)) if c == "exec_ms" else F.col(c) for c in TIMINGS]

@@ -9,7 +9,7 @@ from veilspark.functions import patterns as P
 from veilspark.operators.classify import first_per_selector
 from veilspark.operators.ranking import numbered
 
-STEP_BUCKET = 1024  # steps per numbering bucket; a step holds at most ELEMENT_CAP elements
+STEP_BUCKET = 1024  # steps per numbering bucket
 
 
 def attach_detection(classified: DataFrame, page: list[str]) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilspark import fixed
+from veilspark.operators import classify as C
 from veilspark.operators import elements as E
+from veilspark.operators import vault as V
 from veilspark.plans.derived import load
 from veilspark.plans.registry import query
 from veilspark.session import spread
@@ -90,3 +92,42 @@ def page_form_elements(spark, sf_dir):
         .filter(F.col("tag") != "a")
         .select("page_id", "pos", "tag", "value", "label", "text", "visible", F.size("classes").alias("n_classes"), "img_hints")
     )
+
+
+# A form without any inline size, as most pages have it.
+_BARE_FORM = """concat('<form><label for="m', k, '">Mail</label><input id="m', k, '" type="email" value="p', k, '&#64;example.com">',
+    '<input type="password" name="pw', k, '" value="s3cret', k, '"><input name="cc" autocomplete="cc-number" value="4111 1111 1111 1111">',
+    '<select name="colour"><option>Red</option></select><input name="q" value="shoes"></form>')"""
+_FOUND = """h AS (SELECT page_id, page_id AS k, len(regexp_extract_all(regexp_replace(html,
+            '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '<a href="([^"]*)">')) AS n FROM pages),
+    found AS (SELECT page_id, n + i AS pos, ['email', 'password', 'credit_card'][i] AS pii_type,
+        ['USER_EMAIL', 'USER_PASSWORD', 'CARD_NUMBER'][i] AS kind,
+        ['p' || k || '@example.com', 's3cret' || k, '4111 1111 1111 1111'][i] AS value FROM h, range(1, 4) r(i))"""
+
+
+def bare_forms(spark, sf_dir):
+    """Elements of each page with a form appended that says nothing about its layout."""
+    src = pages(spark, sf_dir, "html").withColumn("k", F.col("page_id"))
+    with_form = src.select("page_id", F.concat("html", F.expr(_BARE_FORM)).alias("html"))
+    return H.snapshot_elements(with_form)
+
+
+@query("page_detections", f"WITH {_FOUND} SELECT page_id, pos, pii_type FROM found")
+def page_detections(spark, sf_dir):
+    """Detections on raw pages, links and all."""
+    found = C.detections(C.with_detection(bare_forms(spark, sf_dir)), "page_id")
+    return found.select("page_id", "pos", "pii_type")
+
+
+@query(
+    "page_tokens",
+    f"""WITH {_FOUND} SELECT page_id, pos, md5(value) AS raw_md5, concat('[', kind, '_', row_number() OVER
+        (PARTITION BY page_id % 10, kind ORDER BY page_id // 10, page_id, pos), ']') AS token FROM found""",
+)
+def page_tokens(spark, sf_dir):
+    """Tokens of what is found on raw pages; ten sessions visit the pages one after the other."""
+    steps = bare_forms(spark, sf_dir).withColumns(
+        {"session_id": F.col("page_id") % 10, "step": F.floor(F.col("page_id") / 10)}
+    )
+    tagged = V.attach_detection(C.with_detection(steps), ["page_id"])
+    return V.tokens(tagged).select("page_id", "pos", "token", F.md5("value").alias("raw_md5"))

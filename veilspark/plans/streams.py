@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilspark import fixed
 from veilspark.operators import planning as L
+from veilspark.operators import sessions as T
 from veilspark.plans import derived as D
 from veilspark.plans import sqlparts as Q
 from veilspark.plans.evaluation import _LAT
@@ -141,19 +142,14 @@ def stream_telemetry(spark, sf_dir):
     f"""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w <= INTERVAL {fixed.SESSION_IDLE_SECONDS} SECOND THEN 0 ELSE 1 END AS fresh
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     n AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM e)
-    SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS events FROM n GROUP BY user_id, no
-    HAVING max(ts) + INTERVAL {fixed.SESSION_IDLE_SECONDS} SECOND <= (SELECT max(ts) FROM events)""",
+    SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS events FROM n GROUP BY user_id, no""",
 )
 def stream_sessions(spark, sf_dir):
-    """Closed sessions only: the last ones stay open until the watermark passes them."""
+    """All sessions so far, open ones too, from the slots that the stream has written."""
     events = D.load(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
-    out = shared_dir(spark, "sessions")
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.drop("w").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    J.replay(events, "event_id", lambda s: J.idle_windows(s, "user_id", "ts"), handle)
-    rows = spark.read.option("recursiveFileLookup", True).parquet(out)
+    out = shared_dir(spark, "slots")
+    J.replay(events, "event_id", lambda s: s, J.slot_sink(out, "user_id", "ts"))
+    rows = T.sessions_of_slots(spark.read.parquet(out), "user_id")
     return rows.select(
         "user_id", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "events"
     )

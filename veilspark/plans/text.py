@@ -12,6 +12,7 @@ from veilspark.plans import sqlparts as Q
 from veilspark.plans.derived import load
 from veilspark.plans.registry import query
 from veilspark.session import spread
+from veilspark.sources import html as H
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -162,15 +163,27 @@ def benchmark_containment(spark, sf_dir):
     return pairs.select("doc_id", "item_id", P.masked(F.col("protected"), 2).alias("hint"))
 
 
+def _sql_unescape(e: str) -> str:
+    for entity, char in H._ENTITIES:
+        e = f"replace({e}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
+    return e
+
+
 @query(
     "page_pii",
-    f"""WITH t AS (SELECT page_id, regexp_replace(regexp_replace(html,
-                     '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '<[^>]*>', ' ', 'g') AS body
-                   FROM pages)
+    f"""WITH c AS (SELECT page_id, regexp_replace(html,
+                     '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g') AS h FROM pages),
+    t AS (SELECT page_id, {_sql_unescape("""concat(regexp_replace(h, '<[^>]*>', ' ', 'g'), ' ',
+                     array_to_string(regexp_extract_all(h, '=\\s*"([^"]*)"', 1), ' '))""")} AS body FROM c)
     SELECT page_id, len({Q.scan('body')}) AS findings, length(body) AS n_chars FROM t""",
 )
 def page_pii(spark, sf_dir):
+    """Findings in the text of a page and in the values of its attributes."""
     pages = spread(load(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     no_code = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", " ")
-    body = pages.select("page_id", F.regexp_replace(no_code, "<[^>]*>", " ").alias("body"))
+    values = F.regexp_extract_all("h", F.lit(r'=\s*"([^"]*)"'), F.lit(1))
+    body = pages.select("page_id", no_code.alias("h")).select(
+        "page_id",
+        H.unescape(F.concat(F.regexp_replace("h", "<[^>]*>", " "), F.lit(" "), F.array_join(values, " "))).alias("body"),
+    )
     return body.select("page_id", F.size(P.scan_text(F.col("body"))).alias("findings"), F.length("body").alias("n_chars"))

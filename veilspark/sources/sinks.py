@@ -15,16 +15,18 @@ def safe_session(session: Column) -> Column:
     return F.regexp_replace(session, r"[^\w-]", "_")
 
 
-def write_payload_log(payloads: DataFrame, path: str, session: str = "session_id", buckets: int = LOG_BUCKETS) -> None:
+def write_payload_log(payloads: DataFrame, path: str, session: str = "session_id", buckets: int = LOG_BUCKETS, run: str = "0") -> None:
     """One JSON record per (session, step), laid out by a hash of session and step.
 
     A folder per session would give one folder per key, and one huge folder for
-    a busy session; the fixed number of hash folders does neither.
+    a busy session; the fixed number of hash folders does neither.  Each ``run``
+    has a folder of its own, which a repeated run overwrites.
     """
     _refuse_private(payloads)
     named = payloads.withColumn(session, safe_session(F.col(session).cast("string")))
     bucket = F.pmod(F.xxhash64(session, "step_index"), F.lit(buckets))
-    named.withColumn("bucket", bucket).write.mode("append").partitionBy("bucket").json(path)
+    rows = named.withColumn("bucket", bucket).repartition(buckets, "bucket")
+    rows.write.mode("overwrite").partitionBy("bucket").json(f"{path}/run={run}")
 
 
 def write_results(tables: Mapping[str, DataFrame], path: str) -> None:

@@ -151,11 +151,13 @@ def telemetry_windows(steps: DataFrame, delay: str = "30 minutes", width: str =
     )
 
 
-def idle_windows(events: DataFrame, key: str, ts: str, delay: str = "0 seconds") -> DataFrame:
-    """Sessions that end after the idle limit; a session is emitted once closed."""
-    gap = f"{fixed.SESSION_IDLE_SECONDS} seconds"
-    return (
-        events.withWatermark(ts, delay)
-        .groupBy(key, F.session_window(ts, gap).alias("w"))
-        .agg(F.count("*").alias("events"), F.min(ts).alias("session_start"), F.max(ts).alias("session_end"))
-    )
+def slot_sink(out: str, key: str, ts: str) -> Callable[[DataFrame, int], None]:
+    """Activity slots of each micro-batch, in a folder of its own that a repeated batch overwrites.
+
+    Slots of all batches add up whatever their order, so late events are kept, and
+    sessions read from them include those still open. Nothing is held between batches.
+    """
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        T.activity_slots(batch, key, ts).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return handle
