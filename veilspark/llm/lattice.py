@@ -45,9 +45,10 @@ class Lookup:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         at = self.one[self._slot(h, 0)]
-        other = np.flatnonzero(self.hashes[at] != h)
-        again = self.two[self._slot(h[other], self.salt)]
-        at[other] = np.where(self.hashes[again] == h[other], again, len(self.hashes) - 1)
+        missed = self.hashes[at] != h
+        other = h[missed]
+        again = self.two[self._slot(other, self.salt)]
+        at[missed] = np.where(self.hashes[again] == other, again, len(self.hashes) - 1)
         return self.numbers[at]
 
 
@@ -129,14 +130,12 @@ class Lattice:
         edges = []
         for j in range(1, n + 1):
             reach = min(j, self.longest)
-            ids = np.empty((reach, rows), np.int32)
-            for k in range(1, reach + 1):
-                ids[k - 1] = self.inner.find(h[j] - h[j - k] * power[k])
-            terms = alpha[j - 1:: -1][:reach] if j == reach else alpha[j - reach: j][::-1]
-            terms = terms + self.log_p[ids]
+            # Row k - 1 is the piece of the last k bytes.
+            ids = self.inner.find(h[j] - h[j - reach: j][::-1] * power[1: reach + 1, None])
+            terms = alpha[j - reach: j][::-1] + self.log_p[ids]
             head = self.first.find(h[j]) if j <= self.longest else None
             if head is not None:
-                terms = np.vstack([terms, self.log_p[head][None, :]])
+                terms = np.vstack([terms, self.log_p[head]])
             top = terms.max(axis=0)
             alpha[j] = top + np.log(np.exp(terms - top).sum(axis=0))
             edges.append((ids, head))
@@ -162,14 +161,13 @@ class Lattice:
             for j in range(n, 0, -1):
                 ids, head = edges[j - 1]
                 if head is not None:
-                    use = np.exp(self.log_p[head] + beta[j] - alpha[n]) * weight
-                    total += np.bincount(np.where(head < 0, len(total) - 1, head), use, len(total))
-                step = self.log_p[ids] + beta[j]
-                for k in range(1, len(ids) + 1):
-                    known = np.flatnonzero(ids[k - 1] >= 0)
-                    via = step[k - 1][known]
-                    use = np.exp(alpha[j - k][known] + via - alpha[n][known]) * weight[known]
-                    total += np.bincount(ids[k - 1][known], use, len(total))
-                    beta[j - k][known] = np.logaddexp(beta[j - k][known], via)
+                    known = np.flatnonzero(head >= 0)
+                    use = np.exp(self.log_p[head[known]] + beta[j][known] - alpha[n][known]) * weight[known]
+                    total += np.bincount(head[known], use, len(total))
+                k, row = np.nonzero(ids >= 0)
+                piece, before = ids[k, row], j - 1 - k
+                via = self.log_p[piece] + beta[j][row]
+                total += np.bincount(piece, np.exp(alpha[before, row] + via - alpha[n][row]) * weight[row], len(total))
+                beta[before, row] = np.logaddexp(beta[before, row], via)  # no place twice
             total[self.v.marker] += (np.exp(self.log_p[self.v.marker] + beta[0] - alpha[n]) * weight).sum()
         return total[:-1]

@@ -20,6 +20,7 @@ empty table gives no rows; other columns are not used.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,12 +36,27 @@ PRIOR = 0.01
 """Added to the expected uses of each piece."""
 FREQUENT, FREQUENT_BYTES = 100_000, 64
 """Words that every task holds: so many at most, each of so many bytes at most (below 20 MB in all)."""
+TOGETHER = 60_000
+"""Words whose lattices are worked on at once."""
 FLUSH = 300_000
 """Distinct words that a task counts before it hands them on."""
 
 _LN10 = float(np.log(10))
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of words, joined to larger ones."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= TOGETHER:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def held_out(id_col: str, parts: int = 10) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts == 0
 
@@ -94,7 +110,7 @@ def fit(counts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> np.n
         def run(batches, shared=shared):
             lattice = Lattice(*shared.value)
             total = np.zeros(len(shared.value[1]))
-            for batch in batches:
+            for batch in _together(batches):
                 total += lattice.expected(batch.column(0).to_pylist(), np.ones(len(batch)))
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["piece", "uses"])
@@ -145,7 +161,7 @@ def train(docs: DataFrame, vocabulary_path: str, training: Column, text_col: str
 
     def run(batches):
         lattice = Lattice(*shared.value)
-        for batch in batches:
+        for batch in _together(batches):
             found = mixed(batch.column(1).to_numpy(), lattice.log10(batch.column(0).to_pylist()) * _LN10)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["word", "c", "n", "score"])
 
