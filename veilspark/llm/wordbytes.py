@@ -99,9 +99,10 @@ def ngrams(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shards(batches: Iterator[pa.RecordBatch], text: str, room: int) -> Iterator[pa.RecordBatch]:
-    """Regroup Arrow batches so that each has about ``room`` bytes of text, or one longer document."""
+    """Regroup Arrow batches so that each has about ``room`` bytes of text, or one longer document, and under
+    2**20 rows."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = rows = 0
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string())
         ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
@@ -111,10 +112,11 @@ def shards(batches: Iterator[pa.RecordBatch], text: str, room: int) -> Iterator[
             upto = min(max(upto, begin + 1), len(batch))
             held.append(batch.slice(begin, upto - begin))
             size += int(ends[upto] - ends[begin])
+            rows += upto - begin
             begin = upto
-            if size >= room or begin < len(batch):
+            if size >= room or rows >= 1 << 19 or begin < len(batch):
                 yield _one(held)
-                held, size = [], 0
+                held, size, rows = [], 0, 0
     if held:
         yield _one(held)
 
