@@ -170,15 +170,28 @@ def train(docs: DataFrame, vocabulary_path: str, training: Column, text_col: str
     return Model(scored, tokens, types + (ends > 0), ends, float(end[0]))
 
 
+def frequent(table: DataFrame) -> DataFrame:
+    """The most frequent words of ``table`` (word, n), at most FREQUENT of them, none above FREQUENT_BYTES.
+
+    Sixteen levels for each doubling of the count are counted first, so only the
+    words at or above the chosen level travel, however many tasks there are.
+    """
+    short = table.where(F.octet_length("word") <= FREQUENT_BYTES).withColumn("level", F.floor(16 * F.log2("n")))
+    least, seen = None, 0
+    for level, n in sorted(short.groupBy("level").count().collect(), reverse=True):
+        seen += n
+        if seen > FREQUENT:
+            break
+        least = level
+    return short.where(F.lit(False) if least is None else F.col("level") >= least).drop("level")
+
+
 def score(docs: DataFrame, model: Model, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     table = model.words.select("word", "n", (F.col("c") > 0).cast("long").alias("known"),
                                model.base(F.col("c")).alias("base"), "score")
-    top = (
-        table.where(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.desc("n"), "word").limit(FREQUENT)
-        .drop("n").toPandas()
-    )
+    top = frequent(table).drop("n").toPandas()
     shared = spark.sparkContext.broadcast(
         (dict(zip(map(bytes, top["word"]), range(len(top)), strict=True)), top[["known", "base", "score"]].to_numpy(float))
     )

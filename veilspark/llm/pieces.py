@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from veilspark.llm.chunk_table import ChunkTable
 from veilspark.session import ship_package
 
+TABLE_CHUNKS, TABLE_KEEP = 500_000, 200_000
+"""Chunks in a worker's table (some 130 MB), and how many stay when it is full."""
 _MARKER = "▁"
 _WITH_SPACES = re.compile(" +[^ ]*")
 BATCH_CHARS = 4 << 20
@@ -42,7 +44,7 @@ def _model(path: str):
     def segment(keys: list[str]) -> list[list[int]]:
         return [ids if key else lone for key, ids in zip(keys, sp.encode(keys, num_threads=1), strict=True)]
 
-    return sp, ChunkTable(segment), sp.eos_id()
+    return sp, ChunkTable(segment, TABLE_CHUNKS, TABLE_KEEP), sp.eos_id()
 
 
 def chunks(text: str) -> list[str]:
