@@ -25,10 +25,12 @@ def _key():
 
 
 def _dropping(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``gone`` names by id and key; its table is written first, so that Spark knows
-    its size."""
+    """``docs`` without the rows that ``gone`` names by id and key.
+
+    A merge join at every size: its shuffle grows with the input and no side is ever broadcast.
+    """
     gone = materialise(gone.select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct(), "dropped")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (_key() == F.col("_key")), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (_key() == F.col("_key")), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,8 +27,8 @@ from veilspark.llm.common import text_or_empty
 from veilspark.session import materialise, ship_package
 
 WINDOW = 13
-SHARD_BYTES = 12 << 20
-"""Text per suffix array: about two million words, some 120 MB while it is built."""
+SHARD_BYTES = 6 << 20
+"""Text per suffix array: about a million words, some 60 MB while it is built."""
 BLOCK_BYTES = 16 << 20
 """Benchmark text per pass; the driver holds one block, and each executor gets it once."""
 

@@ -38,7 +38,7 @@ SMOOTHING = 5.0
 EVIDENCE_LETTERS = 200
 """Letters after which a text's weight stops growing, as its trigrams are not independent."""
 ACCEPT = 0.5
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _CLASS = np.zeros(256, np.uint8)  # a to z as 1 to 26, other ASCII as 0, bytes beyond ASCII as they are
 for _b in range(26):

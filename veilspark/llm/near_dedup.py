@@ -32,9 +32,9 @@ from veilspark.llm.components import components
 from veilspark.session import materialise, ship_package
 
 WORDS, SIMILARITY, RECALL, MAX_HASHES = 5, 0.8, 0.999, 110
-BLOCK_GRAMS = 1_500_000
-"""N-grams per block; a unit of work holds two blocks, some 150 MB."""
-SHARD_BYTES = 4 << 20
+BLOCK_GRAMS = 1_000_000
+"""N-grams per block; a unit of work holds two blocks, some 100 MB."""
+SHARD_BYTES = 2 << 20
 
 _U = np.uint64
 

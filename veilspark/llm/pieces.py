@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 from veilspark.llm.chunk_table import ChunkTable
 from veilspark.session import ship_package
 
-TABLE_CHUNKS, TABLE_KEEP = 500_000, 200_000
-"""Chunks in a worker's table (some 130 MB), and how many stay when it is full."""
+TABLE_CHUNKS, TABLE_KEEP = 250_000, 100_000
+"""Chunks in a worker's table (some 70 MB), and how many stay when it is full."""
 _MARKER = "▁"
 _WITH_SPACES = re.compile(" +[^ ]*")
 BATCH_CHARS = 4 << 20

@@ -119,6 +119,7 @@ def shards(batches: Iterator[pa.RecordBatch], text: str, room: int) -> Iterator[
                 held, size, rows = [], 0, 0
     if held:
         yield _one(held)
+    pa.default_memory_pool().release_unused()
 
 
 def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
