@@ -13,8 +13,8 @@ from itertools import chain, islice, repeat
 
 import numpy as np
 
-ROOM, KEEP, SLICE = 800_000, 300_000, 2_000
-"""Chunks that a table may hold (some 180 MB), those that stay when it is full, and those encoded in one call."""
+ROOM, KEEP, SLICE = 1_400_000, 700_000, 2_000
+"""Chunks that a table may hold (some 330 MB), those that stay when it is full, and those encoded in one call."""
 
 
 class ChunkTable:

@@ -197,11 +197,11 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0, id_col: str = "doc_
     def run(batches):
         table = _table(tokenizer)
         for batch in batches:
-            column, begin = batch.column(1), 0
+            whole, begin = batch.column(1).to_pylist(), 0
             while begin < len(batch):
                 texts, size = [], 0
                 while begin + len(texts) < len(batch) and size < BATCH_CHARS:
-                    texts.append(column[begin + len(texts)].as_py() or "")
+                    texts.append(whole[begin + len(texts)] or "")
                     size += len(texts[-1])
                 ids, counts = table.ids([chunks(t) for t in texts])
                 ids = np.insert(ids, np.cumsum(counts), end_id)
