@@ -24,3 +24,20 @@ def test_paragraph_inside_a_document(spark):
     docs = spark.createDataFrame([(1, "Header\n\n" + isc), (2, "x\n\nThis work is licensed under CC BY 4.0\n\ny")], "doc_id long, text string")
     out = {r.id: r.licenses for r in ls.scan(docs, ls.known_digests(spark)).collect()}
     assert out == {1: "", 2: "CC-BY-4.0"}  # a licence of two paragraphs counts as a whole text only
+
+
+def test_full_texts_of_common_licences(spark):
+    full = dict(ls.full_texts()[::-1])  # of several forms of a name the whole file counts
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "BSD-3-Clause", "MPL-2.0", "CC0-1.0"} <= set(full)
+    rows = [(n, t.upper().replace("\n", "\r\n")) for n, t in full.items()] + [("terms", full["GPL-3.0"].split("END OF TERMS")[0])]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    out = {r.id: (r.whole_license, r.licenses) for r in ls.scan(docs, ls.known_digests(spark)).collect()}
+    assert out == {n: (n, n) for n in full} | {"terms": ("GPL-3.0", "GPL-3.0")}
+
+
+def test_known_texts_without_the_usual_words(spark):
+    docs = spark.createDataFrame([(1, "Do as you whilst please!"), (2, "x\n\nDo as you while\nplease\n\n"), (3, "...")], "doc_id long, text string")
+    known = ls.known_digests(spark, [("FREE", "do as you while please"), ("NONE", "...")])
+    for table in (known, known.select("license_id", "digest")):
+        out = {r.id: (r.whole_license, r.licenses, r.n_matches) for r in ls.scan(docs, table).collect()}
+        assert out == {1: ("FREE", "FREE", 1), 2: (None, "FREE", 1), 3: (None, "", 0)}

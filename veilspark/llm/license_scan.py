@@ -4,7 +4,8 @@ The units of a document are its whole text, its paragraphs and its lines. A
 canonical form drops copyright lines, lower-cases, unifies equivalent spellings
 and reduces everything else than letters and digits to single spaces. The digest
 of each unit's canonical form is hash-joined to the digests of known licence
-texts, made by the same expressions. All work is native.
+texts, made by the same expressions. Known are the full texts in ``licenses/``
+and the short texts and notices in ``KNOWN``. All work is native.
 
 Results for odd input: a null text counts as empty and matches nothing; units
 without a letter or digit match nothing; a null id is kept as null; repeated
@@ -13,8 +14,7 @@ rows each give a row; an empty table gives no rows; other columns are not used.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,10 +69,7 @@ SAME_WORD = (
     ("attribution noncommercial", "by nc"), ("v2", "version 2"), ("v3", "version 3"),
 )
 _COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
-
-
-ANCHORS = ("licen", "permission")
-"""Every known text has one of these; a unit without any is not hashed. Another known table brings its own."""
+_END_OF_TERMS = "END OF TERMS AND CONDITIONS"
 
 
 def canonical(text: Column, separators: str = "") -> Column:
@@ -92,57 +89,64 @@ def same_words(text: Column) -> Column:
     return text
 
 
-def _likely(unit: Column, anchors) -> Column:
-    return reduce(or_, [unit.contains(a) for a in anchors])
+def full_texts() -> list[tuple[str, str]]:
+    """(license_id, text) of the files in ``licenses/``; where advice follows the terms, the terms alone too."""
+    out = []
+    for file in sorted(resources.files(__package__).joinpath("licenses").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text("utf-8")
+        terms, mark, _ = text.partition(_END_OF_TERMS)
+        out += [(name, text)] + ([(name, terms + mark), (name, terms)] if mark else [])
+    return out
 
 
-def known_digests(spark: SparkSession, known=KNOWN, anchors=ANCHORS) -> DataFrame:
-    """license_id, digest of each known text (as many rows as ``known`` has distinct canonical texts)."""
-    for name, text in known:
-        if not any(a in text.lower() for a in anchors):
-            raise ValueError(f"no anchor in a text of {name}")
-    texts = spark.createDataFrame(list(known), "license_id string, text string")
-    return texts.select(
-        "license_id", sha256_hex(same_words(words_only(canonical(F.col("text"))))).alias("digest")
-    ).distinct()
+def known_digests(spark: SparkSession, known=None) -> DataFrame:
+    """license_id, digest, probe (a hash that is cheaper than the digest) of each distinct canonical text.
+
+    ``known`` is (license_id, text); without it, ``KNOWN`` and ``full_texts``.
+    """
+    texts = spark.createDataFrame(list(known) if known is not None else [*KNOWN, *full_texts()], "license_id string, text string")
+    canon = texts.select("license_id", same_words(words_only(canonical(F.col("text")))).alias("canon"))
+    return canon.select("license_id", sha256_hex(F.col("canon")).alias("digest"), F.xxhash64("canon").alias("probe")).distinct()
 
 
-def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         anchors=ANCHORS) -> DataFrame:
+def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, text_digest, whole_license, licenses (sorted, distinct), n_matches.
 
-    ``known`` (license_id, digest) is configuration, small enough for Spark to
-    broadcast by its own measure. Rows get a number inside the query, so that
-    repeated ids stay apart.
+    ``known`` (license_id, digest, and probe if it has one) is configuration, small
+    enough for Spark to broadcast by its own measure. Only units with a known probe
+    get a digest; without probes all do. Rows get a number inside the query, so
+    that repeated ids stay apart.
     """
+    probes = [r.probe for r in known.select("probe").distinct().collect()] if "probe" in known.columns else None
     canon = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"),
         canonical(text_or_empty(text_col), r"\n").alias("canon"),
     ).withColumn("whole", words_only(F.col("canon")))
     spelled = "|".join(rf"\b{s}\b" for s, _ in SAME_WORD)
-    blocks = F.transform(F.split("canon", r"\n[ \n]*\n"), words_only)
-    lines = F.transform(F.split("canon", "\n"), lambda x: F.trim(x))
-    # Written once: a digest per row and the few units with an anchor; row numbers are fixed from here on.
-    units = materialise(canon.select(
+    tidy = F.trim(F.regexp_replace("canon", " *\n *", "\n"))
+    blocks = F.transform(F.split(tidy, "\n\n+"), lambda x: F.trim(F.translate(x, "\n", " ")))
+    lines = F.split(tidy, "\n")
+    units = F.concat(F.array("whole"), blocks, lines)
+    # A unit is a run of words of the whole text, so it has no spelling that the whole text lacks.
+    units = F.when(F.col("whole").rlike(spelled), F.transform(units, same_words)).otherwise(units)
+    wanted = F.filter(units, lambda u: (u != "") & (F.lit(True) if probes is None else F.xxhash64(u).isin(probes)))
+    # Written once: a digest per row and those of the few likely units; row numbers are fixed from here on.
+    rows = materialise(canon.select(
         "row", "id",
         sha256_hex(F.when(F.col("whole").rlike(spelled), same_words(F.col("whole"))).otherwise(F.col("whole")))
         .alias("text_digest"),
-        F.when(
-            _likely(F.col("canon"), anchors),
-            F.filter(F.array_distinct(F.concat(F.array("whole"), blocks, lines)), lambda u: _likely(u, anchors)),
-        ).alias("units"),
+        F.array_distinct(F.transform(wanted, sha256_hex)).alias("digests"),
     ), "license-units")
     found = (
-        units.select("row", "text_digest", F.explode("units").alias("unit"))
-        .select("row", "text_digest", sha256_hex(same_words(F.col("unit"))).alias("digest")).distinct()
-        .join(known, "digest")
+        rows.select("row", "text_digest", F.explode("digests").alias("digest"))
+        .join(known.select("license_id", "digest"), "digest")
         .groupBy("row").agg(
             F.min(F.when(F.col("digest") == F.col("text_digest"), F.col("license_id"))).alias("whole_license"),
             F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("licenses"),
             F.count(F.lit(1)).alias("n_matches"),
         )
     )
-    return units.select("row", "id", "text_digest").join(found, "row", "left").select(
+    return rows.select("row", "id", "text_digest").join(found, "row", "left").select(
         "id", "text_digest", "whole_license", F.coalesce("licenses", F.lit("")).alias("licenses"),
         F.coalesce("n_matches", F.lit(0)).alias("n_matches"),
     )
