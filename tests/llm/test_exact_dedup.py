@@ -51,3 +51,10 @@ def test_all_in_snapshot_or_batch(spark):
     for side in (True, False):
         out = {r.id: r.keep_id for r in exact_dedup.dedup(docs, F.lit(side)).collect()}
         assert out == {1: 2, 2: 2, 3: 3}
+
+
+def test_an_id_with_two_texts_of_one_length(spark):
+    docs = spark.createDataFrame([(2, "aa"), (2, "bb"), (3, "aa")], "doc_id long, text string")
+    for snapshot in (F.col("doc_id") == 2, F.col("doc_id") == 3):
+        out = sorted((r.id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(docs, snapshot).collect())
+        assert out == [(2, 2, 1, True), (2, 3, 2, False), (3, 3, 2, True)]

@@ -100,14 +100,14 @@ def screened(batch: DataFrame, snap: Snapshot) -> DataFrame:
 def byte_checked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of ``pairs`` (_KEY, keep_id, old_id), those whose two texts have equal bytes.
 
-    Each digest brings two ids, so no key has more than two rows here.
+    An id may repeat with other texts of this length, so a pair needs one text that both of its ids have.
     """
-    ends = pairs.select(*_KEY, F.explode(F.array("keep_id", "old_id")).alias("id"))
+    ends = pairs.select(*_KEY, F.posexplode(F.array("keep_id", "old_id")).alias("end", "id"))
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     same = (
         texts.join(ends, "id").where(F.octet_length("text") == F.col("n_bytes"))
-        .groupBy(*_KEY).agg(F.min("text").alias("low"), F.max("text").alias("high"))
-        .where(F.col("low") == F.col("high")).select(*_KEY)
+        .groupBy(*_KEY, "text").agg(F.min("end").alias("low"), F.max("end").alias("high"))
+        .where(F.col("low") < F.col("high")).select(*_KEY).distinct()
     )
     return pairs.join(same, _KEY)
 
