@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from tests.llm import brute
@@ -50,3 +52,26 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 200)]
     out = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {r.u: r.root for r in out} == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)}
+
+
+def test_a_unit_of_many_short_texts_is_compared_in_slices(monkeypatch):
+    texts = [f"{i} " + " ".join(f"w{k % 40}" for k in range(i % 9, i % 9 + 30)) + f" {i % 7}" for i in range(400)]
+    cls = [i.to_bytes(16, "big") for i in range(len(texts))]
+    lead = [[b"a" * 16][: i % 3] + [b"m" * 16] for i in range(len(texts))]
+    for across in (False, True):
+        side = [i % 2 if across else 0 for i in range(len(texts))]
+        whole = near_dedup.verify(b"m" * 16, side, cls, lead, texts, across, 5, 0.8)
+        monkeypatch.setattr(near_dedup, "CELLS", 3000)
+        sliced = near_dedup.verify(b"m" * 16, side, cls, lead, texts, across, 5, 0.8)
+        monkeypatch.undo()
+        assert whole[0].any() and (whole[0] == sliced[0]).all() and (whole[1] == sliced[1]).all()
+
+
+def test_a_unit_of_many_short_texts_stays_small():
+    texts = [" ".join(f"w{(i * 7 + k) % 5000}" for k in range(12)) for i in range(4000)]
+    cls = [i.to_bytes(16, "big") for i in range(len(texts))]
+    tracemalloc.start()
+    near_dedup.verify(b"m" * 16, [0] * len(texts), cls, [[b"m" * 16]] * len(texts), texts, False, 5, 0.8)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20

@@ -34,6 +34,8 @@ from veilspark.session import materialise, ship_package
 WORDS, SIMILARITY, RECALL, MAX_HASHES = 5, 0.8, 0.999, 110
 BLOCK_GRAMS = 1_000_000
 """N-grams per block; a unit of work holds two blocks, some 100 MB."""
+CELLS = 2 << 20
+"""Pairs of classes compared at once; short texts make many classes a block, so a unit is compared in slices of rows."""
 SHARD_BYTES = 2 << 20
 
 _U = np.uint64
@@ -170,9 +172,10 @@ def _common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray],
     number = np.cumsum(often) - 1
     fa, fb = often[a[1]], often[b[1]]
     ia, ca, ib, cb = a[0][fa], number[a[1][fa]], b[0][fb], number[b[1][fb]]
-    for begin in range(0, int(often.sum()), 2048):
-        wa, wb = (ca >= begin) & (ca < begin + 2048), (cb >= begin) & (cb < begin + 2048)
-        ma, mb = np.zeros((rows, 2048), np.float32), np.zeros((cols, 2048), np.float32)
+    width = max(1, min(2048, CELLS // max(rows, cols)))
+    for begin in range(0, int(often.sum()), width):
+        wa, wb = (ca >= begin) & (ca < begin + width), (cb >= begin) & (cb < begin + width)
+        ma, mb = np.zeros((rows, width), np.float32), np.zeros((cols, width), np.float32)
         ma[ia[wa], ca[wa] - begin] = 1
         mb[ib[wb], cb[wb] - begin] = 1
         out += ma @ mb.T
@@ -191,18 +194,25 @@ def _sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return doc, grams, np.bincount(doc, minlength=len(texts))
 
 
-def _roots(linked: np.ndarray, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
-    """Least member of each node's component; linked[x, y] joins rows[x] and cols[y]."""
-    label = np.arange(n)
+def _united(root: np.ndarray, linked: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """``root`` (least member of each node's component) after linked[x, y] has joined rows[x] and cols[y]."""
+    n = len(root)
     while True:
-        old = label.copy()
-        low = np.where(linked, label[cols][None, :], n).min(axis=1, initial=n)
-        label[rows] = np.minimum(label[rows], low)
-        low = np.where(linked, label[rows][:, None], n).min(axis=0, initial=n)
-        label[cols] = np.minimum(label[cols], low)
-        label = label[label]
-        if (label == old).all():
-            return label
+        old = root.copy()
+        of_cols = np.where(linked, root[cols].astype(np.int32)[None, :], np.int32(n)).min(axis=1, initial=n)
+        np.minimum.at(root, old[rows], of_cols)
+        of_rows = np.where(linked, root[rows].astype(np.int32)[:, None], np.int32(n)).min(axis=0, initial=n)
+        np.minimum.at(root, old[cols], of_rows)
+        while (root[root] != root).any():
+            root = root[root]
+        if (root == old).all():
+            return root
+
+
+def _slice(pairs: tuple[np.ndarray, np.ndarray], begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows begin to end of (row, number), which is sorted by row."""
+    lo, hi = np.searchsorted(pairs[0], [begin, end])
+    return pairs[0][lo:hi] - begin, pairs[1][lo:hi]
 
 
 def verify(leader: bytes, side: list[int], cls: list[bytes], lead: list[list[bytes]], texts: list[str], across: bool,
@@ -220,22 +230,29 @@ def verify(leader: bytes, side: list[int], cls: list[bytes], lead: list[list[byt
         mine = np.isin(owner, which) if across else np.ones(len(owner), bool)
         return place[owner[mine]], numbers[mine]
 
-    shared = _common(of(rows, doc, number), of(cols, doc, number), len(rows), len(cols))
-    total = size[rows][:, None] + size[cols][None, :]
-    linked = shared * (1 + similarity) >= similarity * total - 1e-6
-    if not across:
-        np.fill_diagonal(linked, False)
-    roots = _roots(linked, rows, cols, len(cls))
+    in_rows, in_cols = of(rows, doc, number), of(cols, doc, number)
     # Pairs that also meet under a smaller leader are counted there.
     smaller = [(i, x) for i, xs in enumerate(lead) for x in xs if x < leader]
     if smaller:
         owner = np.array([i for i, _ in smaller])
         _, ids = np.unique(np.array([x for _, x in smaller], dtype="S16"), return_inverse=True)
-        linked &= _common(of(rows, owner, ids), of(cols, owner, ids), len(rows), len(cols)) == 0
-    count = np.zeros(len(cls), np.int64)
-    count[rows] += linked.sum(axis=1)
-    if across:
-        count[cols] += linked.sum(axis=0)
+        led_rows, led_cols = of(rows, owner, ids), of(cols, owner, ids)
+    count, roots = np.zeros(len(cls), np.int64), np.arange(len(cls))
+    step = max(1, CELLS // max(1, len(cols)))
+    for begin in range(0, len(rows), step):
+        part = rows[begin: begin + step]
+        end = begin + len(part)
+        shared = _common(_slice(in_rows, begin, end), in_cols, len(part), len(cols))
+        total = size[part][:, None] + size[cols][None, :]
+        linked = shared.astype(np.float64) * (1 + similarity) >= similarity * total - 1e-6
+        if not across:
+            linked[np.arange(len(part)), np.arange(begin, end)] = False
+        roots = _united(roots, linked, part, cols)
+        if smaller:
+            linked &= _common(_slice(led_rows, begin, end), led_cols, len(part), len(cols)) == 0
+        count[part] += linked.sum(axis=1)
+        if across:
+            count[cols] += linked.sum(axis=0)
     return count, roots
 
 
