@@ -1,4 +1,6 @@
+import base64
 import hashlib
+import random
 import zlib
 
 from veilspark.llm import warc
@@ -83,3 +85,48 @@ def test_files_outside_the_manifest_and_empty_tables(spark, tmp_path):
     assert warc.read(spark, warc.archives(spark, f"{folder}/archives", manifest)).count() == 1
     none = warc.write(warc.with_originals(pages.limit(0), "page_id", "html"), f"file:{tmp_path}/none")
     assert none.count() == 0
+
+
+def _partial(data):
+    return [("gap", x.start, x.end) if isinstance(x, warc.Gap) else x.headers["warc-target-uri"] for x in warc.salvage(data, partial=True)]
+
+
+def test_members_of_several_records():
+    pages = [_page(k, bytes(range(256)) * 9 + hashlib.sha256(bytes([k])).digest() * 40) for k in range(6)]
+    whole = warc.member(b"".join(pages[:4]))
+    assert _kinds(whole + warc.member(pages[4])) == [f"urn:page:{k}" for k in range(5)]
+    stray = warc.member(pages[0] + b"more")
+    assert _partial(stray + whole) == ["urn:page:0", ("gap", 0, len(stray)), *(f"urn:page:{k}" for k in range(4))]
+    middle = warc.member(pages[0] + b"more" + pages[1])
+    assert _partial(middle) == ["urn:page:0", "urn:page:1", ("gap", 0, len(middle))]
+
+
+def test_cut_and_broken_members_yield_their_whole_records(spark, tmp_path):
+    rng = random.Random(0)
+    pages = [_page(k, rng.randbytes(50_000)) for k in range(4)]
+    whole = warc.member(b"".join(pages))
+    cut = whole[: len(whole) - 20_000]
+    assert _partial(cut) == ["urn:page:0", "urn:page:1", "urn:page:2", ("gap", 0, len(cut))]
+    bad = whole[:-8] + b"\0" * 8  # the checksum alone is wrong; each record has passed its own digest
+    last = warc.member(pages[3])
+    got = _partial(bad + last)
+    assert [x for x in got if x[0] != "gap"] == ["urn:page:0", "urn:page:1", "urn:page:2", "urn:page:3", "urn:page:3"]
+    assert ("gap", 0, len(bad)) in got
+    files = spark.createDataFrame([("f", cut)], "path string, content binary")
+    assert sorted(str(r.address) for r in warc.read(spark, files).collect()) == ["None", "urn:page:0", "urn:page:1", "urn:page:2"]
+
+
+def test_declared_digests_of_both_kinds():
+    body = b"hello"
+
+    def record(**headers):
+        lines = ["WARC/1.0", "WARC-Type: resource", "WARC-Target-URI: x", *(f"WARC-{k}-Digest: {v}" for k, v in headers.items())]
+        return "\r\n".join([*lines, f"Content-Length: {len(body)}", "", ""]).encode() + body + b"\r\n\r\n"
+
+    sha1 = hashlib.sha1(body)
+    for good in ("sha1:" + base64.b32encode(sha1.digest()).decode(), "sha1:" + sha1.hexdigest(), "md5:unknown"):
+        for kind in ("Block", "Payload"):
+            data = record(**{kind: good})
+            assert _kinds(data) == ["x"]
+            broken = data.replace(b"hello", b"hallo")
+            assert _kinds(broken) == (["x"] if good.startswith("md5") else [("gap", 0, len(data))])

@@ -3,9 +3,11 @@
 Archives are files of gzip members, one record each, next to each other; the
 reader also takes uncompressed records. It reads a file record by record and
 checks each one: the member's checksum, the version line, the header, the block
-length and the declared digests. Where a check fails, it searches the following
-bytes for the next member or version line that passes, goes on from there, and
-logs the bytes between as a quarantined gap. Files come from Spark's binary
+length and the declared block and payload digests (SHA-1 and SHA-256; others are
+not known here). Where a check fails, it searches the following bytes for the
+next member or version line that passes, goes on from there, and logs the bytes
+between as a quarantined gap. A member may hold several records, also one that is
+cut or broken: those that pass are read, the rest of the member is a gap. Files come from Spark's binary
 reader, one row each, and are written by tasks to a folder that all share.
 
 Results for odd input: a null payload counts as empty; an empty one is a record
@@ -44,11 +46,12 @@ HTTP_HEADER = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\
 _VERSION_LINE = re.compile(rb"WARC/[0-9]+\.[0-9]+\r?\n")
 _MEMBER = b"\x1f\x8b\x08"
 _END = b"\r\n\r\n"
+_STEP = 1 << 16
 
 
 @dataclass
 class Record:
-    """``start`` and ``end``: the bytes of the file that the record takes."""
+    """``start`` and ``end``: the bytes of the file that the record takes, or those of its member if that holds more."""
 
     headers: dict[str, str]
     block: bytes
@@ -71,6 +74,16 @@ def sha256_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha256(data).digest()).decode().rstrip("=")
 
 
+def _differs(declared: str, data: bytes) -> bool:
+    """Whether ``declared`` (algorithm:value, base32 or hex) is a known digest and not that of ``data``."""
+    name, _, value = declared.partition(":")
+    make = {"sha1": hashlib.sha1, "sha-1": hashlib.sha1, "sha256": hashlib.sha256, "sha-256": hashlib.sha256}.get(name.strip().lower())
+    if not make:
+        return False
+    digest, value = make(data).digest(), value.strip()
+    return value.rstrip("=").upper() != base64.b32encode(digest).decode().rstrip("=") and value.lower() != digest.hex()
+
+
 def record_bytes(headers: dict[str, str], block: bytes) -> bytes:
     named = headers | {"WARC-Block-Digest": "sha256:" + sha256_base32(block), "Content-Length": str(len(block))}
     lines = [VERSION, *(f"{k}: {v}".encode() for k, v in named.items())]
@@ -104,28 +117,57 @@ def _parsed(data, at: int) -> Record:
     if data[end: end + 4] != _END:
         raise Damaged("block does not end where it should")
     block = bytes(data[begin:end])
-    declared = headers.get("warc-block-digest", "")
-    if declared.startswith("sha256:") and declared[7:] != sha256_base32(block):
+    record = Record(headers, block, at, end + 4)
+    if _differs(headers.get("warc-block-digest", ""), block):
         raise Damaged("block digest differs")
-    return Record(headers, block, at, end + 4)
+    # A revisit declares the digest of a payload that it does not hold; a segment that of the whole payload.
+    whole = headers.get("warc-type", "").lower() not in ("revisit", "continuation") and "warc-segment-number" not in headers
+    whole &= _END in block or not headers.get("content-type", "").startswith("application/http")  # else where it begins is unclear
+    if whole and _differs(headers.get("warc-payload-digest", ""), payload_of(record)):
+        raise Damaged("payload digest differs")
+    return record
 
 
-def _record_at(data: bytes, at: int) -> Record:
-    """The record at ``at``: a gzip member or plain bytes."""
-    if data[at: at + 3] != _MEMBER:
-        return _parsed(data, at)
+def _unpacked(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """Of the member at ``at``: what it yields, its end, and what is wrong with it or ''."""
     unpack = zlib.decompressobj(31)
+    plain = bytearray()
+    place = at
     try:
-        plain = unpack.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Damaged("member is broken") from e
+        while place < len(data) and not unpack.eof:
+            plain += unpack.decompress(data[place: place + _STEP])
+            place += _STEP
+    except zlib.error:
+        # Byte by byte from the start of this step, so that nothing before the damage is lost.
+        unpack, plain = zlib.decompressobj(31), bytearray()
+        try:
+            plain += unpack.decompress(data[at: place])
+            for i in range(place, len(data)):
+                plain += unpack.decompress(data[i: i + 1])
+        except zlib.error:
+            pass
+        return bytes(plain), len(data), "member is broken"
     if not unpack.eof:
-        raise Damaged("member is cut off")
-    end = len(data) - len(unpack.unused_data)
-    record = _parsed(plain, 0)
-    if record.end != len(plain):
-        raise Damaged("member holds more than its record")
-    return Record(record.headers, record.block, at, end)
+        return bytes(plain), len(data), "member is cut off"
+    return bytes(plain), min(place, len(data)) - len(unpack.unused_data), ""
+
+
+def _found_at(data: bytes, at: int, partial: bool) -> tuple[list[Record], int, str]:
+    """The records at ``at`` (one, or those of a gzip member), where to go on, and why the rest of the member is a gap."""
+    if data[at: at + 3] != _MEMBER:
+        record = _parsed(data, at)
+        return [record], record.end, ""
+    plain, end, wrong = _unpacked(data, at)
+    inside = list(salvage(plain, partial)) if plain[:3] != _MEMBER else []
+    records = [Record(x.headers, x.block, at, end) for x in inside if isinstance(x, Record)]
+    bad = next((x.reason for x in inside if isinstance(x, Gap)), "" if inside else "member without a record")
+    if not records or ((wrong or bad) and not partial):
+        raise Damaged(wrong or bad)
+    if wrong:  # where a broken member ends is not known: the search goes on behind its first bytes
+        end = _next_start(data, at + 1)
+        for x in records:
+            x.end = end
+    return records, end, wrong or bad
 
 
 def _next_start(data: bytes, at: int) -> int:
@@ -136,23 +178,27 @@ def _next_start(data: bytes, at: int) -> int:
     return min(found, default=len(data))
 
 
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All records of an archive that pass their checks, in order, and the gaps between them."""
+def salvage(data: bytes, partial: bool = False) -> Iterator[Record | Gap]:
+    """All records of an archive that pass their checks, in order, and the gaps between them.
+
+    With ``partial``, as ``read`` asks, also the good records of a member that is not good
+    as a whole; a gap with the member's place follows them. Without, such a member is a gap.
+    """
     at = 0
     gap: Gap | None = None
     while at < len(data):
         try:
-            record = _record_at(data, at)
+            records, end, rest = _found_at(data, at, partial)
         except Damaged as e:
             gap = gap or Gap(at, at, str(e))
             at = _next_start(data, at + 1)
             continue
         if gap:
-            gap.end = record.start
+            gap.end = at
             yield gap
-            gap = None
-        yield record
-        at = record.end
+        yield from records
+        gap = Gap(at, end, rest) if rest else None
+        at = end
     if gap:
         gap.end = len(data)
         yield gap
@@ -185,7 +231,7 @@ def read(spark: SparkSession, files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, content in zip(*(batch.column(i) for i in range(2)), strict=True):
                 rows, size = [], 0
-                for x in salvage(content.as_py() or b""):
+                for x in salvage(content.as_py() or b"", partial=True):
                     if isinstance(x, Gap):
                         rows.append((path.as_py(), x.start, x.end, x.reason, *[None] * 6))
                     else:
