@@ -182,8 +182,17 @@ def page_pii(spark, sf_dir):
     pages = spread(load(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
     no_code = F.regexp_replace("html", r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", " ")
     values = F.regexp_extract_all("h", F.lit(r'=\s*"([^"]*)"'), F.lit(1))
+    # In single quotes or bare, a value counts inside a tag only.
+    tags = F.regexp_extract_all("h", F.lit(rf"<[A-Za-z]{H._ATTRS}>"), F.lit(0))
+    form = r"""=\s*(?:"[^"]*"|'([^']*)'|([^\s"'>][^\s>]*))"""
+    others = F.flatten(F.transform(tags, lambda t: F.concat(
+        F.regexp_extract_all(t, F.lit(form), F.lit(1)), F.regexp_extract_all(t, F.lit(form), F.lit(2)))))
+    others = F.filter(others, lambda v: v != "")
     body = pages.select("page_id", no_code.alias("h")).select(
         "page_id",
-        H.unescape(F.concat(F.regexp_replace("h", "<[^>]*>", " "), F.lit(" "), F.array_join(values, " "))).alias("body"),
+        H.unescape(F.concat(
+            F.regexp_replace("h", "<[^>]*>", " "), F.lit(" "), F.array_join(values, " "),
+            F.when(F.size(others) > 0, F.concat(F.lit(" "), F.array_join(others, " "))).otherwise(""),
+        )).alias("body"),
     )
     return body.select("page_id", F.size(P.scan_text(F.col("body"))).alias("findings"), F.length("body").alias("n_chars"))
