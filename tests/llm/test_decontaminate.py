@@ -76,3 +76,25 @@ def test_rule_and_empty_tables(spark):
     none = dc.matches(docs, bench.limit(0)).select(F.sum("leak.n_words"), F.sum(dc.n_hit())).first()
     assert tuple(none) == (260 + 261 + 1, 0)
     assert dc.matches(docs.limit(0), bench).count() == 0
+
+
+def test_a_column_named_like_the_result(spark):
+    docs = spark.createDataFrame([(1, "a b c", "mine")], "doc_id long, text string, LEAK string")
+    items = spark.createDataFrame([("i", "a b")], "item_id string, text string")
+    assert dc.matches(docs, items).columns == ["doc_id", "text", "leak"]
+    row = dc.matches(docs, items, out_col="found").first()
+    assert row.LEAK == "mine" and dc.matches(docs, items, out_col="found").where(dc.contaminated("found")).count() == 1
+
+
+def test_common_passages_in_slices(monkeypatch):
+    common = " ".join(f"c{i}" for i in range(30))
+    docs = pa.array([f"x{i} {common} y{i}" for i in range(40)] + ["", common])
+    items = [f"{common} q{i}" if i % 2 else f"p{i} {common}" for i in range(30)] + ["x3 c0", ""]
+    block = dc.Block([str(i) for i in range(len(items))], items, 13)
+    whole = dc.scan_shard(docs, block, 13)
+    for room in (1, 500, 5000):
+        monkeypatch.setattr(dc, "PLACES", room)
+        assert dc.scan_shard(docs, block, 13) == whole
+    for text, row in zip(docs.to_pylist(), whole, strict=True):
+        n, hit, found = brute.contamination(text, [(str(i), t) for i, t in enumerate(items)])
+        assert (row["n_words"], sum(b - a for a, b in row["hits"]), sorted(row["items"])) == (n, hit, found)

@@ -58,3 +58,17 @@ def test_an_id_with_two_texts_of_one_length(spark):
     for snapshot in (F.col("doc_id") == 2, F.col("doc_id") == 3):
         out = sorted((r.id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(docs, snapshot).collect())
         assert out == [(2, 2, 1, True), (2, 3, 2, False), (3, 3, 2, True)]
+
+
+def test_null_ids_on_either_side(spark):
+    docs = spark.createDataFrame([(None, "same"), (5, "same"), (None, "other"), (None, "other"), (6, "alone"), (None, "none")], "doc_id long, text string")
+    for old in (F.col("doc_id").isNull(), F.col("doc_id").isNotNull(), F.col("text") < "p"):
+        out = sorted((str(r.id), str(r.keep_id), r.group_size, r.kept) for r in exact_dedup.dedup(docs, old).collect())
+        assert out == sorted([("None", "5", 2, False), ("5", "5", 2, True), ("None", "None", 2, True), ("None", "None", 2, True),
+                              ("6", "6", 1, True), ("None", "None", 1, True)])
+
+
+def test_null_ids_across_both_sides(spark):
+    docs = spark.createDataFrame([(None, "t", True), (None, "t", False), (None, "u", True), (None, "v", False)], "doc_id long, text string, old boolean")
+    out = sorted((r.group_size, r.keep_id, r.kept) for r in exact_dedup.dedup(docs, F.col("old")).collect())
+    assert out == [(1, None, True), (1, None, True), (2, None, True), (2, None, True)]

@@ -44,3 +44,75 @@ def test_registered_domains(spark):
     rows = spark.createDataFrame([("www.a.example.com",), ("localhost",), ("b.org",)], "h string")
     got = [tuple(r) for r in rows.select(li.domain_of(F.col("h")), li.suffix_of(F.col("h"))).collect()]
     assert got == [("example.com", "com"), ("localhost", ""), ("b.org", "org")]
+    rows = spark.createDataFrame([("www.a.co.uk",), ("x.y.com.br",), ("co.uk",)], "h string")
+    assert [r[0] for r in rows.select(li.domain_of(F.col("h"))).collect()] == ["a.co.uk", "y.com.br", "co.uk"]
+
+
+def test_tags_of_labels_and_declarations(spark):
+    rows = spark.createDataFrame([("en-US",), ("FIL",), ("gsw",), (" de_AT ",), ("",), (None,), ("x",), ("12",)], "t string")
+    assert [r[0] for r in rows.select(li.subtag("t")).collect()] == ["en", "fil", "gsw", "de", None, None, None, None]
+    docs = spark.read.parquet(SF).select("text", F.concat("lang", F.lit("-XX")).alias("label"))
+    assert set(li.fit_text(docs, "label", "text").languages) == {"de", "en", "es", "fr", li.UNKNOWN}
+
+
+def test_clashing_names(spark, tmp_path):
+    names = ["lang", "posterior", "Letters", "accepted", "evidence", "said", "_key", "declared", "host", "row", "prior", "logs", "suffix", "at"]
+    docs = spark.createDataFrame([("some plain words of a text", *["x"] * len(names))], ", ".join(f"`{n}` string" for n in ["text", *names]))
+    model = li.fit_text(docs, "declared", "text")
+    out = li.identify(docs, model, declared_col="declared", host_col="host")
+    out.write.parquet(str(tmp_path / "out"))
+    kept = [n for n in names if n.lower() not in li.RESULTS]
+    assert out.columns == [*kept, *li.RESULTS] and [out.first()[n] for n in kept] == ["x"] * len(kept)
+
+
+def _plain(rows, model, columns):
+    """Posterior of every row by the formulas alone; rows: (text, declared, host)."""
+    import math
+
+    import numpy as np
+    import pyarrow as pa
+
+    langs = model.languages
+    k = len(langs)
+    score, letters = model.score(pa.array([t or "" for t, _, _ in rows]))
+    evidence = [[s * min(n, li.EVIDENCE_LETTERS) / max(n, 1) for s in row] for row, n in zip(score.tolist(), letters.tolist(), strict=True)]
+    said = [langs[int(np.argmax(e))] if n >= 20 else None for e, n in zip(evidence, letters.tolist(), strict=True)]
+
+    def counts(values):
+        out = {}
+        for v, s in zip(values, said, strict=True):
+            if v:
+                one = out.setdefault(v, [0] * k)
+                if s:
+                    one[langs.index(s)] += 1
+        return out
+
+    def smooth(c, above):
+        return above if c is None else [(n + li.SMOOTHING * p) / (sum(c) + li.SMOOTHING) for n, p in zip(c, above, strict=True)]
+
+    all_said = [said.count(x) for x in langs]
+    prior = [(n + li.SMOOTHING / k) / (sum(all_said) + li.SMOOTHING) for n in all_said]
+    hosts = [h for _, _, h in rows]
+    levels = [[(h or "").rpartition(".")[2] if "." in (h or "") else None for h in hosts], [".".join((h or "").split(".")[-2:]) or None for h in hosts], hosts]
+    tables, declared = [counts(v) for v in levels], counts([d for _, d, _ in rows])
+    out = []
+    for i, (_, d, _) in enumerate(rows):
+        level = prior
+        for table, values in zip(tables, levels, strict=True):
+            level = smooth(table.get(values[i]), level)
+        share = smooth(declared.get(d), prior)
+        logs = [e + math.log(p) + math.log(s / q) for e, p, s, q in zip(evidence[i], level, share, prior, strict=True)]
+        top = max(logs)
+        out.append((langs[logs.index(top)], 1 / sum(math.exp(x - top) for x in logs)))
+    return out
+
+
+def test_posteriors_against_plain_python(spark):
+    docs = spark.read.parquet(SF).select("doc_id", F.substring("text", 1, 60).alias("text"), F.col("lang").alias("declared"))
+    model = li.fit_text(docs, "declared", "text")
+    rows = [(r.text if r.doc_id % 5 else (r.text or "")[:9], None if r.doc_id % 7 == 0 else r.declared,
+             None if r.doc_id % 6 == 0 else f"h{r.doc_id % 4}.site{r.doc_id % 3}.{r.declared}") for r in docs.collect()]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, declared string, host string")
+    got = {r.doc_id: (r.lang, r.posterior) for r in li.identify(df, model, declared_col="declared", host_col="host").collect()}
+    for i, (lang, posterior) in enumerate(_plain(rows, model, None)):
+        assert got[i][0] == lang and abs(got[i][1] - posterior) < 1e-6

@@ -75,3 +75,24 @@ def test_a_unit_of_many_short_texts_stays_small():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 100 << 20
+
+
+def test_banding_finds_or_refuses():
+    import pytest
+
+    for similarity in (0.3, 0.35, 0.5, 0.8, 0.95, 1):
+        bands, rows = near_dedup.banding(similarity, 0.999, 4000)
+        assert bands * rows <= 4000 and 1 - (1 - similarity**rows) ** bands >= 0.999 - 1e-9
+    assert near_dedup.banding() == (18, 5)
+    for bad in ((0.35, 0.999, 10), (0, 0.9, 100), (0.8, 1, 100)):
+        with pytest.raises(ValueError):
+            near_dedup.banding(*bad)
+
+
+def test_null_and_repeated_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base), " ".join(base[1:]), " ".join(base[:-1]), "quite another text of a few words", "quite another text of a few words"]
+    rows = [(None, t) for t in texts] + [(7, texts[0]), (7, texts[1]), (7, "lonely words stand here all alone"), (3, texts[3])]
+    got = near_dedup.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.id), str(r.class_id), r.n_links) for r in got) == sorted(
+        [("None", "7", 2)] * 3 + [("None", "3", 0)] * 2 + [("7", "7", 2)] * 2 + [("7", "7", 0), ("3", "3", 0)])

@@ -96,3 +96,32 @@ def test_chunk_table_is_bounded_and_right():
         assert counts.tolist() == [sum(map(len, t)) for t in texts]
         assert len(table.number) <= 10 + 8
     assert calls.count("a") == 1
+
+
+MARKS = [".abc", ", see below", ".", ",", "..", ",.", ".a.", " .a", "a .", ".,a", ",1", ".\n", ",a b.", "\n.", "\n,a", "a\n.b", ".a\n,b c"]
+
+
+def test_texts_that_begin_and_end_with_marks(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(BYTES)
+    rng = np.random.default_rng(3)
+    letters = list("ab1.,,.  \n'é_-$")
+    texts = MARKS + ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(3000)]
+    folder = token_files.encoded_files(_docs(spark, texts), BYTES, f"file:{tmp_path}/set")
+    rows = token_files.unpacked(token_files.stored(spark, folder), "doc", lookup=token_files.id_of_rank(spark, folder)).collect()
+    want = tok.encode_batch(texts, add_special_tokens=False)
+    assert len(rows) == len(texts) and all(r.ids == want[r.doc].ids + [0] for r in rows)
+
+
+def test_a_table_of_long_chunks_stays_bounded(monkeypatch):
+    from veilspark.llm import chunk_table
+
+    monkeypatch.setattr(chunk_table, "ROOM_CHARS", 1000)
+    table = ChunkTable(lambda keys: [[len(k)] for k in keys])
+    for i in range(50):
+        ids, counts = table.ids([["x" * 200 + str(i), "a"], ["a"]])
+        assert ids.tolist() == [200 + len(str(i)), 1, 1] and counts.tolist() == [2, 1]
+        assert table.chars < 1500
+    table.shrink(0)
+    assert table.ids([["a"]])[0].tolist() == [1]

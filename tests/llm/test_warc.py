@@ -11,7 +11,7 @@ def _page(key, payload=b"p" * 50, first=None):
 
 
 def _kinds(data):
-    return [("gap", x.start, x.end) if isinstance(x, warc.Gap) else x.headers["warc-target-uri"] for x in warc.salvage(data)]
+    return [("gap", x.start, x.end) if isinstance(x, warc.Gap) else x.headers["warc-target-uri"] for x in warc.salvage(data, partial=False)]
 
 
 def test_reads_members_and_plain_records():
@@ -88,7 +88,7 @@ def test_files_outside_the_manifest_and_empty_tables(spark, tmp_path):
 
 
 def _partial(data):
-    return [("gap", x.start, x.end) if isinstance(x, warc.Gap) else x.headers["warc-target-uri"] for x in warc.salvage(data, partial=True)]
+    return [("gap", x.start, x.end) if isinstance(x, warc.Gap) else x.headers["warc-target-uri"] for x in warc.salvage(data)]
 
 
 def test_members_of_several_records():

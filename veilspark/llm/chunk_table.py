@@ -3,7 +3,8 @@
 A tokenizer whose pieces never cross certain borders gives the same ids for the
 chunks between them as for the whole text. Texts become chunk numbers, and ids
 are gathered from a pool. A table lives as long as a Python worker. When it holds more
-than ``room`` chunks, only the ``keep`` first stay, so its memory is bounded.
+than ``room`` chunks, only the ``keep`` first stay; when these still hold more than
+``ROOM_CHARS`` characters, none do. So its memory is bounded, however long chunks are.
 """
 
 from __future__ import annotations
@@ -17,16 +18,23 @@ ROOM, KEEP, SLICE = 1_400_000, 700_000, 2_000
 """Chunks that a table may hold (some 330 MB), those that stay when it is full, and those encoded in one call."""
 
 
+ROOM_CHARS = 64 << 20
+
+
 class ChunkTable:
     def __init__(self, encode: Callable[[list[str]], Sequence[Sequence[int]]], room: int = ROOM, keep: int = KEEP):
         self.encode, self.room, self.keep = encode, room, keep
         self.number: dict[str, int] = {}
         self.pool = np.zeros(1 << 16, np.int32)
         self.start = np.zeros(1, np.int64)  # of each chunk's ids in the pool, and the end of the last
+        self.chars = 0
 
-    def _shrink(self) -> None:
+    def shrink(self, keep: int) -> None:
         """Keep the chunks met first, which are the frequent ones."""
-        self.number = dict(islice(self.number.items(), self.keep))
+        if len(self.number) <= keep:
+            return
+        self.number = dict(islice(self.number.items(), keep))
+        self.chars = sum(map(len, self.number))
         self.start = self.start[: len(self.number) + 1].copy()
         self.pool = self.pool[: max(1, self.start[-1])].copy()
 
@@ -40,12 +48,15 @@ class ChunkTable:
             self.pool[self.start[-1]: ends[-1]] = np.fromiter(chain.from_iterable(encoded), np.int32)
             base = len(self.number)
             self.number.update(zip(part, range(base, base + len(part)), strict=True))
+            self.chars += sum(map(len, part))
             self.start = np.append(self.start, ends)
 
     def ids(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, given as chunks, one after the other, and how many each text has."""
-        if len(self.number) > self.room:
-            self._shrink()
+        if len(self.number) > self.room or self.chars > ROOM_CHARS:
+            self.shrink(self.keep)
+            if self.chars > ROOM_CHARS:
+                self.shrink(0)
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
         flat = list(chain.from_iterable(texts))
         at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))

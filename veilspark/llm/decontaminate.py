@@ -9,7 +9,8 @@ thing that travels is the benchmark, in blocks of bounded size.
 Results for odd input: a null text has no words and is clean; an item without
 words never matches; an item of fewer than 13 words is one window; repeated rows
 and items each count; an empty table on either side gives rows without hits or
-no rows; a null id is kept; other columns are not used.
+no rows; a null id is kept; a very long text makes a shard of its own; other columns are
+kept as they are.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from veilspark.llm.common import text_or_empty
 from veilspark.session import materialise, ship_package
 
 WINDOW = 13
-SHARD_BYTES = 6 << 20
-"""Text per suffix array: about a million words, some 60 MB while it is built."""
+SHARD_BYTES = 3 << 20
+"""Text per suffix array: about half a million words, some 30 MB while it is built."""
+PLACES = 1 << 20
+"""Pairs of a window and a place in the shard that are expanded at once, unless one item alone has more."""
 BLOCK_BYTES = 16 << 20
 """Benchmark text per pass; the driver holds one block, and each executor gets it once."""
 
@@ -56,11 +59,21 @@ class Block:
         self.need = np.where(left >= window, window, np.where((whole < window) & (left == whole), whole, 0))
 
 
-def _places(sa: suffix_array.SuffixArray, block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the block, place in the shard) of every occurring window, confirmed word by word."""
-    lo, hi, _ = sa.search(block.hashes, block.need)
+def _slices(block: Block, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of the block, cut between items, whose windows stand in about PLACES places of the shard together."""
+    ends = np.append(block.begins[1:], len(block.hashes))  # of each item
+    upto = np.cumsum(np.append(0, sizes))[ends]
+    begin = done = 0
+    while begin < len(block.hashes):
+        item = max(np.searchsorted(upto, done + PLACES, side="right") - 1, np.searchsorted(ends, begin, side="right"))
+        yield begin, int(ends[item])
+        begin, done = int(ends[item]), upto[item]
+
+
+def _places(sa: suffix_array.SuffixArray, block: Block, lo: np.ndarray, hi: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the block, place in the shard) of every window from ``begin`` on that occurs, confirmed word by word."""
     sizes = hi - lo
-    suffix = np.repeat(np.arange(len(lo)), sizes)
+    suffix = begin + np.repeat(np.arange(len(lo)), sizes)
     at = sa.order[np.repeat(lo - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
     same = np.ones(len(at), bool)
     need = block.need[suffix]
@@ -86,9 +99,17 @@ def scan_shard(texts: pa.Array, block: Block, window: int) -> list[dict]:
     if not len(words.hashes) or not len(block.hashes):
         return out
     sa = suffix_array.build(words, window)
-    suffix, at = _places(sa, block)
-    if not len(at):
-        return out
+    lo, hi, _ = sa.search(block.hashes, block.need)
+    for begin, end in _slices(block, hi - lo):
+        suffix, at = _places(sa, block, lo[begin:end], hi[begin:end], begin)
+        if len(at):
+            for doc, found in _by_document(words, block, suffix, at):
+                out[doc] = _merged(out[doc], found | {"n_words": out[doc]["n_words"]})
+    return out
+
+
+def _by_document(words: wordbytes.Words, block: Block, suffix: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, dict]]:
+    """(document, its hits, items and longest match) out of places in the block and in the shard."""
     begins = words.first[:-1] + np.arange(len(words.counts))
     doc = np.searchsorted(begins, at, side="right") - 1
     at = at - begins[doc]
@@ -106,12 +127,12 @@ def scan_shard(texts: pa.Array, block: Block, window: int) -> list[dict]:
     begin, end, doc, item = begin[by], end[by], doc[by], item[by]
     bounds = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        row = out[doc[a]]
-        row["hits"] = list(zip(*(x.tolist() for x in _runs(begin[a:b], end[a:b])), strict=True))
-        row["items"] = list(block.ids[np.unique(item[a:b])])
         best = a + int(np.argmax(end[a:b] - begin[a:b]))
-        row["longest"] = (int(end[best] - begin[best]), block.ids[item[best]], int(begin[best]))
-    return out
+        yield int(doc[a]), {
+            "hits": list(zip(*(x.tolist() for x in _runs(begin[a:b], end[a:b])), strict=True)),
+            "items": sorted(block.ids[np.unique(item[a:b])]),
+            "longest": (int(end[best] - begin[best]), block.ids[item[best]], int(begin[best])),
+        }
 
 
 def _merged(old: dict, new: dict) -> dict:
@@ -125,7 +146,7 @@ def _merged(old: dict, new: dict) -> dict:
     return {
         "n_words": new["n_words"],
         "hits": list(zip(begin.tolist(), end.tolist(), strict=True)),
-        "items": sorted(set(old["items"]) | set(new["items"])),
+        "items": sorted(old["items"] + new["items"]),  # an item is looked up once
         "longest": max(old["longest"], new["longest"], key=lambda x: x[0]),
     }
 
@@ -149,18 +170,20 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, room: int) -> Iter
 
 def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
             item_text: str = "text", window: int = WINDOW, shard_bytes: int = SHARD_BYTES,
-            block_bytes: int = BLOCK_BYTES) -> DataFrame:
+            block_bytes: int = BLOCK_BYTES, out_col: str = "leak") -> DataFrame:
     """The rows of ``docs`` with a struct ``leak``: n_words, hits, items, longest (words, item, word offset).
 
+    A column of ``docs`` with that name, in any case, would be replaced: name another with ``out_col``.
+
     A benchmark of one block, the usual case, is one pass without a shuffle; each
     further block is one more pass over the rows written by the one before.
     """
     spark = docs.sparkSession
     ship_package(spark)
     leak = "struct<" + ",".join(f"{n}:{t}" for n, t in _STATE) + ">"
-    out = docs.withColumn("leak", F.lit(None).cast(leak))
+    out = docs.select(*[docs[c] for c in docs.columns if c.lower() != out_col.lower()], F.lit(None).cast(leak).alias(out_col))
     schema = out.schema
-    at = schema.names.index("leak")
+    at = schema.names.index(out_col)
     passes = 0
     for ids, texts in _blocks(benchmark, item_id, item_text, block_bytes):
         if passes:

@@ -9,7 +9,8 @@ moves once, for the byte check; everything else works on digests.
 Results for odd input: a null text counts as empty; empty texts are equal to
 each other; rows that repeat an id with the same text are counted one by one
 and share their verdict; a null id never stays while its group has another id;
-an empty table gives no rows; other columns of the input are not touched.
+a very long text is hashed where it is and moves only if it may have a copy on the
+other side; an empty table gives no rows; other columns of the input are not touched.
 """
 
 from __future__ import annotations
@@ -100,12 +101,15 @@ def screened(batch: DataFrame, snap: Snapshot) -> DataFrame:
 def byte_checked(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of ``pairs`` (_KEY, keep_id, old_id), those whose two texts have equal bytes.
 
-    An id may repeat with other texts of this length, so a pair needs one text that both of its ids have.
+    An id may repeat with other texts of this length, so a pair needs one text that both of its ids have. A group
+    whose ids are all null finds its texts by their digest.
     """
     ends = pairs.select(*_KEY, F.posexplode(F.array("keep_id", "old_id")).alias("end", "id"))
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    nameless = texts.where("id IS NULL").withColumn("sha", sha256_hex(F.col("text")))
+    named = texts.join(ends, "id").where(F.octet_length("text") == F.col("n_bytes")).select(*_KEY, "text", "end")
     same = (
-        texts.join(ends, "id").where(F.octet_length("text") == F.col("n_bytes"))
+        named.unionByName(nameless.drop("id").join(ends.where("id IS NULL"), "sha").select(*_KEY, "text", "end"))
         .groupBy(*_KEY, "text").agg(F.min("end").alias("low"), F.max("end").alias("high"))
         .where(F.col("low") < F.col("high")).select(*_KEY).distinct()
     )

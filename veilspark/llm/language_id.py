@@ -15,7 +15,8 @@ Results for odd input: null, empty and letterless texts leave the decision to th
 other evidence; a null or unknown declaration, suffix or host says nothing and
 its level of the prior is that above; a null id is kept; repeated rows each count
 and each give a row; without labelled rows every language is equally likely; an
-empty table gives no rows; other columns pass through ``identify``.
+empty table gives no rows; a very long text is read whole, in a chunk of its own; other
+columns pass through ``identify``, but for those named like its results.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ from veilspark.session import materialise, ship_package
 UNKNOWN = "und"
 PER_LANGUAGE = 2_000
 """Labelled rows per language that the text model is fitted on."""
+MOST_LANGUAGES = 64
+"""Languages of the text model: the most frequent labels (1 MB each); rows with any other label are not fitted on."""
 SMOOTHING = 5.0
 """Rows that the level above is worth at each level of the prior."""
 EVIDENCE_LETTERS = 200
@@ -40,6 +43,8 @@ EVIDENCE_LETTERS = 200
 ACCEPT = 0.5
 CHUNK_BYTES = 1 << 20
 
+RESULTS = ("lang", "posterior", "text_lang", "letters", "accepted")
+
 _CLASS = np.zeros(256, np.uint8)  # a to z as 1 to 26, other ASCII as 0, bytes beyond ASCII as they are
 for _b in range(26):
     _CLASS[0x41 + _b] = _CLASS[0x61 + _b] = _b + 1
@@ -89,13 +94,19 @@ class TextModel:
         return out, letters
 
 
+def subtag(label: str | Column) -> Column:
+    """The language of a label or declaration: its primary subtag in lower case ("en" of "en-US", "fil" of "fil")."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(label)), r"^([a-z]{2,8})(?:[-_].*)?$", 1), F.lit(""))
+
+
 def fit_text(docs: DataFrame, label: str, text_col: str, per_language: int = PER_LANGUAGE) -> TextModel:
     """Trigram counts by task and language, summed by Spark; the driver gets one bounded vector per language."""
     ship_package(docs.sparkSession)
-    labelled = docs.where(F.col(label).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}  # one row per language
+    labelled = docs.select(subtag(F.col(label)).alias("label"), F.col(text_col).alias("text")).where("label IS NOT NULL AND text IS NOT NULL")
+    sizes = labelled.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LANGUAGES)
+    sizes = {r[0]: r[1] for r in sizes.collect() if r[0] != UNKNOWN}
     languages = sorted(sizes)
-    sample = labelled.sampleBy(label, {k: min(1.0, per_language / n) for k, n in sizes.items()}, seed=7)
+    sample = labelled.sampleBy("label", {k: min(1.0, per_language / n) for k, n in sizes.items()}, seed=7)
 
     def run(batches):
         total: dict[tuple[str, bool], np.ndarray] = {}
@@ -114,7 +125,7 @@ def fit_text(docs: DataFrame, label: str, text_col: str, per_language: int = PER
                 names=["label", "context", "slot", "n"],
             )
 
-    counted = sample.select(label, text_col).mapInArrow(run, "label string, context boolean, slot long, n long")
+    counted = sample.mapInArrow(run, "label string, context boolean, slot long, n long")
     rows = counted.groupBy("label", "context", "slot").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((2, len(languages) + 1, 1 << _BITS))
     for k, name in enumerate(languages):
@@ -163,8 +174,8 @@ def suffix_of(host: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    """The last two labels of a host name, or the name itself."""
-    return F.regexp_extract(F.lower(host), r"([^.]+\.[^.]+|[^.]+)$", 1)
+    """The last two labels of a host name, three where the last two are like "co.uk" or "com.br"; or the name itself."""
+    return F.regexp_extract(F.lower(host), r"([^.]+\.(?:ac|co|com|edu|gov|net|or|org)\.[a-z]{2}|[^.]+\.[^.]+|[^.]+)$", 1)
 
 
 def _argmax(values: Column, languages: Sequence[str]) -> Column:
@@ -190,16 +201,21 @@ def identify(docs: DataFrame, model: TextModel, text_col: str = "text", declared
     """``docs`` without the text, with lang, posterior, text_lang, letters and accepted.
 
     ``accepted`` is false for rows that are most likely in no known language, or
-    whose best language has a posterior below one half.
+    whose best language has a posterior below one half. A column of ``docs`` named
+    like one of these five, in any case, gives way to it.
     """
     languages = model.languages
     keys = {}
     if declared_col:
-        keys["_declared"] = F.lower(F.substring(F.col(declared_col), 1, 2))
+        keys["declared"] = subtag(F.col(declared_col))
     if host_col:
         host = F.lower(F.col(host_col))
-        keys |= {"_suffix": suffix_of(host), "_domain": domain_of(host), "_host": host}
-    rows = text_evidence(docs.withColumns({k: F.nullif(v, F.lit("")) for k, v in keys.items()}), model, text_col)
+        keys |= {"suffix": suffix_of(host), "domain": domain_of(host), "host": host}
+    # All other columns travel in one, so that no name can clash with those made here.
+    keep = [c for c in docs.columns if c != text_col and c.lower() not in RESULTS]
+    kept = F.struct(*[F.col(c) for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    narrow = docs.select(kept.alias("row"), F.col(text_col).alias("text"), *[F.nullif(v, F.lit("")).alias(k) for k, v in keys.items()])
+    rows = text_evidence(narrow, model, "text")
     # Texts of a few letters speak for nothing on their own, so they don't shape the priors.
     said = F.when(F.col("letters") >= 20, _argmax(F.col("evidence"), languages))
     rows = materialise(rows.withColumn("said", said), "language-evidence")
@@ -212,23 +228,22 @@ def identify(docs: DataFrame, model: TextModel, text_col: str = "text", declared
     for key in keys:
         # Rows without the key get one of their own each, so that they don't meet in one task.
         own = F.concat(F.lit("\0"), F.xxhash64("evidence").cast("string"))
-        shares = _shares(rows, key, languages).withColumnRenamed(key, "_key")
-        joined = joined.withColumn("_key", F.coalesce(key, own)).join(shares, "_key", "left").drop("_key")
-        if key != "_declared":
+        shares = _shares(rows, key, languages).withColumnRenamed(key, "at")
+        joined = joined.withColumn("at", F.coalesce(key, own)).join(shares, "at", "left").drop("at")
+        if key != "declared":
             level = _smoothed(F.col(f"n_{key}"), level)
-    joined = joined.withColumn("_prior", level)
-    total_log = F.zip_with("evidence", F.transform("_prior", lambda p: F.log(p)), lambda x, y: x + y)
+    joined = joined.withColumn("prior", level)
+    total_log = F.zip_with("evidence", F.transform("prior", lambda p: F.log(p)), lambda x, y: x + y)
     if declared_col:
         # P(declared | language) up to a factor that all languages share.
-        share = F.zip_with(_smoothed(F.col("n__declared"), prior), prior, lambda s, p: F.log(s / p))
+        share = F.zip_with(_smoothed(F.col("n_declared"), prior), prior, lambda s, p: F.log(s / p))
         total_log = F.zip_with(total_log, share, lambda x, y: x + y)
-    joined = joined.withColumn("_log", total_log)
-    top = F.array_max("_log")
+    joined = joined.withColumn("logs", total_log)
+    top = F.array_max("logs")
     joined = joined.withColumn(
-        "posterior", 1 / F.aggregate("_log", F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    ).withColumn("lang", _argmax(F.col("_log"), languages))
-    keep = [c for c in docs.columns if c != text_col]
+        "posterior", 1 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    ).withColumn("lang", _argmax(F.col("logs"), languages))
     return joined.select(
-        *keep, "lang", "posterior", F.col("said").alias("text_lang"), "letters",
+        *[F.col("row").getField(c).alias(c) for c in keep], "lang", "posterior", F.col("said").alias("text_lang"), "letters",
         ((F.col("lang") != UNKNOWN) & (F.col("posterior") >= ACCEPT)).alias("accepted"),
     )

@@ -13,8 +13,8 @@
 Results for odd input: a null text counts as empty; a text without words has no
 n-gram, no link and a class of its own per row; one of fewer than n words has one
 n-gram; repeated rows are copies; rows with a null id get a class but never name
-it unless all its rows have none; an empty table gives no rows; other columns are
-not used.
+it unless all its rows have none; a very long text is sketched whole and makes a
+block of its own; an empty table gives no rows; other columns are not used.
 """
 
 from __future__ import annotations
@@ -43,12 +43,16 @@ _U = np.uint64
 
 def banding(similarity: float = SIMILARITY, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows a band may have so that a pair at ``similarity`` shares one with ``recall``."""
-    best = (1, 1)
+    if not 0 < similarity <= 1 or not 0 < recall < 1:
+        raise ValueError("similarity and recall are shares")
+    best = None
     for rows in range(1, 33):
-        miss = 1 - similarity**rows
-        bands = int(np.ceil(np.log(1 - recall) / np.log(miss)))
+        hit = similarity**rows
+        bands = 1 if hit == 1 else np.ceil(np.log(1 - recall) / np.log1p(-hit))
         if bands * rows <= max_hashes:
-            best = (bands, rows)
+            best = (int(bands), rows)
+    if best is None:
+        raise ValueError(f"{max_hashes} hashes do not find pairs at {similarity} with a recall of {recall}")
     return best
 
 
@@ -99,19 +103,25 @@ def sketch(texts: pa.Array, n: int, bands: int, rows: int) -> tuple[list, np.nda
     return digests, sizes, keys
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, print (a hash that tells texts of one id, or of none, apart), text."""
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("print"), text.alias("text"))
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows: int) -> DataFrame:
-    """id, cls (digest of the n-gram set, null without words), grams, bands."""
-    source = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    """id, print (of the text), cls (digest of the n-gram set, null without words), grams, bands."""
+    source = _texts(docs, id_col, text_col)
     schema = source.select(
-        "id", F.lit(None).cast("binary").alias("cls"), F.lit(0).cast("long").alias("grams"),
+        "id", "print", F.lit(None).cast("binary").alias("cls"), F.lit(0).cast("long").alias("grams"),
         F.lit(None).cast("array<long>").alias("bands"),
     ).schema
 
     def run(batches):
         for shard in wordbytes.shards(batches, "text", SHARD_BYTES):
-            digests, sizes, keys = sketch(shard.column(1), n, bands, rows)
+            digests, sizes, keys = sketch(shard.column(2), n, bands, rows)
             yield pa.RecordBatch.from_arrays(
-                [shard.column(0), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))],
+                [shard.column(0), shard.column(1), pa.array(digests, pa.binary()), pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))],
                 names=schema.names,
             )
 
@@ -132,10 +142,10 @@ def work(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, block_
     own = (
         led.join(size, "leader").groupBy("cls")  # a class has at most one leader per band
         .agg(F.sort_array(F.collect_list(F.struct("leader", "blocks"))).alias("groups"))
-        .join(classes.select("cls", "rep"), "cls")
+        .join(classes.select("cls", "rep", "print"), "cls")
     )
-    texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    with_text = own.join(texts, own["rep"].eqNullSafe(texts["id"])).select(
+    texts = _texts(docs, id_col, text_col)
+    with_text = own.join(texts, own["rep"].eqNullSafe(texts["id"]) & (own["print"] == texts["print"])).select(
         "cls", F.col("groups.leader").alias("leaders"), "groups", "text"
     )
     block = F.pmod(F.xxhash64("cls"), F.col("g.blocks")).cast("int")
@@ -311,7 +321,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     sketched = materialise(sketches(docs, id_col, text_col, n, bands, rows), "near-sketches")
     classes = materialise(
         sketched.where("cls IS NOT NULL").groupBy("cls").agg(
-            F.min("id").alias("rep"), F.count(F.lit(1)).alias("n_copies"), F.first("grams").alias("grams"),
+            F.min("id").alias("rep"), F.coalesce(F.min_by("print", "id"), F.min("print")).alias("print"),  # null ids name none
+            F.count(F.lit(1)).alias("n_copies"), F.first("grams").alias("grams"),
             F.first("bands").alias("bands"),
         ),
         "near-classes",

@@ -20,13 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from veilspark.llm.chunk_table import ChunkTable
+from veilspark.llm.wordbytes import release
 from veilspark.session import ship_package
 
-TABLE_CHUNKS, TABLE_KEEP = 250_000, 100_000
-"""Chunks in a worker's table (some 70 MB), and how many stay when it is full."""
+TABLE_CHUNKS, TABLE_KEEP, TASK_KEEP = 250_000, 100_000, 50_000
+"""Chunks in a worker's table (some 70 MB), how many stay when it is full, and how many (15 MB) outlive a task."""
 _MARKER = "▁"
 _WITH_SPACES = re.compile(" +[^ ]*")
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 2 << 20
 """Text whose ids are in memory at once, unless one document is longer."""
 
 
@@ -79,15 +80,19 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", out: str = "ids"
 
     def run(batches):
         _, table, end = _model(model)
-        for batch in batches:
-            for part, texts in _parts(batch, at):
-                flat, counts = table.ids([chunks(t) for t in texts])
-                stops = np.cumsum(counts)
-                ids = np.insert(flat, stops, end)  # one end id after each text
-                offsets = np.concatenate([[0], stops + np.arange(1, len(stops) + 1)]).astype(np.int32)
-                arrays = [part.column(i) for i in range(part.num_columns) if i != at]
-                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        try:
+            for batch in batches:
+                for part, texts in _parts(batch, at):
+                    flat, counts = table.ids([chunks(t) for t in texts])
+                    stops = np.cumsum(counts)
+                    ids = np.insert(flat, stops, end)  # one end id after each text
+                    offsets = np.concatenate([[0], stops + np.arange(1, len(stops) + 1)]).astype(np.int32)
+                    arrays = [part.column(i) for i in range(part.num_columns) if i != at]
+                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))))
+                    yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+        finally:
+            table.shrink(TASK_KEEP)
+            release()
 
     return docs.mapInArrow(run, schema)
 
@@ -100,10 +105,13 @@ def decode(rows: DataFrame, model: str, ids_col: str = "ids", out: str = "text")
 
     def run(batches):
         sp, _, _ = _model(model)
-        for batch in batches:
-            for begin in range(0, len(batch), 500):
-                part = batch.slice(begin, 500)
-                texts = pa.array([sp.decode(ids or []) for ids in part.column(at).to_pylist()], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=schema.names)
+        try:
+            for batch in batches:
+                for begin in range(0, len(batch), 500):
+                    part = batch.slice(begin, 500)
+                    texts = pa.array([sp.decode(ids or []) for ids in part.column(at).to_pylist()], pa.string())
+                    yield pa.RecordBatch.from_arrays([*part.columns, texts], names=schema.names)
+        finally:
+            release()
 
     return rows.mapInArrow(run, schema)

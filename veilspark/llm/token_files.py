@@ -107,7 +107,8 @@ def chunks(text: str) -> list[str]:
         return [text]
     if "<|" not in text and not _AFTER_MARK.search(text):
         text = text.replace(",", "\0,").replace(".", "\0.")
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    return parts if parts[0] else parts[1:]  # a text may begin with a mark
 
 
 def pack(ids: np.ndarray, counts: np.ndarray) -> list[pa.Array]:

@@ -178,11 +178,11 @@ def _next_start(data: bytes, at: int) -> int:
     return min(found, default=len(data))
 
 
-def salvage(data: bytes, partial: bool = False) -> Iterator[Record | Gap]:
+def salvage(data: bytes, partial: bool = True) -> Iterator[Record | Gap]:
     """All records of an archive that pass their checks, in order, and the gaps between them.
 
-    With ``partial``, as ``read`` asks, also the good records of a member that is not good
-    as a whole; a gap with the member's place follows them. Without, such a member is a gap.
+    Of a member that is not good as a whole come its good records, and a gap with the
+    member's place follows them; without ``partial`` such a member is only a gap.
     """
     at = 0
     gap: Gap | None = None

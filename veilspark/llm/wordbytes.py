@@ -6,6 +6,7 @@ characters beyond ASCII. Word and n-gram identities are 64-bit hashes.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -103,23 +104,35 @@ def shards(batches: Iterator[pa.RecordBatch], text: str, room: int) -> Iterator[
     2**20 rows."""
     held: list[pa.RecordBatch] = []
     size = rows = 0
-    for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string())
-        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
-        begin = 0
-        while begin < len(batch):
-            upto = int(np.searchsorted(ends, ends[begin] + (room - size), side="right")) - 1
-            upto = min(max(upto, begin + 1), len(batch))
-            held.append(batch.slice(begin, upto - begin))
-            size += int(ends[upto] - ends[begin])
-            rows += upto - begin
-            begin = upto
-            if size >= room or rows >= 1 << 19 or begin < len(batch):
-                yield _one(held)
-                held, size, rows = [], 0, 0
-    if held:
-        yield _one(held)
+    try:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text)).cast(pa.large_string())
+            ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset: column.offset + len(column) + 1]
+            begin = 0
+            while begin < len(batch):
+                upto = int(np.searchsorted(ends, ends[begin] + (room - size), side="right")) - 1
+                upto = min(max(upto, begin + 1), len(batch))
+                held.append(batch.slice(begin, upto - begin))
+                size += int(ends[upto] - ends[begin])
+                rows += upto - begin
+                begin = upto
+                if size >= room or rows >= 1 << 19 or begin < len(batch):
+                    yield _one(held)
+                    held, size, rows = [], 0, 0
+        if held:
+            yield _one(held)
+    finally:
+        held = []
+        release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task and waits beside other stages' workers."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def _one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
