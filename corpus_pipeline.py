@@ -57,7 +57,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return decontaminate.matches(docs, items).where(~decontaminate.contaminated()).drop("leak")
+    leak = "leak"
+    while leak in {c.lower() for c in docs.columns}:
+        leak += "_"
+    return decontaminate.matches(docs, items, out_col=leak).where(~decontaminate.contaminated(leak)).drop(leak)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,7 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
 
 
 _shipped: set[str] = set()
+_BATCH_BYTES, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -74,6 +75,9 @@ def ship_package(spark: SparkSession) -> None:
     Jobs that run Python functions call this themselves, so the package need not
     be installed on the executors.
     """
+    # Python functions get batches bounded by bytes, not by rows of any length; a user's own setting stays.
+    if spark.conf.get(_BATCH_BYTES, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_BYTES, str(4 << 20))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
