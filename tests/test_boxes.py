@@ -1,8 +1,10 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from veilspark.functions import boxlists as BL
 from veilspark.functions import geometry as G
 from veilspark.operators import boxes as B
 from veilspark.operators import matching as M
@@ -117,3 +119,46 @@ def test_fusion_scales_by_capture_size(spark):
     d = spark.createDataFrame([(1, (10.0, 20.0, 30.0, 40.0))], f"page int, box {G.BOX}")
     f = spark.createDataFrame([(1, 2560.0, 800.0, 1280.0, 0.0)], "page int, image_width double, image_height double, viewport_width double, viewport_height double")
     assert tuple(B.fused(d, f, "page").first().box) == (20.0, 16000.0, 60.0, 32000.0)
+
+
+def _many(kind, n=10_000):
+    rnd = random.Random(kind)
+    if kind == "spread":
+        return [(rnd.uniform(0, 5000), rnd.uniform(0, 5000), rnd.uniform(5, 60), rnd.uniform(5, 60)) for _ in range(n)]
+    if kind == "one place":
+        return [(10.0 + i % 3, 10.0, 50.0, 20.0) for i in range(n)]
+    if kind == "some very large":
+        return [(0.0, 0.0, 4000.0, 4000.0 - i) if i % 500 == 0 else (rnd.uniform(0, 4000), rnd.uniform(0, 4000), 20.0, 20.0) for i in range(n)]
+    return [(i * 3.0, 0.0, 10.0, 10.0) for i in range(n)]  # a chain: each grows into the next
+
+
+@pytest.mark.parametrize("kind", ["spread", "one place", "some very large", "chain"])
+def test_ten_thousand_boxes_on_a_page(kind):
+    boxes = _many(kind)
+    begin = time.time()
+    BL.kept(boxes, 0.5), BL.groups(boxes, 0.3, 0.7), BL.grown(boxes, 0.4)
+    assert time.time() - begin < 20
+    few = boxes[::25]
+    for threshold in (0, 0.2, 0.5):
+        want = []
+        for i, b in enumerate(few):
+            if not any(iou(few[k], b)[0] >= threshold for k in want):
+                want.append(i)
+        assert BL.kept(few, threshold) == want
+        rest, grown = list(few), []
+        while rest:
+            cur, left = rest[0], []
+            for b in rest[1:]:
+                if iou(cur, b)[0] >= threshold:
+                    cur = union(cur, b)
+                else:
+                    left.append(b)
+            grown.append(cur)
+            rest = left
+        assert BL.grown(few, threshold) == grown
+
+
+def test_boxes_with_missing_sides(spark):
+    rows = [(0, 0, (0.0, 0.0, 10.0, 10.0)), (0, 1, (0.0, None, 10.0, 10.0)), (0, 2, (0.0, 0.0, 10.0, 10.0)), (1, 0, None), (None, 0, (0.0, 0.0, 5.0, 5.0))]
+    df = spark.createDataFrame([(*r, 0.5, "a", "blur") for r in rows], f"page int, pos int, box {G.BOX}, confidence double, pii_type string, mode string")
+    assert sorted((str(r.page), r.pos) for r in B.deduped(df, "page").collect()) == [("0", 0), ("0", 1), ("1", 0), ("None", 0)]

@@ -1,76 +1,198 @@
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
-
-from veilspark.operators.vault import well_formed_token_count
 from veilspark.session import shared_dir
 from veilspark.sources import html as H
 from veilspark.streaming import jobs as J
-from veilspark.streaming.state import COMPACT_EVERY, RunningCounts
-
-
-def test_counts_continue_and_a_repeated_batch_is_harmless(spark):
-    counts = RunningCounts(shared_dir(spark, "counts"), ["k"], "k string")
-    expected = {"a": 0, "b": 0}
-    for batch_id in range(COMPACT_EVERY + 3):
-        keys = ["a", "a", "b"] if batch_id % 4 == 0 else ["a"]
-        batch = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k string, i int")
-        runs = 2 if batch_id in (0, 5, COMPACT_EVERY) else 1  # some batches are run again after a failure
-        for _ in range(runs):
-            got = {(r.k, r.i): r.n for r in counts.running(batch, batch_id, F.lit(0), ["i"], F.lit(1), "n").collect()} \
-                if batch_id in (0, 1, 5, COMPACT_EVERY, COMPACT_EVERY + 2) else None
-            counts.advance(batch, batch_id, F.lit(1))
-        if got:
-            assert got[("a", 0)] == expected["a"] + 1
-        for k in keys:
-            expected[k] += 1
-    assert {r.k: r.total for r in counts.before(spark, COMPACT_EVERY + 3).collect()} == expected
+from veilspark.streaming import stateful as S
+
+
+class Feed:
+    """A folder that gets one file after the other, and a stream that takes one file to a micro-batch."""
+
+    def __init__(self, spark, ddl):
+        self.spark, self.ddl, self.path, self.progress, self.out = spark, ddl, *(shared_dir(spark, x) for x in ("feed", "progress", "out"))
+
+    def add(self, *batches):
+        for rows in batches:
+            self.spark.createDataFrame(rows, self.ddl).coalesce(1).write.mode("append").parquet(self.path)
+        return self
+
+    def run(self, build, sink=None):
+        stream = self.spark.readStream.schema(self.ddl).option("maxFilesPerTrigger", 1).parquet(self.path)
+        J.run_available(build(stream), sink or J.batch_sink(self.out, lambda rows: rows), progress=self.progress)
+        return self.spark.read.parquet(self.out)
 
 
 def test_blocked_records_keep_no_text(spark):
-    records = spark.createDataFrame([("s", 0, "mail a@b.co"), ("s", -1, "mail a@b.co"), ("s", 1, ""), ("s", 2, "x" * 2001), ("s", 3, "fine")],
-                                    "session string, step int, text string")
-    out = shared_dir(spark, "san")
-    J.replay(records, "step", lambda s: J.sanitise(s, "text", "session", "step"), J.sanitise_sink(out), slices=2)
-    clean = spark.read.parquet(out).where("status = 'clean'")
-    blocked = spark.read.parquet(out).where("status <> 'clean'")
-    assert {(r.step, r.clean_text) for r in clean.collect()} == {(0, "mail [USER_EMAIL]"), (2, "x" * 2001), (3, "fine")}
-    assert {(r.step, r.status, r.clean_text) for r in blocked.collect()} == {(s, "invalid", None) for s in (-1, 1)}
-
-
-@pytest.mark.parametrize("slices", [1, 4])
-def test_vault_stream_equals_batch_numbers(spark, slices):
-    rows = [(i, "hot" if i % 3 else f"s{i % 5}", "ADDRESS" if i % 2 else "CVV", f"v{i}", i in (40, 41, 90)) for i in range(120)]
-    df = spark.createDataFrame(rows, "event_id bigint, session_id string, kind string, raw_value string, is_reset boolean")
-    out = shared_dir(spark, "vault")
-    J.replay(df, "event_id", lambda s: s, J.vault_job(out, "string", ["event_id"], F.floor(F.col("event_id") / 8)), slices)
-    got = {r.event_id: (r.epoch, r.token) for r in spark.read.parquet(f"{out}/vault").collect()}
-    epoch, seq, want = {}, {}, {}
-    for i, s, kind, _, reset in rows:
-        if reset:
-            epoch[s] = epoch.get(s, 0) + 1
-            continue
-        key = (s, epoch.get(s, 0), kind)
-        seq[key] = seq.get(key, 0) + 1
-        want[i] = (key[1], f"[{kind}_{seq[key]}]")
-    assert got == want
-    live = J.current_vault(spark.read.parquet(f"{out}/vault"), spark.read.parquet(f"{out}/epochs"))
-    assert {r.event_id for r in live.collect()} == {i for i, s, *_ in rows if i in want and want[i][0] == epoch.get(s, 0)}
-    assert live.select(well_formed_token_count(F.col("token"))).first()[0] == live.count()
-
-
-def test_cursor_stream_restarts_at_step_zero(spark):
-    rows = [(i, f"s{i % 2}", 0 if i in (0, 1, 10, 21) else 1) for i in range(30)]
-    df = spark.createDataFrame(rows, "call_id bigint, session_id string, step int")
-    out = shared_dir(spark, "cursor")
-    J.replay(df, "call_id", lambda s: s, J.cursor_job(out, "string", ["call_id"], F.floor(F.col("call_id") / 4)))
-    got = {r.call_id: (r.run, r.n) for r in spark.read.parquet(f"{out}/cursor").collect()}
-    run, n, want = {}, {}, {}
-    for i, s, step in rows:
-        if step == 0:
-            run[s], n[s] = run.get(s, 0) + 1, -1
-        n[s] = n.get(s, -1) + 1
-        want[i] = (run[s], n[s])
-    assert got == want
+    feed = Feed(spark, "session string, step int, text string").add(
+        [("s", 0, "mail a@b.co"), ("s", -1, "mail a@b.co"), (None, 7, "no session")],
+        [("s", 1, ""), ("s", 2, "x" * 2001), ("s", 3, "fine"), ("s", None, "no step"), ("s", 4, None)],
+    )
+    rows = feed.run(lambda s: J.sanitise(s, "text", "session", "step"), J.sanitise_sink(feed.out)).collect()
+    assert {(r.step, r.clean_text) for r in rows if r.status == "clean"} == {(0, "mail [USER_EMAIL]"), (2, "x" * 2001), (3, "fine")}
+    assert sorted((str(r.step), r.status, r.clean_text) for r in rows if r.status != "clean") == [
+        ("-1", "invalid", None), ("1", "invalid", None), ("4", "invalid", None), ("7", "invalid", None), ("None", "invalid", None)]
+
+
+# ---------------------------------------------------------------------------
+KINDS = ("ADDRESS", "CVV")
+RECORDS = "event_id bigint, session_id string, kind string, raw_value string, is_reset boolean, asked bigint"
+
+
+def _records(ids):
+    return [(i, None if i % 7 == 5 else "hot" if i % 3 else f"s{i % 5}", "ADDRESS" if i % 2 else "CVV", f"v{i}", i in (40, 41, 90),
+             i % 4 + 1 if i % 11 == 6 else None) for i in ids]
+
+
+def _numbered(batches):
+    """What the vault stream should give, from rows in order of arrival."""
+    epoch, held, want = {}, {}, {}
+    for batch in batches:
+        for i, s, kind, value, reset, asked in sorted(batch):
+            e = epoch.get(s, 0)
+            if reset:
+                epoch[s] = e + 1
+                want[i] = (e + 1, None, None)
+                continue
+            values = held.setdefault((s, e, kind), [])
+            if asked:
+                want[i] = (e, f"[{kind}_{asked}]", values[asked - 1] if asked <= len(values) else None)
+            else:
+                values.append(value)
+                want[i] = (e, f"[{kind}_{len(values)}]", value)
+    return want
+
+
+@pytest.mark.parametrize("size", [120, 25])
+def test_vault_numbers_in_order_of_arrival(spark, size):
+    ids = list(range(120))
+    ids[100:104], ids[3:7] = ids[3:7], ids[100:104]  # late rows and early ones
+    batches = [_records(ids[i: i + size]) for i in range(0, 120, size)]
+    feed = Feed(spark, RECORDS).add(*batches)
+    rows = feed.run(lambda s: S.vault_stream(s, ["event_id"], KINDS))
+    got = rows.collect()
+    assert len(got) == 120
+    want = _numbered(batches)
+    assert {r.event_id: (r.epoch, None if r.is_reset else r.token, r.held_value) for r in got} == want
+    last = {}
+    for r in got:
+        last[r.session_id] = max(last.get(r.session_id, 0), r.epoch)
+    live = {r.event_id for r in S.current_vault(rows).collect()}
+    assert live == {r.event_id for r in got if not r.is_reset and r.asked is None and r.epoch == last[r.session_id]}
+
+
+def test_vault_goes_on_after_a_restart(spark):
+    feed = Feed(spark, RECORDS).add(_records(range(30)))
+    feed.run(lambda s: S.vault_stream(s, ["event_id"], KINDS))
+    got = feed.add(_records(range(30, 60))).run(lambda s: S.vault_stream(s, ["event_id"], KINDS)).collect()
+    want = _numbered([_records(range(30)), _records(range(30, 60))])
+    assert {r.event_id: (r.epoch, None if r.is_reset else r.token, r.held_value) for r in got} == want
+
+
+def test_in_order_arrival_equals_one_batch(spark):
+    one = Feed(spark, RECORDS).add(_records(range(60))).run(lambda s: S.vault_stream(s, ["event_id"], KINDS))
+    many = Feed(spark, RECORDS).add(*[_records(range(i, i + 20)) for i in (0, 20, 40)]).run(lambda s: S.vault_stream(s, ["event_id"], KINDS))
+    one, many = one.drop("batch"), many.drop("batch")
+    assert one.exceptAll(many).count() == 0 and one.count() == many.count()
+
+
+# ---------------------------------------------------------------------------
+ACTION = "struct<action:string,selector:string,value:string,reasoning:string,confidence:double>"
+CALLS = f"call_id bigint, session_id string, ts timestamp, step int, has_empty boolean, plan array<{ACTION}>"
+
+
+def _plan(*selectors):
+    return [("type", s, None, "r", 0.9) for s in selectors]
+
+
+def _at(minute):
+    return datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=minute)
+
+
+def test_cursor_restarts_expires_and_plans_anew(spark):
+    p, q = _plan("#a", "#b"), _plan("#c")
+    batches = [
+        [(1, "s", _at(0), 0, True, p), (2, "s", _at(1), 1, True, q), (3, "s", _at(2), 2, True, q)],  # the first plan is kept
+        [(4, "s", _at(32), 3, True, p), (5, "s", _at(63), 4, True, p)],  # 30 minutes: still there; 31: forgotten
+        [(6, "s", _at(64), 0, True, q), (7, "s", _at(65), 1, False, q), (8, None, None, 5, None, None), (9, "t", _at(3), 1, True, None)],
+        [(10, "s", _at(60), 2, True, p)],  # a late call comes next
+    ]
+    feed = Feed(spark, CALLS).add(*batches)
+    got = {r.call_id: (r.run, r.fresh, r.selector) for r in feed.run(lambda s: S.cursor_stream(s, "ts", ["ts", "call_id"])).collect()}
+    assert got == {
+        1: (1, True, "#a"), 2: (1, False, "#b"), 3: (1, False, "#c"),  # finished, fields empty: planned from the page of call 3
+        4: (1, False, "#a"), 5: (2, True, "#a"),
+        6: (3, True, "#c"), 7: (3, False, ""),  # nothing empty: finish
+        8: (1, True, ""), 9: (1, True, ""), 10: (3, False, "#a"),
+    }
+
+
+def test_silent_sessions_are_removed(spark):
+    import time
+
+    feed = Feed(spark, CALLS).add([(1, "s", _at(0), 1, False, _plan("#a", "#b"))])
+    build = lambda s: S.cursor_stream(s, "ts", ["ts", "call_id"], forget_ms=1)
+    feed.run(build)
+    time.sleep(2)
+    feed.add([(2, "other", _at(0), 1, False, _plan("#a"))]).run(build)  # moves the time of arrival on
+    time.sleep(2)
+    got = {r.call_id: r.run for r in feed.add([(3, "s", _at(1), 1, False, _plan("#a", "#b"))]).run(build).collect()}
+    assert got == {1: 1, 2: 1, 3: 1}  # the third call found no session
+
+
+# ---------------------------------------------------------------------------
+COLUMNS = (
+    "page_id bigint, session_id string, step int, pos int, tag string, type string, id string, name string, classes array<string>, "
+    "selector string, text string, label string, placeholder string, aria_label string, autocomplete string, role string, "
+    "value string, is_img boolean, img_hints string, alt string, visible boolean, "
+    "rect struct<x:double,y:double,width:double,height:double>, task string, verified boolean"
+)
+
+
+def _page(page_id, session, step, *elements, task="Fill", verified=True):
+    return [
+        (page_id, session, step, i, "input", kind, name, None, [], f"#{name}", None, None, None, None, None, None, value, False, None, None,
+         True, (0.0, 0.0, 9.0, 9.0), task, verified)
+        for i, (kind, name, value) in enumerate(elements)
+    ]
+
+
+def test_steps_fail_closed(spark):
+    mail, secret, shows = ("email", "m", "ann@mail.example"), ("password", "pw", "hunter2 x"), ("text", "n", "my hunter2 x")
+    first = [
+        *_page(1, "a", 0, mail, secret),
+        *_page(2, "b", 0, mail, verified=False),
+        *_page(3, "c", 0, mail, verified=None),
+        *_page(4, "d", 0, ("text", "n", "x"), task="call 987-65-4321 now"),
+        *_page(5, "e", 0, secret, shows),
+        *_page(6, "f", 0, mail, task=""),
+        *_page(7, None, 0, mail),
+        *_page(8, "g", -1, mail),
+        *_page(None, "h", 0, secret, shows),
+    ]
+    second = [*_page(11, "a", 1, mail, shows), *_page(12, "b", 1, mail), *_page(13, "z", 1, shows)]
+    feed = Feed(spark, COLUMNS).add(first, second)
+    sink = J.step_sink(feed.out)
+    stream = spark.readStream.schema(COLUMNS).option("maxFilesPerTrigger", 1).parquet(feed.path)
+    J.run_available(J.step_stream(stream), sink)
+    rows = {r.page_id: r for r in spark.read.parquet(f"{feed.out}/steps").collect()}
+    assert {k: r.status for k, r in rows.items()} == {
+        1: "sent", 2: "unverified image", 3: "unverified image", 4: "pattern leak", 5: "vault leak", 6: "invalid", 7: "invalid",
+        8: "invalid", None: "invalid", 11: "vault leak", 12: "sent", 13: "sent"}
+    assert all((r.body is not None) == (r.status == "sent") for r in rows.values())
+    assert "[USER_EMAIL_1]" in rows[1].body and "[USER_EMAIL_2]" in rows[12].body  # numbers go on in a later batch
+    assert spark.read.parquet(f"{feed.out}/work").count() == 0
+
+
+def test_late_events_are_kept(spark):
+    zero = (1.0,) * 6
+    ddl = "ts timestamp, event_type string, " + ", ".join(f"{c} double" for c in ("capture_ms", "dom_ms", "perception_ms", "redaction_ms", "network_ms", "exec_ms"))
+    feed = Feed(spark, ddl).add([(_at(600), "x", *zero)], [(_at(1), "x", *zero), (_at(2), "x", *zero)], [(None, "x", *zero)])
+    rows = J.merged_windows(feed.run(lambda s: s, J.batch_sink(feed.out, J.window_deltas))).collect()
+    assert {(r.start, r.steps) for r in rows} == {(_at(600), 1), (_at(0), 2), (None, 1)}
+    assert all(r.worst_ms == 6.0 and r.slow_steps == 0 for r in rows)
 
 
 HTML = """<html><head><title> A &amp; B </title><script>var a = '<input id="no">';</script></head><body>

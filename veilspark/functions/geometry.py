@@ -88,72 +88,3 @@ def union_box_agg(b: Column) -> Column:
     """Bounding box of a group; works as a partial aggregate."""
     x, y = F.min(b["x"]), F.min(b["y"])
     return box(x, y, F.max(right(b)) - x, F.max(bottom(b)) - y)
-
-
-# ---------------------------------------------------------------------------
-# order-dependent box lists (one page or image each) as higher-order functions
-# ---------------------------------------------------------------------------
-def dedupe_boxes(items: Column, item_type: str, threshold: float) -> Column:
-    """Keep an item unless an item kept earlier overlaps it with IoU >= threshold."""
-    return F.aggregate(
-        items,
-        F.array().cast(f"array<{item_type}>"),
-        lambda kept, d: F.when(
-            F.exists(kept, lambda k: iou(k["box"], d["box"]) >= threshold), kept
-        ).otherwise(F.concat(kept, F.array(d))),
-    )
-
-
-def overlap_groups(items: Column, item_type: str, min_iou: float, min_containment: float) -> Column:
-    """Put each item into the first group holding a member it overlaps enough."""
-    def belongs(member: Column, d: Column) -> Column:
-        inter = overlap_area(member["box"], d["box"])
-        return (inter > 0) & (
-            (iou(member["box"], d["box"]) >= min_iou)
-            | (containment(member["box"], d["box"]) >= min_containment)
-        )
-
-    def place(groups: Column, d: Column) -> Column:
-        slot = F.array_position(
-            F.transform(groups, lambda g: F.exists(g, lambda m: belongs(m, d))), F.lit(True)
-        )
-        return F.when(slot == 0, F.concat(groups, F.array(F.array(d)))).otherwise(
-            F.transform(
-                groups,
-                lambda g, i: F.when(i + 1 == slot, F.concat(g, F.array(d))).otherwise(g),
-            )
-        )
-
-    return F.aggregate(items, F.array().cast(f"array<array<{item_type}>>"), place)
-
-
-def growing_union(boxes: Column, threshold: float) -> Column:
-    """Forward pass: each free box absorbs later boxes that reach the threshold
-    against its growing union; the results keep the order of their first box."""
-    list_type = f"array<{BOX}>"
-    start = F.struct(
-        F.array().cast(list_type).alias("done"), boxes.cast(list_type).alias("rest")
-    )
-
-    def absorb(state: Column, b: Column) -> Column:
-        hit = iou(state["cur"], b) >= threshold
-        return F.struct(
-            F.when(hit, union_box(state["cur"], b)).otherwise(state["cur"]).alias("cur"),
-            F.when(hit, state["rest"]).otherwise(F.concat(state["rest"], F.array(b))).alias("rest"),
-        )
-
-    def one_round(state: Column, _: Column) -> Column:
-        first = F.element_at(state["rest"], 1)
-        folded = F.aggregate(
-            F.slice(state["rest"], F.lit(2), F.greatest(F.size(state["rest"]) - 1, F.lit(0))),
-            F.struct(first.alias("cur"), F.array().cast(list_type).alias("rest")),
-            absorb,
-        )
-        return F.when(F.size(state["rest"]) == 0, state).otherwise(
-            F.struct(
-                F.concat(state["done"], F.array(folded["cur"])).alias("done"),
-                folded["rest"].alias("rest"),
-            )
-        )
-
-    return F.aggregate(boxes, start, one_round, lambda s: s["done"])

@@ -1,7 +1,7 @@
 """Order-dependent box jobs per page or image, and coordinate fusion.
 
-One group is one screenshot: its element boxes are bounded by the element cap
-and its image boxes by the sampling grid, so gathering a group is safe.  Lists
+One group is one screenshot, the natural unit of these folds; within it they look
+boxes up in a grid (``functions.boxlists``), so a page may have very many.  Lists
 are exploded in the outer form, because the inner form makes the optimizer
 repeat the list expression in a size filter.
 """
@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import fixed
+from veilspark.functions import boxlists as L
 from veilspark.functions import geometry as G
+from veilspark.session import ship_package
 
 ITEM = f"struct<pos:bigint,box:{G.BOX},confidence:double,pii_type:string,mode:string>"
 
@@ -27,9 +29,10 @@ def _items(where: Column | None = None) -> Column:
 
 
 def deduped(boxes: DataFrame, *keys: str, threshold: float = fixed.DEDUPE_IOU) -> DataFrame:
-    kept = boxes.groupBy(*keys).agg(_items().alias("_i")).withColumn("_k", G.dedupe_boxes(F.col("_i"), ITEM, threshold))
-    rows = kept.select(*keys, F.explode_outer("_k").alias("_x")).filter(F.col("_x").isNotNull())
-    return rows.select(*keys, "_x.*")
+    ship_package(boxes.sparkSession)
+    kept = boxes.groupBy(*keys).agg(_items().alias("_i")).withColumn("_k", L.kept_at(F.col("_i.box"), threshold))
+    rows = kept.select(*keys, "_i", F.explode_outer("_k").alias("_n")).filter(F.col("_n").isNotNull())
+    return rows.select(*keys, F.element_at("_i", F.col("_n")).alias("_x")).select(*keys, "_x.*")
 
 
 def merged(
@@ -38,11 +41,14 @@ def merged(
     """Groups of overlapping boxes as one union box with the metadata of the most
     confident member (the first on ties)."""
     big_enough = (F.col("box.width") >= 1) & (F.col("box.height") >= 1)
+    ship_package(boxes.sparkSession)
     groups = (
         boxes.groupBy(*keys)
         .agg(_items(big_enough).alias("_i"))
-        .select(*keys, F.posexplode_outer(G.overlap_groups(F.col("_i"), ITEM, min_iou, min_containment)).alias("grp", "_g"))
-        .filter(F.col("_g").isNotNull())
+        .withColumn("_m", L.groups_at(F.col("_i.box"), min_iou, min_containment))
+        .select(*keys, "_i", F.posexplode_outer("_m").alias("grp", "_m"))
+        .filter(F.col("_m").isNotNull())
+        .select(*keys, "grp", F.transform("_m", lambda n: F.element_at("_i", n)).alias("_g"))
     )
     union = F.aggregate(
         F.slice("_g", F.lit(2), F.size("_g")), F.element_at("_g", 1)["box"], lambda acc, d: G.union_box(acc, d["box"])
@@ -59,9 +65,9 @@ def merged(
 
 
 def unions(boxes: DataFrame, *keys: str, threshold: float = fixed.UNION_IOU) -> DataFrame:
-    packed = boxes.groupBy(*keys).agg(_items().alias("_i"))
-    plain = F.transform("_i", lambda d: d["box"])
-    rows = packed.select(*keys, F.posexplode_outer(G.growing_union(plain, threshold)).alias("ord", "box"))
+    ship_package(boxes.sparkSession)
+    packed = boxes.groupBy(*keys).agg(_items().alias("_i")).withColumn("_u", L.grown_boxes(F.col("_i.box"), threshold))
+    rows = packed.select(*keys, F.posexplode_outer("_u").alias("ord", "box"))
     return rows.filter(F.col("box").isNotNull())
 
 

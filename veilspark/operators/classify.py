@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilspark import fixed
 from veilspark.functions import patterns as P
 from veilspark.operators import elements as E
+from veilspark.operators.rules import first_matches
 
 def _lower(name: str) -> Column:
     return F.lower(F.coalesce(F.col(name), F.lit("")))
@@ -139,29 +140,9 @@ def rule_table(spark, rules=fixed.KEYWORD_RULES) -> DataFrame:
 
 
 def classify_by_rule_table(elements: DataFrame, rules: DataFrame, *keys: str) -> DataFrame:
-    """First matching keyword rule per element, with the rules read as data.
-
-    Rules are configuration, as large as whoever writes them makes them; they become
-    one CASE expression with literal patterns (compiled once per task).  An
-    element row is never multiplied by the rules and nothing is shuffled.
-    """
-    rows = rules.orderBy("priority").collect()
-    arms = F
-    for r in rows:
-        arms = arms.when(
-            F.rlike(F.col("_ctx"), F.lit(r["pattern"])),
-            F.struct(
-                F.lit(r["priority"]).alias("priority"),
-                F.lit(r["pii_type"]).alias("pii_type"),
-                F.lit(r["confidence"]).alias("confidence"),
-            ),
-        )
-    return (
-        _prepared(elements)
-        .withColumn("_r", arms)
-        .filter(F.col("_r").isNotNull())
-        .select(*keys, "pos", "_r.priority", "_r.pii_type", "_r.confidence")
-    )
+    """First matching keyword rule per element, with the rules read as data: any number of them, indexed by literals."""
+    found = first_matches(_prepared(elements).select(*keys, "pos", "_ctx"), "_ctx", rules)
+    return found.select(*keys, "pos", "rule.priority", "rule.pii_type", "rule.confidence")
 
 
 # ---------------------------------------------------------------------------

@@ -16,6 +16,7 @@ _LONG = "(?s)(?=([0-9A-Z].{7}))"
 # every run of four characters; a protected string has at least four
 _SHORT = f"(?s)(?=(.{{{fixed.MIN_PROTECTED_CHARS}}}))"
 _KINDS = (_SHINGLE, _LONG, _SHORT)
+_ALNUM = r"\p{L}\p{N}"
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -60,6 +61,32 @@ def candidates(texts: DataFrame, keys: Sequence[str], text: str, anchored: DataF
     return probe.join(anchored, [*scope, "_kind", "_run"]).select(*keys, item_text)
 
 
+def _whole(n: int) -> str:
+    """Runs of n characters that neither begin nor end inside a run of letters and digits."""
+    return (
+        rf"(?s)(?:(?<![{_ALNUM}])(?=[{_ALNUM}])|(?=[^{_ALNUM}]))(?=(.{{{n}}}))(?=.{{{n - 1}}}(?:[{_ALNUM}](?![{_ALNUM}])|[^{_ALNUM}]))"
+    )
+
+
+def short_hits(texts: DataFrame, keys: Sequence[str], text: str, items: DataFrame, item_text: str, scope: Sequence[str] = ()) -> DataFrame:
+    """Pairs (text keys, item text) of strings under four characters that stand in the text on their own.
+
+    So short a string occurs inside numbers and words all the time, so it counts only where letters and digits do not go
+    on around it. Those runs of a text are taken out and meet the strings in an equi-join, which is exact: nothing is
+    compared again. Only lengths that the text's scope asks for are taken out.
+    """
+    lengths = range(1, fixed.MIN_PROTECTED_CHARS)
+    asked = items.select(*scope, item_text, F.length(item_text).alias("_n")).where(F.col("_n").isin(*lengths)).distinct()
+    used = asked.groupBy(*scope).agg(F.collect_set("_n").alias("_used"))
+    wanted = texts.join(used, list(scope)) if scope else texts.join(used.hint("broadcast"))  # of one row, without a scope
+    runs = F.concat(*[
+        F.when(F.array_contains("_used", n), F.regexp_extract_all(F.col(text), F.lit(_whole(n)), F.lit(1)))
+        .otherwise(F.array().cast("array<string>")) for n in lengths
+    ])
+    told = wanted.select(*keys, F.explode(F.array_distinct(runs)).alias(item_text))
+    return told.join(asked.drop("_n"), [*scope, item_text]).select(*keys, item_text)
+
+
 def containment(
     texts: DataFrame,
     keys: Sequence[str],
@@ -79,20 +106,24 @@ def containment(
     their distinct runs, and the two meet in an equi-join.  Only candidates are
     compared in full.  The plan is lazy and forces no join strategy.  ``scope``
     columns (for example the session) must be among both key lists.  Strings under
-    ``least`` characters (four at least) are not looked for; ``too_short`` counts them.
+    ``least`` characters are not looked for; ``too_short`` counts them. Of the others,
+    those under four count only where they stand on their own (``short_hits``).
     """
-    wanted = items.filter(F.length(item_text) >= max(least, fixed.MIN_PROTECTED_CHARS))
-    pairs = candidates(texts, keys, text, anchors(wanted, item_text, scope), item_text, scope)
+    wanted = items.filter(F.length(item_text) >= least)
+    long = wanted.filter(F.length(item_text) >= fixed.MIN_PROTECTED_CHARS)
+    pairs = candidates(texts, keys, text, anchors(long, item_text, scope), item_text, scope)
     hits = (
         pairs.join(texts.select(*keys, text), list(keys))
         .filter(F.contains(F.col(text), F.col(item_text)))
         .select(*keys, item_text)
     )
+    if least < fixed.MIN_PROTECTED_CHARS:
+        hits = hits.unionByName(short_hits(texts, keys, text, wanted, item_text, scope))
     ids = wanted.select(*dict.fromkeys([*scope, *item_keys, item_text]))
     return hits.join(ids, [*scope, item_text]).select(*dict.fromkeys([*keys, *item_keys]), item_text)
 
 
 def too_short(items: DataFrame, item_text: str, scope: Sequence[str] = (), least: int = fixed.MIN_PROTECTED_CHARS) -> DataFrame:
     """How many strings of each scope are too short to be looked for."""
-    short = F.length(item_text) < max(least, fixed.MIN_PROTECTED_CHARS)
+    short = F.length(item_text) < least
     return items.groupBy(*scope).agg(F.count_if(F.coalesce(short, F.lit(False))).alias("too_short"))

@@ -3,11 +3,13 @@ verdict per page.  Whatever fails a check is blocked and sends nothing."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspark import fixed
 from veilspark.functions import patterns as P
 from veilspark.operators import boxes as B
 from veilspark.operators import classify as C
@@ -30,12 +32,12 @@ class Step:
     verdicts: DataFrame
 
 
-def payload_bodies(sanitised: DataFrame, task: Column) -> DataFrame:
-    """Serialised payload per page; the elements of one page form one row."""
+def payload_bodies(sanitised: DataFrame, task: Column, also: Sequence[str] = ()) -> DataFrame:
+    """Serialised payload per page; the elements of one page form one row. ``also``: columns of the page to keep."""
     element = F.struct(
         "pos", "tag", "type", "id", "name", "selector", "text", "label", "aria_label", "autocomplete", "role", "value"
     )
-    grouped = sanitised.groupBy("session_id", "page_id", "step").agg(
+    grouped = sanitised.groupBy("session_id", "page_id", "step", *also).agg(
         F.array_sort(F.collect_list(element)).alias("dom_elements")
     )
     body = F.struct(
@@ -45,18 +47,19 @@ def payload_bodies(sanitised: DataFrame, task: Column) -> DataFrame:
         F.concat(F.lit("s"), F.col("session_id").cast("string")).alias("session_id"),
     )
     return grouped.select(
-        "session_id", "page_id", "step", F.to_json(body, {"ignoreNullFields": "false"}).alias("body")
+        "session_id", "page_id", "step", *also, F.to_json(body, {"ignoreNullFields": "false"}).alias("body")
     )
 
 
-def vault_leaks(payloads: DataFrame, tokenised: DataFrame) -> DataFrame:
+def vault_leaks(payloads: DataFrame, tokenised: DataFrame, least: int = fixed.MIN_PROTECTED_CHARS) -> DataFrame:
     """Raw values a payload shows although its session had registered them by
     that step: (session_id, page_id, step, raw_value, token, tokens).
 
     A value may have been registered many times.  The search runs on distinct
     values, each with its first token; how many tokens it had by the step of the
     payload is a running total over registrations, so registrations and payloads
-    of a busy session are never paired.
+    of a busy session are never paired. Values under ``least`` characters are not
+    looked for (``containment.too_short`` counts them per session).
     """
     registered = materialise(
         tokenised.filter(F.coalesce("value", F.lit("")) != "").select(
@@ -69,7 +72,7 @@ def vault_leaks(payloads: DataFrame, tokenised: DataFrame) -> DataFrame:
     )
     pairs = containment(
         spread(payloads, "session_id", "page_id"), ["session_id", "page_id", "step"], "body", values, ["session_id", "token", "known_from"], "raw_value",
-        scope=["session_id"],
+        scope=["session_id"], least=least,
     )
     leaks = materialise(pairs.filter(F.col("known_from") <= F.col("step")), "leaks")
     timeline = leaks.select(

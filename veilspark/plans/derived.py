@@ -177,9 +177,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def form_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Element rows of one form page per customer; eight pages make a session."""
-    customers = spread(load(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").select(
+def form_elements(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
+    """Element rows of one form page per customer; eight pages make a session. ``customers`` may be a stream."""
+    if customers is None:
+        customers = spread(load(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    customers = customers.select(
         F.col("c_custkey").alias("k"), "c_name", (F.col("c_custkey") % TEMPLATES).cast("int").alias("template")
     )
     template = template_rows(spark)  # fixed size: the rows above
@@ -305,9 +307,9 @@ def default_values_sql() -> str:
     ) + ") AS d(ord, token_name, raw_value)"
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per step: stage timings in ms from the event value and id."""
-    e = spread(load(spark, sf_dir, "events"), "event_id")
+def telemetry(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """One row per step: stage timings in ms from the event value and id. ``events`` may be a stream."""
+    e = spread(load(spark, sf_dir, "events"), "event_id") if events is None else events
     ms = F.col("value")
     return e.select(
         F.col("user_id").alias("session_id"),

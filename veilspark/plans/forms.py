@@ -89,6 +89,27 @@ def classify_rule_join(spark, sf_dir):
     return C.classify_by_rule_table(D.form_elements(spark, sf_dir), C.rule_table(spark), "page_id")
 
 
+@query(
+    "classify_many_rules",
+    Q.with_ctes(
+        Q.FORM,
+        select=f"""SELECT page_id, pos, coalesce({_rule_case(0)}, part.priority) AS priority,
+            coalesce({_rule_case(1)}, 'sensitive') AS pii_type, coalesce({_rule_case(2)}, 0.5) AS confidence
+        FROM (SELECT *, {Q.DETECTOR_CTX} AS ctx FROM form_elements) f
+        LEFT JOIN (SELECT 100 + p_partkey AS priority, p_partkey FROM part) part ON f.id = 'orderref' AND part.p_partkey = 21
+        WHERE {_rule_case(0)} IS NOT NULL OR part.priority IS NOT NULL""",
+    ),
+)
+def classify_many_rules(spark, sf_dir):
+    """The keyword rules and one more per part; of these, one speaks of order references."""
+    k = F.col("p_partkey")
+    word = F.when(k == 21, F.lit(r"order\s+reference")).otherwise(F.concat(F.lit(r"(?:no|serial)\s*ref"), k.cast("string"), F.lit(r"\b|order-"), k.cast("string")))
+    more = D.load(spark, sf_dir, "part").select(
+        (k + 100).cast("int").alias("priority"), F.concat(F.lit("(?i)"), word).alias("pattern"), F.lit("sensitive").alias("pii_type"), F.lit(0.5).alias("confidence")
+    )
+    return C.classify_by_rule_table(D.form_elements(spark, sf_dir), C.rule_table(spark).unionByName(more), "page_id")
+
+
 @query(
     "mode_lookup",
     Q.with_ctes(

@@ -39,7 +39,8 @@ _TEXT = "trim(regexp_replace(" + _unescape("regexp_replace({e}, '<[^>]*>', '', '
            substr({_TEXT.format(e='unnest(texts)')}, 1, {fixed.TEXT_CHARS}) AS text, true AS visible FROM a""",
 )
 def page_links(spark, sf_dir):
-    return H.snapshot_elements(pages(spark, sf_dir, "html")).select("page_id", "pos", "tag", "href", "text", "visible")
+    links = H.snapshot_elements(pages(spark, sf_dir, "html"))
+    return links.select("page_id", "pos", "tag", "href", F.substring("text", 1, fixed.TEXT_CHARS).alias("text"), "visible")
 
 
 @query(
@@ -94,6 +95,30 @@ def page_form_elements(spark, sf_dir):
     )
 
 
+# Labels around their field, for it, both, and never closed; a select in a label; a button with nested markup.
+_NESTED = """concat('<form><label>Card <b>number</b> <input id="c', k, '"></label><label for="d', k, '">Born ', k, '<p></label>',
+    '<div><input id="d', k, '" aria-label="unused"></div><label>Colour <select name="s"><option>Red<option selected>Blue', k, '</select></label>',
+    '<label for="e', k, '"> </label><label>Outer <input id="e', k, '" placeholder="p"></label><input name="n', k, '">',
+    '<button>Pay <span>', k, ' <i>now</i></span></button><div role="button"><div>Go</div> on</div><label>Open <input id="f', k, '"></form>')"""
+_RESOLVED = """['Card number', 'Born ' || k, 'Colour RedBlue' || k, 'Outer', 'n' || k, NULL, NULL, 'Open']"""
+
+
+@query(
+    "page_labels",
+    f"""WITH h AS (SELECT page_id, page_id AS k, len(regexp_extract_all(regexp_replace(html,
+            '(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>', ' ', 'g'), '<a href="([^"]*)">')) AS n FROM pages)
+    SELECT page_id, n + [1, 3, 5, 8, 9, 10, 11, 13][i] AS pos, ['input', 'input', 'select', 'input', 'input', 'button', 'div', 'input'][i] AS tag,
+        {_RESOLVED}[i] AS resolved_label, CASE i WHEN 6 THEN 'Pay ' || k || ' now' WHEN 7 THEN 'Go on' END AS text,
+        CASE WHEN i = 3 THEN 'Blue' || k WHEN i IN (1, 2, 4, 5, 8) THEN '' END AS value
+    FROM h, range(1, 9) r(i)""",
+)
+def page_labels(spark, sf_dir):
+    """Labels, texts and values of fields in nested and unclosed markup after each page's own."""
+    src = pages(spark, sf_dir, "html").withColumn("k", F.col("page_id"))
+    rows = H.snapshot_elements(src.select("page_id", F.concat("html", F.expr(_NESTED)).alias("html")))
+    return rows.filter(~F.col("tag").isin("a", "label")).select("page_id", "pos", "tag", "resolved_label", "text", "value")
+
+
 # A form without any inline size, as most pages have it.
 _BARE_FORM = """concat('<form><label for="m', k, '">Mail</label><input id="m', k, '" type="email" value="p', k, '&#64;example.com">',
     '<input type="password" name="pw', k, '" value="s3cret', k, '"><input name="cc" autocomplete="cc-number" value="4111 1111 1111 1111">',

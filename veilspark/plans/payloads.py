@@ -11,6 +11,7 @@ from veilspark.operators import flow as W
 from veilspark.operators import quality as K
 from veilspark.operators import scan as S
 from veilspark.operators import vault as V
+from veilspark.operators.containment import too_short
 from veilspark.plans import derived as D
 from veilspark.plans import sqlparts as Q
 from veilspark.plans.forms import tagged
@@ -20,14 +21,14 @@ from veilspark.session import materialise, spread
 _TASK = "CASE WHEN page_id % 12 = 0 THEN concat('mail user', cast(page_id AS {s}), '@example.com') ELSE 'Fill the form' END"
 
 
-def outgoing_elements(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+def outgoing_elements(spark, sf_dir, raw_every: int = 10) -> tuple[DataFrame, DataFrame]:
     """(elements to send, tokenised rows); every tenth page is sent raw on
     purpose, so that the checks have something to find."""
     t = tagged(spark, sf_dir)
     tokenised = V.tokens(t)
     clean = V.sanitised_elements(t, tokenised)
     raw = t.select(*clean.columns)
-    sent = clean.filter(F.col("page_id") % 10 != 0).unionByName(raw.filter(F.col("page_id") % 10 == 0))
+    sent = clean.filter(F.col("page_id") % raw_every != 0).unionByName(raw.filter(F.col("page_id") % raw_every == 0))
     return sent, tokenised
 
 
@@ -82,6 +83,44 @@ def payload_leaks(spark, sf_dir):
     return vault_leaks.unionByName(pattern.select("page_id", "reason", F.col("pii_type").alias("what"), "hint", F.lit(1).cast("long").alias("n")))
 
 
+_ON_ITS_OWN = r"[^\p{L}\p{N}]"
+
+
+@query(
+    "payload_short_leaks",
+    Q.with_ctes(
+        Q.FORM, Q.CLASSIFIED, Q.TOKENISED, _SENT.replace("page_id % 10", "page_id % 3"),
+        select=rf"""SELECT p.page_id, min_by(v.token, (t.step, t.pos)) AS token, md5(v.raw_value) AS raw_md5, count(*) AS n
+        FROM payloads p JOIN tokenised t ON t.session_id = p.session_id AND t.step <= p.step
+        JOIN vault v ON v.session_id = t.session_id AND v.token = t.token
+        WHERE length(v.raw_value) < 4 AND regexp_matches(p.body, concat('(^|{_ON_ITS_OWN})', v.raw_value, '($|{_ON_ITS_OWN})'))
+        GROUP BY p.page_id, v.raw_value""",
+    ),
+)
+def payload_short_leaks(spark, sf_dir):
+    """Values of one to three characters, like a card's check number, that a payload shows on their own."""
+    sent, tokenised = outgoing_elements(spark, sf_dir, raw_every=3)
+    short = tokenised.where(F.length("value") < fixed.MIN_PROTECTED_CHARS)
+    found = W.vault_leaks(materialise(payloads(sent), "payloads"), short, least=1)
+    return found.select("page_id", "token", F.md5("raw_value").alias("raw_md5"), F.col("tokens").alias("n"))
+
+
+@query(
+    "vault_too_short",
+    Q.with_ctes(
+        Q.FORM, Q.CLASSIFIED, Q.TOKENISED,
+        select="""SELECT session_id, count(*) FILTER (WHERE length(raw_value) < 4) AS too_short, 0 AS too_short_for_one
+        FROM vault GROUP BY session_id""",
+    ),
+)
+def vault_too_short(spark, sf_dir):
+    """How many values of each session the leak check passes over with its usual least length, and with a least of one."""
+    t = tagged(spark, sf_dir)
+    vault = materialise(V.vault_rows(V.tokens(t)), "vault-lengths")
+    usual, one = (too_short(vault, "raw_value", ["session_id"], n) for n in (fixed.MIN_PROTECTED_CHARS, 1))
+    return usual.join(one.withColumnRenamed("too_short", "too_short_for_one"), "session_id")
+
+
 @query(
     "leak_verdict",
     Q.with_ctes(

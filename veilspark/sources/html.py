@@ -1,4 +1,4 @@
-"""Element rows out of raw HTML, with native regular expressions only.
+"""Element rows out of raw HTML.
 
 Layout is not known without a browser: the box of an element comes from pixel
 values of its inline style, and an element without them has no box.
@@ -6,23 +6,17 @@ values of its inline style, and an element without them has no box.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import fixed
 from veilspark.functions import geometry as G
 from veilspark.operators import elements as E
+from veilspark.session import ship_package
+from veilspark.sources import markup
 
 _ATTRS = r"""(?:"[^"]*"|'[^']*'|[^'">]++)*+"""
-_IGNORED = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
-# elements an agent can see or use: controls, links, images, labels, and ARIA controls
-_ELEMENT = (
-    r"(?is)<(?:(?:input|img|canvas)(?![\w-])" + _ATTRS + r">"
-    r"|((?:select|textarea|button|label)(?![\w-])"
-    r"|a(?=\s[^>]*?\bhref\s*=)"
-    r"""|[a-z][\w-]*(?=\s[^>]*?(?:\brole\s*=\s*["']?(?:button|checkbox|combobox)\b"""
-    r"""|\bcontenteditable\s*=\s*["']?true\b)))""" + _ATTRS + r">(?=(?:(.*?)</\1[\s>])?+))"
-)
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
@@ -52,14 +46,6 @@ def unescape(c: Column) -> Column:
     return c
 
 
-def attribute(open_tag: Column, name: str) -> Column:
-    """Value of an attribute: NULL when absent, '' when it has no value."""
-    here = rf"""(?is)^<[^\s>]+(?:"[^"]*"|'[^']*'|[^'">])*?\s{name}(?=[\s=>/])"""
-    value = rf"""{here}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-    parts = [F.regexp_extract(open_tag, value, i) for i in (1, 2, 3)]
-    return F.when(F.rlike(open_tag, F.lit(here)), unescape(F.concat(*parts)))
-
-
 def plain_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(unescape(F.regexp_replace(html, "<[^>]*>", "")), r"\s+", " "))
 
@@ -73,71 +59,84 @@ def _px(style: Column, name: str) -> Column:
     return F.nullif(found, F.lit("")).cast("double")
 
 
+_READ = {  # column: attribute
+    "type": "type", "id": "id", "name": "name", "_class": "class", "placeholder": "placeholder", "aria_label": "aria-label",
+    "_labelledby": "aria-labelledby", "autocomplete": "autocomplete", "role": "role", "_value": "value", "alt": "alt", "_style": "style",
+    "_hidden": "hidden", "_aria_hidden": "aria-hidden", "for_id": "for", "href": "href",
+}
+_FOUND = ("tag", "inner", "value", "associated", "enclosing")
+ROWS_AT_ONCE = 5_000
+
+
+def tag_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html", limit: int | None = None) -> DataFrame:
+    """page_id, pos, and what one pass over the tags of a page tells about each element (``markup.elements``): its tag,
+    attributes, inner text, value, and the texts of its first associated label and of the label around it.
+
+    Pages are read where they are; nothing is shuffled. A null page has no elements.
+    """
+    ship_package(pages.sparkSession)
+    source = pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html"))
+    text = [F.lit(None).cast("string").alias(c) for c in ("tag", "inner", "value", "associated", "enclosing", *_READ)]
+    schema = source.select("page_id", F.lit(0).alias("pos"), *text).schema
+
+    def told(batch, at, pos, rows):
+        found = [pa.array([r[c] for r in rows], pa.string()) for c in _FOUND]
+        read = [pa.array([r["attrs"].get(a) for r in rows], pa.string()) for a in _READ.values()]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), *found, *read], names=schema.names
+        )
+
+    def run(batches):
+        for batch in batches:
+            at, pos, rows = [], [], []
+            for i, page in enumerate(batch.column(1)):
+                if page.is_valid:
+                    new = markup.elements(page.as_py())[:limit]
+                    at += [i] * len(new)
+                    pos += range(len(new))
+                    rows += new
+                if len(rows) >= ROWS_AT_ONCE:
+                    yield told(batch, at, pos, rows)
+                    at, pos, rows = [], [], []
+            yield told(batch, at, pos, rows)
+
+    return source.mapInArrow(run, schema)
+
+
 def snapshot_elements(pages: DataFrame, page_id: str = "page_id", html: str = "html", limit: int | None = None) -> DataFrame:
     """One row per element in document order; all of them, unless a ``limit`` per page is given.
 
-    The element list of a page is cut before it is exploded, so a limit needs
-    neither a sort nor a shuffle.
+    Texts are whole; what leaves in a payload is cut there. ``resolved_label`` is the text of the first label that is
+    associated with the element, else of the label around it, else its aria-label, aria-labelledby, placeholder or name;
+    ``label`` the same without label elements.
     """
-    clean = pages.select(page_id, F.regexp_replace(html, _IGNORED, " ").alias("_h"))
-    zipped = F.arrays_zip(
-        F.regexp_extract_all("_h", F.lit(_ELEMENT), F.lit(0)).alias("open"),
-        F.regexp_extract_all("_h", F.lit(_ELEMENT), F.lit(2)).alias("inner"),
-    )
-    rows = (
-        clean.select(page_id, (zipped if limit is None else F.slice(zipped, 1, limit)).alias("_all"))
-        .select(page_id, F.posexplode_outer("_all").alias("pos", "_e"))
-        .filter(F.col("_e").isNotNull())
-        .select(page_id, "pos", F.col("_e.open").alias("_o"), F.col("_e.inner").alias("_inner"))
-    )
-    o = F.col("_o")
-    names = {
-        "type": "type", "id": "id", "name": "name", "_class": "class", "placeholder": "placeholder",
-        "aria_label": "aria-label", "_labelledby": "aria-labelledby", "autocomplete": "autocomplete", "role": "role",
-        "_value": "value", "alt": "alt", "_style": "style", "_hidden": "hidden", "_aria_hidden": "aria-hidden", "for_id": "for",
-        "href": "href",
-    }
-    rows = rows.withColumns({out: attribute(o, name) for out, name in names.items()}).withColumn(
-        "tag", F.lower(F.regexp_extract(o, r"^<([A-Za-z][\w-]*)", 1))
-    )
+    rows = tag_elements(pages, page_id, html, limit).withColumnRenamed("page_id", page_id)
     style = F.coalesce("_style", F.lit(""))
     width, height = _px(style, "width"), _px(style, "height")
     x, y = F.coalesce(_px(style, "left"), F.lit(0.0)), F.coalesce(_px(style, "top"), F.lit(0.0))
-    tag, inner = F.col("tag"), F.col("_inner")
-    chosen = F.regexp_extract(inner, rf"(?is)<option\b(?=[^>]*\sselected\b){_ATTRS}>", 0)
-    first = F.regexp_extract(inner, rf"(?is)<option\b{_ATTRS}>", 0)
-    option = F.when(chosen != "", chosen).otherwise(first)
-    # An option without a value stands for its text.
-    chosen_text = F.regexp_extract(inner, rf"(?is)<option\b(?=[^>]*\sselected\b){_ATTRS}>([^<]*)", 1)
-    first_text = F.regexp_extract(inner, rf"(?is)<option\b{_ATTRS}>([^<]*)", 1)
-    option_text = plain_text(F.when(chosen != "", chosen_text).otherwise(first_text))
-    is_file = F.lower(F.coalesce("type", F.lit(""))) == "file"
-    value = (
-        F.when((tag == "input") & ~is_file, F.coalesce("_value", F.lit("")))
-        .when(tag == "textarea", unescape(inner))
-        .when((tag == "select") & (option != ""), F.coalesce(attribute(option, "value"), option_text))
-    )
-    hints = F.when(tag == "img", F.substring(E.joined("id", "_class", "alt"), 1, fixed.HINT_CHARS))
+    tag, inner = F.col("tag"), F.col("inner")
+    hints = F.when(tag == "img", E.joined("id", "_class", "alt"))
     caption = F.when(
-        tag.isin("button", "a") | (F.coalesce("role", F.lit("")) == "button"),
-        F.substring(F.coalesce(E.filled(plain_text(inner)), F.trim("_value"), F.lit("")), 1, fixed.TEXT_CHARS),
+        tag.isin("button", "a") | (F.coalesce("role", F.lit("")) == "button"), F.coalesce(E.filled(inner), F.trim("_value"), F.lit(""))
     )
+    own = [E.filled(c) for c in ("aria_label", "_labelledby", "placeholder", "name")]
     return rows.select(
         page_id, "pos", "tag", "type", "id", "name",
         E.class_list(F.col("_class")).alias("classes"),
         F.coalesce(F.concat(F.lit("#"), E.filled("id")), F.concat(F.lit("e"), F.col("pos").cast("string"))).alias("selector"),
         caption.alias("text"),
-        F.substring(F.coalesce(E.filled("aria_label"), E.filled("_labelledby"), E.filled("placeholder"), E.filled("name")), 1, fixed.LABEL_CHARS).alias("label"),
-        "placeholder", "aria_label", "autocomplete", "role",
-        value.alias("value"),
+        F.coalesce(*own).alias("label"),
+        "placeholder", "aria_label", "autocomplete", "role", "value",
         tag.isin("img", "canvas").alias("is_img"),
         hints.alias("img_hints"),
         "alt",
         E.visible_from_markup(F.col("_hidden").isNotNull(), F.col("_aria_hidden"), F.col("_style"), width, height).alias("visible"),
         F.when(width.isNotNull() & height.isNotNull(), G.box(x, y, width, height)).alias("rect"),
         "for_id",
-        F.when(tag == "label", plain_text(inner)).alias("label_text"),
+        F.when(tag == "label", inner).alias("label_text"),
         "href",
+        "enclosing",
+        F.coalesce(E.filled("associated"), E.filled("enclosing"), *own).alias("resolved_label"),
     )
 
 

@@ -1,44 +1,30 @@
-"""Structured Streaming jobs: sanitising, session vault, plan cursor, telemetry."""
+"""Structured Streaming jobs: sanitising, whole steps, telemetry, sessions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from veilspark import fixed
 from veilspark.functions import patterns as P
+from veilspark.operators import classify as C
+from veilspark.operators import flow as W
 from veilspark.operators import quality as K
 from veilspark.operators import sessions as T
 from veilspark.session import shared_dir
-from veilspark.streaming.state import RunningCounts
+from veilspark.streaming import stateful as S
 
+FILES_PER_BATCH = 64
 
-def replay(
-    df: DataFrame,
-    order: str,
-    build: Callable[[DataFrame], DataFrame],
-    handle: Callable[[DataFrame, int], None],
-    slices: int = 3,
-    mode: str = "append",
-) -> None:
-    """Run a table through a streaming job in ``slices`` ranges of a numeric column.
 
-    Each range is appended to a source folder (in parallel, any number of files)
-    and processed as one or more micro-batches before the next one arrives; every
-    run goes on from the checkpoint of the one before.
-    """
-    spark = df.sparkSession
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    low, high = low or 0, high or 0
-    source, progress = shared_dir(spark, "replay"), shared_dir(spark, "progress")
-    step = (high - low) // slices + 1
-    for i in range(slices):
-        part = df.filter((F.col(order) >= low + i * step) & (F.col(order) < low + (i + 1) * step))
-        part.write.mode("append").parquet(source)
-        run_available(build(spark.readStream.schema(df.schema).parquet(source)), handle, mode, progress)
+def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
+    """The files of a table as a stream, oldest first, so many of them to a micro-batch."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    # As a pattern it may stand for a folder or for a single file.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
 
 
 def run_available(
@@ -79,69 +65,69 @@ def sanitise_sink(out: str) -> Callable[[DataFrame, int], None]:
 
 
 # ---------------------------------------------------------------------------
-def vault_job(path: str, session_ddl: str, order: Sequence[str], bucket: Column) -> Callable[[DataFrame, int], None]:
-    """Numbers tokens per (session, kind) across micro-batches.
-
-    Batch columns: session_id, kind, raw_value, is_reset and the order columns.
-    A reset row starts a new epoch of its session: numbers begin again, and rows
-    of earlier epochs no longer count as the session's vault.
-    """
-    resets = RunningCounts(f"{path}/resets", ["session_id"], f"session_id {session_ddl}")
-    numbers = RunningCounts(
-        f"{path}/numbers", ["session_id", "epoch", "kind"], f"session_id {session_ddl}, epoch bigint, kind string"
-    )
-    flag = F.col("is_reset").cast("int")
+STEP_STATES = ("unverified image", "vault leak", "pattern leak", "invalid", "sent")
+_PAGE_KEYS = ["session_id", "page_id", "step"]
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        epochs = resets.running(batch, batch_id, bucket, order, flag, "epoch")
-        epochs.write.mode("overwrite").parquet(f"{path}/epochs/batch={batch_id}")  # read three times below
-        rows = batch.sparkSession.read.parquet(f"{path}/epochs/batch={batch_id}").filter(~F.col("is_reset"))
-        named = numbers.running(rows, batch_id, bucket, order, F.lit(1), "seq").withColumn(
-            "token", F.concat(F.lit("["), "kind", F.lit("_"), F.col("seq").cast("string"), F.lit("]"))
-        )
-        named.write.mode("overwrite").parquet(f"{path}/vault/batch={batch_id}")
-        numbers.advance(rows, batch_id, F.lit(1))
-        resets.advance(batch, batch_id, flag)
 
-    return handle
+def step_stream(elements: DataFrame) -> DataFrame:
+    """Streaming elements of captured pages (with ``task`` and ``verified``: the verdict on the page's redacted image)
+    with their tokens. A page's elements must arrive in one micro-batch."""
+    found = C.with_detection(elements).withColumn("token_kind", F.col("det.token_kind"))
+    return S.step_tokens(found.drop("det", "placeholder"), [c for c in found.columns if c not in ("det", "placeholder")])
 
 
-def current_vault(rows: DataFrame, epochs: DataFrame) -> DataFrame:
-    """Vault rows of the latest epoch of each session."""
-    latest = epochs.groupBy("session_id").agg(F.max("epoch").alias("epoch"))
-    return rows.join(latest, ["session_id", "epoch"], "left_semi")
+def step_verdicts(rows: DataFrame) -> DataFrame:
+    """One row per page: session_id, page_id, step, status, vault_leaks, pattern_leaks, body.
 
-
-# ---------------------------------------------------------------------------
-def cursor_job(path: str, session_ddl: str, order: Sequence[str], bucket: Column) -> Callable[[DataFrame, int], None]:
-    """Numbers the calls of each session across micro-batches; step 0 starts again.
-
-    Batch columns: session_id, step and the order columns.  Writes ``run`` (how
-    often the session started) and ``n`` (0-based call of the run).
+    ``rows``: what ``step_stream`` gave for one micro-batch. Fail closed: a step is sent only if its image is known to
+    be verified, its body shows neither a value of the session's vault nor a personal pattern, and its record is valid.
     """
-    runs = RunningCounts(f"{path}/runs", ["session_id"], f"session_id {session_ddl}")
-    calls = RunningCounts(f"{path}/calls", ["session_id", "run"], f"session_id {session_ddl}, run bigint")
-    start = F.when(F.col("step") == 0, 1).otherwise(0)
+    # Values of other fields that look personal are wiped; sensitive ones are tokens.
+    shown = F.when(P.has_finding(F.col("value")), F.lit("")).otherwise(F.col("value"))
+    sanitised = rows.where("is_new").withColumns({
+        "value": F.coalesce("token", shown), "task": F.coalesce("task", F.lit("")), "verified": F.coalesce("verified", F.lit(False)),
+    })
+    bodies = W.payload_bodies(sanitised, F.col("task"), ["task", "verified"])
+    registered = rows.where(F.col("token").isNotNull()).select(
+        "session_id", "token", F.col("at_step").alias("step"), F.col("at_pos").alias("pos"), F.col("raw_value").alias("value")
+    )
+    leaks = W.vault_leaks(bodies, registered).groupBy("page_id").agg(F.countDistinct("raw_value").alias("vault_leaks"))
+    checked = (
+        bodies.withColumn("pattern_leaks", F.size(P.scan_text(P.strip_tokens(F.col("body")))).cast("long"))
+        .join(leaks, "page_id", "left").withColumn("vault_leaks", F.coalesce("vault_leaks", F.lit(0)))
+    )
+    valid = K.payload_is_valid(F.col("task"), F.col("session_id").cast("string"), F.col("step")) & F.col("page_id").isNotNull()
+    status = (
+        F.when(~F.col("verified"), "unverified image").when(F.col("vault_leaks") > 0, "vault leak")
+        .when(F.col("pattern_leaks") > 0, "pattern leak").when(~valid, "invalid").otherwise("sent")
+    )
+    return checked.withColumn("status", status).select(
+        *_PAGE_KEYS, "status", "vault_leaks", "pattern_leaks", F.when(F.col("status") == "sent", F.col("body")).alias("body")
+    )
 
+
+def step_sink(out: str) -> Callable[[DataFrame, int], None]:
+    """Payloads that may be sent in one folder, a row for each blocked step in one folder per cause; a repeated batch
+    overwrites its own files. Raw values stay in the working copy of a batch, which the next one replaces."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        in_run = runs.running(batch, batch_id, bucket, order, start, "run")
-        in_run.write.mode("overwrite").parquet(f"{path}/in_run/batch={batch_id}")
-        rows = batch.sparkSession.read.parquet(f"{path}/in_run/batch={batch_id}")
-        numbered = calls.running(rows, batch_id, bucket, order, F.lit(1), "n").withColumn("n", F.col("n") - 1)
-        numbered.write.mode("overwrite").parquet(f"{path}/cursor/batch={batch_id}")
-        calls.advance(rows, batch_id, F.lit(1))
-        runs.advance(batch, batch_id, start)
+        work = f"{out}/work"
+        batch.write.mode("overwrite").parquet(work)  # the state operator must run once only
+        step_verdicts(batch.sparkSession.read.schema(batch.schema).parquet(work)).write.mode("overwrite").partitionBy(
+            "status").parquet(f"{out}/steps/batch={batch_id}")
+        batch.sparkSession.createDataFrame([], batch.schema).write.mode("overwrite").parquet(work)
 
     return handle
 
 
 # ---------------------------------------------------------------------------
-def telemetry_windows(steps: DataFrame, delay: str = "30 minutes", width: str = "1 hour") -> DataFrame:
-    """Latency per window and event type; state is bounded by the watermark."""
+def window_deltas(steps: DataFrame, width_seconds: int = 3600) -> DataFrame:
+    """Latency per window (its ``start``; null for steps without a time) and event type of one micro-batch, in a form
+    that adds up with that of any other."""
+    width = width_seconds * 1_000_000
+    start = F.timestamp_micros(F.floor(F.unix_micros(F.col("ts")) / width) * width)
     return (
         steps.withColumn("total_ms", T.total_ms())
-        .withWatermark("ts", delay)
-        .groupBy(F.window("ts", width), "event_type")
+        .groupBy(start.alias("start"), "event_type")
         .agg(
             F.count("*").alias("steps"),
             F.sum("total_ms").alias("sum_ms"),
@@ -151,13 +137,18 @@ def telemetry_windows(steps: DataFrame, delay: str = "30 minutes", width: str =
     )
 
 
-def slot_sink(out: str, key: str, ts: str) -> Callable[[DataFrame, int], None]:
-    """Activity slots of each micro-batch, in a folder of its own that a repeated batch overwrites.
+def merged_windows(deltas: DataFrame) -> DataFrame:
+    """Windows out of the deltas of all micro-batches, however late a step came."""
+    return deltas.groupBy("start", "event_type").agg(
+        F.sum("steps").alias("steps"), F.sum("sum_ms").alias("sum_ms"), F.max("worst_ms").alias("worst_ms"),
+        F.sum("slow_steps").alias("slow_steps"),
+    )
+
 
-    Slots of all batches add up whatever their order, so late events are kept, and
-    sessions read from them include those still open. Nothing is held between batches.
-    """
+def batch_sink(out: str, reduce: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """What ``reduce`` makes of each micro-batch, in a folder of its own that a repeated batch overwrites. Nothing is
+    held between batches, so nothing is ever too late."""
     def handle(batch: DataFrame, batch_id: int) -> None:
-        T.activity_slots(batch, key, ts).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        reduce(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return handle
