@@ -201,6 +201,9 @@ SKIN_CB = (77, 127)
 SKIN_CR = (133, 177)
 SKIN_MIN_SUM = 90
 CELL_PX = 4
+DARK_MEAN = 10.0
+FLAT_VARIANCE = 8.0
+BLOCK_VARIANCE = 12.0
 
 # fixed values: wording of planned actions and of the model prompt
 PLAN_TEXT = {

@@ -124,24 +124,26 @@ def blur(image: np.ndarray, box: tuple[int, int, int, int], radius: int, passes:
     image[y:y + h, x:x + w, 3] = 255
 
 
-def destroy(image: np.ndarray, box: tuple[int, int, int, int], mode: str, block: int | None) -> None:
+def destroy(image: np.ndarray, box: tuple[int, int, int, int], mode: str, block: int | None, smear: bool = True) -> None:
     if mode == "blackout":
         blackout(image, box)
     else:
         block = int(block)
         pixelate(image, box, block)
-        blur(image, box, max(1, int(block / 8 + 0.5)))
+        if smear:
+            blur(image, box, max(1, int(block / 8 + 0.5)))
 
 
-def is_destroyed(image: np.ndarray, box: tuple[int, int, int, int], mode: str, block: int | None) -> bool:
-    """Blackout: dark and flat on a sample grid.  Blur: every pixelation block
-    flat inside its smeared rim; a region without a sampled block fails."""
+def is_destroyed(image: np.ndarray, box: tuple[int, int, int, int], mode: str, block: int | None, dark: float = fixed.DARK_MEAN,
+                 flat: float = fixed.FLAT_VARIANCE, block_flat: float = fixed.BLOCK_VARIANCE) -> bool:
+    """Blackout: mean below ``dark`` and variance below ``flat`` on a sample grid.  Blur: every pixelation block
+    of a variance up to ``block_flat`` inside its smeared rim; a region without a sampled block fails."""
     x, y, w, h = box
     luma = image[y:y + h, x:x + w, :3] @ LUMA
     if mode == "blackout":
         step = max(1, min(w, h) // 8)
         sample = luma[::step, ::step]
-        return bool(sample.mean() < 10 and sample.var() < 8)
+        return bool(sample.mean() < dark and sample.var() < flat)
     block = int(block or max(6, int(min(w, h) / 6 + 0.5)))
     rim = min(6, max(1, int(block / 4 + 0.5)))
     step = max(1, (block - rim) // 3)
@@ -153,7 +155,7 @@ def is_destroyed(image: np.ndarray, box: tuple[int, int, int, int], mode: str, b
             if sample.size < 3:
                 continue
             checked += 1
-            if sample.var() > 12:
+            if sample.var() > block_flat:
                 return False
     return checked > 0
 
@@ -177,8 +179,9 @@ def mutation(before: np.ndarray, after: np.ndarray, box: tuple[int, int, int, in
 def black_share(image: np.ndarray, scale: int = 8) -> float:
     """Share of near-black pixels at 1/scale size (plain block means)."""
     h, w = image.shape[:2]
-    small = image[: h // scale * scale, : w // scale * scale, :3].reshape(h // scale, scale, w // scale, scale, 3)
-    return float((small.mean(axis=(1, 3)) < 12).all(axis=-1).mean())
+    part = image[: h // scale * scale, : w // scale * scale, :3].astype(np.uint32)
+    sums = np.add.reduceat(np.add.reduceat(part, np.arange(0, part.shape[0], scale), axis=0), np.arange(0, part.shape[1], scale), axis=1)
+    return float((sums < 12 * scale * scale).all(axis=-1).mean())
 
 
 def signature(image: np.ndarray) -> tuple[int, int, int]:

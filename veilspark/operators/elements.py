@@ -41,6 +41,12 @@ def visible_from_markup(attr_hidden: Column, aria_hidden: Column, style: Column,
     )
 
 
+def on_all_pages(elements: DataFrame, pages: DataFrame, *keys: str) -> DataFrame:
+    """``elements`` and, for each page of ``pages`` that has none, one row with nothing but the page's keys, so that
+    plans, summaries and payloads have a row for it too."""
+    return pages.select(*keys).distinct().join(elements, list(keys), "left")
+
+
 def is_interactive() -> Column:
     return F.coalesce(F.col("tag").isin(*fixed.INTERACTIVE_TAGS), F.lit(False)) | F.coalesce(
         F.col("role").isin(*fixed.INTERACTIVE_ROLES), F.lit(False)

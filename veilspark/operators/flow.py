@@ -34,11 +34,13 @@ class Step:
 
 def payload_bodies(sanitised: DataFrame, task: Column, also: Sequence[str] = ()) -> DataFrame:
     """Serialised payload per page; the elements of one page form one row. ``also``: columns of the page to keep."""
+    # Texts are whole up to here, for detection and audit; a payload carries their beginnings.
+    text, label = (F.substring(c, 1, n).alias(c) for c, n in (("text", fixed.TEXT_CHARS), ("label", fixed.LABEL_CHARS)))
     element = F.struct(
-        "pos", "tag", "type", "id", "name", "selector", "text", "label", "aria_label", "autocomplete", "role", "value"
+        "pos", "tag", "type", "id", "name", "selector", text, label, "aria_label", "autocomplete", "role", "value"
     )
     grouped = sanitised.groupBy("session_id", "page_id", "step", *also).agg(
-        F.array_sort(F.collect_list(element)).alias("dom_elements")
+        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), element))).alias("dom_elements")
     )
     body = F.struct(
         task.alias("task"),
@@ -104,7 +106,7 @@ def run_step(elements: DataFrame, images: DataFrame, viewport: tuple[float, floa
     vision = I.faces(images).select("image_id", (F.col("pos") + 1_000_000).alias("pos"), *dom.columns[2:])
     every = materialise(in_pixels.unionByName(vision), "detections")
     applied = I.applied_boxes(images, every)
-    redacted = materialise(I.redact_images(images, applied), "redacted")
+    redacted = materialise(I.redact_images(images, applied, change=False), "redacted")
 
     tokenised = V.tokens(tagged)
     sanitised = V.sanitised_elements(tagged, tokenised)

@@ -111,13 +111,8 @@ def applied_boxes(images: DataFrame, detections: DataFrame, pad: float = fixed.R
     return B.redaction_boxes(sized, F.col("width").cast("double"), F.col("height").cast("double"), pad).drop("width", "height")
 
 
-def redact_images(images: DataFrame, applied: DataFrame) -> DataFrame:
-    """Images with every applied box destroyed, the boxes, and the verdict.
-
-    The boxes of an image travel as one bounded list; an image without boxes
-    passes unchanged and is verified.
-    """
-    ship_package(images.sparkSession)
+def _with_boxes(images: DataFrame, applied: DataFrame) -> DataFrame:
+    """Images with their boxes as one list; the boxes of one image are a natural unit."""
     b = F.col("box")
     packed = applied.groupBy("image_id").agg(
         F.array_sort(
@@ -130,23 +125,42 @@ def redact_images(images: DataFrame, applied: DataFrame) -> DataFrame:
             )
         ).alias("boxes")
     )
+    return images.join(packed, "image_id", "left").select("image_id", "width", "height", "data", "boxes")
+
+
+def _todo(row: tuple) -> list[tuple]:
+    return [] if row.boxes is None else [(t, (t["x"], t["y"], t["w"], t["h"])) for t in row.boxes]
+
+
+def _verdict(image, todo: list[tuple], thresholds: dict) -> tuple[int, bool]:
+    """Boxes that are large enough to be checked, and whether all of them are destroyed."""
+    checked = [(t, box) for t, box in todo if box[2] >= 2 and box[3] >= 2]
+    return len(checked), all([R.is_destroyed(image, box, t["mode"], t["block"], **thresholds) for t, box in checked])
+
+
+def redact_images(images: DataFrame, applied: DataFrame, smear: bool = True, change: bool = True, black: bool = False, **thresholds: float) -> DataFrame:
+    """Images with every applied box destroyed, the boxes, and the verdict.
+
+    The boxes of an image travel as one list; an image without boxes passes
+    unchanged and is verified. ``smear`` blurs what was pixelated; ``thresholds``
+    are those of ``raster.is_destroyed``; ``least_change`` and ``black_share`` are
+    measured on request only, and null otherwise.
+    """
+    ship_package(images.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def painted():
             for row in _rows(batches):
                 before = R.decode(row.data, row.width, row.height)
-                after = before.copy()
-                todo = [] if row.boxes is None else list(row.boxes)
-                todo = [(t, (t["x"], t["y"], t["w"], t["h"])) for t in todo]
+                after, todo = before.copy(), _todo(row)
                 for t, box in todo:
-                    R.destroy(after, box, t["mode"], t["block"])
-                checked = [(t, box) for t, box in todo if box[2] >= 2 and box[3] >= 2]
-                ok = [R.is_destroyed(after, box, t["mode"], t["block"]) for t, box in checked]
-                change = [R.mutation(before, after, box) for _, box in todo]
+                    R.destroy(after, box, t["mode"], t["block"], smear)
+                checked, ok = _verdict(after, todo, thresholds)
+                changes = [R.mutation(before, after, box) for _, box in todo] if change else []
                 yield (
                     row.image_id, row.width, row.height, after.tobytes(), len(todo),
                     sum(t["mode"] == "blackout" for t, _ in todo), sum(t["mode"] != "blackout" for t, _ in todo),
-                    len(checked), all(ok), min(change) if change else None, R.black_share(after),
+                    checked, ok, min(changes, default=None), R.black_share(after) if black else None,
                 )
 
         yield from _batched(painted(), [c.split()[0] for c in out.split(", ")])
@@ -155,8 +169,18 @@ def redact_images(images: DataFrame, applied: DataFrame) -> DataFrame:
         "image_id bigint, width int, height int, data binary, boxes int, blackouts int, blurs int, checked int, "
         "verified boolean, least_change double, black_share double"
     )
-    joined = images.join(packed, "image_id", "left").select("image_id", "width", "height", "data", "boxes")
-    return joined.mapInPandas(run, out)
+    return _with_boxes(images, applied).mapInPandas(run, out)
+
+
+def verify_images(images: DataFrame, applied: DataFrame, **thresholds: float) -> DataFrame:
+    """image_id, checked, verified: are the applied boxes of these images destroyed?"""
+    ship_package(images.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = ((row.image_id, *_verdict(R.decode(row.data, row.width, row.height), _todo(row), thresholds)) for row in _rows(batches))
+        yield from _batched(rows, ["image_id", "checked", "verified"])
+
+    return _with_boxes(images, applied).mapInPandas(run, "image_id bigint, checked int, verified boolean")
 
 
 def per_image(images: DataFrame, kernel: Callable[[object], Iterator[tuple]], schema: str) -> DataFrame:

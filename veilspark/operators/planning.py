@@ -54,11 +54,13 @@ def primary_control() -> Column:
     )
 
 
-def page_plans(elements: DataFrame, keys: Sequence[str], viewport_height: float = 800.0, task: Column | None = None) -> DataFrame:
+def page_plans(elements: DataFrame, keys: Sequence[str], viewport_height: float | str = 800.0, task: Column | None = None) -> DataFrame:
     """One row per page: ``plan`` (array of actions) and ``has_empty``.
 
     Fields are planned once per selector in visual order (y, x, document order);
-    captcha fields are planned even without a class.
+    captcha fields are planned even without a class. ``viewport_height`` may be a
+    column of the page (800 where it is null or zero). A page without elements, as
+    ``elements.on_all_pages`` gives it, has a plan that finishes at once.
     """
     task = F.lit("") if task is None else task
     textual = C.is_textual_for_audit()
@@ -70,6 +72,8 @@ def page_plans(elements: DataFrame, keys: Sequence[str], viewport_height: float
         y.alias("y"), x.alias("x"), "pos", "selector", "label", "rect", "field_kind", C.fill_value().alias("fill")
     )
     empty = shown() & textual & (F.trim(F.coalesce("value", F.lit(""))) == "")
+    known = F.max(viewport_height) if isinstance(viewport_height, str) else F.max(F.lit(float(viewport_height)))
+    height = F.coalesce(F.nullif(known, F.lit(0.0)), F.lit(float(fixed.DEFAULT_VIEWPORT[1])))
     per_page = (
         C.with_audit_kind(elements)
         .groupBy(*keys)
@@ -77,6 +81,7 @@ def page_plans(elements: DataFrame, keys: Sequence[str], viewport_height: float
             F.array_sort(F.collect_list(F.when(wanted, field))).alias("_all"),
             primary_control().alias("_submit"),
             F.coalesce(F.bool_or(empty), F.lit(False)).alias("has_empty"),
+            height.alias("_height"),
         )
         .withColumn("_names", F.transform("_all", lambda f: F.coalesce(f["selector"], F.lit(""))))
         .withColumn(
@@ -87,7 +92,7 @@ def page_plans(elements: DataFrame, keys: Sequence[str], viewport_height: float
             ),
         )
     )
-    fold = viewport_height * fixed.FOLD_SHARE
+    fold = F.col("_height") * fixed.FOLD_SHARE
 
     def below(r: Column) -> Column:
         return F.coalesce(r["y"] + r["height"] > fold, F.lit(False))
@@ -111,7 +116,7 @@ def page_plans(elements: DataFrame, keys: Sequence[str], viewport_height: float
     scroll = F.when(
         F.exists("_fields", lambda f: below(f["rect"])) | below(F.col("_submit.rect")),
         F.array(
-            action("scroll", direction="down", distance=int(viewport_height * fixed.SCROLL_SHARE), reasoning=words["scroll"])
+            action("scroll", direction="down", distance=F.col("_height") * fixed.SCROLL_SHARE, reasoning=words["scroll"])
         ),
     ).otherwise(none)
 
@@ -149,12 +154,12 @@ def plan_rows(plans: DataFrame, *keys: str) -> DataFrame:
 
 def answer_calls(calls: DataFrame, plans: DataFrame, keys: Sequence[str], call: str) -> DataFrame:
     """Action for the n-th call (0-based) of each page: the plan in order, then
-    the plan again while fields are empty, else finish."""
+    the plan again while fields are empty, else finish, which is also the answer for a page without a plan."""
     n, length = F.col(call), F.size("plan")
     again = (n < length) | F.col("has_empty")
     picked = F.element_at("plan", (n % length + 1).cast("int"))
     return (
-        calls.join(plans, list(keys))
+        calls.join(plans, list(keys), "left")
         .withColumn("_p", F.when(again, picked))
         .select(
             *calls.columns,

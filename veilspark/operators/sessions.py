@@ -82,6 +82,16 @@ def end_reasons(steps: DataFrame, session: str, order: list[str], is_finish: Col
     )
 
 
+def newest(steps: DataFrame, session: str, order: list[str], limit: int = fixed.INSPECTOR_ROWS) -> DataFrame:
+    """The newest ``limit`` steps of each session, with ``rank`` from 1.
+
+    The limit on the row number runs in each task before the shuffle and once more after it, so a session sends at most
+    ``limit`` rows per task, however many it has. Steps without a time come last.
+    """
+    rank = F.row_number().over(Window.partitionBy(session).orderBy(*[F.desc(c) for c in order]))
+    return steps.withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+
 def restart_runs(steps: DataFrame, session: str, ts: str, tie: str, step: str) -> DataFrame:
     """Run number of each row: step 0 starts a new run of its session."""
     slot = F.floor(F.unix_micros(F.col(ts)) / 600_000_000)  # ten minutes

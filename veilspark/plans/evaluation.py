@@ -504,6 +504,20 @@ def step_budget(spark, sf_dir):
     return T.end_reasons(e, "user_id", ["ts", "event_id"], F.col("event_type") == "signup", F.col("event_type") == "error")
 
 
+@query(
+    "inspector_rows",
+    Q.with_ctes(
+        _TEL,
+        f"""r AS (SELECT session_id, event_id, step, row_number() OVER (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS rank FROM tel)""",
+        select=f"SELECT * FROM r WHERE rank <= {fixed.INSPECTOR_ROWS}",
+    ),
+)
+def inspector_rows(spark, sf_dir):
+    """The newest steps of each session."""
+    t = D.telemetry(spark, sf_dir).select("session_id", "ts", "event_id", "step")
+    return T.newest(t, "session_id", ["ts", "event_id"]).drop("ts")
+
+
 @query(
     "restart_runs",
     Q.with_ctes(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilspark import fixed
+from veilspark.functions import patterns as P
 from veilspark.operators import classify as C
 from veilspark.operators import elements as E
 from veilspark.operators import vault as V
@@ -199,6 +200,25 @@ def token_counts(spark, sf_dir):
     )
 
 
+@query(
+    "named_tokens",
+    Q.with_ctes(
+        Q.FORM, Q.CLASSIFIED, Q.TOKENISED,
+        select=rf"""SELECT page_id, len(t) AS tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (
+            SELECT page_id, regexp_extract_all(string_agg(coalesce(value, ''), ' ' ORDER BY pos), '{fixed.TOKEN_NAMED}') AS t
+            FROM sanitised GROUP BY page_id)""",
+    ),
+)
+def named_tokens(spark, sf_dir):
+    """Tokens of the known kinds in the joined values of a page, left to right."""
+    t = tagged(spark, sf_dir)
+    values = V.sanitised_elements(t, V.tokens(t)).groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("value", F.lit("")).alias("value")))).alias("v")
+    )
+    found = P.named_tokens(F.array_join(F.col("v.value"), " "))
+    return values.select("page_id", F.size(found).cast("long").alias("tokens"), F.md5(F.array_join(found, " ")).alias("tokens_md5"))
+
+
 _REQUESTS_SQL = """requests AS (
     SELECT page_id, session_id, pos,
            CASE (page_id + pos) % 4 WHEN 0 THEN fill WHEN 1 THEN concat(' ', fill, ' ')

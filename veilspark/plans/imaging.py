@@ -130,7 +130,7 @@ def _signed(images: DataFrame, *keep: str) -> DataFrame:
 
 @query("blackout", f"WITH {_PX}, {_BOX}, {_DARK} SELECT image_id, {_SIG} FROM dark GROUP BY image_id")
 def blackout(spark, sf_dir):
-    return _signed(I.redact_images(rasters(spark, sf_dir), fixed_boxes(spark, sf_dir, "blackout")))
+    return _signed(I.redact_images(rasters(spark, sf_dir), fixed_boxes(spark, sf_dir, "blackout"), change=False))
 
 
 @query(
@@ -143,19 +143,8 @@ def blackout(spark, sf_dir):
     SELECT image_id, {_SIG} FROM flat GROUP BY image_id""",
 )
 def pixelate(spark, sf_dir):
-    boxes = fixed_boxes(spark, sf_dir, "blur").select("image_id", *[F.col(f"box.{n}").cast("int").alias(n) for n in ("x", "y", "width", "height")])
-    joined = rasters(spark, sf_dir).join(boxes.select("image_id", F.struct("x", "y", F.col("width").alias("w"), F.col("height").alias("h")).alias("b")), "image_id")
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                image = R.decode(r.data, r.width, r.height)
-                R.pixelate(image, (r.b["x"], r.b["y"], r.b["w"], r.b["h"]), 6)
-                rows.append((r.image_id, *R.signature(image)))
-            yield pd.DataFrame(rows, columns=["image_id", "sig_r", "sig_g", "sig_b"])
-
-    return joined.mapInPandas(run, "image_id bigint, sig_r bigint, sig_g bigint, sig_b bigint")
+    """Boxes pixelated, but not smeared."""
+    return _signed(I.redact_images(rasters(spark, sf_dir), fixed_boxes(spark, sf_dir, "blur"), smear=False, change=False))
 
 
 def _blur_sql() -> str:
@@ -189,7 +178,7 @@ def _blur_sql() -> str:
     SELECT image_id, {_SIG} FROM done GROUP BY image_id""",
 )
 def blur(spark, sf_dir):
-    return _signed(I.redact_images(rasters(spark, sf_dir), fixed_boxes(spark, sf_dir, "blur")))
+    return _signed(I.redact_images(rasters(spark, sf_dir), fixed_boxes(spark, sf_dir, "blur"), change=False))
 
 
 @query(
@@ -202,20 +191,9 @@ def blur(spark, sf_dir):
 )
 def verify_blackout(spark, sf_dir):
     images, boxes = rasters(spark, sf_dir), fixed_boxes(spark, sf_dir, "blackout")
-    b = F.col("box")
-    flat = boxes.select("image_id", *[b[n].cast("int").alias(a) for n, a in (("x", "bx"), ("y", "by"), ("width", "bw"), ("height", "bh"))])
-
-    def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.itertuples(index=False):
-                box, image = (r.bx, r.by, r.bw, r.bh), R.decode(r.data, r.width, r.height)
-                rows.append((r.image_id, "raw", R.is_destroyed(image, box, "blackout", None)))
-                R.blackout(image, box)
-                rows.append((r.image_id, "redacted", R.is_destroyed(image, box, "blackout", None)))
-            yield pd.DataFrame(rows, columns=["image_id", "what", "ok"])
-
-    return images.join(flat, "image_id").mapInPandas(run, "image_id bigint, what string, ok boolean")
+    redacted = I.redact_images(images, boxes, change=False).select("image_id", F.lit("redacted").alias("what"), F.col("verified").alias("ok"))
+    raw = I.verify_images(images, boxes).select("image_id", F.lit("raw").alias("what"), F.col("verified").alias("ok"))
+    return raw.unionByName(redacted)
 
 
 @query(
@@ -225,7 +203,7 @@ def verify_blackout(spark, sf_dir):
     SELECT image_id, avg(CASE WHEN r < 12 AND g < 12 AND b < 12 THEN 1.0::DOUBLE ELSE 0 END) AS ratio FROM m GROUP BY image_id""",
 )
 def black_ratio(spark, sf_dir):
-    done = I.redact_images(rasters(spark, sf_dir), fixed_boxes(spark, sf_dir, "blackout"))
+    done = I.redact_images(rasters(spark, sf_dir), fixed_boxes(spark, sf_dir, "blackout"), change=False, black=True)
     return done.select("image_id", F.col("black_share").alias("ratio"))
 
 
@@ -250,7 +228,7 @@ def apply_and_verify(spark, sf_dir):
         "image_id", F.lit(1000).cast("long").alias("pos"), "box", "confidence", "pii_type", "mode"
     )
     applied = I.applied_boxes(images, found.unionByName(form))
-    return I.redact_images(images, applied).drop("data")
+    return I.redact_images(images, applied, black=True).drop("data")
 
 
 @query(

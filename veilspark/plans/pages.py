@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from veilspark import fixed
 from veilspark.operators import classify as C
 from veilspark.operators import elements as E
+from veilspark.operators import scan as S
 from veilspark.operators import vault as V
+from veilspark.plans import sqlparts as Q
 from veilspark.plans.derived import load
 from veilspark.plans.registry import query
 from veilspark.session import spread
@@ -137,6 +139,28 @@ def bare_forms(spark, sf_dir):
     return H.snapshot_elements(with_form)
 
 
+# Texts whose findings stand behind the sixtieth character, where a payload has long been cut.
+_OFFER = "concat('read the terms of this offer and of all others, or else write to u', k, '@example.com')"
+_CARD = "concat('xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx 4111 1111 1111 1111 ', k)"
+
+
+@query(
+    "page_violations",
+    rf"""WITH {_CLEAN}, a AS (SELECT page_id, regexp_extract_all(h, '(?s)<a href="[^"]*">(.*?)</a>', 1) AS texts FROM clean),
+    el AS (SELECT page_id, concat('dom_elements[e', pos, '].text') AS place, {_TEXT.format(e='t')} AS body
+           FROM (SELECT page_id, unnest(range(len(texts))) AS pos, unnest(texts) AS t FROM a)
+        UNION ALL SELECT page_id, concat('dom_elements[#b', k, '].text'), {_OFFER} FROM (SELECT page_id, page_id AS k FROM a)
+        UNION ALL SELECT page_id, concat('dom_elements[e', len(texts) + 1, '].text'), {_CARD} FROM (SELECT page_id, page_id AS k, texts FROM a))
+    SELECT page_id, place AS "where", pii_type, {Q.audit_hint('pii_type', 'value')} AS hint FROM ({Q.findings('el', 'body', 'page_id', 'place')})""",
+)
+def page_violations(spark, sf_dir):
+    """Audit of the whole texts of all elements of pages, with two long ones appended."""
+    src = pages(spark, sf_dir, "html").withColumn("k", F.col("page_id"))
+    more = F.concat(F.lit('<button id="b'), "k", F.lit('">'), F.expr(_OFFER), F.lit('</button><a href="/">'), F.expr(_CARD), F.lit("</a>"))
+    rows = H.snapshot_elements(src.select("page_id", F.concat("html", more).alias("html")))
+    return S.element_violations(rows, "page_id").drop("reason")
+
+
 @query("page_detections", f"WITH {_FOUND} SELECT page_id, pos, pii_type FROM found")
 def page_detections(spark, sf_dir):
     """Detections on raw pages, links and all."""

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import fixed
+from veilspark.operators import elements as E
+from veilspark.operators import flow as W
 from veilspark.operators import planning as L
 from veilspark.operators import providers as R
 from veilspark.operators import quality as K
 from veilspark.plans import derived as D
 from veilspark.plans import sqlparts as Q
 from veilspark.plans.registry import query
+from veilspark.session import materialise
 
 _TASK = "concat('Fill form ', cast(page_id AS {s}))"
 
@@ -74,6 +77,58 @@ def action_plan(spark, sf_dir):
     return L.plan_rows(plans(spark, sf_dir), "page_id")
 
 
+_SUMMARY = f"""lines AS (
+    SELECT page_id, pos, concat('  ', concat_ws(' ', tag, coalesce(selector, ''), 'type=' || nullif(type, ''),
+           'label=' || nullif(substr(label, 1, 40), ''), 'ac=' || nullif(autocomplete, ''),
+           'value=' || nullif(substr(value, 1, 24), ''), concat('at=(', x, ',', y, ')'))) AS line
+    FROM form_elements WHERE pos < {fixed.SUMMARY_LINES}),
+summaries AS (SELECT page_id, string_agg(line, chr(10) ORDER BY pos) AS summary FROM lines GROUP BY page_id)"""
+
+
+_SOME_FORM = f"form_elements AS (SELECT * FROM ({D.form_elements_sql()}) WHERE page_id % 7 <> 0)"
+_HEIGHT = "(600 + page_id % 3 * 200)"
+_ALL_PLANS = (
+    _PLAN.replace("y + h > 680", f"y + h > {_HEIGHT.replace('page_id', '{page}')} * 0.85").replace("480 AS distance", f"CAST(floor({_HEIGHT} * 0.6) AS INTEGER) AS distance")
+    .replace("FROM audited GROUP BY page_id),", "FROM audited GROUP BY page_id UNION ALL SELECT c_custkey, false FROM customer WHERE c_custkey % 7 = 0),")
+).replace("{page}", "p.page_id")
+
+
+@query(
+    "plan_all_pages",
+    Q.with_ctes(
+        _SOME_FORM, Q.AUDIT_KINDS, _ALL_PLANS,
+        select="SELECT page_id, step, action, selector, value, direction, distance, reasoning, confidence FROM plan",
+    ),
+)
+def plan_all_pages(spark, sf_dir):
+    """Plans with each page's own viewport, and one for every page without elements."""
+    elements = D.form_elements(spark, sf_dir).where(F.col("page_id") % 7 != 0)
+    pages = D.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"))
+    tall = E.on_all_pages(elements, pages, "page_id").withColumn("viewport_height", (F.col("page_id") % 3 * 200 + 600).cast("double"))
+    return L.plan_rows(L.page_plans(tall, ["page_id"], "viewport_height", F.expr(_TASK.format(s="string"))), "page_id")
+
+
+@query(
+    "summary_all_pages",
+    Q.with_ctes(
+        _SOME_FORM, _SUMMARY,
+        select=f"""SELECT c_custkey AS page_id, md5(coalesce(summary, '{fixed.EMPTY_SUMMARY}')) AS summary_md5, n_elements
+        FROM customer c LEFT JOIN summaries s ON s.page_id = c.c_custkey
+        LEFT JOIN LATERAL (SELECT count(*) AS n_elements FROM form_elements f WHERE f.page_id = c.c_custkey) ON true""",
+    ),
+)
+def summary_all_pages(spark, sf_dir):
+    """Page summaries and sizes of payloads, for pages without elements too."""
+    elements = D.form_elements(spark, sf_dir).where(F.col("page_id") % 7 != 0)
+    pages = D.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"))
+    whole = materialise(E.on_all_pages(elements, pages, "page_id"), "all-pages")
+    sized = W.payload_bodies(whole.withColumns({"session_id": F.lit(0), "step": F.lit(0)}), F.lit("t")).select(
+        "page_id", F.size(F.from_json("body", "dom_elements array<struct<pos:int>>")["dom_elements"]).cast("long").alias("n_elements")
+    )
+    done = L.page_summary(whole, "page_id").join(sized, "page_id")
+    return done.select("page_id", F.md5("summary").alias("summary_md5"), "n_elements")
+
+
 @query(
     "find_submit",
     Q.with_ctes(
@@ -109,14 +164,6 @@ def plan_step(spark, sf_dir):
     return L.answer_calls(calls, plans(spark, sf_dir), ["page_id"], "n")
 
 
-_SUMMARY = f"""lines AS (
-    SELECT page_id, pos, concat('  ', concat_ws(' ', tag, coalesce(selector, ''), 'type=' || nullif(type, ''),
-           'label=' || nullif(substr(label, 1, 40), ''), 'ac=' || nullif(autocomplete, ''),
-           'value=' || nullif(substr(value, 1, 24), ''), concat('at=(', x, ',', y, ')'))) AS line
-    FROM form_elements WHERE pos < {fixed.SUMMARY_LINES}),
-summaries AS (SELECT page_id, string_agg(line, chr(10) ORDER BY pos) AS summary FROM lines GROUP BY page_id)"""
-
-
 @query("page_summary", Q.with_ctes(Q.FORM, _SUMMARY, select="SELECT page_id, md5(summary) AS summary_md5, length(summary) AS n FROM summaries"))
 def page_summary(spark, sf_dir):
     done = L.page_summary(D.form_elements(spark, sf_dir), "page_id")
