@@ -205,6 +205,26 @@ DARK_MEAN = 10.0
 FLAT_VARIANCE = 8.0
 BLOCK_VARIANCE = 12.0
 
+# fixed values: checks and messages of the submitted forms, in the order of the checks
+FORM_PATTERNS = {
+    "otp": r"^\d{6}$",
+    "phone": r"^\+?\d[\d -]{8,14}$",
+    "expiry": r"^(0[1-9]|1[0-2])/\d{2}$",
+    "cvv": r"^\d{3,4}$",
+}
+FORM_ID_PATTERNS = (r"^\d{12}$", r"^\d{3}-\d{2}-\d{4}$", r"^[A-Z]{5}\d{4}[A-Z]$")
+FORM_MESSAGES = {
+    "login": ("OTP must be 6 digits.", "Captcha does not match."),
+    "checkout": (
+        "Full name is required.", "Mobile number looks invalid.", "Card number failed the Luhn check.", "Expiry must be MM/YY.",
+        "CVV must be 3–4 digits.", "Street address is required.",
+    ),
+    "kyc": (
+        "Enter your full name as printed on the ID.", "Date of birth is required.", "ID number format is not recognised.",
+        "Residential address is required.", "Consent is required to submit.",
+    ),
+}
+
 # fixed values: wording of planned actions and of the model prompt
 PLAN_TEXT = {
     "scroll": "Target fields are below the fold; scrolling first.",

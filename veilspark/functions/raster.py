@@ -40,11 +40,10 @@ def dilate(mask: np.ndarray) -> np.ndarray:
     return rows[:, :-2] | rows[:, 1:-1] | rows[:, 2:]
 
 
-def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(min x, min y, max x, max y, area) of each 4-connected part, by first cell.
+def _joined_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Horizontal runs (row, start, end) of a mask, and for each the first run of its 4-connected part.
 
-    Works on horizontal runs: runs of neighbouring rows that share a column are
-    joined, so the Python loop is over runs, not over cells.
+    Runs of neighbouring rows that share a column are joined, so the Python loop is over runs, not over cells.
     """
     edges = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, start = np.nonzero(edges == 1)
@@ -66,12 +65,26 @@ def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
             a, b = find(i), find(j)
             parent[max(a, b)] = min(a, b)
             j += 1
+    return row, start, end, [find(i) for i in range(len(row))]
+
+
+def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(min x, min y, max x, max y, area) of each 4-connected part, by first cell."""
+    return [corners for _, corners, _ in labelled(mask, cells=False)]
+
+
+def labelled(mask: np.ndarray, cells: bool = True) -> list[tuple[tuple[int, int], tuple[int, int, int, int, int], list[tuple[int, int]]]]:
+    """First cell (x, y), corners and area, and the cells of each 4-connected part, by first cell."""
+    row, start, end, root = _joined_runs(mask)
     out: dict[int, list[int]] = {}
-    for i in range(len(row)):
+    inside: dict[int, list[tuple[int, int]]] = {}
+    for i, r in enumerate(root):
         x0, x1, y, n = int(start[i]), int(end[i]) - 1, int(row[i]), int(end[i] - start[i])
-        c = out.setdefault(find(i), [x0, y, x1, y, 0])
+        c = out.setdefault(r, [x0, y, x1, y, 0])
         c[0], c[2], c[3], c[4] = min(c[0], x0), max(c[2], x1), max(c[3], y), c[4] + n
-    return [tuple(c) for _, c in sorted(out.items())]
+        if cells:
+            inside.setdefault(r, []).extend((x, y) for x in range(x0, x1 + 1))
+    return [((int(start[r]), int(row[r])), tuple(c), inside.get(r, [])) for r, c in sorted(out.items())]
 
 
 def face_boxes(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import fixed
+from veilspark.session import materialise
 
 # three words in a row with a blank on both sides: whole words of any text holding the string
 _SHINGLE = "(?<= )(?=([^ ]+ [^ ]+ [^ ]+) )"
@@ -45,15 +46,16 @@ def anchors(items: DataFrame, item_text: str, scope: Sequence[str] = ()) -> Data
 def candidates(texts: DataFrame, keys: Sequence[str], text: str, anchored: DataFrame, item_text: str,
                scope: Sequence[str] = ()) -> DataFrame:
     """Pairs (text keys, item text) where the text has the item's anchor."""
-    kinds = F.array(*[
-        F.struct(F.lit(i).alias("_kind"), _pieces(F.col(text), k).alias("_runs")) for i, k in enumerate(_KINDS)
-    ])
     # Only kinds that the text's scope has anchors of are cut into runs.
-    used = anchored.groupBy(*scope).agg(F.collect_set("_kind").alias("_used"))
+    cut = range(len(_KINDS))
     if scope:
-        wanted = texts.join(used, list(scope))
-    else:  # without a scope: all kinds
-        wanted = texts.withColumn("_used", F.sequence(F.lit(0), F.lit(len(_KINDS) - 1)))
+        wanted = texts.join(anchored.groupBy(*scope).agg(F.collect_set("_kind").alias("_used")), list(scope))
+    else:
+        cut = sorted(r[0] for r in anchored.select("_kind").distinct().collect())  # three at most
+        wanted = texts.withColumn("_used", F.array(*map(F.lit, cut)).cast("array<int>"))
+    kinds = F.array(*[F.struct(F.lit(i).alias("_kind"), _pieces(F.col(text), _KINDS[i]).alias("_runs")) for i in cut])
+    if not cut:
+        kinds = F.array().cast("array<struct<_kind:int,_runs:array<bigint>>>")
     probe = (
         wanted.select(*keys, F.explode(F.filter(kinds, lambda k: F.array_contains("_used", k["_kind"]))).alias("_k"))
         .select(*keys, "_k._kind", F.explode("_k._runs").alias("_run"))
@@ -77,8 +79,10 @@ def short_hits(texts: DataFrame, keys: Sequence[str], text: str, items: DataFram
     """
     lengths = range(1, fixed.MIN_PROTECTED_CHARS)
     asked = items.select(*scope, item_text, F.length(item_text).alias("_n")).where(F.col("_n").isin(*lengths)).distinct()
-    used = asked.groupBy(*scope).agg(F.collect_set("_n").alias("_used"))
-    wanted = texts.join(used, list(scope)) if scope else texts.join(used.hint("broadcast"))  # of one row, without a scope
+    if scope:
+        wanted = texts.join(asked.groupBy(*scope).agg(F.collect_set("_n").alias("_used")), list(scope))
+    else:
+        wanted = texts.withColumn("_used", F.array(*[F.lit(r[0]) for r in asked.select("_n").distinct().collect()]).cast("array<int>"))
     runs = F.concat(*[
         F.when(F.array_contains("_used", n), F.regexp_extract_all(F.col(text), F.lit(_whole(n)), F.lit(1)))
         .otherwise(F.array().cast("array<string>")) for n in lengths
@@ -104,14 +108,17 @@ def containment(
     a digit or capital on, else four characters; among those, the rarest one in its
     scope, so that values of one shape do not meet in it.  Texts give hashes of
     their distinct runs, and the two meet in an equi-join.  Only candidates are
-    compared in full.  The plan is lazy and forces no join strategy.  ``scope``
+    compared in full.  No join strategy is forced.  ``scope``
     columns (for example the session) must be among both key lists.  Strings under
     ``least`` characters are not looked for; ``too_short`` counts them. Of the others,
     those under four count only where they stand on their own (``short_hits``).
     """
     wanted = items.filter(F.length(item_text) >= least)
     long = wanted.filter(F.length(item_text) >= fixed.MIN_PROTECTED_CHARS)
-    pairs = candidates(texts, keys, text, anchors(long, item_text, scope), item_text, scope)
+    anchored = anchors(long, item_text, scope)
+    if not scope:
+        anchored = materialise(anchored, "anchors")
+    pairs = candidates(texts, keys, text, anchored, item_text, scope)
     hits = (
         pairs.join(texts.select(*keys, text), list(keys))
         .filter(F.contains(F.col(text), F.col(item_text)))

@@ -122,29 +122,31 @@ def form_errors(wide: DataFrame) -> DataFrame:
         return F.rlike(c, F.lit(pattern))
 
     idnum = F.regexp_replace(F.coalesce("idnum", F.lit("")), f"[{P.WHITE_SPACE}]", "")
-    known_id = like(idnum, r"^\d{12}$") | like(idnum, r"^\d{3}-\d{2}-\d{4}$") | like(idnum, r"^[A-Z]{5}\d{4}[A-Z]$")
+    known_id = like(idnum, "|".join(fixed.FORM_ID_PATTERNS))
+    form = fixed.FORM_PATTERNS
     checks = {
         "login": [
-            (~like(text("otp"), r"^\d{6}$"), "OTP must be 6 digits."),
-            (text("captcha") != fixed.FILL_LITERALS["captcha"], "Captcha does not match."),
+            ~like(text("otp"), form["otp"]),
+            text("captcha") != fixed.FILL_LITERALS["captcha"],
         ],
         "checkout": [
-            (text("fullname") == "", "Full name is required."),
-            (~like(text("phone"), r"^\+?\d[\d -]{8,14}$"), "Mobile number looks invalid."),
-            (~F.coalesce(P.luhn_ok(F.col("card")), F.lit(False)), "Card number failed the Luhn check."),
-            (~like(text("expiry"), r"^(0[1-9]|1[0-2])/\d{2}$"), "Expiry must be MM/YY."),
-            (~like(text("cvv"), r"^\d{3,4}$"), "CVV must be 3–4 digits."),
-            (text("address") == "", "Street address is required."),
+            text("fullname") == "",
+            ~like(text("phone"), form["phone"]),
+            ~F.coalesce(P.luhn_ok(F.col("card")), F.lit(False)),
+            ~like(text("expiry"), form["expiry"]),
+            ~like(text("cvv"), form["cvv"]),
+            text("address") == "",
         ],
         "kyc": [
-            (F.length(text("fullname")) < 3, "Enter your full name as printed on the ID."),
-            (F.coalesce("dob", F.lit("")) == "", "Date of birth is required."),
-            (~known_id, "ID number format is not recognised."),
-            (text("address") == "", "Residential address is required."),
-            (~F.coalesce(F.col("consent"), F.lit(False)), "Consent is required to submit."),
+            F.length(text("fullname")) < 3,
+            F.coalesce("dob", F.lit("")) == "",
+            ~known_id,
+            text("address") == "",
+            ~F.coalesce(F.col("consent"), F.lit(False)),
         ],
     }
     messages = [
-        F.when((F.col("form") == form) & bad, F.lit(message)) for form, rules in checks.items() for bad, message in rules
+        F.when((F.col("form") == name) & bad, F.lit(message))
+        for name, rules in checks.items() for bad, message in zip(rules, fixed.FORM_MESSAGES[name], strict=True)
     ]
     return wide.withColumn("errors", F.array_compact(F.array(*messages))).withColumn("valid", F.size("errors") == 0)

@@ -13,10 +13,12 @@ from veilspark import fixed
 from veilspark.functions import geometry as G
 from veilspark.functions import raster as R
 from veilspark.operators import images as I
+from veilspark.operators import tiles as L
 from veilspark.operators.flow import run_step
 from veilspark.plans.derived import form_elements, load
 from veilspark.plans.registry import query
-from veilspark.session import ship_package, spread
+from veilspark.session import materialise, shared_dir, ship_package, spread
+from veilspark.sources import captures
 
 SIDE = 32
 
@@ -106,6 +108,17 @@ def face_components(spark, sf_dir):
     )
 
 
+@query(
+    "face_tiles",
+    f"""WITH RECURSIVE {_PX}, {_CELLS}, {_FACES}
+    SELECT image_id, x, y, w AS width, h AS height, round(confidence, 9) AS confidence FROM face""",
+)
+def face_tiles(spark, sf_dir):
+    """The same regions out of images in tiles of 12 pixels."""
+    found = L.face_candidates(L.cut(rasters(spark, sf_dir), 12))
+    return found.select("image_id", "box.*", F.round("confidence", 9).alias("confidence"))
+
+
 def fixed_boxes(spark, sf_dir, mode: str) -> DataFrame:
     """One box per image from its key."""
     k = F.col("p_partkey")
@@ -248,6 +261,40 @@ def image_round_trip(spark, sf_dir):
     )
 
 
+@query(
+    "stored_captures",
+    f"""WITH {_PX}, sig AS (SELECT image_id, {_SIG} FROM (SELECT image_id, x, y, r, g, b FROM px WHERE image_id % 7 <> 0) GROUP BY image_id)
+    SELECT CAST(p_partkey AS VARCHAR) AS capture_id, CASE WHEN p_partkey % 5 = 0 THEN 0 ELSE p_partkey % 4 END AS elements,
+        CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 4 > 0 THEN p_name END AS first_value, sig_r, sig_g, sig_b
+    FROM part LEFT JOIN sig ON sig.image_id = p_partkey""",
+)
+def stored_captures(spark, sf_dir):
+    """Captures written, written again and read: each once, with its elements and its image, or without."""
+    captures.register(spark)
+    k = F.col("p_partkey")
+    one = F.struct(*[
+        (F.lit("input") if f.name == "tag" else F.col("p_name") if f.name == "value" else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in captures.ELEMENT.fields
+    ])
+    shots = rasters(spark, sf_dir).select(F.col("image_id").alias("p_partkey"), F.when(F.col("image_id") % 7 != 0, F.struct("width", "height", "data")).alias("image"))
+    rows = load(spark, sf_dir, "part").join(shots, "p_partkey").select(
+        k.cast("string").alias("capture_id"), F.lit("s").alias("session_id"), (k % 8).cast("int").alias("step"),
+        F.lit(None).cast("string").alias("url"), "p_name", "p_partkey", "image",
+    ).select(
+        "capture_id", "session_id", "step", "url", F.col("p_name").alias("title"),
+        F.struct(F.lit(1280.0).alias("width"), F.lit(800.0).alias("height")).alias("viewport"),
+        F.when(k % 5 != 0, F.array_repeat(one, (k % 4).cast("int"))).alias("elements"), "image",
+    )
+    folder = shared_dir(spark, "captures")
+    for _ in range(2):
+        rows.write.format("captures").mode("overwrite").save(folder)
+    back = materialise(spark.read.format("captures").load(folder), "captures-read")
+    images = back.where("image IS NOT NULL").select(F.col("capture_id").cast("bigint").alias("image_id"), "image.*")
+    told = _signed(images).withColumn("capture_id", F.col("image_id").cast("string")).drop("image_id")
+    elements = F.coalesce(F.nullif(F.size("elements"), F.lit(-1)), F.lit(0)).cast("long")
+    return back.select("capture_id", elements.alias("elements"), F.get("elements", F.lit(0))["value"].alias("first_value")).join(told, "capture_id", "left")
+
+
 @query("protected_step")
 def protected_step(spark, sf_dir):
     """The whole step for every form page, with the page's part image as capture."""

@@ -169,6 +169,21 @@ def _sql_unescape(e: str) -> str:
     return e
 
 
+@query(
+    "page_hidden_pii",
+    rf"""WITH t AS (SELECT page_id, array_to_string(regexp_extract_all(concat(html, '<!-- ask u', page_id, '@example.com --><script>var n = "987-65-4321";</script>'),
+            '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>'), ' ') AS body FROM pages)
+    SELECT page_id, pos, pii_type, concat(substr(value, 1, 3), '***') AS hint FROM ({Q.findings('t', 'body', 'page_id')})""",
+)
+def page_hidden_pii(spark, sf_dir):
+    """Findings in what a page does not show: comments, scripts and styles; one of each kind of place is appended."""
+    pages = spread(load(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    planted = F.concat("html", F.lit("<!-- ask u"), "page_id", F.lit('@example.com --><script>var n = "987-65-4321";</script>'))
+    hidden = F.regexp_extract_all(planted, F.lit(r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"), F.lit(0))
+    found = S.exploded_findings(pages.select("page_id", F.array_join(hidden, " ").alias("body")), "body", "page_id")
+    return found.select("page_id", "pos", "pii_type", P.masked(F.col("value"), 3).alias("hint"))
+
+
 @query(
     "page_pii",
     f"""WITH c AS (SELECT page_id, regexp_replace(html,
@@ -188,6 +203,8 @@ def page_pii(spark, sf_dir):
     others = F.flatten(F.transform(tags, lambda t: F.concat(
         F.regexp_extract_all(t, F.lit(form), F.lit(1)), F.regexp_extract_all(t, F.lit(form), F.lit(2)))))
     others = F.filter(others, lambda v: v != "")
+    # Most pages have neither, and are not taken apart for them.
+    others = F.when(F.rlike("h", F.lit(r"""<[A-Za-z][^>]*\s[\w:-]+\s*=\s*[^"\s>]""")), others).otherwise(F.array().cast("array<string>"))
     body = pages.select("page_id", no_code.alias("h")).select(
         "page_id",
         H.unescape(F.concat(
