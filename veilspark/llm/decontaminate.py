@@ -3,8 +3,10 @@
 The documents of a task are cut into shards of bounded size. Each shard gets a
 suffix array over all its words; every suffix of every benchmark item is looked
 up by binary search, which gives all places where its first 13 words stand and
-the longest match. No text is shuffled and no document meets another: the only
-thing that travels is the benchmark, in blocks of bounded size.
+the longest match. No text is shuffled and no document meets another. The
+benchmark is hashed by Spark into a table in the shared folder; tasks read that
+table in blocks of bounded size, so the documents are read in one pass however
+large it is, and nothing of it goes through the driver.
 
 Results for odd input: a null text has no words and is clean; an item without
 words never matches; an item of fewer than 13 words is one window; repeated rows
@@ -15,7 +17,8 @@ kept as they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +28,16 @@ from pyspark.sql import types as T
 
 from veilspark.llm import suffix_array, wordbytes
 from veilspark.llm.common import text_or_empty
-from veilspark.session import materialise, ship_package
+from veilspark.session import shared_dir, ship_package
 
 WINDOW = 13
 SHARD_BYTES = 3 << 20
 """Text per suffix array: about half a million words, some 30 MB while it is built."""
 PLACES = 1 << 20
 """Pairs of a window and a place in the shard that are expanded at once, unless one item alone has more."""
-BLOCK_BYTES = 16 << 20
-"""Benchmark text per pass; the driver holds one block, and each executor gets it once."""
+BLOCK_BYTES = 24 << 20
+"""Hashed benchmark words, 8 bytes each, that a task holds at once. A task keeps a benchmark of one block, and reads a
+larger one again for each of its shards."""
 
 _STATE = [
     ("n_words", "bigint"),
@@ -47,7 +51,18 @@ class Block:
     """Some benchmark items as one array of word hashes, each item ended by a 0."""
 
     def __init__(self, ids: list[str], texts: list[str], window: int):
-        words = wordbytes.words_of(pa.array(texts, pa.large_string()))
+        self._fill(ids, wordbytes.words_of(pa.array(texts, pa.large_string())), window)
+
+    @classmethod
+    def of_hashes(cls, ids: list[str], hashes: list[bytes], window: int) -> Block:
+        """Of items whose words are hashed already."""
+        arrays = [np.frombuffer(h, np.uint64) for h in hashes]
+        first = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int64)
+        block = cls.__new__(cls)
+        block._fill(ids, wordbytes.Words(np.concatenate([np.zeros(0, np.uint64), *arrays]), first), window)
+        return block
+
+    def _fill(self, ids: list[str], words: wordbytes.Words, window: int) -> None:
         self.hashes, self.begins = suffix_array.with_ends(words)
         self.ids = np.array(ids, dtype=object)
         self.item = np.repeat(np.arange(len(ids)), words.counts + 1)
@@ -92,19 +107,22 @@ def _runs(sorted_from: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.nda
     return sorted_from[new], reach[last]
 
 
-def scan_shard(texts: pa.Array, block: Block, window: int) -> list[dict]:
+def scan_shard(texts: pa.Array, blocks: Block | Iterable[Block], window: int) -> list[dict]:
     """Per document of the shard: n_words, hits (merged word ranges), items, longest."""
     words = wordbytes.words_of(texts)
     out = [{"n_words": int(n), "hits": [], "items": [], "longest": None} for n in words.counts]
-    if not len(words.hashes) or not len(block.hashes):
+    if not len(words.hashes):
         return out
     sa = suffix_array.build(words, window)
-    lo, hi, _ = sa.search(block.hashes, block.need)
-    for begin, end in _slices(block, hi - lo):
-        suffix, at = _places(sa, block, lo[begin:end], hi[begin:end], begin)
-        if len(at):
-            for doc, found in _by_document(words, block, suffix, at):
-                out[doc] = _merged(out[doc], found | {"n_words": out[doc]["n_words"]})
+    for block in [blocks] if isinstance(blocks, Block) else blocks:
+        if not len(block.hashes):
+            continue
+        lo, hi, _ = sa.search(block.hashes, block.need)
+        for begin, end in _slices(block, hi - lo):
+            suffix, at = _places(sa, block, lo[begin:end], hi[begin:end], begin)
+            if len(at):
+                for doc, found in _by_document(words, block, suffix, at):
+                    out[doc] = _merged(out[doc], found | {"n_words": out[doc]["n_words"]})
     return out
 
 
@@ -136,7 +154,7 @@ def _by_document(words: wordbytes.Words, block: Block, suffix: np.ndarray, at: n
 
 
 def _merged(old: dict, new: dict) -> dict:
-    """State of a document after one more block of the benchmark."""
+    """State of a document after some more items of the benchmark."""
     if not new["hits"]:
         return old
     if not old["hits"]:
@@ -151,21 +169,36 @@ def _merged(old: dict, new: dict) -> dict:
     }
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, room: int) -> Iterator[tuple[list[str], list[str]]]:
-    """The benchmark's rows, a bounded block at a time (one longer item makes its own block)."""
-    ids, texts, size = [], [], 0
-    rows = benchmark.select(
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("i"), text_or_empty(text_col).alias("t")
-    )
-    for i, t in rows.toLocalIterator():
-        if ids and size + len(t) > room:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(i)
-        texts.append(t)
-        size += len(t)
-    if ids:
-        yield ids, texts
+def _hashed(benchmark: DataFrame, id_col: str, text_col: str) -> str:
+    """Folder of a table (id, hashes) with the word hashes of every item."""
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), text_or_empty(text_col).alias("text"))
+
+    def run(batches):
+        for part in wordbytes.shards(batches, "text", SHARD_BYTES):
+            words = wordbytes.words_of(part.column(1))
+            hashes = [words.hashes[a:b].tobytes() for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hashes, pa.binary())], names=["id", "hashes"])
+
+    path = shared_dir(benchmark.sparkSession, "benchmark")
+    rows.mapInArrow(run, "id string, hashes binary").write.parquet(path)
+    return path
+
+
+def _blocks(folder: str, window: int, room: int) -> Iterator[Block]:
+    """The items of a hashed table, a bounded block at a time (one longer item makes its own block)."""
+    from pyarrow import dataset, fs
+
+    store, root = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", folder if ":" in folder else f"file:{folder}"))
+    ids, hashes, size = [], [], 0
+    for batch in dataset.dataset(root, format="parquet", filesystem=store).to_batches(batch_size=256):
+        for i, h in zip(batch.column("id").to_pylist(), batch.column("hashes").to_pylist(), strict=True):
+            if ids and size + len(h) > room:
+                yield Block.of_hashes(ids, hashes, window)
+                ids, hashes, size = [], [], 0
+            ids.append(i)
+            hashes.append(h)
+            size += len(h)
+    yield Block.of_hashes(ids, hashes, window)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
@@ -174,55 +207,45 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     """The rows of ``docs`` with a struct ``leak``: n_words, hits, items, longest (words, item, word offset).
 
     A column of ``docs`` with that name, in any case, would be replaced: name another with ``out_col``.
-
-    A benchmark of one block, the usual case, is one pass without a shuffle; each
-    further block is one more pass over the rows written by the one before.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
+    ship_package(docs.sparkSession)
+    folder = _hashed(benchmark, item_id, item_text)
     leak = "struct<" + ",".join(f"{n}:{t}" for n, t in _STATE) + ">"
-    out = docs.select(*[docs[c] for c in docs.columns if c.lower() != out_col.lower()], F.lit(None).cast(leak).alias(out_col))
-    schema = out.schema
-    at = schema.names.index(out_col)
-    passes = 0
-    for ids, texts in _blocks(benchmark, item_id, item_text, block_bytes):
-        if passes:
-            out = materialise(out, "decontaminate")
-        block = spark.sparkContext.broadcast((ids, texts))
-        out = out.mapInArrow(_pass(block, text_col, at, window, shard_bytes), schema)
-        passes += 1
-    if not passes:  # no items: count the words all the same
-        none = spark.sparkContext.broadcast(([], []))
-        out = out.mapInArrow(_pass(none, text_col, at, window, shard_bytes), schema)
-    return out
-
+    kept = docs.select(*[docs[c] for c in docs.columns if c.lower() != out_col.lower()])
+    schema = kept.withColumn(out_col, F.lit(None).cast(leak)).schema
+    kind = _arrow_state()
 
-def _pass(shared, text_col: str, at: int, window: int, room: int):
     def run(batches):
-        block = Block(*shared.value, window)
-        for shard in wordbytes.shards(batches, text_col, room):
+        only: Block | None = None
+        for shard in wordbytes.shards(batches, text_col, shard_bytes):
             texts = shard.column(shard.schema.get_field_index(text_col))
             texts = texts.fill_null("") if texts.null_count else texts
-            found = scan_shard(texts, block, window)
-            old = shard.column(at)
-            if old.null_count < len(old):
-                found = [n if o is None else _merged(_plain(o), n) for o, n in zip(old.to_pylist(), found, strict=True)]
+            seen: list[Block] = []
+
+            def read():
+                for block in _blocks(folder, window, block_bytes):
+                    seen.append(block if not seen else None)  # of a benchmark of many blocks none is kept
+                    yield block
+
+            found = scan_shard(texts, only or read(), window)
+            if len(seen) == 1:
+                only = seen[0]
             state = pa.array(
                 [{"n_words": f["n_words"], "hits": [{"from": a, "to": b} for a, b in f["hits"]], "items": f["items"],
                   "longest": None if f["longest"] is None else dict(zip(("words", "item", "at"), f["longest"], strict=True))}
-                 for f in found],
-                shard.schema.field(at).type,
+                 for f in found], kind,
             )
-            yield shard.set_column(at, shard.schema.field(at), state)
+            yield pa.RecordBatch.from_arrays([*shard.columns, state], names=schema.names)
 
-    return run
+    return kept.mapInArrow(run, schema)
 
 
-def _plain(leak: dict) -> dict:
-    return leak | {
-        "hits": [(h["from"], h["to"]) for h in leak["hits"]],
-        "longest": leak["longest"] and tuple(leak["longest"].values()),
-    }
+def _arrow_state() -> pa.DataType:
+    whole = pa.int64()
+    return pa.struct([
+        ("n_words", whole), ("hits", pa.list_(pa.struct([("from", whole), ("to", whole)]))), ("items", pa.list_(pa.string())),
+        ("longest", pa.struct([("words", whole), ("item", pa.string()), ("at", whole)])),
+    ])
 
 
 def n_hit(leak: str = "leak"):
