@@ -138,7 +138,8 @@ def leaders(classes: DataFrame) -> DataFrame:
 def work(classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, block_grams: int) -> DataFrame:
     """Units of work as rows: leader, i, j (blocks), side, cls, leaders, text."""
     led = materialise(leaders(classes.where(F.size("bands") > 0)), "near-leaders")
-    size = led.groupBy("leader").agg(F.ceil(F.sum("grams") / block_grams).cast("int").alias("blocks"))
+    # Written, so that a leader with very many classes can be split over tasks in the join below.
+    size = materialise(led.groupBy("leader").agg(F.ceil(F.sum("grams") / block_grams).cast("int").alias("blocks")), "near-sizes")
     own = (
         led.join(size, "leader").groupBy("cls")  # a class has at most one leader per band
         .agg(F.sort_array(F.collect_list(F.struct("leader", "blocks"))).alias("groups"))

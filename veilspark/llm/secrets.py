@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -100,11 +101,12 @@ class Ledger:
     FOUND = "blob string, kind string, rank int, base boolean, start long, end long, rules string"
 
     def _read(self, name: str, schema: str) -> DataFrame:
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").distinct()
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}").distinct()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)  # nothing has been scanned yet
 
     def scanned(self) -> DataFrame:
         return self._read("scanned", self.SCANNED)
@@ -155,9 +157,12 @@ def _joined(spans: str, keep) -> F.Column:
 def per_path(paths: DataFrame, ledger: Ledger, rules: Sequence[Rule] = RULES,
              rule_version: str = RULE_VERSION) -> DataFrame:
     """One row per path and version: path, blob, spans (array of kind, start, end, base by start, then rule)."""
-    spans = (
+    # Written, so that the join has a plain table on either side: small, it is broadcast; else a blob with very many
+    # paths is split over tasks.
+    spans = materialise(
         ledger.found().where(F.col("rules") == rule_version).groupBy("blob")
-        .agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind", "base"))).alias("spans"))
+        .agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "kind", "base"))).alias("spans")),
+        "ledger-spans",
     )
     return paths.join(spans, "blob", "left").select(
         "path", "blob", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans")
