@@ -108,3 +108,28 @@ def test_nothing_to_train_on(spark):
     assert (out[1].n_tokens, out[1].n_known, out[1].train_tokens) == (3, 0, 0) and out[2].n_tokens == 1
     empty = docs.limit(0)
     assert lattice_lm.score(empty, lattice_lm.train(empty, MODEL, F.lit(True)), F.lit(False)).count() == 0
+
+
+def test_long_words_as_short_ones(vocabulary, monkeypatch):
+    from veilspark.llm import lattice as module
+
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.choice(list(b"theanryo\xc3\xa9 "), n).astype(np.uint8)) for n in (1, 2, 30, 60, 200, 900)] + ["漢字仮名".encode() * 40, *WORDS]
+    counts = np.arange(1.0, len(words) + 1)
+    lattice = Lattice(vocabulary, vocabulary.log_start)
+    want, uses = lattice.log10(words), lattice.expected(words, counts)
+    monkeypatch.setattr(module, "LONG", 0)
+    for block in (7, 64, 4096):
+        monkeypatch.setattr(module, "LONG_BLOCK", block)
+        assert np.allclose(lattice.log10(words), want, rtol=1e-10)
+        assert np.allclose(lattice.expected(words, counts), uses, rtol=1e-8, atol=1e-9)
+
+
+def test_a_word_of_two_megabytes(vocabulary):
+    import time
+
+    word = ("語彙thequickbrown" * 120_000)[:800_000].encode()[:2_000_000]
+    assert len(word) > 1_000_000
+    begin = time.time()
+    score = Lattice(vocabulary, vocabulary.log_start).log10([word])[0]
+    assert math.isfinite(score) and score < 0 and time.time() - begin < 60

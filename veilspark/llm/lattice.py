@@ -4,12 +4,14 @@ A word is preceded by the white-space marker. Its segmentations are all ways to
 cover it: a first piece that begins with the marker (or the marker alone), then
 inner pieces. Bytes that are no piece of their own are covered by the
 vocabulary's byte pieces, so every word has a segmentation. The recursions run
-in log space.
+in log space. A very long word (text without spaces is one word) costs time in
+proportion to its length and memory for one number a byte and a block of edges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +22,8 @@ _SLOTS = 20
 MARKER = "▁"
 CELLS = 1_500_000
 """Word bytes times piece lengths handled at once."""
+LONG, LONG_BLOCK = 1024, 4096
+"""Words of more bytes are taken one by one, with the edges of so many ends at a time."""
 
 
 class Lookup:
@@ -141,18 +145,84 @@ class Lattice:
             edges.append((ids, head))
         return alpha, edges
 
+    def _long_edges(self, word: bytes, back: bool = False) -> tuple[np.ndarray, Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+        """Of one long word: the piece that begins it, by end, and blocks of ends, first or last one first: the block's
+        first end, where each end's edges begin, their lengths and their pieces."""
+        data = np.frombuffer(word, np.uint8).astype(np.uint64) + _U(1)
+        n = len(data)
+        power = np.multiply.accumulate(np.append(_U(1), np.full(n, _P)))
+        inverse = np.multiply.accumulate(np.full(n, _U(pow(int(_P), -1, 1 << 64))))
+        h = np.append(_U(0), np.cumsum(data * inverse)) * power  # of each beginning of the word
+        head = self.first.find(h[1: min(n, self.longest) + 1])
+
+        def blocks():
+            length = np.arange(1, min(n, self.longest) + 1)[:, None]
+            begins = range(1, n + 1, LONG_BLOCK)
+            for a in reversed(begins) if back else begins:
+                ends = np.arange(a, min(a + LONG_BLOCK, n + 1))
+                begin = ends - length
+                ids = np.where(begin >= 0, self.inner.find(h[ends] - h[np.maximum(begin, 0)] * power[length]), -1).T
+                end, size = np.nonzero(ids >= 0)
+                yield a, np.searchsorted(end, np.arange(len(ends) + 1)), size + 1, ids[end, size]
+
+        return head, blocks()
+
+    def _long_forward(self, word: bytes) -> list[float]:
+        """alpha of one long word: a block of edges at a time, and of alpha one number a byte."""
+        alpha = [-math.inf] * (len(word) + 1)
+        alpha[0] = float(self.log_p[self.v.marker])
+        head, blocks = self._long_edges(word)
+        for a, cuts, sizes, pieces in blocks:
+            cuts, sizes, weights = cuts.tolist(), sizes.tolist(), self.log_p[pieces].tolist()
+            for e in range(len(cuts) - 1):
+                j = a + e
+                terms = [alpha[j - sizes[i]] + weights[i] for i in range(cuts[e], cuts[e + 1])]
+                if j <= len(head) and head[j - 1] >= 0:
+                    terms.append(float(self.log_p[head[j - 1]]))
+                top = max(terms)
+                alpha[j] = top + math.log(sum([math.exp(t - top) for t in terms]))
+        return alpha
+
     def log10(self, words: Sequence[bytes]) -> np.ndarray:
         """log10 of each word's probability, summed over all segmentations."""
         out = np.zeros(len(words))
         for n, which in self._groups(words):
+            if n > LONG:
+                for i in which:
+                    out[i] = self._long_forward(words[i])[n]
+                continue
             data = np.frombuffer(b"".join(words[i] for i in which), np.uint8).reshape(len(which), n).astype(np.uint64)
             out[which] = self._forward(data)[0][n]
         return out / np.log(10)
 
+    def _long_expected(self, word: bytes, count: float, total: np.ndarray) -> None:
+        """Add the expected uses of each piece in ``count`` times one long word."""
+        n, alpha = len(word), self._long_forward(word)
+        beta = [-math.inf] * (n + 1)
+        beta[n] = 0.0
+        head, blocks = self._long_edges(word, back=True)
+        for a, cuts, sizes, pieces in blocks:
+            cuts, lengths, weights, uses = cuts.tolist(), sizes.tolist(), self.log_p[pieces].tolist(), np.zeros(len(pieces))
+            for e in reversed(range(len(cuts) - 1)):
+                j = a + e
+                for i in range(cuts[e], cuts[e + 1]):
+                    via, k = weights[i] + beta[j], j - lengths[i]
+                    uses[i] = math.exp(alpha[k] + via - alpha[n])
+                    high, low = max(beta[k], via), min(beta[k], via)
+                    beta[k] = high + math.log1p(math.exp(low - high))
+            total += count * np.bincount(pieces, uses, len(total))
+        for j in np.flatnonzero(head >= 0) + 1:
+            total[head[j - 1]] += count * math.exp(self.log_p[head[j - 1]] + beta[j] - alpha[n])
+        total[self.v.marker] += count * math.exp(self.log_p[self.v.marker] + beta[0] - alpha[n])
+
     def expected(self, words: Sequence[bytes], counts: np.ndarray) -> np.ndarray:
         """Expected uses of each piece, every word taken ``counts`` times."""
         total = np.zeros(len(self.log_p))
         for n, which in self._groups(words):
+            if n > LONG:
+                for i in which:
+                    self._long_expected(words[i], float(counts[i]), total)
+                continue
             data = np.frombuffer(b"".join(words[i] for i in which), np.uint8).reshape(len(which), n).astype(np.uint64)
             alpha, edges = self._forward(data)
             weight = counts[which].astype(float)
