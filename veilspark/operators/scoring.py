@@ -59,25 +59,35 @@ def region_quality(truth: DataFrame, applied: DataFrame, page: Sequence[str]) ->
 
 
 def redaction_summary(
-    truth: DataFrame, applied: DataFrame, gates: DataFrame, page: Sequence[str]
+    truth: DataFrame, applied: DataFrame, gates: DataFrame, page: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Mean IoU, coverage, over-masking, penalty, gate and score, one row.
+    """Mean IoU, coverage, over-masking, penalty, gate and score, one row, or one per value of ``by`` (columns of
+    ``truth`` that a page has one value of).
 
-    ``gates`` (page, ok): one closed gate anywhere sets the score to zero.
+    ``gates`` (page, ok): one closed gate, or one of unknown state, sets the score to zero.
     """
-    quality = region_quality(truth, applied, page).groupBy().agg(
+    of_page = truth.select(*page, *by).distinct()
+    truth = truth.drop(*by)
+
+    def grouped(rows: DataFrame):
+        return rows.join(of_page, list(page)).groupBy(*by) if by else rows.groupBy()
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(right, list(by)) if by else side_by_side(left, right)
+
+    quality = grouped(region_quality(truth, applied, page)).agg(
         F.avg("best_iou").alias("mean_iou"), F.avg("coverage").alias("mean_coverage")
     )
     ub = B.union_per(applied.select(*page, "box"), *page)
     ug = B.union_per(truth.select(*page, F.col("gt_box").alias("box")), *page).withColumnRenamed("box", "gt_box")
     a, g = F.col("box"), F.col("gt_box")
-    over = ub.join(ug, list(page)).groupBy().agg(
+    over = grouped(ub.join(ug, list(page))).agg(
         (
             F.sum(F.greatest(F.lit(0.0), G.area(a) - G.overlap_area(a, g))) / F.greatest(F.lit(1e-9), F.sum(G.area(a)))
         ).alias("overmask")
     )
-    gate = gates.groupBy().agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("gates_ok"))
-    one = side_by_side(side_by_side(quality, over), gate)
+    gate = grouped(gates).agg(F.coalesce(F.bool_and(F.coalesce("ok", F.lit(False))), F.lit(True)).alias("gates_ok"))
+    one = beside(beside(quality, over), gate)
     raw = 100 * (0.45 * F.col("mean_iou") + 0.55 * F.col("mean_coverage")) * (1 - F.col("penalty"))
     return (
         one.withColumn("penalty", G.clamp((F.col("overmask") - 0.10) / 0.40, 0.0, 0.5))
