@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,9 @@ from veilspark import fixed
 from veilspark.functions import geometry as G
 from veilspark.functions import raster as R
 from veilspark.operators import boxes as B
+from veilspark.operators import quality as K
 from veilspark.session import ship_package
+from veilspark.sources.captures import pam, unpam
 
 IMAGE = "image_id bigint, width int, height int, data binary"
 FACES = f"image_id bigint, pos bigint, box {G.BOX}, confidence double, pii_type string, mode string, source string, tier string"
@@ -50,6 +53,18 @@ def from_data_url(df: DataFrame, column: str, output: str = "data") -> DataFrame
     return df.withColumn(output, F.unbase64(F.substring_index(column, ",", -1)))
 
 
+def to_pam(images: DataFrame, output: str = "pam") -> DataFrame:
+    """``images`` with their pixels as a PAM image, which tells its size."""
+    ship_package(images.sparkSession)
+
+    @F.arrow_udf("binary")
+    def run(width: pa.Array, height: pa.Array, data: pa.Array) -> pa.Array:
+        rows = zip(width.to_pylist(), height.to_pylist(), data.to_pylist(), strict=True)
+        return pa.array([None if d is None else pam(w, h, d) for w, h, d in rows], pa.binary())
+
+    return images.withColumn(output, run("width", "height", "data"))
+
+
 def to_data_url(df: DataFrame, column: str, mime: str = "image/jpeg", output: str = "url") -> DataFrame:
     encoded = F.regexp_replace(F.base64(column), "[\r\n]", "")
     return df.withColumn(output, F.concat(F.lit(f"data:{mime};base64,"), encoded))
@@ -183,6 +198,38 @@ def verify_images(images: DataFrame, applied: DataFrame, **thresholds: float) ->
     return _with_boxes(images, applied).mapInPandas(run, "image_id bigint, checked int, verified boolean")
 
 
+_SHOT = "struct<width:int,height:int,black_ratio:double,problem:string>"
+
+
+def screenshot_stats(payloads: DataFrame, encoded: str, output: str = "screenshot") -> DataFrame:
+    """``payloads`` with a struct about the base64 PAM image in ``encoded``: present, kb (of the text), width, height,
+    black_ratio (share of near-black pixels at an eighth of the size), problem (why there are no such figures)."""
+    ship_package(payloads.sparkSession)
+
+    @F.arrow_udf(_SHOT)
+    def look(column: pa.Array) -> pa.Array:
+        out = []
+        for raw in column:
+            found = {"width": None, "height": None, "black_ratio": None, "problem": None}
+            if raw.is_valid:
+                try:
+                    width, height, data = unpam(raw.as_py())
+                    share = R.black_share(R.decode(data, width, height)) if min(width, height) >= 8 else None
+                    found |= {"width": width, "height": height, "black_ratio": share}
+                except (ValueError, KeyError) as e:  # best effort, as the verdict does not rest on it
+                    found["problem"] = type(e).__name__
+            out.append(found)
+        return pa.array(out, pa.struct([("width", pa.int32()), ("height", pa.int32()), ("black_ratio", pa.float64()), ("problem", pa.string())]))
+
+    present = K.has_screenshot(F.col(encoded))
+    looked = payloads.withColumn("_look", look(F.when(present, F.try_to_binary(F.col(encoded), F.lit("base64")))))
+    fields = F.struct(
+        present.alias("present"), K.kilobytes(F.col(encoded)).alias("kb"), *[F.col(f"_look.{c}").alias(c) for c in ("width", "height", "black_ratio")],
+        F.when(present, F.coalesce("_look.problem", F.when(F.col("_look.width").isNull(), F.lit("not base64")))).alias("problem"),
+    )
+    return looked.withColumn(output, fields).drop("_look")
+
+
 def per_image(images: DataFrame, kernel: Callable[[object], Iterator[tuple]], schema: str) -> DataFrame:
     """Rows of ``kernel(image array)`` prefixed with the image id."""
     ship_package(images.sparkSession)
