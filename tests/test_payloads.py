@@ -187,3 +187,59 @@ def test_candidates_stay_near_the_hits_when_values_share_a_shape(spark):
         hits = containment(texts, ["s", "p"], "body", items, ["s", "raw"], "raw", scope=["s"])
         assert hits.count() >= 2 * n
     assert max(ratio) < 12
+
+
+def test_short_strings_on_their_own(spark):
+    import random
+    import re
+
+    from veilspark.operators.containment import containment, too_short
+
+    rnd = random.Random(3)
+    alphabet = list("01aé-. \"€")
+    texts = [(i, i % 3, "".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 40)))) for i in range(120)] + [(500, 0, None), (501, 0, "")]
+    items = [(i, i % 3, "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 6)))) for i in range(90)] + [(900, 0, None), (901, 0, "")]
+    t = spark.createDataFrame(texts, "text_id int, s int, body string")
+    v = spark.createDataFrame(items, "item_id int, s int, secret string")
+
+    def shows(body, secret):
+        if len(secret) >= 4:
+            return secret in body
+        first, last = (r"(?<![^\W_])" if secret[0].isalnum() else ""), (r"(?![^\W_])" if secret[-1].isalnum() else "")
+        return re.search(first + re.escape(secret) + last, body) is not None
+
+    for scoped in (True, False):
+        keys = (["text_id", "s"], ["item_id", "s"], ["s"]) if scoped else (["text_id"], ["item_id"], [])
+        left, right = (t, v) if scoped else (t.drop("s"), v.drop("s"))
+        for least in (1, 3, 4):
+            got = {(r.text_id, r.item_id) for r in containment(left, keys[0], "body", right, keys[1], "secret", keys[2], least).collect()}
+            assert got == {(a, b) for a, s, x in texts for b, z, y in items
+                           if (s == z or not scoped) and x is not None and y and len(y) >= least and shows(x, y)}
+    assert {r.too_short for r in too_short(v, "secret", least=1).collect()} == {1}  # the empty one
+
+
+def test_pages_without_elements(spark):
+    from veilspark.operators import elements as E
+    from veilspark.operators import flow as W
+
+    rows = table(spark, [dict(tag="input", type="text", pos=0, page_id="a", rect=(0.0, 900.0, 9.0, 9.0))])
+    pages = spark.createDataFrame([("a", 2000.0), ("b", None), ("b", None)], "page_id string, tall double")
+    whole = E.on_all_pages(rows, pages, "page_id").join(pages.distinct(), "page_id")
+    plans = L.page_plans(whole, ["page_id"], "tall")
+    got = {r.page_id: [a["action"] for a in r.plan] for r in plans.collect()}
+    assert got["b"] == ["finish"] and "scroll" not in got["a"]
+    assert "(0 fields, submit=no)" in [r for r in plans.collect() if r.page_id == "b"][0].plan[0]["reasoning"]
+    calls = spark.createDataFrame([("a", 0), ("b", 0), ("b", 1), ("gone", 0)], "page_id string, n int")
+    answers = {(r.page_id, r.n): r.action for r in L.answer_calls(calls, plans, ["page_id"], "n").collect()}
+    assert answers[("b", 0)] == answers[("b", 1)] == answers[("gone", 0)] == "finish"
+    assert {r.page_id: r.summary for r in L.page_summary(whole, "page_id").collect()}["b"] == fixed.EMPTY_SUMMARY
+    bodies = W.payload_bodies(whole.withColumns({"session_id": F.lit("s"), "step": F.lit(0)}), F.lit("t"))
+    assert '"dom_elements":[]' in {r.page_id: r.body for r in bodies.collect()}["b"]
+
+
+def test_newest_steps(spark):
+    from veilspark.operators import sessions as T
+
+    rows = [(s, None if i == 3 else i, i) for s in ("a", "b", None) for i in range(60)]
+    got = T.newest(spark.createDataFrame(rows, "s string, ts int, id int"), "s", ["ts", "id"], 5).collect()
+    assert sorted((str(r.s), r["rank"], r.ts) for r in got) == sorted((str(s), k + 1, 59 - k) for s in ("a", "b", None) for k in range(5))
