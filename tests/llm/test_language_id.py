@@ -116,3 +116,24 @@ def test_posteriors_against_plain_python(spark):
     got = {r.doc_id: (r.lang, r.posterior) for r in li.identify(df, model, declared_col="declared", host_col="host").collect()}
     for i, (lang, posterior) in enumerate(_plain(rows, model, None)):
         assert got[i][0] == lang and abs(got[i][1] - posterior) < 1e-6
+
+
+def test_pages_against_plain_python(spark):
+    import re
+
+    from veilspark.llm import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("lang", "text")
+    model = li.fit_text(docs, "lang", "text")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()
+    tags = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#a-z0-9]+;")
+    rows = []
+    for p in pages:
+        declared = re.search(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]+)", p.html or "")
+        host = re.search(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", p.url or "")
+        rows.append((tags.sub(" ", p.html or ""), declared[1].lower() if declared else None, host[1].lower() if host else None))
+    got = {r.page_id: (r.lang, r.posterior) for r in QUERIES["page_language"](spark, sf).collect()}
+    assert len(got) == len(pages)
+    for p, (lang, posterior) in zip(pages, _plain(rows, model, None), strict=True):
+        assert got[p.page_id][0] == lang and abs(got[p.page_id][1] - posterior) < 1e-6
