@@ -218,6 +218,24 @@ def test_short_strings_on_their_own(spark):
     assert {r.too_short for r in too_short(v, "secret", least=1).collect()} == {1}  # the empty one
 
 
+def test_strings_that_share_their_anchor_are_matched_together(spark, monkeypatch):
+    import random
+
+    from veilspark.operators import containment as M
+
+    rnd = random.Random(9)
+    secrets = [(i, i % 2, f"same shape {i % 7} of every text {i}") for i in range(60)] + [(i, i % 2, f"Z{i:02}0000000") for i in range(60, 99)] + [(200, 0, "aaaa"), (201, 0, "aaaaa")]
+    texts = [(i, i % 2, " ".join(rnd.choice(secrets)[2] for _ in range(4)) + " Z0000000000 aaaaaa") for i in range(40)] + [(99, 0, None), (98, 1, "")]
+    t, v = spark.createDataFrame(texts, "text_id int, s int, body string"), spark.createDataFrame(secrets, "item_id int, s int, secret string")
+    for share, block in ((0, 1), (0, 7), (2, 20_000), (1000, 20_000)):
+        monkeypatch.setattr(M, "BLOCK", block)
+        for scoped in (True, False):
+            keys = (["text_id", "s"], ["item_id", "s"], ["s"]) if scoped else (["text_id"], ["item_id"], [])
+            left, right = (t, v) if scoped else (t.drop("s"), v.drop("s"))
+            got = sorted((r.text_id, r.item_id) for r in containment(left, keys[0], "body", right, keys[1], "secret", keys[2], share=share).collect())
+            assert got == sorted((a, b) for a, s, x in texts for b, z, y in secrets if (s == z or not scoped) and x and y in x)
+
+
 def test_pages_without_elements(spark):
     from veilspark.operators import elements as E
     from veilspark.operators import flow as W

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import fixed
-from veilspark.session import materialise
+from veilspark.session import materialise, shared_dir, ship_package
 
 # three words in a row with a blank on both sides: whole words of any text holding the string
 _SHINGLE = "(?<= )(?=([^ ]+ [^ ]+ [^ ]+) )"
@@ -17,6 +19,8 @@ _LONG = "(?s)(?=([0-9A-Z].{7}))"
 # every run of four characters; a protected string has at least four
 _SHORT = f"(?s)(?=(.{{{fixed.MIN_PROTECTED_CHARS}}}))"
 _KINDS = (_SHINGLE, _LONG, _SHORT)
+SHARE, BLOCK, TASKS_PER_BLOCK = 1000, 20_000, 64
+"""Strings of one anchor that are compared one by one; strings of an automaton; tasks that the texts of one are dealt to."""
 _ALNUM = r"\p{L}\p{N}"
 
 
@@ -43,9 +47,8 @@ def anchors(items: DataFrame, item_text: str, scope: Sequence[str] = ()) -> Data
     )
 
 
-def candidates(texts: DataFrame, keys: Sequence[str], text: str, anchored: DataFrame, item_text: str,
-               scope: Sequence[str] = ()) -> DataFrame:
-    """Pairs (text keys, item text) where the text has the item's anchor."""
+def _runs_of(texts: DataFrame, keys: Sequence[str], text: str, anchored: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """(text keys, kind, run): the distinct runs of each text, of the kinds that its scope has anchors of."""
     # Only kinds that the text's scope has anchors of are cut into runs.
     cut = range(len(_KINDS))
     if scope:
@@ -56,11 +59,70 @@ def candidates(texts: DataFrame, keys: Sequence[str], text: str, anchored: DataF
     kinds = F.array(*[F.struct(F.lit(i).alias("_kind"), _pieces(F.col(text), _KINDS[i]).alias("_runs")) for i in cut])
     if not cut:
         kinds = F.array().cast("array<struct<_kind:int,_runs:array<bigint>>>")
-    probe = (
+    return (
         wanted.select(*keys, F.explode(F.filter(kinds, lambda k: F.array_contains("_used", k["_kind"]))).alias("_k"))
         .select(*keys, "_k._kind", F.explode("_k._runs").alias("_run"))
     )
-    return probe.join(anchored, [*scope, "_kind", "_run"]).select(*keys, item_text)
+
+
+def candidates(texts: DataFrame, keys: Sequence[str], text: str, anchored: DataFrame, item_text: str,
+               scope: Sequence[str] = ()) -> DataFrame:
+    """Pairs (text keys, item text) where the text has the item's anchor."""
+    return _runs_of(texts, keys, text, anchored, scope).join(anchored, [*scope, "_kind", "_run"]).select(*keys, item_text)
+
+
+def matched(texts: DataFrame, keys: Sequence[str], text: str, anchored: DataFrame, item_text: str,
+            scope: Sequence[str] = ()) -> DataFrame:
+    """Pairs (text keys, item text) where the item occurs, for strings of which very many have one anchor.
+
+    Such strings are not compared with every text that has their anchor. Those of one anchor form blocks of at most
+    ``BLOCK`` strings; a block becomes one automaton with failure links, and a text that has the anchor is read once per
+    block, whatever the number of strings in it. Texts of one anchor are dealt to many tasks; a task reads the strings
+    of a block from a table in the shared folder, and holds one automaton.
+    """
+    ship_package(texts.sparkSession)
+    place = [*scope, "_kind", "_run"]
+    size = materialise(anchored.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")), "match-sizes")
+    block = F.pmod(F.xxhash64(item_text), F.col("_blocks")).cast("int")
+    part = F.xxhash64(*place, "_block").alias("_part")
+    blocks = anchored.join(size, place).withColumn("_block", block).select(part, F.col(item_text).alias("string"))
+    folder = shared_dir(texts.sparkSession, "match-blocks")
+    blocks.repartition("_part").sortWithinPartitions("_part").write.parquet(folder)
+    having = _runs_of(texts, keys, text, anchored, scope).join(size, place).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    ).select(*keys, part)
+    read = having.join(texts.select(*keys, text), list(keys)).select(*keys, "_part", F.col(text).alias("_text"))
+    schema = texts.select(*keys).withColumn(item_text, F.lit(None).cast("string")).schema
+
+    def run(batches):
+        now, automaton = None, None
+        for batch in batches:
+            rows, found = [], []
+            for i, (of, body) in enumerate(zip(batch.column("_part").to_pylist(), batch.column("_text").to_pylist(), strict=True)):
+                if of != now:
+                    now, automaton = of, _automaton(folder, of)
+                hits = {string for _, string in automaton.iter(body)} if body and len(automaton) else ()
+                rows += [i] * len(hits)
+                found += hits
+            at = pa.array(rows, pa.int64())
+            columns = [batch.column(c).take(at) for c in keys]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string())], names=schema.names)
+
+    dealt = read.repartition("_part", F.pmod(F.xxhash64(*keys), F.lit(TASKS_PER_BLOCK))).sortWithinPartitions("_part")
+    return dealt.mapInArrow(run, schema)
+
+
+def _automaton(folder: str, part: int):
+    import ahocorasick
+    from pyarrow import dataset, fs
+
+    store, root = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", folder if ":" in folder else f"file:{folder}"))
+    strings = dataset.dataset(root, format="parquet", filesystem=store).to_table(columns=["string"], filter=dataset.field("_part") == part)
+    out = ahocorasick.Automaton()
+    for string in strings.column("string").to_pylist():
+        out.add_word(string, string)
+    out.make_automaton()
+    return out
 
 
 def _whole(n: int) -> str:
@@ -100,6 +162,7 @@ def containment(
     item_text: str,
     scope: Sequence[str] = (),
     least: int = fixed.MIN_PROTECTED_CHARS,
+    share: int = SHARE,
 ) -> DataFrame:
     """Pairs (text keys, item keys) where the item text occurs in the text.
 
@@ -108,22 +171,30 @@ def containment(
     a digit or capital on, else four characters; among those, the rarest one in its
     scope, so that values of one shape do not meet in it.  Texts give hashes of
     their distinct runs, and the two meet in an equi-join.  Only candidates are
-    compared in full.  No join strategy is forced.  ``scope``
+    compared in full.  Where more than ``share`` strings of a scope have one anchor even
+    so, they are looked for together (``matched``).  No join strategy is forced.  ``scope``
     columns (for example the session) must be among both key lists.  Strings under
     ``least`` characters are not looked for; ``too_short`` counts them. Of the others,
     those under four count only where they stand on their own (``short_hits``).
     """
     wanted = items.filter(F.length(item_text) >= least)
     long = wanted.filter(F.length(item_text) >= fixed.MIN_PROTECTED_CHARS)
-    anchored = anchors(long, item_text, scope)
-    if not scope:
-        anchored = materialise(anchored, "anchors")
+    anchored = materialise(anchors(long, item_text, scope), "anchors")
+    place = [*scope, "_kind", "_run"]
+    shared = anchored.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share).drop("_n")
+    common = None
+    if shared.limit(1).count():
+        shared = materialise(shared, "common-anchors")
+        common = matched(texts, keys, text, anchored.join(shared, place), item_text, scope)
+        anchored = anchored.join(shared, place, "left_anti")
     pairs = candidates(texts, keys, text, anchored, item_text, scope)
     hits = (
         pairs.join(texts.select(*keys, text), list(keys))
         .filter(F.contains(F.col(text), F.col(item_text)))
         .select(*keys, item_text)
     )
+    if common is not None:
+        hits = hits.unionByName(common)
     if least < fixed.MIN_PROTECTED_CHARS:
         hits = hits.unionByName(short_hits(texts, keys, text, wanted, item_text, scope))
     ids = wanted.select(*dict.fromkeys([*scope, *item_keys, item_text]))

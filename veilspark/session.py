@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import threading
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,10 +65,37 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     cut, and a lost executor costs only its own tasks.
     """
     path = shared_dir(df.sparkSession, purpose)
+    for made in getattr(_open, "made", [])[-1:]:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_open = threading.local()
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete, at the end, the copies that ``materialise`` makes meanwhile in this thread; for jobs that end inside, such
+    as the handler of a micro-batch, whose copies hold raw values."""
+    if not hasattr(_open, "made"):
+        _open.made = []
+    _open.made.append([])
+    try:
+        yield
+    finally:
+        for path in _open.made.pop():
+            _delete(path)
+
+
+def _delete(folder: str) -> None:
+    from pyarrow import fs
+
+    store, inside = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", folder if ":" in folder else f"file:{folder}"))
+    if store.get_file_info(inside).type == fs.FileType.Directory:
+        store.delete_dir(inside)
+
+
 _shipped: set[str] = set()
 _BATCH_BYTES, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 

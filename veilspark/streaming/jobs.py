@@ -14,7 +14,7 @@ from veilspark.operators import classify as C
 from veilspark.operators import flow as W
 from veilspark.operators import quality as K
 from veilspark.operators import sessions as T
-from veilspark.session import shared_dir
+from veilspark.session import scratch, shared_dir
 from veilspark.streaming import stateful as S
 
 FILES_PER_BATCH = 64
@@ -108,12 +108,13 @@ def step_verdicts(rows: DataFrame) -> DataFrame:
 
 def step_sink(out: str) -> Callable[[DataFrame, int], None]:
     """Payloads that may be sent in one folder, a row for each blocked step in one folder per cause; a repeated batch
-    overwrites its own files. Raw values stay in the working copy of a batch, which the next one replaces."""
+    overwrites its own files. Copies with raw values are gone when the batch is done."""
     def handle(batch: DataFrame, batch_id: int) -> None:
         work = f"{out}/work"
         batch.write.mode("overwrite").parquet(work)  # the state operator must run once only
-        step_verdicts(batch.sparkSession.read.schema(batch.schema).parquet(work)).write.mode("overwrite").partitionBy(
-            "status").parquet(f"{out}/steps/batch={batch_id}")
+        with scratch():
+            step_verdicts(batch.sparkSession.read.schema(batch.schema).parquet(work)).write.mode("overwrite").partitionBy(
+                "status").parquet(f"{out}/steps/batch={batch_id}")
         batch.sparkSession.createDataFrame([], batch.schema).write.mode("overwrite").parquet(work)
 
     return handle
