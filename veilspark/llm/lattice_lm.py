@@ -14,8 +14,10 @@ document are joined with the full word table, so no word is left out.
 
 Results for odd input: null and empty texts have the end alone; a null id counts
 as the empty string when documents are held out; repeated rows each count and
-each give a row; without training rows every word has the same base score; an
-empty table gives no rows; other columns are not used.
+each give a row; without training rows every word has the same base score; very
+long texts count whole, and a very long word (text without spaces is one) takes
+time in proportion to its length; an empty table gives no rows; other columns are
+not used.
 """
 
 from __future__ import annotations

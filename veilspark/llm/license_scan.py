@@ -9,7 +9,9 @@ and the short texts and notices in ``KNOWN``. All work is native.
 
 Results for odd input: a null text counts as empty and matches nothing; units
 without a letter or digit match nothing; a null id is kept as null; repeated
-rows each give a row; an empty table gives no rows; other columns are not used.
+rows each give a row; a very long text is scanned whole, and held as a whole by
+the task that cuts it into units; an empty table gives no rows; other columns are
+not used.
 """
 
 from __future__ import annotations

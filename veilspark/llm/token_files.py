@@ -11,7 +11,8 @@ Spark partition each, so writing needs no single task.
 
 Results for odd input: null and empty texts have the end id alone; null ids come
 first; rows that share an id follow each other in some fixed order, that of the
-files; an empty table gives an empty file set; other columns are not used.
+files; a very long text is encoded whole and is one row of its file; an empty
+table gives an empty file set; other columns are not used.
 """
 
 from __future__ import annotations

@@ -12,8 +12,9 @@ reader, one row each, and are written by tasks to a folder that all share.
 
 Results for odd input: a null payload counts as empty; an empty one is a record
 with an empty block; null keys get a record each with no identifier in common;
-rows that repeat a key give a record each; an empty table gives no archive and
-reads back as an empty table; other columns are not used.
+rows that repeat a key give a record each; a very long payload is one record, and
+is held as a whole where it is written and read; an empty table gives no archive
+and reads back as an empty table; other columns are not used.
 """
 
 from __future__ import annotations
