@@ -2,7 +2,10 @@
 
 Each stage takes the documents that its predecessor kept. All but the last return
 the columns of their input; the last returns what was encoded, and its digests.
-Empty input passes through every stage as empty tables.
+Null texts count as empty, null ids are kept apart by their texts, repeated rows count
+one by one, texts of any length are read whole, other columns (also ones named like a
+result of a stage) come out as they went in, and empty input passes through every stage
+as empty tables.
 """
 
 from __future__ import annotations
