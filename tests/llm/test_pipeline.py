@@ -64,3 +64,18 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     _docs(spark).limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_extra_columns_pass_through(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    extra = ["_id", "_key", "gone_id", "gone_key", "Leak", "row", "print", "cls", "sha", "posterior", "key", "declared"]
+    docs = _docs(spark).withColumns({c: F.lit(c) for c in extra})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        path = f"{tmp_path}/{name}"
+        stage(spark, docs, str(tmp_path)).write.parquet(path)
+        kept = spark.read.parquet(path)
+        assert kept.columns == docs.columns
+        docs = kept
+    assert all(r[c] == c for r in docs.collect() for c in extra) and docs.count() > 0
