@@ -32,8 +32,8 @@ def _dropping(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
     A merge join at every size: its shuffle grows with the input and no side is ever broadcast.
     """
-    gone = materialise(gone.select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct(), "dropped")
-    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (_key() == F.col("_key")), "left_anti")
+    gone = materialise(gone.select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(), "dropped").hint("merge")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (sha256_hex(text_or_empty(docs["text"])) == gone["gone_key"]), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
