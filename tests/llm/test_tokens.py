@@ -114,14 +114,22 @@ def test_texts_that_begin_and_end_with_marks(spark, tmp_path):
     assert len(rows) == len(texts) and all(r.ids == want[r.doc].ids + [0] for r in rows)
 
 
-def test_a_table_of_long_chunks_stays_bounded(monkeypatch):
+def test_long_chunks_are_encoded_but_not_kept():
     from veilspark.llm import chunk_table
 
-    monkeypatch.setattr(chunk_table, "ROOM_CHARS", 1000)
-    table = ChunkTable(lambda keys: [[len(k)] for k in keys])
-    for i in range(50):
-        ids, counts = table.ids([["x" * 200 + str(i), "a"], ["a"]])
-        assert ids.tolist() == [200 + len(str(i)), 1, 1] and counts.tolist() == [2, 1]
-        assert table.chars < 1500
+    asked = []
+
+    def encode(keys):
+        asked.extend(keys)
+        return [[len(k), 7] for k in keys]
+
+    table = ChunkTable(encode, room=40, keep=5)
+    for i in range(30):
+        long = "x" * (chunk_table.LONG + 1 + i % 2)
+        ids, counts = table.ids([[long, "a", f"b{i}"], ["a", long, long], []])
+        n = len(long)
+        assert ids.tolist() == [n, 7, 1, 7, len(f"b{i}"), 7, 1, 7, n, 7, n, 7] and counts.tolist() == [6, 6, 0]
+        assert not any(len(c) > chunk_table.LONG for c in table.number)
+    assert asked.count("a") == 1 and len(table.number) == 31
     table.shrink(0)
-    assert table.ids([["a"]])[0].tolist() == [1]
+    assert table.ids([["a"]])[0].tolist() == [1, 7]
