@@ -47,6 +47,20 @@ def test_model_tier_and_fallback(spark):
     assert [(r.tier, r.source, r.box.width) for r in I.face_candidates(images, load_model=model).collect()] == [("model", "vision-model", 30.0)]
     for load in (broken, silent, None):
         assert [r.tier for r in I.face_candidates(images, load_model=load).collect()] == ["heuristic"]
+    assert I.face_candidates(images, load_model=broken).first().failure == "RuntimeError: no model file"
+    assert I.face_candidates(images, load_model=model).first().failure is None
+
+
+def test_screenshot_figures(spark):
+    shots = frame(spark, np.zeros((16, 24, 4), np.uint8), np.full((16, 24, 4), 200, np.uint8))
+    rows = I.to_pam(shots).select(F.col("image_id").cast("string").alias("k"), F.base64("pam").alias("shot")).collect()
+    odd = [("none", None), ("empty", ""), ("text", "not base64 at all! " * 20), ("broken", "QUJD" * 50)]
+    df = spark.createDataFrame([(r.k, r.shot) for r in rows] + odd, "k string, shot string")
+    got = {r.k: r.screenshot for r in I.screenshot_stats(df, "shot").collect()}
+    assert (got["0"].present, got["0"].width, got["0"].height, got["0"].black_ratio, got["0"].problem) == (True, 24, 16, 1.0, None)
+    assert got["1"].black_ratio == 0.0
+    assert not got["none"].present and not got["empty"].present and got["empty"].problem is None
+    assert got["text"].present and got["text"].problem == "not base64" and got["broken"].problem is not None
 
 
 def test_blackout_blur_merge_and_negative_control(spark):

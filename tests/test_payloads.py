@@ -261,3 +261,19 @@ def test_newest_steps(spark):
     rows = [(s, None if i == 3 else i, i) for s in ("a", "b", None) for i in range(60)]
     got = T.newest(spark.createDataFrame(rows, "s string, ts int, id int"), "s", ["ts", "id"], 5).collect()
     assert sorted((str(r.s), r["rank"], r.ts) for r in got) == sorted((str(s), k + 1, 59 - k) for s in ("a", "b", None) for k in range(5))
+
+
+def test_a_failing_provider_says_why(spark):
+    from veilspark.operators import providers as R
+
+    prompts = spark.createDataFrame([(1, "a"), (2, "b")], "k int, prompt string")
+
+    def raising():
+        def run(texts):
+            raise TimeoutError("no answer")
+        return run
+
+    for load, failure in ((raising, "TimeoutError: no answer"), (lambda: lambda texts: ["x"] * 5, None)):
+        rows = R.provider_actions(prompts, "prompt", load, "k").collect()
+        assert [r.action for r in rows] == [None, None] and all(r.error == "empty response" for r in rows)
+        assert all(r.failure == failure if failure else r.failure.startswith("ValueError: 5 answers") for r in rows)

@@ -108,7 +108,7 @@ def run_step(elements: DataFrame, images: DataFrame, viewport: tuple[float, floa
     applied = I.applied_boxes(images, every)
     redacted = materialise(I.redact_images(images, applied, change=False), "redacted")
 
-    tokenised = V.tokens(tagged)
+    tokenised = materialise(V.tokens(tagged), "tokens")  # read for the payloads and for the vault
     sanitised = V.sanitised_elements(tagged, tokenised)
     payloads = materialise(payload_bodies(sanitised, task), "payloads")
     leaks = vault_leaks(payloads, tokenised).groupBy("page_id").agg(F.sum("tokens").alias("vault_leaks"))

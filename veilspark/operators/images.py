@@ -24,7 +24,7 @@ from veilspark.session import ship_package
 from veilspark.sources.captures import pam, unpam
 
 IMAGE = "image_id bigint, width int, height int, data binary"
-FACES = f"image_id bigint, pos bigint, box {G.BOX}, confidence double, pii_type string, mode string, source string, tier string"
+FACES = f"image_id bigint, pos bigint, box {G.BOX}, confidence double, pii_type string, mode string, source string, tier string, failure string"
 Detector = Callable[[object], list]
 BATCH_ROWS, BATCH_BYTES = 2048, 32 << 20
 
@@ -81,33 +81,34 @@ def face_candidates(
 
     ``load_model`` gives a detector (image array -> list of (x, y, w, h,
     confidence)); it runs once per task.  Without a model, when it finds
-    nothing, or when it fails, the skin-region heuristic is used, and ``tier``
-    tells which one spoke.
+    nothing, or when it fails, the skin-region heuristic is used, ``tier``
+    tells which one spoke, and ``failure`` what the model raised.
     """
     ship_package(images.sparkSession)
     columns = [c.split()[0] for c in FACES.replace(G.BOX, "box_t").split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = unloaded = None
         try:
             model = load_model() if load_model else None
-        except Exception:
-            model = None
+        except Exception as e:
+            unloaded = f"{type(e).__name__}: {e}"
 
         def found():
             for row in _rows(batches):
                 image = R.decode(row.data, row.width, row.height)
-                boxes, tier = [], "heuristic"
+                boxes, tier, failure = [], "heuristic", unloaded
                 if model is not None:
                     try:
                         boxes = list(model(image))
-                    except Exception:
-                        boxes = []
+                    except Exception as e:
+                        boxes, failure = [], f"{type(e).__name__}: {e}"
                     tier = "model" if boxes else tier
                 boxes = boxes or R.face_boxes(image, cell, min_area_ratio, min_fill)
                 source = "vision-model" if tier == "model" else "vision"
                 for i, (x, y, w, h, confidence) in enumerate(boxes):
                     box = {"x": float(x), "y": float(y), "width": float(w), "height": float(h)}
-                    yield row.image_id, i, box, float(confidence), "face", "blur", source, tier
+                    yield row.image_id, i, box, float(confidence), "face", "blur", source, tier, failure
 
         yield from _batched(found(), columns)
 

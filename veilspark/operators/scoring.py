@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -116,14 +117,18 @@ def speed_scores(steps: DataFrame, heap_mb: Column, perception: Column, redactio
     )
 
 
-def composite(scores: Mapping[str, DataFrame]) -> DataFrame:
-    """Metric rows and their weighted total; each input is one row with ``score``."""
-    rows = None
-    for metric, df in scores.items():
-        row = df.select(
-            F.lit(metric).alias("metric"), F.col("score"), (F.col("score") * fixed.METRIC_WEIGHTS[metric]).alias("w")
-        )
-        rows = row if rows is None else rows.unionByName(row)
+def metric_rows(figures: DataFrame, **metrics: Column) -> DataFrame:
+    """(metric, score) rows out of the one row of ``figures``."""
+    rows = [F.struct(F.lit(name).alias("metric"), score.cast("double").alias("score")) for name, score in metrics.items()]
+    return figures.select(F.inline(F.array(*rows)))
+
+
+def composite(*scores: DataFrame) -> DataFrame:
+    """Metric rows and their weighted total, out of frames of (metric, score)."""
+    weight = F.lit(None)
+    for name, share in fixed.METRIC_WEIGHTS.items():
+        weight = F.when(F.col("metric") == name, F.lit(share)).otherwise(weight)
+    rows = reduce(DataFrame.unionByName, scores).withColumn("w", F.col("score") * weight)
     total = rows.rollup("metric").agg(F.sum("score").alias("score"), F.sum("w").alias("w"))
     return total.select(
         F.coalesce("metric", F.lit("composite")).alias("metric"),

@@ -286,15 +286,11 @@ def composite(spark, sf_dir):
     flags = M.set_match(expected_keys(elements), reported_keys(elements), _PAGE, "selector")
     context = M.with_scores(M.match_counts(flags, "page_id").filter(F.col("page_id").isNull()))
     classes = M.with_scores(pii_counts(elements))
-    speed = materialise(speed_scores(spark, sf_dir), "speed")
     scores = S.composite(
-        {
-            "m1": context.select((100 * F.col("f1")).alias("score")),
-            "m2": classes.select((100 * F.col("f1")).alias("score")),
-            "m3": redaction_parts(elements),
-            "m4": speed.withColumnRenamed("resource", "score"),
-            "m5": speed.withColumnRenamed("latency", "score"),
-        }
+        S.metric_rows(context, m1=100 * F.col("f1")),
+        S.metric_rows(classes, m2=100 * F.col("f1")),
+        S.metric_rows(redaction_parts(elements), m3=F.col("score")),
+        S.metric_rows(speed_scores(spark, sf_dir), m4=F.col("resource"), m5=F.col("latency")),
     )
     return scores.withColumn("score", F.round("score", 6))
 

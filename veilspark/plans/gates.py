@@ -48,7 +48,7 @@ gates AS (SELECT p.page_id, coalesce(verified, false) AS verified, coalesce(chan
 def page_gates(spark, sf_dir) -> DataFrame:
     """page_id, verified, changed, leak_free: what the redacted image and the outgoing payload of each page say."""
     t = tagged(spark, sf_dir)
-    tokenised = V.tokens(t)
+    tokenised = materialise(V.tokens(t), "tokens")
     bodies = materialise(W.payload_bodies(V.sanitised_elements(t, tokenised), F.lit("Fill the form")), "payloads")
     leaks = W.vault_leaks(bodies, tokenised).select("page_id").distinct().withColumn("leaked", F.lit(True))
     shot = I.redact_images(G.rasters(spark, sf_dir), G.fixed_boxes(spark, sf_dir, "blackout")).select(

@@ -25,7 +25,7 @@ def outgoing_elements(spark, sf_dir, raw_every: int = 10) -> tuple[DataFrame, Da
     """(elements to send, tokenised rows); every tenth page is sent raw on
     purpose, so that the checks have something to find."""
     t = tagged(spark, sf_dir)
-    tokenised = V.tokens(t)
+    tokenised = materialise(V.tokens(t), "tokens")  # read for the payloads and for the vault
     clean = V.sanitised_elements(t, tokenised)
     raw = t.select(*clean.columns)
     sent = clean.filter(F.col("page_id") % raw_every != 0).unionByName(raw.filter(F.col("page_id") % raw_every == 0))
