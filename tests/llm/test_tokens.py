@@ -133,3 +133,13 @@ def test_long_chunks_are_encoded_but_not_kept():
     assert asked.count("a") == 1 and len(table.number) == 31
     table.shrink(0)
     assert table.ids([["a"]])[0].tolist() == [1, 7]
+
+
+def test_lone_marks():
+    import re
+
+    rng = np.random.default_rng(6)
+    letters = list("ab1.,,.  _é-٣\n")
+    for _ in range(20000):
+        text = "".join(rng.choice(letters, rng.integers(0, 9)))
+        assert token_files._lone_mark(text) == bool(re.search(r"[\W_][.,]", text)), text

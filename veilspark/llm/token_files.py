@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from functools import cache
 
@@ -45,7 +44,6 @@ _ODD = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000
     map(chr, range(0x2000, 0x200B))
 )
 _NEAR = ("  ", " \n", "\n ", "\n\n", "\0")
-_AFTER_MARK = re.compile(r"[\W_][.,]")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -94,6 +92,14 @@ def _one_word(chunk: str) -> bool:
     return (chunk[1:] if chunk[0] == " " else chunk).isalpha() and max(chunk) < "\u0250"
 
 
+def _lone_mark(text: str) -> bool:
+    """Does a full stop or comma follow another character than a letter or digit?"""
+    first, *rest = text.replace(",", ".").split(".")
+    if not rest:
+        return False
+    return (first != "" and not first[-1].isalnum()) or not all([p[-1:].isalnum() for p in rest[:-1]])
+
+
 def chunks(text: str) -> list[str]:
     """Parts of a text that a byte-level tokenizer treats apart.
 
@@ -106,7 +112,7 @@ def chunks(text: str) -> list[str]:
     odd = _ODD if not text.isascii() else _ODD[:8]
     if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _NEAR) or any(x in text for x in odd):
         return [text]
-    if "<|" not in text and not _AFTER_MARK.search(text):
+    if "<|" not in text and not _lone_mark(text):
         text = text.replace(",", "\0,").replace(".", "\0.")
     parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
     return parts if parts[0] else parts[1:]  # a text may begin with a mark
