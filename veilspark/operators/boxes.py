@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veilspark import fixed
 from veilspark.functions import boxlists as L
 from veilspark.functions import geometry as G
-from veilspark.session import ship_package
+from veilspark.session import grows, ship_package
 
 ITEM = f"struct<pos:bigint,box:{G.BOX},confidence:double,pii_type:string,mode:string>"
 
@@ -75,7 +75,7 @@ def fused(detections: DataFrame, frames: DataFrame, *keys: str) -> DataFrame:
     """CSS pixels to capture pixels; ``frames`` has the viewport and image sizes."""
     sx = F.col("image_width") / F.greatest(F.lit(1.0), F.col("viewport_width"))
     sy = F.col("image_height") / F.greatest(F.lit(1.0), F.col("viewport_height"))
-    return detections.join(frames, list(keys)).withColumn("box", G.scale_box(F.col("box"), sx, sy))
+    return grows(detections).join(frames, list(keys)).withColumn("box", G.scale_box(F.col("box"), sx, sy))
 
 
 def redaction_boxes(groups: DataFrame, width, height, pad: float = fixed.REDACTION_PAD) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.functions import geometry as G
+from veilspark.session import grows
 
 GRID_PX = 256
 
@@ -16,7 +17,7 @@ def set_match(expected: DataFrame, reported: DataFrame, page: Sequence[str], key
     """Full outer match of distinct keys: one row per key with both flags."""
     e = expected.select(*page, key).distinct().withColumn("expected", F.lit(True))
     r = reported.select(*page, key).distinct().withColumn("reported", F.lit(True))
-    return e.join(r, [*page, key], "full_outer").na.fill(False, ["expected", "reported"])
+    return grows(e).join(r, [*page, key], "full_outer").na.fill(False, ["expected", "reported"])
 
 
 def match_counts(flags: DataFrame, *page: str) -> DataFrame:
@@ -59,7 +60,7 @@ def overlapping(left: DataFrame, left_box: str, right: DataFrame, right_box: str
     pair counts in the one cell that holds the corner of its intersection.
     """
     a, b = F.col(left_box), F.col(right_box)
-    pairs = _gridded(left, left_box).join(_gridded(right, right_box), [*page, "_cx", "_cy"])
+    pairs = grows(_gridded(left, left_box)).join(_gridded(right, right_box), [*page, "_cx", "_cy"])
     corner = (F.col("_cx") == _cell(F.greatest(a["x"], b["x"]))) & (F.col("_cy") == _cell(F.greatest(a["y"], b["y"])))
     return pairs.filter(corner & (G.overlap_area(a, b) > 0)).drop("_cx", "_cy")
 
@@ -76,7 +77,7 @@ def best_overlap(
         F.max(F.struct(G.iou(a, b).alias("iou"), F.col(right_id).alias("id"))).alias("_b"),
         F.sum(G.overlap_area(a, b)).alias("overlap"),
     )
-    return left.join(best, [*page, left_id], "left").select(
+    return grows(left).join(best, [*page, left_id], "left").select(
         *left.columns,
         F.coalesce("_b.iou", F.lit(0.0)).alias("best_iou"),
         F.col("_b.id").alias("best_id"),

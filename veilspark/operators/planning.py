@@ -15,6 +15,7 @@ from veilspark import fixed
 from veilspark.functions import patterns as P
 from veilspark.operators import classify as C
 from veilspark.operators.elements import filled
+from veilspark.session import grows
 
 _ACTION = (
     "struct<action:string,selector:string,value:string,direction:string,distance:int,reasoning:string,"
@@ -263,9 +264,9 @@ def action_targets(actions: DataFrame, elements: DataFrame, page: Sequence[str],
     rank = (
         F.when(F.col("way") == "selector", 1).when(F.col("way") == "id", 2).when(F.col("way") == "name", 3).otherwise(4)
     )
-    found = asked.filter(F.col("key").isNotNull()).join(places, [*page, "way", "key"])
+    found = grows(asked.filter(F.col("key").isNotNull())).join(places, [*page, "way", "key"])
     best = found.groupBy(*page, action_id).agg(F.min_by(F.struct("way", "target_pos"), rank).alias("_t"))
-    return actions.join(best, [*page, action_id], "left").select(
+    return grows(actions).join(best, [*page, action_id], "left").select(
         *actions.columns, F.col("_t.way").alias("way"), F.col("_t.target_pos").alias("target_pos")
     )
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.functions import geometry as G
-from veilspark.session import spread
+from veilspark.session import WORK_ROWS, spread
 
 TEMPLATES = 4
 STEPS_PER_SESSION = 8
@@ -180,7 +180,7 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def form_elements(spark: SparkSession, sf_dir: str, customers: DataFrame | None = None) -> DataFrame:
     """Element rows of one form page per customer; eight pages make a session. ``customers`` may be a stream."""
     if customers is None:
-        customers = spread(load(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+        customers = spread(load(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey", rows=WORK_ROWS)
     customers = customers.select(
         F.col("c_custkey").alias("k"), "c_name", (F.col("c_custkey") % TEMPLATES).cast("int").alias("template")
     )

@@ -16,7 +16,7 @@ from veilspark.plans import derived as D
 from veilspark.plans import sqlparts as Q
 from veilspark.plans.forms import tagged
 from veilspark.plans.registry import query
-from veilspark.session import materialise, spread
+from veilspark.session import WORK_ROWS, materialise, spread
 
 _TASK = "CASE WHEN page_id % 12 = 0 THEN concat('mail user', cast(page_id AS {s}), '@example.com') ELSE 'Fill the form' END"
 
@@ -171,7 +171,7 @@ violations AS (
 
 def audit(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     sent, _ = outgoing_elements(spark, sf_dir)
-    tasks = spread(D.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id")), "page_id").select(
+    tasks = spread(D.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id")), "page_id", rows=WORK_ROWS).select(
         "page_id", F.lit("task").alias("where"), F.expr(_TASK.format(s="string")).alias("task")
     )
     found = S.element_violations(sent, "page_id").unionByName(S.violations(tasks, "task", "where", "page_id"))

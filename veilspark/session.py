@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 SPREAD = "spark.veilspark.inputPartitions"
 """Where set, small tables of one row group are dealt to so many partitions after the scan."""
 
+WORK_ROWS, LEAST_ROWS = 10_000, 250
+"""Keys of forms or images to a task, and those below which a task is not worth while."""
+
 
 def local_session(cores: str = "8", app: str = "veilspark") -> SparkSession:
     """Session for tests and local benchmarks; a cluster brings its own."""
@@ -121,11 +124,30 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     """Deal the rows to as many partitions as the session asks for, if it asks.
 
     A large input has a task per file split and needs no such shuffle; the setting
     is for small files of a single row group on one machine.
+
+    ``rows``: for narrow tables whose rows make much work each. A million keys fit one split of a few MB, so the
+    split says nothing about the work; without the setting they are dealt by so many rows to a task, and to all
+    cores as soon as there are a few hundred rows for each.
+    """
+    spark = df.sparkSession
+    wanted = spark.conf.get(SPREAD, None)
+    if wanted:
+        return df.repartition(int(wanted), *keys)
+    if rows is None:
+        return df
+    n = df.count()
+    return df.repartition(max(1, -(-n // rows), min(spark.sparkContext.defaultParallelism, n // LEAST_ROWS)), *keys)
+
+
+def grows(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast.
+
+    Spark estimates a frame by the bytes of its files and the default sizes of its columns: one that was written well
+    compressed, exploded or made by a Python function may be a hundred times that, and would go through the driver.
     """
-    wanted = df.sparkSession.conf.get(SPREAD, None)
-    return df.repartition(int(wanted), *keys) if wanted else df
+    return df.hint("merge")
