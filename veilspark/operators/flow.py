@@ -18,7 +18,7 @@ from veilspark.operators import scan as S
 from veilspark.operators import vault as V
 from veilspark.operators.containment import containment
 from veilspark.operators.ranking import running_total
-from veilspark.session import materialise, spread
+from veilspark.session import grows, materialise, spread
 
 
 @dataclass
@@ -115,10 +115,10 @@ def run_step(elements: DataFrame, images: DataFrame, viewport: tuple[float, floa
     shown = F.size(P.scan_text(P.strip_tokens(F.col("body"))))
     counted = every.groupBy(F.col("image_id").alias("page_id")).agg(F.count("*").alias("detections"))
     verdicts = (
-        payloads.select("session_id", "page_id", "step", shown.alias("pattern_leaks"))
+        grows(payloads.select("session_id", "page_id", "step", shown.alias("pattern_leaks")))
         .join(redacted.select(F.col("image_id").alias("page_id"), "boxes", "verified"), "page_id", "left")
-        .join(leaks, "page_id", "left")
-        .join(counted, "page_id", "left")
+        .join(grows(leaks), "page_id", "left")
+        .join(grows(counted), "page_id", "left")
         .na.fill(0, ["vault_leaks", "detections", "boxes"])
         .withColumn(
             "status",

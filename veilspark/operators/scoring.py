@@ -12,6 +12,7 @@ from veilspark import fixed
 from veilspark.functions import geometry as G
 from veilspark.operators import boxes as B
 from veilspark.operators import matching as M
+from veilspark.session import grows
 
 
 def side_by_side(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -34,13 +35,13 @@ def class_match_counts(truth: DataFrame, faces: DataFrame, found: DataFrame, pag
     named = keys.filter(F.coalesce("selector", F.lit("")) != "").withColumn("_gt", F.lit(True))
     best = M.best_overlap(found, "pos", "box", faces, "face_id", "face_box", page)
     hit = F.when(F.col("_gt"), F.col("selector")).when(F.col("best_iou") >= fixed.FACE_IOU, face_key("best_id"))
-    hits = best.join(named, [*page, "selector"], "left").select(*page, hit.alias("key"))
+    hits = grows(best).join(named, [*page, "selector"], "left").select(*page, hit.alias("key"))
     wanted = keys.select(*page, F.col("selector").alias("key")).unionByName(
         faces.select(*page, face_key("face_id").alias("key"))
     )
     # reported keys are counted per key first, then met with the truth
     per_key = hits.groupBy(*page, "key").agg(F.count("*").alias("n"))
-    met = wanted.distinct().join(per_key.filter(F.col("key").isNotNull()), [*page, "key"], "left")
+    met = grows(wanted.distinct()).join(per_key.filter(F.col("key").isNotNull()), [*page, "key"], "left")
     totals = per_key.agg(
         F.coalesce(F.sum(F.when(F.col("key").isNotNull(), F.col("n"))), F.lit(0)).alias("tp"),
         F.coalesce(F.sum(F.when(F.col("key").isNull(), F.col("n"))), F.lit(0)).alias("fp"),
@@ -71,7 +72,7 @@ def redaction_summary(
     truth = truth.drop(*by)
 
     def grouped(rows: DataFrame):
-        return rows.join(of_page, list(page)).groupBy(*by) if by else rows.groupBy()
+        return grows(rows).join(of_page, list(page)).groupBy(*by) if by else rows.groupBy()
 
     def beside(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.join(right, list(by)) if by else side_by_side(left, right)
@@ -82,7 +83,7 @@ def redaction_summary(
     ub = B.union_per(applied.select(*page, "box"), *page)
     ug = B.union_per(truth.select(*page, F.col("gt_box").alias("box")), *page).withColumnRenamed("box", "gt_box")
     a, g = F.col("box"), F.col("gt_box")
-    over = grouped(ub.join(ug, list(page))).agg(
+    over = grouped(grows(ub).join(ug, list(page))).agg(
         (
             F.sum(F.greatest(F.lit(0.0), G.area(a) - G.overlap_area(a, g))) / F.greatest(F.lit(1e-9), F.sum(G.area(a)))
         ).alias("overmask")

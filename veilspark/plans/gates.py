@@ -16,7 +16,7 @@ from veilspark.plans import imaging as G
 from veilspark.plans import sqlparts as Q
 from veilspark.plans.forms import tagged
 from veilspark.plans.registry import query
-from veilspark.session import materialise
+from veilspark.session import grows, materialise
 
 LEAST_CHANGE = 20
 _TASK = "'Fill the form'"
@@ -55,7 +55,7 @@ def page_gates(spark, sf_dir) -> DataFrame:
         F.col("image_id").alias("page_id"), "verified", (F.col("least_change") >= LEAST_CHANGE).alias("changed")
     )
     shown = F.size(P.scan_text(P.strip_tokens(F.col("body")))) > 0
-    return bodies.select("page_id", shown.alias("shown")).join(leaks, "page_id", "left").join(shot, "page_id", "left").select(
+    return grows(grows(bodies.select("page_id", shown.alias("shown"))).join(leaks, "page_id", "left")).join(shot, "page_id", "left").select(
         "page_id", F.coalesce("verified", F.lit(False)).alias("verified"), F.coalesce("changed", F.lit(False)).alias("changed"),
         (~F.col("shown") & F.col("leaked").isNull()).alias("leak_free"),
     )
