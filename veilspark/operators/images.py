@@ -20,7 +20,7 @@ from veilspark.functions import geometry as G
 from veilspark.functions import raster as R
 from veilspark.operators import boxes as B
 from veilspark.operators import quality as K
-from veilspark.session import ship_package
+from veilspark.session import grows, ship_package
 from veilspark.sources.captures import pam, unpam
 
 IMAGE = "image_id bigint, width int, height int, data binary"
@@ -123,7 +123,7 @@ def faces(images: DataFrame, threshold: float = fixed.DEDUPE_IOU, **options) ->
 def applied_boxes(images: DataFrame, detections: DataFrame, pad: float = fixed.REDACTION_PAD, min_iou: float = fixed.MERGE_IOU) -> DataFrame:
     """Whole-pixel boxes to destroy: overlapping detections merged, padded, clamped."""
     groups = B.merged(detections, "image_id", min_iou=min_iou)
-    sized = groups.join(images.select("image_id", "width", "height"), "image_id")
+    sized = grows(groups).join(images.select("image_id", "width", "height"), "image_id")
     return B.redaction_boxes(sized, F.col("width").cast("double"), F.col("height").cast("double"), pad).drop("width", "height")
 
 
@@ -141,7 +141,7 @@ def _with_boxes(images: DataFrame, applied: DataFrame) -> DataFrame:
             )
         ).alias("boxes")
     )
-    return images.join(packed, "image_id", "left").select("image_id", "width", "height", "data", "boxes")
+    return grows(images).join(packed, "image_id", "left").select("image_id", "width", "height", "data", "boxes")
 
 
 def _todo(row: tuple) -> list[tuple]:

@@ -9,6 +9,7 @@ from veilspark.plans import imaging as G
 from veilspark.plans import payloads as L
 from veilspark.plans import sqlparts as Q
 from veilspark.plans.registry import CHECK_SQL, query
+from veilspark.session import grows
 
 _PAM_BYTES = 67 + 4 * G.SIDE * G.SIDE  # header and pixels
 _BASE64 = 4 * -(-_PAM_BYTES // 3)
@@ -31,7 +32,7 @@ def compliance_report(spark, sf_dir):
     """Every payload with its element figures, violations and what its screenshot shows; some have none or a broken one."""
     shots = I.redact_images(G.rasters(spark, sf_dir), G.fixed_boxes(spark, sf_dir, "blackout"), change=False)
     encoded = F.regexp_replace(F.base64("pam"), "[\r\n]", "")
-    pages = L.payload_compliance(spark, sf_dir).join(
+    pages = grows(L.payload_compliance(spark, sf_dir)).join(
         I.to_pam(shots).select(F.col("image_id").alias("page_id"), encoded.alias("shot")), "page_id", "left"
     )
     k = F.col("page_id") % 6
