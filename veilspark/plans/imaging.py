@@ -17,7 +17,7 @@ from veilspark.operators import tiles as L
 from veilspark.operators.flow import run_step
 from veilspark.plans.derived import form_elements, load
 from veilspark.plans.registry import query
-from veilspark.session import materialise, shared_dir, ship_package, spread
+from veilspark.session import WORK_ROWS, grows, materialise, shared_dir, ship_package, spread
 from veilspark.sources import captures
 
 SIDE = 32
@@ -27,7 +27,7 @@ def rasters(spark, sf_dir) -> DataFrame:
     """One image per part: dark noise, a skin-coloured square for two keys of
     three, a small second patch for one key of five."""
     ship_package(spark)
-    keys = spread(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id")), "image_id")
+    keys = spread(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id")), "image_id", rows=WORK_ROWS)
 
     def paint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         y, x = np.mgrid[0:SIDE, 0:SIDE]
@@ -138,7 +138,7 @@ _SIG = f"sum(r * ((y * {SIDE} + x) % 97 + 1)) AS sig_r, sum(g * ((y * {SIDE} + x
 
 def _signed(images: DataFrame, *keep: str) -> DataFrame:
     sig = I.per_image(images, lambda a: [R.signature(a)], "image_id bigint, sig_r bigint, sig_g bigint, sig_b bigint")
-    return images.select("image_id", *keep).join(sig, "image_id") if keep else sig
+    return grows(images.select("image_id", *keep)).join(sig, "image_id") if keep else sig
 
 
 @query("blackout", f"WITH {_PX}, {_BOX}, {_DARK} SELECT image_id, {_SIG} FROM dark GROUP BY image_id")
@@ -277,7 +277,7 @@ def stored_captures(spark, sf_dir):
         for f in captures.ELEMENT.fields
     ])
     shots = rasters(spark, sf_dir).select(F.col("image_id").alias("p_partkey"), F.when(F.col("image_id") % 7 != 0, F.struct("width", "height", "data")).alias("image"))
-    rows = load(spark, sf_dir, "part").join(shots, "p_partkey").select(
+    rows = load(spark, sf_dir, "part").join(grows(shots), "p_partkey").select(
         k.cast("string").alias("capture_id"), F.lit("s").alias("session_id"), (k % 8).cast("int").alias("step"),
         F.lit(None).cast("string").alias("url"), "p_name", "p_partkey", "image",
     ).select(
@@ -292,7 +292,7 @@ def stored_captures(spark, sf_dir):
     images = back.where("image IS NOT NULL").select(F.col("capture_id").cast("bigint").alias("image_id"), "image.*")
     told = _signed(images).withColumn("capture_id", F.col("image_id").cast("string")).drop("image_id")
     elements = F.coalesce(F.nullif(F.size("elements"), F.lit(-1)), F.lit(0)).cast("long")
-    return back.select("capture_id", elements.alias("elements"), F.get("elements", F.lit(0))["value"].alias("first_value")).join(told, "capture_id", "left")
+    return back.select("capture_id", elements.alias("elements"), F.get("elements", F.lit(0))["value"].alias("first_value")).join(grows(told), "capture_id", "left")
 
 
 @query("protected_step")
