@@ -46,3 +46,13 @@ def test_repeated_rows_and_empty_tables(spark):
     assert _found(spark, [], [(1, "a")]) == {} and _found(spark, [(1, "a")], []) == {}
     df = spark.createDataFrame([(None, "abc"), (None, "abc")], "id long, t string")
     assert R.first_matches(df, "t", spark.createDataFrame([(1, "b")], "priority int, pattern string")).count() == 2
+
+
+def test_rules_of_one_word_are_indexed_by_their_numbers(spark):
+    rules = [(i, rf"(?i)(?:no|serial)\s*ref{i}\b|order-{i}", "x") for i in range(1000, 3000)]
+    index = R.rule_index(spark.createDataFrame(rules, "priority int, pattern string, pii_type string"))
+    assert index.count() == 4000
+    assert index.groupBy("run").count().agg({"count": "max"}).first()[0] < 400  # all 2000 under "ord" and "ref" before
+    texts = spark.createDataFrame([(1, "ORDER-1234 x"), (2, "ORDER-1234 x"), (3, "no ref2999"), (4, "order reference"), (5, None)], "at int, t string")
+    found = R.first_matches(texts, "t", spark.createDataFrame(rules, "priority int, pattern string, pii_type string"))
+    assert sorted((r.at, r.rule.priority) for r in found.collect()) == [(1, 1234), (2, 1234), (3, 2999)]
