@@ -13,7 +13,7 @@ from veilspark.plans.evaluation import _LAT
 from veilspark.plans.payloads import _TASK as _MAIL_TASK
 from veilspark.plans.planning import _PLAN, plans
 from veilspark.plans.registry import query
-from veilspark.session import materialise, shared_dir
+from veilspark.session import WORK_ROWS, materialise, shared_dir, tasks
 from veilspark.streaming import jobs as J
 from veilspark.streaming import stateful as S
 
@@ -155,6 +155,8 @@ _STEP_VERIFIED = "CASE WHEN page_id % 21 = 0 THEN NULL ELSE page_id % 14 <> 0 EN
 def stream_step(spark, sf_dir):
     """Every page of a stream as one step: classes, tokens, payload, leak checks, verdict. Blocked steps send nothing."""
     customers = J.table_stream(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    # A file of keys is one split, whatever work its rows make; they are dealt out before the classes are found.
+    customers = customers.repartition(tasks(D.load(spark, sf_dir, "customer"), WORK_ROWS), "c_custkey")
     elements = D.form_elements(spark, sf_dir, customers).withColumns({
         "task": F.expr(_STEP_TASK.format(s="string")), "verified": F.expr(_STEP_VERIFIED),
     })

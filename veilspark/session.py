@@ -138,10 +138,13 @@ def spread(df: DataFrame, *keys: str, rows: int | None = None) -> DataFrame:
     wanted = spark.conf.get(SPREAD, None)
     if wanted:
         return df.repartition(int(wanted), *keys)
-    if rows is None:
-        return df
+    return df if rows is None else df.repartition(tasks(df, rows), *keys)
+
+
+def tasks(df: DataFrame, rows: int) -> int:
+    """How many tasks the rows of a narrow table make, so many to each, and all cores if there are enough."""
     n = df.count()
-    return df.repartition(max(1, -(-n // rows), min(spark.sparkContext.defaultParallelism, n // LEAST_ROWS)), *keys)
+    return max(1, -(-n // rows), min(df.sparkSession.sparkContext.defaultParallelism, n // LEAST_ROWS))
 
 
 def grows(df: DataFrame) -> DataFrame:

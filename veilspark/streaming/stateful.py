@@ -112,8 +112,9 @@ class _StepVault(StatefulProcessor):
         self.out = Row(*columns, "token", "raw_value", "at_step", "at_pos", "is_new")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.counts = handle.getMapState("counts", "kind string", "n bigint")
-        self.entries = handle.getMapState("entries", "token string", "raw_value string, step int, pos int")
+        # Lists, as each is read and written in one exchange with the state store, a map in one for each of its keys.
+        self.counts = handle.getListState("counts", "kind string, n bigint")
+        self.entries = handle.getListState("entries", "token string, raw_value string, step int, pos int")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         held = _ordered(rows, ["step", "page_id", "pos"])
@@ -122,9 +123,9 @@ class _StepVault(StatefulProcessor):
             if row["selector"] and row["token_kind"]:
                 kinds.setdefault((row["page_id"], row["selector"]), row["token_kind"])
         nothing = [None] * len(self.columns)
-        for (token,), (value, step, pos) in self.entries.iterator():  # what earlier batches registered
+        for token, value, step, pos in self.entries.get():  # what earlier batches registered
             yield self.out(*nothing[:-1], key[0], token, value, step, pos, False)
-        counts = {k: n for (k,), (n,) in self.counts.iterator()}
+        counts, fresh = {k: n for k, n in self.counts.get()}, []
         for row in held:
             kind = kinds.get((row["page_id"], row["selector"])) if row["selector"] else None
             token = None
@@ -132,10 +133,12 @@ class _StepVault(StatefulProcessor):
                 counts[kind] = counts.get(kind, 0) + 1
                 token = f"[{kind}_{counts[kind]}]"
                 if row["value"]:
-                    self.entries.updateValue((token,), (row["value"], row["step"], row["pos"]))
+                    fresh.append((token, row["value"], row["step"], row["pos"]))
             yield self.out(*[row[c] for c in self.columns], token, row["value"], row["step"], row["pos"], True)
-        for kind, n in counts.items():
-            self.counts.updateValue((kind,), (n,))
+        if fresh:
+            self.entries.appendList(fresh)
+        if counts:
+            self.counts.put(list(counts.items()))
 
     def close(self) -> None:
         pass
