@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspark import fixed
-from veilspark.session import materialise, shared_dir, ship_package
+from veilspark.session import grows, materialise, shared_dir, ship_package
 
 # three words in a row with a blank on both sides: whole words of any text holding the string
 _SHINGLE = "(?<= )(?=([^ ]+ [^ ]+ [^ ]+) )"
@@ -24,6 +24,11 @@ SHARE, BLOCK, TASKS_PER_BLOCK = 1000, 20_000, 64
 _ALNUM = r"\p{L}\p{N}"
 
 
+def _scoped(df: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Strings of a scope (a session's vault) grow with the texts, so neither side is broadcast."""
+    return grows(df) if scope else df
+
+
 def _pieces(text: Column, pattern: str) -> Column:
     """Hashes of the distinct runs of a text."""
     return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))), lambda p: F.xxhash64(p))
@@ -42,7 +47,7 @@ def anchors(items: DataFrame, item_text: str, scope: Sequence[str] = ()) -> Data
     shared = runs.groupBy(*scope, "_kind", "_run").agg(F.count(F.lit(1)).alias("_n"))
     best = F.min_by(F.struct("_kind", "_run"), F.struct("_n", "_run"))
     return (
-        runs.join(shared, [*scope, "_kind", "_run"]).groupBy(*scope, item_text).agg(best.alias("_best"))
+        _scoped(runs, scope).join(shared, [*scope, "_kind", "_run"]).groupBy(*scope, item_text).agg(best.alias("_best"))
         .select(*scope, item_text, "_best._kind", "_best._run")
     )
 
@@ -52,7 +57,7 @@ def _runs_of(texts: DataFrame, keys: Sequence[str], text: str, anchored: DataFra
     # Only kinds that the text's scope has anchors of are cut into runs.
     cut = range(len(_KINDS))
     if scope:
-        wanted = texts.join(anchored.groupBy(*scope).agg(F.collect_set("_kind").alias("_used")), list(scope))
+        wanted = grows(texts).join(anchored.groupBy(*scope).agg(F.collect_set("_kind").alias("_used")), list(scope))
     else:
         cut = sorted(r[0] for r in anchored.select("_kind").distinct().collect())  # three at most
         wanted = texts.withColumn("_used", F.array(*map(F.lit, cut)).cast("array<int>"))
@@ -68,7 +73,7 @@ def _runs_of(texts: DataFrame, keys: Sequence[str], text: str, anchored: DataFra
 def candidates(texts: DataFrame, keys: Sequence[str], text: str, anchored: DataFrame, item_text: str,
                scope: Sequence[str] = ()) -> DataFrame:
     """Pairs (text keys, item text) where the text has the item's anchor."""
-    return _runs_of(texts, keys, text, anchored, scope).join(anchored, [*scope, "_kind", "_run"]).select(*keys, item_text)
+    return _scoped(_runs_of(texts, keys, text, anchored, scope), scope).join(anchored, [*scope, "_kind", "_run"]).select(*keys, item_text)
 
 
 def matched(texts: DataFrame, keys: Sequence[str], text: str, anchored: DataFrame, item_text: str,
@@ -142,7 +147,7 @@ def short_hits(texts: DataFrame, keys: Sequence[str], text: str, items: DataFram
     lengths = range(1, fixed.MIN_PROTECTED_CHARS)
     asked = items.select(*scope, item_text, F.length(item_text).alias("_n")).where(F.col("_n").isin(*lengths)).distinct()
     if scope:
-        wanted = texts.join(asked.groupBy(*scope).agg(F.collect_set("_n").alias("_used")), list(scope))
+        wanted = grows(texts).join(asked.groupBy(*scope).agg(F.collect_set("_n").alias("_used")), list(scope))
     else:
         wanted = texts.withColumn("_used", F.array(*[F.lit(r[0]) for r in asked.select("_n").distinct().collect()]).cast("array<int>"))
     runs = F.concat(*[
@@ -150,7 +155,7 @@ def short_hits(texts: DataFrame, keys: Sequence[str], text: str, items: DataFram
         .otherwise(F.array().cast("array<string>")) for n in lengths
     ])
     told = wanted.select(*keys, F.explode(F.array_distinct(runs)).alias(item_text))
-    return told.join(asked.drop("_n"), [*scope, item_text]).select(*keys, item_text)
+    return _scoped(told, scope).join(asked.drop("_n"), [*scope, item_text]).select(*keys, item_text)
 
 
 def containment(
@@ -189,7 +194,7 @@ def containment(
         anchored = anchored.join(shared, place, "left_anti")
     pairs = candidates(texts, keys, text, anchored, item_text, scope)
     hits = (
-        pairs.join(texts.select(*keys, text), list(keys))
+        _scoped(pairs, scope).join(texts.select(*keys, text), list(keys))
         .filter(F.contains(F.col(text), F.col(item_text)))
         .select(*keys, item_text)
     )
@@ -198,7 +203,7 @@ def containment(
     if least < fixed.MIN_PROTECTED_CHARS:
         hits = hits.unionByName(short_hits(texts, keys, text, wanted, item_text, scope))
     ids = wanted.select(*dict.fromkeys([*scope, *item_keys, item_text]))
-    return hits.join(ids, [*scope, item_text]).select(*dict.fromkeys([*keys, *item_keys]), item_text)
+    return _scoped(hits, scope).join(ids, [*scope, item_text]).select(*dict.fromkeys([*keys, *item_keys]), item_text)
 
 
 def too_short(items: DataFrame, item_text: str, scope: Sequence[str] = (), least: int = fixed.MIN_PROTECTED_CHARS) -> DataFrame:

@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilspark.session import grows
+
 
 def running_total(
     df: DataFrame,
@@ -40,7 +42,7 @@ def running_total(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        slim.withColumn("_inside", F.sum("_amount").over(inside))
+        grows(slim.withColumn("_inside", F.sum("_amount").over(inside)))
         .join(starts, [*keys, "_bucket"])
         .withColumn(output, F.col("_start") + F.col("_inside"))
         .drop("_bucket", "_amount", "_start", "_inside")
