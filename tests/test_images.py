@@ -167,3 +167,35 @@ def test_whole_step_blocks_what_is_not_verified(spark):
     assert {r.page_id for r in step.payloads.collect()} == {0}
     assert audit_sent(step).count() == 0
     assert step.vault.filter("token = '[USER_EMAIL_1]'").count() == 3
+
+
+def test_images_of_a_batch_are_redacted_together(spark):
+    rng = np.random.default_rng(5)
+    images = [rng.integers(0, 256, (h, w, 4), dtype=np.uint8) for w, h in [(40, 30), (64, 48), (40, 30), (40, 30), (9, 8)]]
+    boxes = {0: [((2, 3, 20, 18), "blur", 6), ((10, 9, 25, 20), "blackout", None), ((5, 5, 20, 18), "blur", 6)], 1: [((0, 0, 64, 48), "blur", 9)],
+             2: [((2, 4, 20, 18), "blur", 6), ((1, 1, 1, 9), "blackout", None)], 4: [((3, 1, 6, 7), "blackout", None)]}
+    rows = [
+        (i, n, tuple(map(float, b)), mode, block, "name") for i, of in boxes.items() for n, (b, mode, block) in enumerate(of)
+    ]
+    applied = spark.createDataFrame(rows, f"image_id bigint, grp int, box {G.BOX}, mode string, block int, pii_type string")
+    got = {r.image_id: r for r in I.redact_images(frame(spark, *images).coalesce(1), applied, black=True).collect()}
+    sure = {r.image_id: (r.checked, r.verified) for r in I.verify_images(frame(spark, *images), applied).collect()}
+    for i, before in enumerate(images):
+        after, of = before.copy(), boxes.get(i, [])
+        for box, mode, block in of:
+            R.destroy(after, box, mode, block)
+        big = [(b, m, n) for b, m, n in of if min(b[2:]) >= 2]
+        changes = [R.mutation(before, after, b) for b, _, _ in of]
+        r = got[i]
+        assert (bytes(r.data), r.boxes, r.blackouts) == (after.tobytes(), len(of), sum(m == "blackout" for _, m, _ in of))
+        assert (r.checked, r.verified) == (len(big), all(R.is_destroyed(after, *b) for b in big))
+        assert sure[i] == (len(big), all(R.is_destroyed(before, *b) for b in big))
+        assert r.least_change == (pytest.approx(min(changes)) if changes else None)
+        assert r.black_share == pytest.approx(R.black_share(after))
+
+
+def test_faces_of_a_stack_are_those_of_each_image():
+    images = np.stack([np.roll(oval(120, 100), s, axis=1) for s in (0, 17, 60)])
+    at, boxes, confidence = R.face_stack(images)
+    for i, image in enumerate(images):
+        assert R.face_boxes(image) == [(*b, c) for n, b, c in zip(at, boxes.tolist(), confidence.tolist()) if n == i]

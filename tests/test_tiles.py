@@ -36,6 +36,21 @@ def test_tiles_give_what_one_task_gives(spark, width, height, side):
     assert [(b[0], *b[2:]) for b in boxes] == want
 
 
+def test_small_images_are_stitched_and_large_ones_joined_alike(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    sizes = [(90, 30), (64, 64), (90, 30), (7, 5), (203, 151)]
+    rows = [(i, w, h, _image(rng, w, h, 12).tobytes()) for i, (w, h) in enumerate(sizes)]
+    cut = tiles.cut(spark.createDataFrame(rows, "image_id bigint, width int, height int, data binary"), 24)
+    joined = sorted(map(tuple, tiles.regions(cut, stitch=0).collect()))
+    both = sorted(map(tuple, tiles.regions(cut, stitch=200).collect()))
+
+    def never(edges):
+        raise AssertionError("small images need no table of edges")
+
+    monkeypatch.setattr(tiles, "roots", never)
+    assert joined and joined == both == sorted(map(tuple, tiles.regions(cut).collect()))
+
+
 def test_no_tiles(spark):
     assert tiles.face_candidates(spark.createDataFrame([], tiles.TILE)).count() == 0
 

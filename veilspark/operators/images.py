@@ -9,7 +9,9 @@ only where detections from another table are joined in.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +29,8 @@ IMAGE = "image_id bigint, width int, height int, data binary"
 FACES = f"image_id bigint, pos bigint, box {G.BOX}, confidence double, pii_type string, mode string, source string, tier string, failure string"
 Detector = Callable[[object], list]
 BATCH_ROWS, BATCH_BYTES = 2048, 32 << 20
+STACK_ROWS = 512
+"""Images that a kernel takes at once."""
 
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
@@ -48,6 +52,23 @@ def _batched(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame
         yield pd.DataFrame(buffer, columns=columns)
 
 
+def binary_rows(table: np.ndarray) -> pa.Array:
+    """The rows of a table of bytes as binary values."""
+    offsets = np.arange(len(table) + 1, dtype=np.int32) * np.int32(table.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(table))])
+
+
+def _stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """Images of one size together: their ids, their pixels (n, height, width, 4) and their rows."""
+    for whole in batches:
+        for begin in range(0, whole.num_rows, STACK_ROWS):
+            batch = whole.slice(begin, STACK_ROWS)
+            sizes = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in ("width", "height")], axis=1)
+            ids = batch.column("image_id").to_numpy(zero_copy_only=False)
+            for at, images in R.stacks(sizes, batch.column("data").to_pylist()):
+                yield ids[at], images, batch.take(pa.array(at))
+
+
 def from_data_url(df: DataFrame, column: str, output: str = "data") -> DataFrame:
     """Bytes of a ``data:`` URL (or of bare base64)."""
     return df.withColumn(output, F.unbase64(F.substring_index(column, ",", -1)))
@@ -87,6 +108,14 @@ def face_candidates(
     ship_package(images.sparkSession)
     columns = [c.split()[0] for c in FACES.replace(G.BOX, "box_t").split(", ")]
 
+    def by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, images, _ in _stacked(batches):
+            image, boxes, confidence = R.face_stack(images, cell, min_area_ratio, min_fill)
+            pos = np.arange(len(image)) - np.searchsorted(image, image)
+            box = pa.StructArray.from_arrays([pa.array(boxes[:, i].astype(np.float64)) for i in range(4)], names=["x", "y", "width", "height"])
+            told = [pa.array([t] * len(image), pa.string()) for t in ("face", "blur", "vision", "heuristic", None)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[image]), pa.array(pos), box, pa.array(confidence), *told], names=columns)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = unloaded = None
         try:
@@ -112,7 +141,8 @@ def face_candidates(
 
         yield from _batched(found(), columns)
 
-    return images.select("image_id", "width", "height", "data").mapInPandas(run, FACES)
+    plain = images.select("image_id", "width", "height", "data")
+    return plain.mapInPandas(run, FACES) if load_model else plain.mapInArrow(by_size, FACES)
 
 
 def faces(images: DataFrame, threshold: float = fixed.DEDUPE_IOU, **options) -> DataFrame:
@@ -144,14 +174,68 @@ def _with_boxes(images: DataFrame, applied: DataFrame) -> DataFrame:
     return grows(images).join(packed, "image_id", "left").select("image_id", "width", "height", "data", "boxes")
 
 
-def _todo(row: tuple) -> list[tuple]:
-    return [] if row.boxes is None else [(t, (t["x"], t["y"], t["w"], t["h"])) for t in row.boxes]
-
-
-def _verdict(image, todo: list[tuple], thresholds: dict) -> tuple[int, bool]:
-    """Boxes that are large enough to be checked, and whether all of them are destroyed."""
-    checked = [(t, box) for t, box in todo if box[2] >= 2 and box[3] >= 2]
-    return len(checked), all([R.is_destroyed(image, box, t["mode"], t["block"], **thresholds) for t, box in checked])
+def _pixels(images: np.ndarray) -> pa.Array:
+    flat = images.reshape(len(images), -1)
+    return binary_rows(flat) if flat.size < 1 << 31 else pa.array([i.tobytes() for i in images], pa.binary())
+
+
+@dataclass
+class _Boxes:
+    """The boxes of a stack of images, each image's in their order."""
+
+    image: np.ndarray
+    turn: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    kinds: np.ndarray
+    modes: list[str]
+    n: int
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> _Boxes:
+        lists = batch.column("boxes")
+        lengths = np.array([n or 0 for n in lists.value_lengths().to_pylist()], dtype=np.int64)
+        items = lists.flatten()
+        x, y, w, h = (items.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in "xywh")
+        modes, mode = np.unique(np.array(items.field("mode").to_pylist(), dtype=object).astype(str), return_inverse=True)
+        block = np.array([-1 if b is None else b for b in items.field("block").to_pylist()], dtype=np.int64)
+        turn = np.arange(len(x)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        image = np.repeat(np.arange(len(lengths)), lengths)
+        return cls(image, turn, x, y, np.stack([mode.reshape(-1), block, w, h], axis=1), modes.tolist(), len(lengths))
+
+    def alike(self, where: np.ndarray) -> Iterator[tuple[np.ndarray, str, int | None, int, int]]:
+        """Boxes of one mode, block and size: their places, and what they have in common."""
+        chosen = np.nonzero(where)[0]
+        for (mode, block, w, h), at in R.equal_rows(self.kinds[chosen]):
+            yield chosen[at], self.modes[mode], None if block < 0 else block, w, h
+
+    def parts(self, images: np.ndarray, at: np.ndarray, w: int, h: int) -> tuple[np.ndarray, ...]:
+        return R.parts(images, self.image[at], self.x[at], self.y[at], w, h)
+
+    def destroy(self, images: np.ndarray, smear: bool) -> None:
+        for turn in range(int(self.turn.max(initial=-1)) + 1):  # a later box of an image sees what an earlier one left
+            for at, mode, block, w, h in self.alike(self.turn == turn):
+                part = self.parts(images, at, w, h)
+                images[part] = R.destroyed(images[part], mode, block, smear)
+
+    def verdicts(self, images: np.ndarray, thresholds: dict) -> tuple[np.ndarray, np.ndarray]:
+        """For each image: its boxes that are large enough to be checked, and whether all of them are destroyed."""
+        checked, ok = np.zeros(self.n, dtype=np.int32), np.ones(self.n, dtype=bool)
+        for at, mode, block, w, h in self.alike((self.kinds[:, 2] >= 2) & (self.kinds[:, 3] >= 2)):
+            np.add.at(checked, self.image[at], 1)
+            np.logical_and.at(ok, self.image[at], R.all_destroyed(images[self.parts(images, at, w, h)], mode, block, **thresholds))
+        return checked, ok
+
+    def least_change(self, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        least = np.full(self.n, np.inf)
+        for at, _, _, w, h in self.alike(np.ones(len(self.x), dtype=bool)):
+            part = self.parts(before, at, w, h)
+            np.minimum.at(least, self.image[at], R.mutations(before[part], after[part]))
+        return least
+
+    def counts(self, black: bool) -> np.ndarray:
+        dark = np.array([m == "blackout" for m in self.modes], dtype=bool)[self.kinds[:, 0]] if len(self.x) else np.zeros(0, dtype=bool)
+        return np.bincount(self.image[dark == black], minlength=self.n).astype(np.int32)
 
 
 def redact_images(images: DataFrame, applied: DataFrame, smear: bool = True, change: bool = True, black: bool = False, **thresholds: float) -> DataFrame:
@@ -164,39 +248,40 @@ def redact_images(images: DataFrame, applied: DataFrame, smear: bool = True, cha
     """
     ship_package(images.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def painted():
-            for row in _rows(batches):
-                before = R.decode(row.data, row.width, row.height)
-                after, todo = before.copy(), _todo(row)
-                for t, box in todo:
-                    R.destroy(after, box, t["mode"], t["block"], smear)
-                checked, ok = _verdict(after, todo, thresholds)
-                changes = [R.mutation(before, after, box) for _, box in todo] if change else []
-                yield (
-                    row.image_id, row.width, row.height, after.tobytes(), len(todo),
-                    sum(t["mode"] == "blackout" for t, _ in todo), sum(t["mode"] != "blackout" for t, _ in todo),
-                    checked, ok, min(changes, default=None), R.black_share(after) if black else None,
-                )
-
-        yield from _batched(painted(), [c.split()[0] for c in out.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, before, batch in _stacked(batches):
+            after, boxes = before.copy(), _Boxes.of(batch)
+            boxes.destroy(after, smear)
+            checked, ok = boxes.verdicts(after, thresholds)
+            dark, blurred = boxes.counts(True), boxes.counts(False)
+            least = boxes.least_change(before, after) if change else np.full(len(ok), np.inf)
+            told = [dark + blurred, dark, blurred, checked, ok]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("image_id"), batch.column("width"), batch.column("height"), _pixels(after),
+                    *[pa.array(t) for t in told], pa.array(least, mask=np.isinf(least)),
+                    pa.array(R.black_shares(after)) if black else pa.nulls(len(ok), pa.float64()),
+                ],
+                names=[c.split()[0] for c in out.split(", ")],
+            )
 
     out = (
         "image_id bigint, width int, height int, data binary, boxes int, blackouts int, blurs int, checked int, "
         "verified boolean, least_change double, black_share double"
     )
-    return _with_boxes(images, applied).mapInPandas(run, out)
+    return _with_boxes(images, applied).mapInArrow(run, out)
 
 
 def verify_images(images: DataFrame, applied: DataFrame, **thresholds: float) -> DataFrame:
     """image_id, checked, verified: are the applied boxes of these images destroyed?"""
     ship_package(images.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = ((row.image_id, *_verdict(R.decode(row.data, row.width, row.height), _todo(row), thresholds)) for row in _rows(batches))
-        yield from _batched(rows, ["image_id", "checked", "verified"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pixels, batch in _stacked(batches):
+            told = [pa.array(t) for t in _Boxes.of(batch).verdicts(pixels, thresholds)]
+            yield pa.RecordBatch.from_arrays([batch.column("image_id"), *told], names=["image_id", "checked", "verified"])
 
-    return _with_boxes(images, applied).mapInPandas(run, "image_id bigint, checked int, verified boolean")
+    return _with_boxes(images, applied).mapInArrow(run, "image_id bigint, checked int, verified boolean")
 
 
 _SHOT = "struct<width:int,height:int,black_ratio:double,problem:string>"
@@ -243,3 +328,16 @@ def per_image(images: DataFrame, kernel: Callable[[object], Iterator[tuple]], sc
         yield from _batched(rows, names)
 
     return images.select("image_id", "width", "height", "data").mapInPandas(run, schema)
+
+
+def per_stack(images: DataFrame, kernel: Callable[[object], tuple], schema: str) -> DataFrame:
+    """Rows of ``kernel(images of one size)``: the place of each row's image in the stack, and a table of whole numbers."""
+    ship_package(images.sparkSession)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, pixels, _ in _stacked(batches):
+            at, table = kernel(pixels)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), *[pa.array(c.astype(np.int64)) for c in table.T]], names=names)
+
+    return images.select("image_id", "width", "height", "data").mapInArrow(run, schema)

@@ -1,30 +1,42 @@
-"""Regions of images that come in tiles: no task ever holds a whole image.
+"""Regions of images that come in tiles: no task ever holds the pixels of a whole image.
 
 A tile is a rectangle of an image whose corner lies on the cell grid; the tiles of an image
-cover it once. Each tile is read once, into the skin mask of its cells. Growing the mask by
-a cell may reach into the tiles around, so a tile also tells which cells beyond its border it
-reaches. With those, each tile labels the regions inside it, and regions that touch across a
-border are joined by grouped minima over several tasks. Sizes and corners are sums and minima
-over the regions' parts. What leaves a tile is its mask, one bit a cell, and its border cells.
+cover it once. Each tile is read once, into the skin mask of its cells, one bit a cell, 512
+times less than its pixels. The masks of an image of up to ``STITCH_CELLS`` cells are laid
+together in one task, which finds the regions of many images at once. A larger image stays
+cut: growing the mask by a cell may reach into the tiles around, so a tile also tells which
+cells beyond its border it reaches. With those, each tile labels the regions inside it, and
+regions that touch across a border are joined by grouped minima over several tasks. Sizes and
+corners are sums and minima over the regions' parts. Both ways give the same regions.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark import fixed
 from veilspark.functions import geometry as G
 from veilspark.functions import raster as R
 from veilspark.operators.connected import roots
+from veilspark.operators.images import binary_rows
 from veilspark.session import materialise, ship_package
 
 TILE = "image_id bigint, x int, y int, width int, height int, data binary"
 """x, y: place of the tile in its image; data: its raw RGBA pixels."""
 
 
+STITCH_CELLS = 1 << 20
+"""Cells of an image (16 million pixels, a mask of 128 KB) up to which its masks are laid together."""
+
+
+def _sizes(batch: pa.RecordBatch, *names: str) -> np.ndarray:
+    return np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names], axis=1).astype(np.int64)
+
+
 def cut(images: DataFrame, side: int) -> DataFrame:
     """Tiles of at most ``side`` x ``side`` pixels (a multiple of the cell) out of whole images."""
     if side % fixed.CELL_PX:
@@ -33,36 +45,92 @@ def cut(images: DataFrame, side: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                image = R.decode(row.data, row.width, row.height)
-                parts = [(x, y, image[y:y + side, x:x + side]) for y in range(0, row.height, side) for x in range(0, row.width, side)]
-                yield pd.DataFrame(
-                    [(row.image_id, x, y, p.shape[1], p.shape[0], p.tobytes()) for x, y, p in parts],
-                    columns=["image_id", "x", "y", "width", "height", "data"],
-                )
+            ids = batch.column("image_id").to_numpy()
+            for at, stack in R.stacks(_sizes(batch, "width", "height"), batch.column("data").to_pylist()):
+                n, height, width = stack.shape[:3]
+                for y in range(0, height, side):
+                    for x in range(0, width, side):
+                        part = stack[:, y:y + side, x:x + side]
+                        place = [pa.array(np.full(n, v, dtype=np.int32)) for v in (x, y, part.shape[2], part.shape[1])]
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), *place, binary_rows(part.reshape(n, -1))], names=_TILE)
+
+    return images.select("image_id", "width", "height", "data").mapInArrow(run, TILE)
 
-    return images.select("image_id", "width", "height", "data").mapInPandas(run, TILE)
+
+_TILE = [c.split()[0] for c in TILE.split(", ")]
+_MASK = "image_id bigint, gx int, gy int, w int, h int, mask binary"
 
 
 def _masks(tiles: DataFrame, cell: int) -> DataFrame:
-    """image_id, gx, gy, w, h (of the tile in cells), mask (its bits), beyond (cells next to it that its mask reaches).
+    """image_id, gx, gy, w, h (of the tile in cells), mask (its bits).
 
     The last cell of an image may be cut; then its centre moves onto the last pixel, as in a whole image.
     """
+    def run(batches):
+        for batch in batches:
+            ids, place = batch.column("image_id").to_numpy(), (_sizes(batch, "x", "y") // cell).astype(np.int32)
+            for at, stack in R.stacks(_sizes(batch, "width", "height"), batch.column("data").to_pylist()):
+                mask = R.cell_mask(stack, cell)
+                size = [pa.array(np.full(len(at), v, dtype=np.int32)) for v in (mask.shape[2], mask.shape[1])]
+                bits = np.packbits(mask.reshape(len(at), -1), axis=1)
+                columns = [pa.array(ids[at]), *[pa.array(place[at, i]) for i in (0, 1)], *size, binary_rows(bits)]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _MASK.split(", ")])
+
+    return tiles.select(*_TILE).mapInArrow(run, _MASK)
+
+
+_REGIONS = "image_id bigint, first bigint, x0 int, y0 int, x1 int, y1 int, area bigint, cells bigint"
+
+
+def _stitched(masks: DataFrame) -> DataFrame:
+    """The regions of images whose masks are laid together, each image by one task, a batch of images at a time."""
+    packed = masks.groupBy("image_id").agg(F.collect_list(F.struct("gx", "gy", "w", "h", "mask")).alias("tiles"))
+
+    def run(batches):
+        for batch in batches:
+            ids, lists = batch.column("image_id").to_numpy(), batch.column("tiles")
+            image = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            tiles = lists.flatten()
+            gx, gy, w, h = (tiles.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("gx", "gy", "w", "h"))
+            bits = tiles.field("mask").to_pylist()
+            wide, high = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            np.maximum.at(wide, image, gx + w)
+            np.maximum.at(high, image, gy + h)
+            begin = np.concatenate([[0], np.cumsum(wide * high)])
+            plane = np.zeros(begin[-1], dtype=bool)
+            for (tw, th), at in R.equal_rows(np.stack([w, h], axis=1)):
+                own = np.frombuffer(b"".join([bits[i] for i in at]), np.uint8).reshape(len(at), -1)
+                y, x = np.divmod(np.arange(tw * th), tw)
+                to = image[at, None]
+                plane[begin[to] + (gy[at, None] + y) * wide[to] + gx[at, None] + x] = np.unpackbits(own, axis=1, count=tw * th)
+            for (iw, ih), at in R.equal_rows(np.stack([wide, high], axis=1)):
+                stack = plane[begin[at, None] + np.arange(iw * ih)].reshape(len(at), ih, iw)
+                parts = R.labelled_stack(R.dilate(stack))[0]
+                columns = [pa.array(ids[at][parts[:, 0]]), pa.array((parts[:, 2] << 32) | parts[:, 1])]
+                columns += [pa.array(parts[:, c].astype(np.int32)) for c in (3, 4, 5, 6)]
+                columns += [pa.array(parts[:, 7]), pa.array(np.full(len(parts), iw * ih, dtype=np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _REGIONS.split(", ")])
+
+    return packed.mapInArrow(run, _REGIONS)
+
+
+def _beyond(masks: DataFrame) -> DataFrame:
+    """``masks`` with ``beyond``: the cells next to the tile that its mask reaches."""
     def run(batches):
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                mask = R.cell_mask(R.decode(row.data, row.width, row.height), cell)
-                gx, gy = row.x // cell, row.y // cell
-                grown = R.dilate(np.pad(mask, 1))
+                grown = R.dilate(R.padded(_unpacked(row)))
                 grown[1:-1, 1:-1] = False
                 ys, xs = np.nonzero(grown)
-                beyond = [{"x": int(x), "y": int(y)} for x, y in zip(xs + gx - 1, ys + gy - 1, strict=True)]
-                out.append((row.image_id, gx, gy, mask.shape[1], mask.shape[0], np.packbits(mask).tobytes(), beyond))
-            yield pd.DataFrame(out, columns=["image_id", "gx", "gy", "w", "h", "mask", "beyond"])
+                out.append([{"x": int(x), "y": int(y)} for x, y in zip(xs + row.gx - 1, ys + row.gy - 1, strict=True)])
+            yield batch.assign(beyond=out)
+
+    return masks.mapInPandas(run, _MASK + ", beyond array<struct<x:int,y:int>>")
+
 
-    return tiles.mapInPandas(run, "image_id bigint, gx int, gy int, w int, h int, mask binary, beyond array<struct<x:int,y:int>>")
+def _unpacked(row) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(row.mask, np.uint8), count=row.w * row.h).reshape(row.h, row.w).astype(bool)
 
 
 _PARTS = "image_id bigint, part bigint, x0 int, y0 int, x1 int, y1 int, area bigint, border array<struct<x:int,y:int>>"
@@ -74,25 +142,36 @@ def _labelled(masks: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                own = np.unpackbits(np.frombuffer(row.mask, np.uint8), count=row.w * row.h).reshape(row.h, row.w).astype(bool)
-                mask = R.dilate(own)
+                mask = R.dilate(_unpacked(row))
                 for c in () if row.reached is None else row.reached:
                     mask[c["y"] - row.gy, c["x"] - row.gx] = True
-                for label, (x0, y0, x1, y1, area), cells in R.labelled(mask):
-                    border = [
-                        {"x": int(x + row.gx), "y": int(y + row.gy)} for x, y in cells if x in (0, row.w - 1) or y in (0, row.h - 1)
-                    ]
-                    first = ((label[1] + row.gy) << 32) | (label[0] + row.gx)
+                parts, cells, part = R.labelled_stack(mask[None])
+                y, x = cells[:, 1], cells[:, 2]
+                rim = (x == 0) | (x == row.w - 1) | (y == 0) | (y == row.h - 1)
+                borders = [[] for _ in parts]
+                for i, cy, cx in zip(part[rim].tolist(), y[rim].tolist(), x[rim].tolist(), strict=True):
+                    borders[i].append({"x": cx + row.gx, "y": cy + row.gy})
+                for (_, fx, fy, x0, y0, x1, y1, area), border in zip(parts.tolist(), borders, strict=True):
+                    first = ((fy + row.gy) << 32) | (fx + row.gx)
                     out.append((row.image_id, first, x0 + row.gx, y0 + row.gy, x1 + row.gx, y1 + row.gy, area, border))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARTS.replace("struct<x:int,y:int>", "s").split(", ")])
 
     return masks.mapInPandas(run, _PARTS)
 
 
-def regions(tiles: DataFrame, cell: int = fixed.CELL_PX) -> DataFrame:
+def regions(tiles: DataFrame, cell: int = fixed.CELL_PX, stitch: int = STITCH_CELLS) -> DataFrame:
     """image_id, first (y and x of the region's first cell), x0, y0, x1, y1 (in cells), area, cells (of its image)."""
     ship_package(tiles.sparkSession)
-    masks = materialise(_masks(tiles, cell), "tile-masks")
+    cells = F.sum(F.col("w").cast("long") * F.col("h")).over(Window.partitionBy("image_id"))
+    masks = materialise(_masks(tiles, cell).withColumn("cells", cells), "tile-masks")
+    small = _stitched(masks.where(F.col("cells") <= stitch))
+    large = masks.where(F.col("cells") > stitch)
+    return small.unionByName(_joined(_beyond(large.drop("cells")))) if large.head(1) else small
+
+
+def _joined(masks: DataFrame) -> DataFrame:
+    """The regions of images whose tiles stay apart."""
+    masks = materialise(masks, "tile-borders")
     # A cell beyond one tile's border lies in the tile whose rectangle holds it: both meet by image and cell row band.
     reach = masks.select("image_id", F.explode("beyond").alias("c")).distinct()
     places = masks.select("image_id", "gx", "gy", "w", "h")
@@ -118,11 +197,13 @@ def regions(tiles: DataFrame, cell: int = fixed.CELL_PX) -> DataFrame:
     return merged.drop("root").join(sizes, "image_id")
 
 
-def face_candidates(tiles: DataFrame, cell: int = fixed.CELL_PX, min_area_ratio: float = 0.0006, min_fill: float = 0.3) -> DataFrame:
+def face_candidates(
+    tiles: DataFrame, cell: int = fixed.CELL_PX, min_area_ratio: float = 0.0006, min_fill: float = 0.3, stitch: int = STITCH_CELLS
+) -> DataFrame:
     """image_id, first, box, confidence of face-like skin regions, as ``raster.face_boxes`` finds them in a whole image."""
     w, h = F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1
     fill = F.col("area") / (w * h)
     least = F.greatest(F.lit(24), F.floor(F.col("cells") * min_area_ratio))
-    found = regions(tiles, cell).where((F.col("area") >= least) & (w / h).between(0.45, 2.1) & (fill >= min_fill))
+    found = regions(tiles, cell, stitch).where((F.col("area") >= least) & (w / h).between(0.45, 2.1) & (fill >= min_fill))
     box = G.box(F.col("x0") * cell, F.col("y0") * cell, w * cell, h * cell)
     return found.select("image_id", "first", box.alias("box"), F.least(F.lit(0.92), 0.5 + fill * 0.42).alias("confidence"))

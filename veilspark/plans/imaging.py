@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,29 +23,39 @@ from veilspark.sources import captures
 SIDE = 32
 
 
+def _painted(k: np.ndarray) -> np.ndarray:
+    y, x = np.mgrid[0:SIDE, 0:SIDE]
+    k = k[:, None, None]
+    img = np.empty((len(k), SIDE, SIDE, 4), dtype=np.uint8)
+    img[..., 0], img[..., 1] = 20 + (x * 3 + k) % 30, 26 + (y * 5 + k) % 30
+    img[..., 2], img[..., 3] = 40 + (x + y + k) % 30, 255
+    x0, y0, side = 4 + k % 8, 4 + (k * 3) % 8, 12 + k % 8
+    face = (k % 3 != 0) & (x >= x0) & (x < x0 + side) & (y >= y0) & (y < y0 + side)
+    face |= (k % 5 == 0) & (x >= 27) & (y >= 27)
+    skin = np.stack([232 - (x + y) % 16, 181 - x % 8, 140 - y % 8], axis=-1)
+    img[..., :3] = np.where(face[..., None], skin, img[..., :3])
+    return img
+
+
+_CYCLE = 120  # the least common multiple of all divisors in ``_painted``
+
+
 def rasters(spark, sf_dir) -> DataFrame:
     """One image per part: dark noise, a skin-coloured square for two keys of
     three, a small second patch for one key of five."""
     ship_package(spark)
     keys = spread(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id")), "image_id", rows=WORK_ROWS)
 
-    def paint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, x = np.mgrid[0:SIDE, 0:SIDE]
-        for batch in batches:
-            data = []
-            for k in batch["image_id"]:
-                img = np.empty((SIDE, SIDE, 4), dtype=np.uint8)
-                img[..., 0], img[..., 1] = 20 + (x * 3 + k) % 30, 26 + (y * 5 + k) % 30
-                img[..., 2], img[..., 3] = 40 + (x + y + k) % 30, 255
-                x0, y0, side = 4 + k % 8, 4 + (k * 3) % 8, 12 + k % 8
-                face = (k % 3 != 0) & (x >= x0) & (x < x0 + side) & (y >= y0) & (y < y0 + side)
-                face |= (k % 5 == 0) & (x >= 27) & (y >= 27)
-                skin = np.stack([232 - (x + y) % 16, 181 - x % 8, 140 - y % 8], axis=-1)
-                img[face, :3] = skin[face]
-                data.append(img.tobytes())
-            yield pd.DataFrame({"image_id": batch["image_id"], "width": SIDE, "height": SIDE, "data": data})
-
-    return keys.mapInPandas(paint, I.IMAGE)
+    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = _painted(np.arange(_CYCLE)).reshape(_CYCLE, -1)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, I.STACK_ROWS):
+                ids = whole.column("image_id").slice(begin, I.STACK_ROWS)
+                side = pa.array(np.full(len(ids), SIDE, dtype=np.int32))
+                data = I.binary_rows(kinds[ids.to_numpy(zero_copy_only=False) % _CYCLE])
+                yield pa.RecordBatch.from_arrays([ids, side, side, data], names=["image_id", "width", "height", "data"])
+
+    return keys.mapInArrow(paint, I.IMAGE)
 
 
 _PX = f"""px0 AS (
@@ -67,22 +77,22 @@ grown AS (
 
 
 def _mask_cells(grow: bool):
-    def kernel(image):
-        mask = R.cell_mask(image)
-        ys, xs = np.nonzero(R.dilate(mask) if grow else mask)
-        return ((int(x), int(y)) for x, y in zip(xs, ys))
+    def kernel(images):
+        masks = R.cell_mask(images)
+        at, ys, xs = np.nonzero(R.dilate(masks) if grow else masks)
+        return at, np.stack([xs, ys], axis=1)
 
     return kernel
 
 
 @query("skin_cells", f"WITH {_PX}, {_CELLS} SELECT image_id, gx, gy FROM cells")
 def skin_cells(spark, sf_dir):
-    return I.per_image(rasters(spark, sf_dir), _mask_cells(False), "image_id bigint, gx bigint, gy bigint")
+    return I.per_stack(rasters(spark, sf_dir), _mask_cells(False), "image_id bigint, gx bigint, gy bigint")
 
 
 @query("dilate_mask", f"WITH {_PX}, {_CELLS} SELECT image_id, gx, gy FROM grown")
 def dilate_mask(spark, sf_dir):
-    return I.per_image(rasters(spark, sf_dir), _mask_cells(True), "image_id bigint, gx bigint, gy bigint")
+    return I.per_stack(rasters(spark, sf_dir), _mask_cells(True), "image_id bigint, gx bigint, gy bigint")
 
 
 _FACES = """reach AS (
@@ -137,7 +147,7 @@ _SIG = f"sum(r * ((y * {SIDE} + x) % 97 + 1)) AS sig_r, sum(g * ((y * {SIDE} + x
 
 
 def _signed(images: DataFrame, *keep: str) -> DataFrame:
-    sig = I.per_image(images, lambda a: [R.signature(a)], "image_id bigint, sig_r bigint, sig_g bigint, sig_b bigint")
+    sig = I.per_stack(images, lambda a: (np.arange(len(a)), R.signatures(a)), "image_id bigint, sig_r bigint, sig_g bigint, sig_b bigint")
     return grows(images.select("image_id", *keep)).join(sig, "image_id") if keep else sig
 
 
