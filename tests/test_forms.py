@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests import fixture_pages as X
+from veilspark import fixed
 from veilspark.functions import patterns as P
 from veilspark.operators import boxes as B
 from veilspark.operators import classify as C
@@ -272,3 +273,17 @@ def test_snapshot_ids_are_paths(spark, tmp_path):
         (tmp_path / folder / "elements.json").write_text('{"url": "u", "elements": [{"tag": "a"}]}')
     rows = snapshots.read_snapshots(spark, str(tmp_path)).collect()
     assert {r.page_id for r in rows} == {"a/elements", "b/c/elements"}
+
+
+def test_literals_are_sought_before_patterns_and_change_nothing(spark):
+    patterns = [r[1] for r in fixed.KEYWORD_RULES + fixed.AUDIT_KEYWORD_RULES] + [r[0] for r in fixed.GATED_RULES]
+    patterns += [fixed.PHOTO_WORDS, fixed.BIRTH_HINT, fixed.AUDIT_EMAIL, fixed.AUDIT_NAME, fixed.AUDIT_ADDRESS, fixed.AUDIT_ZIP]
+    words = "", "PassWORD", "pasword", "E-Mail", "e mail", "M code", "m code", "API-KEY", "apİ key", "toKen", "toKen TOKEN", "x pin", "pinned", "acc.", \
+        "ACC #", "Driver's licence", "drivers license", "born on", "first\nName", "İzip", "ZIṖ", "Straße street", "handle", "username", "user id", "photo", \
+        "profile pic", "CTC", "one-time code", "One Time PASSWORD", "name", "my name", "ſtate STATE", "dob", "token for the id"
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    assert all("contains(" in C._rlike("t", p) for p in patterns)
+    plain = [F.rlike("t", F.lit(P.java_regex(p, ignore_case=True))) for p in patterns]
+    tried = [F.expr(C._rlike("t", p)) for p in patterns]
+    for row in df.select("t", F.array(*plain).alias("a"), F.array(*tried).alias("b")).collect():
+        assert row.a == row.b, row.t

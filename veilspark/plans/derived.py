@@ -115,20 +115,21 @@ def _check_digit() -> str:
     return f"((10 - ({' + '.join(terms)}) % 10) % 10)"
 
 
-def value_rules(string: str = "string") -> list[tuple[str, str]]:
+def value_rules(string: str = "string", page: bool = False) -> list[tuple[str, str]]:
+    """``page``: the columns of ``_PAGE_VALUES`` are there already."""
     def s(e: str) -> str:
         return f"cast({e} AS {string})"
 
     def pad(e: str, n: int) -> str:
         return f"lpad({s(e)}, {n}, '0')"
 
-    pad8, check = pad("k", 8), _check_digit()
+    pad8, check = ("pad8", "check") if page else (pad("k", 8), _check_digit())
     card = (
         f"concat('4000 000', substr({pad8}, 1, 1), ' ', substr({pad8}, 2, 4), ' ', substr({pad8}, 6, 3), "
         f"{s(f'({check} + k % 2) % 10')})"
     )
     order = f"concat('4000000', {pad8}, {s(f'({check} + CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END) % 10')})"
-    email = f"concat('user', {s('k')}, '@mail', {s('k % 10')}, '.example.com')"
+    email = "email" if page else f"concat('user', {s('k')}, '@mail', {s('k % 10')}, '.example.com')"
     return [
         ("email", f"CASE WHEN k % 11 = 0 THEN '' ELSE {email} END"),
         ("password", f"CASE WHEN k % 13 = 0 THEN concat('a\"', {s('k')}, '!') ELSE concat('Pw#', {s('k')}, 'x!') END"),
@@ -153,11 +154,18 @@ def value_rules(string: str = "string") -> list[tuple[str, str]]:
     ]
 
 
-def value_case(string: str = "string") -> str:
-    arms = " ".join(f"WHEN '{rule}' THEN {expr}" for rule, expr in value_rules(string))
+def value_case(string: str = "string", page: bool = False) -> str:
+    arms = " ".join(f"WHEN '{rule}' THEN {expr}" for rule, expr in value_rules(string, page))
     return f"CASE rule {arms} END"
 
 
+# what several rules read, made once a page and not once an element
+_PAGE_VALUES = {
+    "pad8": "lpad(cast(k AS string), 8, '0')",
+    "check": _check_digit(),
+    "email": "concat('user', cast(k AS string), '@mail', cast(k % 10 AS string), '.example.com')",
+}
+
 VISIBLE_RULE = "visible AND NOT (k % 9 = 0 AND pos = 2)"
 
 
@@ -184,21 +192,25 @@ def form_elements(spark: SparkSession, sf_dir: str, customers: DataFrame | None
     customers = customers.select(
         F.col("c_custkey").alias("k"), "c_name", (F.col("c_custkey") % TEMPLATES).cast("int").alias("template")
     )
-    template = template_rows(spark)  # fixed size: the rows above
+    customers = customers.withColumns({name: F.expr(made) for name, made in _PAGE_VALUES.items()})
+    template = template_rows(spark).select(  # fixed size: the rows above
+        "*",
+        F.when(F.col("classes").isNull(), F.array().cast("array<string>")).otherwise(F.split("classes", " ")).alias("class_list"),
+        G.box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("rect"),
+    )
     return (
         customers.join(F.broadcast(template), "template")
-        .withColumn("value", F.expr(value_case()))
+        .withColumn("value", F.expr(value_case(page=True)))
         .withColumn("visible", F.expr(VISIBLE_RULE))
         .select(
             F.col("k").alias("page_id"),
             F.floor(F.col("k") / STEPS_PER_SESSION).alias("session_id"),
             (F.col("k") % STEPS_PER_SESSION).cast("int").alias("step"),
             "template", "pos", "tag", "type", "id", "name",
-            F.when(F.col("classes").isNull(), F.array().cast("array<string>"))
-            .otherwise(F.split("classes", " ")).alias("classes"),
+            F.col("class_list").alias("classes"),
             "selector", "text", "label", "placeholder", "aria_label", "autocomplete", "role", "value",
             "is_img", "img_hints", "alt", "visible",
-            G.box(F.col("x"), F.col("y"), F.col("w"), F.col("h")).alias("rect"),
+            "rect",
             "gt_class",
         )
     )
