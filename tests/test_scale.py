@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tests.conftest import SF
 from veilspark import session
+from veilspark.operators import elements as E
 from veilspark.operators import images as I
 from veilspark.operators import matching as M
 
@@ -60,3 +62,25 @@ def test_keys_are_dealt_by_their_number(unset):
     assert dealt.agg(F.sum("id")).first()[0] == sum(range(45_000))
     assert session.spread(unset.range(0), "id", rows=10_000).rdd.getNumPartitions() == 1
     assert session.spread(keys, "id").rdd.getNumPartitions() == 1  # wide tables have their file splits
+
+
+@pytest.mark.parametrize("name", ["classify_elements", "mode_lookup", "scan_stats", "server_field_kind"])
+def test_rules_are_compiled_by_the_jvm(spark, name):
+    """It interprets methods above 8,000 bytes, which took more than half of the time of these queries."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    out = io.StringIO()
+    try:
+        with contextlib.redirect_stdout(out):
+            entry.queries()[name](spark, SF).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", out.getvalue())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_context_joins_the_filled_columns(spark):
+    rows = spark.createDataFrame(
+        [("a", None, ["x", "y"], "b"), ("", "c", [], None), (None, "", None, "")], "id string, name string, classes array<string>, label string"
+    )
+    assert [r[0] for r in rows.select(E.joined("id", "name", "classes", "label")).collect()] == ["a x y b", "c", ""]
