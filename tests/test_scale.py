@@ -13,6 +13,10 @@ from veilspark import session
 from veilspark.operators import elements as E
 from veilspark.operators import images as I
 from veilspark.operators import matching as M
+from veilspark.plans import derived as D
+
+
+LARGER = SF.replace("sf0.001", "sf0.01")  # 1,500 customers, enough for six tasks
 
 
 def plan(df) -> str:
@@ -84,3 +88,8 @@ def test_context_joins_the_filled_columns(spark):
         [("a", None, ["x", "y"], "b"), ("", "c", [], None), (None, "", None, "")], "id string, name string, classes array<string>, label string"
     )
     assert [r[0] for r in rows.select(E.joined("id", "name", "classes", "label")).collect()] == ["a x y b", "c", ""]
+
+
+def test_form_pages_are_dealt_to_several_tasks(unset):
+    """All customers come in one file split, and one task made and matched the elements of all pages."""
+    assert D.form_elements(unset, LARGER).rdd.getNumPartitions() >= min(4, unset.sparkContext.defaultParallelism)
