@@ -151,6 +151,18 @@ def test_targets(spark):
     assert {r.a for r in L.dangling(actions, page, "page_id").collect()} == {1, 2, 3, 4, 5, 6}
 
 
+
+def test_targets_of_odd_actions(spark):
+    """Repeated and missing ids, no selector, pages without elements or key: each action row stays, with its page's elements only."""
+    page = table(spark, [dict(tag="div", selector="#x", id="x"), dict(tag="div", selector="#x", name="x")])
+    asked = [("p", 1, "#x"), ("p", 1, "x"), ("p", 2, None), ("q", 3, "#x"), (None, 4, "#x"), ("p", None, "#x")]
+    actions = spark.createDataFrame(asked, "page_id string, a int, selector string")
+    both = page.unionByName(page.withColumn("page_id", F.lit(None).cast("string")))
+    got = [tuple(r) for r in L.action_targets(actions, both, ["page_id"], "a", tasks=3).collect()]
+    found = {("p", 1): ("selector", 0)}
+    assert sorted(got, key=str) == sorted([(*r, *found.get(r[:2], (None, None))) for r in asked], key=str)
+
+
 def test_form_checks(spark):
     base = dict(form=None, otp=None, captcha=None, fullname=None, phone=None, card=None, expiry=None, cvv=None, address=None,
                 dob=None, idnum=None, consent=None)

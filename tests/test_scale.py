@@ -93,3 +93,17 @@ def test_context_joins_the_filled_columns(spark):
 def test_form_pages_are_dealt_to_several_tasks(unset):
     """All customers come in one file split, and one task made and matched the elements of all pages."""
     assert D.form_elements(unset, LARGER).rdd.getNumPartitions() >= min(4, unset.sparkContext.defaultParallelism)
+
+
+def test_look_ups_of_targets_stay_in_the_tasks_of_their_pages(unset):
+    """They met in shuffles of the session's own number of partitions, so with few of these a task's memory grew with the table."""
+    before = unset.conf.get("spark.sql.shuffle.partitions")
+    unset.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        text = plan(entry.queries()["action_targets"](unset, LARGER))
+    finally:
+        unset.conf.set("spark.sql.shuffle.partitions", before)
+    dealt = [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\)", text)]
+    wanted = session.tasks(D.load(unset, LARGER, "customer"), session.WORK_ROWS)
+    assert wanted > 2 and set(dealt) == {wanted}
+    assert "_rank" not in " ".join(re.findall(r"Exchange hashpartitioning\(.*?\)", text))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilspark import fixed
@@ -218,11 +218,15 @@ def prompt(task: Column, url: Column, step: Column, width: Column, height: Colum
     )
 
 
-def action_targets(actions: DataFrame, elements: DataFrame, page: Sequence[str], action_id: str, text_first: str = "text") -> DataFrame:
+def action_targets(
+    actions: DataFrame, elements: DataFrame, page: Sequence[str], action_id: str, text_first: str = "text", tasks: int | None = None
+) -> DataFrame:
     """Element an action points at: exact selector, then ``#id`` (final), then
     name, then ``text=`` on buttons and links; NULL when nothing fits.
 
-    All four look-ups meet the elements in one equi-join on (page, way, key).
+    All four look-ups meet the elements in one window over (page, way, key), which moves no row where both sides come
+    dealt by page: a task holds its own pages only, whatever the session's number of shuffle partitions. ``tasks``: to how
+    many the answers and the actions are dealt to meet again; without it, to that number.
     """
     button = (
         F.col("tag").isin("button", "a")
@@ -230,44 +234,49 @@ def action_targets(actions: DataFrame, elements: DataFrame, page: Sequence[str],
         | (F.coalesce("role", F.lit("")) == "button")
     )
     caption = F.lower(F.trim(F.coalesce(filled(text_first), F.col("value"), F.lit(""))))
+    names = ("selector", "id", "name", "text")
 
-    def way(name: str, key: Column) -> Column:
-        return F.struct(F.lit(name).alias("way"), key.alias("key"))
-
-    places = (
-        elements.select(
-            *page, "pos",
-            F.explode(
-                F.array(
-                    way("selector", F.col("selector")), way("id", F.col("id")), way("name", F.col("name")),
-                    way("text", F.when(button, caption)),
-                )
-            ).alias("_k"),
+    def ways(*keys: Column) -> Column:
+        return F.explode(F.array(*[F.struct(F.lit(i).alias("_rank"), k.alias("_key")) for i, k in enumerate(keys)])).alias("_k")
+
+    def side(rows: DataFrame, pos: Column, asker: Column, asks: bool) -> DataFrame:
+        return rows.filter(F.col("_k._key").isNotNull()).select(
+            *page, "_k._rank", "_k._key", pos.alias("_pos"), asker.alias("_asker"), F.lit(asks).alias("_asks")
         )
-        .filter(F.col("_k.key").isNotNull())
-        .groupBy(*page, F.col("_k.way").alias("way"), F.col("_k.key").alias("key"))
-        .agg(F.min("pos").alias("target_pos"))
+
+    places = elements.select(
+        *page, "pos", ways(F.col("selector"), F.col("id"), F.col("name"), F.when(button, caption))
     )
     s = F.col("selector")
     id_form = F.rlike(s, F.lit(r"^#[\w-]+$"))
     asked = actions.select(
-        *actions.columns,
-        F.explode(
-            F.array(
-                way("selector", s),
-                way("id", F.when(id_form, F.regexp_replace(s, "^#", ""))),
-                way("name", F.when(~id_form, F.regexp_replace(s, r'["\\]', ""))),
-                way("text", F.when(~id_form, F.lower(F.trim(filled(F.regexp_extract(s, r"^text=(.+)$", 1)))))),
-            )
-        ).alias("_k"),
-    ).select(*actions.columns, F.col("_k.way").alias("way"), F.col("_k.key").alias("key"))
-    rank = (
-        F.when(F.col("way") == "selector", 1).when(F.col("way") == "id", 2).when(F.col("way") == "name", 3).otherwise(4)
+        *page, action_id,
+        ways(
+            s,
+            F.when(id_form, F.regexp_replace(s, "^#", "")),
+            F.when(~id_form, F.regexp_replace(s, r'["\\]', "")),
+            F.when(~id_form, F.lower(F.trim(filled(F.regexp_extract(s, r"^text=(.+)$", 1))))),
+        ),
+    )
+    none = F.lit(None)
+    met = side(places, F.col("pos"), none.cast(actions.schema[action_id].dataType), False).unionByName(
+        side(asked, none.cast(elements.schema["pos"].dataType), F.col(action_id), True)
     )
-    found = grows(asked.filter(F.col("key").isNotNull())).join(places, [*page, "way", "key"])
-    best = found.groupBy(*page, action_id).agg(F.min_by(F.struct("way", "target_pos"), rank).alias("_t"))
-    return grows(actions).join(best, [*page, action_id], "left").select(
-        *actions.columns, F.col("_t.way").alias("way"), F.col("_t.target_pos").alias("target_pos")
+    found = met.withColumn("_hit", F.min("_pos").over(Window.partitionBy(*page, "_rank", "_key"))).filter(
+        F.col("_asks") & F.col("_hit").isNotNull()
+    )
+    best = found.groupBy(*page, F.col("_asker").alias(action_id)).agg(
+        *[F.min(F.when(F.col("_rank") == i, F.col("_hit"))).alias(f"_hit{i}") for i in range(len(names))]
+    )
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows if tasks is None else rows.repartition(tasks, *page, action_id)
+
+    hits = [F.col(f"_hit{i}") for i in range(len(names))]
+    return grows(dealt(actions)).join(dealt(best), [*page, action_id], "left").select(
+        *actions.columns,
+        F.coalesce(*[F.when(h.isNotNull(), F.lit(n)) for h, n in zip(hits, names, strict=True)]).alias("way"),
+        F.coalesce(*hits).alias("target_pos"),
     )
 
 

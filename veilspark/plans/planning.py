@@ -14,7 +14,7 @@ from veilspark.operators import quality as K
 from veilspark.plans import derived as D
 from veilspark.plans import sqlparts as Q
 from veilspark.plans.registry import query
-from veilspark.session import materialise
+from veilspark.session import WORK_ROWS, materialise, tasks
 
 _TASK = "concat('Fill form ', cast(page_id AS {s}))"
 
@@ -232,7 +232,8 @@ def page_actions(elements: DataFrame) -> DataFrame:
 )
 def action_targets(spark, sf_dir):
     elements = D.form_elements(spark, sf_dir)
-    return L.action_targets(page_actions(elements), elements, ["page_id"], "action_id").drop("selector")
+    n = tasks(D.load(spark, sf_dir, "customer"), WORK_ROWS)
+    return L.action_targets(page_actions(elements), elements, ["page_id"], "action_id", tasks=n).drop("selector")
 
 
 @query(
