@@ -107,3 +107,25 @@ def test_look_ups_of_targets_stay_in_the_tasks_of_their_pages(unset):
     wanted = session.tasks(D.load(unset, LARGER, "customer"), session.WORK_ROWS)
     assert wanted > 2 and set(dealt) == {wanted}
     assert "_rank" not in " ".join(re.findall(r"Exchange hashpartitioning\(.*?\)", text))
+
+
+def test_actions_are_made_before_their_page_is_gathered(spark):
+    """What stands inside an aggregate or a lambda is interpreted: the patterns of the fields, and the names of the whole
+    page, made once for each of its fields."""
+    text = plan(entry.queries()["action_plan"](spark, SF))
+    gathered = [line for line in text.splitlines() if "Aggregate(" in line]
+    assert gathered and not any("RLIKE" in line or "Contains(" in line for line in gathered)
+    assert "array_position(transform(" not in text
+    assert text.count("lower(coalesce(autocomplete") <= 1  # made once an element and not once a rule
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", codegen(spark, "action_plan")))) < 8000
+
+
+def codegen(spark, name) -> str:
+    before, out = spark.conf.get("spark.sql.adaptive.enabled"), io.StringIO()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with contextlib.redirect_stdout(out):
+            entry.queries()[name](spark, SF).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    return out.getvalue()

@@ -183,7 +183,7 @@ def audit_context() -> Column:
 
 def with_audit_kind(elements: DataFrame) -> DataFrame:
     """Add ``field_kind`` (or NULL) and keep ``_actx`` for later rules."""
-    kind, auto = "lower(coalesce(type, ''))", "lower(coalesce(autocomplete, ''))"
+    kind, auto = "_atype", "_aauto"  # made once an element and not once a rule
     rules = [
         (f"{_FIELD} AND {kind} = 'password'", "password"),
         (f"{_FIELD} AND ({kind} = 'email' OR {auto} = 'email')", "email"),
@@ -203,7 +203,7 @@ def with_audit_kind(elements: DataFrame) -> DataFrame:
     ]
     case = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for c, v in rules) + " END"
     return (
-        elements.withColumn("_actx", audit_context())
+        elements.withColumns({"_atype": _lower("type"), "_aauto": _lower("autocomplete"), "_actx": audit_context()})
         .withColumn("_alow", F.lower("_actx"))
         .withColumn("_kind", F.expr(case))
         .select(*elements.columns, "_actx", fence("_kind").alias("field_kind"))

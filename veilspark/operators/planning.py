@@ -40,15 +40,19 @@ def is_control() -> Column:
     )
 
 
-def primary_control() -> Column:
-    """Aggregate: first control with a submit word, else the last control."""
-    control = is_control()
-    named = control & (
+def is_named_control() -> Column:
+    return is_control() & (
         _rlike(F.col("text"), fixed.SUBMIT_WORDS)
         | _rlike(F.col("type"), fixed.SUBMIT_WORDS)
         | _rlike(F.col("label"), fixed.SUBMIT_WORDS)
     )
-    item = F.struct("selector", "text", "label", "rect")
+
+
+def primary_control(item: Column | None = None, control: Column | None = None, named: Column | None = None) -> Column:
+    """Aggregate: first control with a submit word, else the last control."""
+    control = is_control() if control is None else control
+    named = is_named_control() if named is None else named
+    item = F.struct("selector", "text", "label", "rect") if item is None else item
     return F.coalesce(
         F.min_by(F.when(named, item), F.when(named, F.col("pos"))),
         F.max_by(F.when(control, item), F.when(control, F.col("pos"))),
@@ -62,41 +66,13 @@ def page_plans(elements: DataFrame, keys: Sequence[str], viewport_height: float
     captcha fields are planned even without a class. ``viewport_height`` may be a
     column of the page (800 where it is null or zero). A page without elements, as
     ``elements.on_all_pages`` gives it, has a plan that finishes at once.
+
+    An element's own action is made before its page is gathered: the JVM compiles that, while what is written inside an
+    aggregate or a lambda is interpreted row by row.
     """
     task = F.lit("") if task is None else task
-    textual = C.is_textual_for_audit()
-    wanted = shown() & textual & (
-        F.col("field_kind").isNotNull() | _rlike(F.col("_actx"), fixed.AUDIT_CAPTCHA)
-    )
-    y, x = F.coalesce(F.col("rect.y"), F.lit(0.0)), F.coalesce(F.col("rect.x"), F.lit(0.0))
-    field = F.struct(
-        y.alias("y"), x.alias("x"), "pos", "selector", "label", "rect", "field_kind", C.fill_value().alias("fill")
-    )
-    empty = shown() & textual & (F.trim(F.coalesce("value", F.lit(""))) == "")
-    known = F.max(viewport_height) if isinstance(viewport_height, str) else F.max(F.lit(float(viewport_height)))
-    height = F.coalesce(F.nullif(known, F.lit(0.0)), F.lit(float(fixed.DEFAULT_VIEWPORT[1])))
-    per_page = (
-        C.with_audit_kind(elements)
-        .groupBy(*keys)
-        .agg(
-            F.array_sort(F.collect_list(F.when(wanted, field))).alias("_all"),
-            primary_control().alias("_submit"),
-            F.coalesce(F.bool_or(empty), F.lit(False)).alias("has_empty"),
-            height.alias("_height"),
-        )
-        .withColumn("_names", F.transform("_all", lambda f: F.coalesce(f["selector"], F.lit(""))))
-        .withColumn(
-            "_fields",
-            F.filter(
-                "_all",
-                lambda f, i: F.array_position("_names", F.coalesce(f["selector"], F.lit(""))) == i + 1,
-            ),
-        )
-    )
-    fold = F.col("_height") * fixed.FOLD_SHARE
-
-    def below(r: Column) -> Column:
-        return F.coalesce(r["y"] + r["height"] > fold, F.lit(False))
+    words = fixed.PLAN_TEXT
+    known = F.col(viewport_height) if isinstance(viewport_height, str) else F.lit(float(viewport_height))
 
     def action(name: str, selector=None, value=None, direction=None, distance=None, reasoning=None, key=None) -> Column:
         def s(v, t="string"):
@@ -112,27 +88,55 @@ def page_plans(elements: DataFrame, keys: Sequence[str], viewport_height: float
             F.lit(fixed.PLAN_CONFIDENCE[key or name]).alias("confidence"),
         ).cast(_ACTION)
 
-    words = fixed.PLAN_TEXT
+    name = F.substring(F.coalesce(filled("label"), F.col("selector")), 1, 32)
+    tail = F.when(F.startswith(F.col("_fill"), F.lit("[")), words["fill_token"]).otherwise(words["fill_plain"])
+    fill = action(
+        "type", F.col("selector"), F.col("_fill"),
+        reasoning=F.format_string(words["fill"], F.coalesce("field_kind", F.lit("field")), name, tail),
+    )
+    click_name = F.substring(F.coalesce(filled("text"), filled("label"), F.col("selector")), 1, 32)
+    click = action("click", F.col("selector"), reasoning=F.format_string(words["click"], click_name))
+    y, x = F.coalesce(F.col("rect.y"), F.lit(0.0)), F.coalesce(F.col("rect.x"), F.lit(0.0))
+    bottom = (F.col("rect.y") + F.col("rect.height")).alias("bottom")
+    rows = (
+        C.with_audit_kind(elements)
+        .withColumns({"_text": shown() & C.is_textual_for_audit(), "_control": is_control(), "_named": is_named_control()})
+        .withColumn("_wanted", F.col("_text") & (F.col("field_kind").isNotNull() | _rlike(F.col("_actx"), fixed.AUDIT_CAPTCHA)))
+        .withColumn("_fill", F.when(F.col("_wanted"), C.fill_value()))
+        .select(
+            *keys, "pos", "_control", "_named", known.alias("_known"),
+            F.when(F.col("_wanted"), F.struct(y.alias("y"), x.alias("x"), "pos", "selector", bottom, fill.alias("act"))).alias("_field"),
+            F.when(F.col("_control"), F.struct(bottom, click.alias("act"))).alias("_click"),
+            (F.col("_text") & (F.trim(F.coalesce("value", F.lit(""))) == "")).alias("_empty"),
+        )
+    )
+    names = F.transform("_all", lambda f: F.coalesce(f["selector"], F.lit("")))
+    first = F.filter("_all", lambda f, i: F.array_position("_names", F.coalesce(f["selector"], F.lit(""))) == i + 1)
+    per_page = (
+        rows.groupBy(*keys)
+        .agg(
+            F.sort_array(F.collect_list("_field")).alias("_all"),
+            primary_control(F.col("_click"), F.col("_control"), F.col("_named")).alias("_submit"),
+            F.coalesce(F.bool_or("_empty"), F.lit(False)).alias("has_empty"),
+            F.coalesce(F.nullif(F.max("_known"), F.lit(0.0)), F.lit(float(fixed.DEFAULT_VIEWPORT[1]))).alias("_height"),
+        )
+        .withColumn("_names", names)
+        # few pages repeat a selector; only these are searched for the first of each
+        .withColumn("_fields", F.when(F.size(F.array_distinct("_names")) == F.size("_names"), F.col("_all")).otherwise(first))
+    )
+    fold = F.col("_height") * fixed.FOLD_SHARE
+
+    def below(r: Column) -> Column:
+        return F.coalesce(r["bottom"] > fold, F.lit(False))
+
     none = F.array().cast(f"array<{_ACTION}>")
+    submit = F.col("_submit")
     scroll = F.when(
-        F.exists("_fields", lambda f: below(f["rect"])) | below(F.col("_submit.rect")),
+        F.exists("_fields", below) | below(submit),
         F.array(
             action("scroll", direction="down", distance=F.col("_height") * fixed.SCROLL_SHARE, reasoning=words["scroll"])
         ),
     ).otherwise(none)
-
-    def fill(f: Column) -> Column:
-        name = F.substring(F.coalesce(filled(f["label"]), f["selector"]), 1, 32)
-        tail = F.when(F.startswith(f["fill"], F.lit("[")), words["fill_token"]).otherwise(words["fill_plain"])
-        text = F.format_string(words["fill"], F.coalesce(f["field_kind"], F.lit("field")), name, tail)
-        return action("type", f["selector"], f["fill"], reasoning=text)
-
-    submit = F.col("_submit")
-    click_name = F.substring(F.coalesce(filled(submit["text"]), filled(submit["label"]), submit["selector"]), 1, 32)
-    click = F.when(
-        submit.isNotNull(),
-        F.array(action("click", submit["selector"], reasoning=F.format_string(words["click"], click_name))),
-    ).otherwise(none)
     finish = action(
         "finish",
         reasoning=F.format_string(
@@ -143,7 +147,11 @@ def page_plans(elements: DataFrame, keys: Sequence[str], viewport_height: float
         ),
     )
     return per_page.select(
-        *keys, "has_empty", F.concat(scroll, F.transform("_fields", fill), click, F.array(finish)).alias("plan")
+        *keys, "has_empty",
+        F.concat(
+            scroll, F.transform("_fields", lambda f: f["act"]), F.when(submit.isNotNull(), F.array(submit["act"])).otherwise(none),
+            F.array(finish),
+        ).alias("plan"),
     )
 
 
