@@ -119,3 +119,17 @@ def test_hints_never_show_more_than_allowed(spark):
                                 ("national_id", "234567890123"), ("password", "secret")], "k string, v string")
     hints = [r[0] for r in df.select(P.audit_hint(F.col("k"), F.col("v"))).collect()]
     assert hints == ["abc***", "***", "4111****", "23***", "se***"]
+
+
+def test_leaks_are_counted_as_they_are_found(spark):
+    rng = random.Random(9)
+    parts = ["4111 1111 1111 1111", "4111111111111111", "9876543210", "+91 9876543210", "987-65-4321", "1234 5678 9012", "1234 5678 9012", "1990-01-31",
+             "555 123 4567", "a@b.co", "é", "x", "_", '"', ", ", " ", "-", "+", "\n", "[USER_EMAIL_1]", "[4111]", "12", "word", "٣"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)] + [None, "", *parts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    whole = df.select("i", F.size(P.scan_text(P.strip_tokens(F.col("t")))).alias("want"))
+    rows = P.count_leaks(df, "t", "n").join(whole, "i").collect()
+    assert len(rows) == len(texts) and [(r.i, r.t) for r in rows if r.n != r.want] == [] and sum(r.n for r in rows) > 1000
+    # what patterns search at every place is what lies around the numbers
+    assert spark.createDataFrame([("words " * 50 + "no: 1234567890, x" + " words" * 50,)], "t string").select(
+        F.length(P.around_numbers(F.col("t")))).first()[0] < 350

@@ -80,6 +80,33 @@ def test_containment_against_brute_force(spark):
     assert len(pairs) == len(set(pairs)) and set(pairs) == want
 
 
+@pytest.mark.parametrize("most", [512, 3])
+def test_containment_in_scopes_of_any_size(spark, monkeypatch, most):
+    from veilspark.operators import containment as module
+
+    monkeypatch.setattr(module, "LISTED", most)  # with three, some sessions get lists and others anchors
+    rng = random.Random(7)
+    texts = [(f"s{i % 9}" if i % 9 else None, i, i % 5, "".join(rng.choice("ab 01X") for _ in range(80))) for i in range(120)]
+    items = []
+    for s, i, step, t in texts:
+        for n in range(int(s[1:]) if s else 3):
+            a = rng.randint(0, 70)
+            items.append((s, f"t{i}.{n}", rng.randint(0, 4), t[a:a + rng.randint(2, 9)]))
+    frames = spark.createDataFrame(texts, "s string, d int, step int, t string"), spark.createDataFrame(items, "s string, token string, known int, p string")
+    for least in (4, 1):
+        got = module.containment(frames[0], ["s", "d", "step"], "t", frames[1], ["s", "token", "known"], "p", scope=["s"], least=least, since=("known", "step"))
+        pairs = [(r.d, r.token) for r in got.collect() if len(r.p) >= 4]
+        want = {(d, token) for s, d, step, t in texts for z, token, known, p in items if s and s == z and known <= step and len(p) >= 4 and p in t}
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want and want
+
+
+def test_texts_of_small_scopes_are_not_cut_into_runs(spark):
+    texts = spark.createDataFrame([(i // 4, i, 0, f"body of page {i} " * 90) for i in range(40)], "s int, d int, step int, t string")
+    items = spark.createDataFrame([(i // 4, f"t{i}", 0, f"value-{i:04d}") for i in range(40)], "s int, token string, known int, p string")
+    got = containment(texts, ["s", "d", "step"], "t", items, ["s", "token", "known"], "p", scope=["s"])
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_containment_within_a_scope(spark):
     texts = spark.createDataFrame([("s1", 1, "pass hunter22 now"), ("s2", 2, "pass hunter22 now")], "s string, d int, t string")
     items = spark.createDataFrame([("s1", "tok", "hunter22")], "s string, token string, p string")

@@ -21,6 +21,8 @@ _SHORT = f"(?s)(?=(.{{{fixed.MIN_PROTECTED_CHARS}}}))"
 _KINDS = (_SHINGLE, _LONG, _SHORT)
 SHARE, BLOCK, TASKS_PER_BLOCK = 1000, 20_000, 64
 """Strings of one anchor that are compared one by one; strings of an automaton; tasks that the texts of one are dealt to."""
+LISTED, LISTED_CHARS = 512, 1 << 16
+"""Strings of a scope, and characters of them together, that travel with each of its texts as one list."""
 _ALNUM = r"\p{L}\p{N}"
 
 
@@ -158,6 +160,26 @@ def short_hits(texts: DataFrame, keys: Sequence[str], text: str, items: DataFram
     return _scoped(told, scope).join(asked.drop("_n"), [*scope, item_text]).select(*keys, item_text)
 
 
+def listed(texts: DataFrame, keys: Sequence[str], text: str, items: DataFrame, item_keys: Sequence[str], item_text: str,
+           scope: Sequence[str], since: tuple[str, str] | None = None) -> DataFrame:
+    """Pairs (text keys, item keys) of scopes with few strings: each text meets its scope's strings in one row.
+
+    A text of a few thousand characters has as many runs, each of which would be a row to shuffle; the strings of a
+    session are a few dozen. No run is made here: one row per text, and its work is bounded by ``LISTED``.
+    """
+    item = F.struct(*[c for c in dict.fromkeys([*item_keys, item_text]) if c not in scope])
+    lists = items.groupBy(*scope).agg(F.collect_list(item).alias("_items"))
+
+    def found(i: Column) -> Column:
+        inside = F.contains(F.col(text), i[item_text])
+        return inside if since is None else (i[since[0]] <= F.col(since[1])) & inside
+
+    complete = texts.select(*dict.fromkeys([*keys, text])).dropna(subset=list(keys))
+    # The outer form and a filter above it: for the inner one the optimizer would look for all strings twice.
+    pairs = grows(complete).join(lists, list(scope)).select(*keys, F.explode_outer(F.filter("_items", found)).alias("_i"))
+    return pairs.where(F.col("_i").isNotNull()).select(*keys, "_i.*").select(*dict.fromkeys([*keys, *item_keys]), item_text)
+
+
 def containment(
     texts: DataFrame,
     keys: Sequence[str],
@@ -168,9 +190,11 @@ def containment(
     scope: Sequence[str] = (),
     least: int = fixed.MIN_PROTECTED_CHARS,
     share: int = SHARE,
+    since: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Pairs (text keys, item keys) where the item text occurs in the text.
 
+    Where a scope has few strings (``LISTED``), its texts get them as a list (``listed``). All others meet by anchors.
     A string can only occur where each of its runs occurs, so each distinct item
     text keeps one anchor: an inner run of three words, else eight characters from
     a digit or capital on, else four characters; among those, the rarest one in its
@@ -180,10 +204,37 @@ def containment(
     so, they are looked for together (``matched``).  No join strategy is forced.  ``scope``
     columns (for example the session) must be among both key lists.  Strings under
     ``least`` characters are not looked for; ``too_short`` counts them. Of the others,
-    those under four count only where they stand on their own (``short_hits``).
+    those under four count only where they stand on their own (``short_hits``). ``since``: a column of the items and
+    one of the text keys; a string counts only where the former is not above the latter.
     """
     wanted = items.filter(F.length(item_text) >= least)
     long = wanted.filter(F.length(item_text) >= fixed.MIN_PROTECTED_CHARS)
+    few = None
+    if scope:
+        long = long.dropna(subset=list(scope))
+        large = long.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length(item_text)).alias("_chars"))
+        large = large.where((F.col("_n") > LISTED) | (F.col("_chars") > LISTED_CHARS)).select(*scope)
+        if large.limit(1).count():
+            large = materialise(large, "large-scopes")
+            few, long = long.join(grows(large), list(scope), "left_anti"), long.join(grows(large), list(scope), "left_semi")
+        else:
+            few, long = long, None
+    told = None if few is None else listed(texts, keys, text, few, item_keys, item_text, scope, since)
+    if long is None and least >= fixed.MIN_PROTECTED_CHARS:
+        return told
+    ids = wanted.select(*dict.fromkeys([*scope, *item_keys, item_text]))
+    hits = None if long is None else anchored_hits(texts, keys, text, long, item_text, scope, share)
+    if least < fixed.MIN_PROTECTED_CHARS:
+        short = short_hits(texts, keys, text, wanted, item_text, scope)
+        hits = short if hits is None else hits.unionByName(short)
+    pairs = _scoped(hits, scope).join(ids, [*scope, item_text]).select(*dict.fromkeys([*keys, *item_keys]), item_text)
+    if since is not None:
+        pairs = pairs.where(F.col(since[0]) <= F.col(since[1]))
+    return pairs if told is None else told.unionByName(pairs)
+
+
+def anchored_hits(texts: DataFrame, keys: Sequence[str], text: str, long: DataFrame, item_text: str, scope: Sequence[str], share: int) -> DataFrame:
+    """Pairs (text keys, item text) that meet by anchors, for any number of strings to a scope."""
     anchored = materialise(anchors(long, item_text, scope), "anchors")
     place = [*scope, "_kind", "_run"]
     shared = anchored.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share).drop("_n")
@@ -198,12 +249,7 @@ def containment(
         .filter(F.contains(F.col(text), F.col(item_text)))
         .select(*keys, item_text)
     )
-    if common is not None:
-        hits = hits.unionByName(common)
-    if least < fixed.MIN_PROTECTED_CHARS:
-        hits = hits.unionByName(short_hits(texts, keys, text, wanted, item_text, scope))
-    ids = wanted.select(*dict.fromkeys([*scope, *item_keys, item_text]))
-    return _scoped(hits, scope).join(ids, [*scope, item_text]).select(*dict.fromkeys([*keys, *item_keys]), item_text)
+    return hits if common is None else hits.unionByName(common)
 
 
 def too_short(items: DataFrame, item_text: str, scope: Sequence[str] = (), least: int = fixed.MIN_PROTECTED_CHARS) -> DataFrame:

@@ -18,7 +18,7 @@ from veilspark.operators import scan as S
 from veilspark.operators import vault as V
 from veilspark.operators.containment import containment
 from veilspark.operators.ranking import running_total
-from veilspark.session import grows, materialise, spread
+from veilspark.session import WORK_ROWS, grows, materialise, spread
 
 
 @dataclass
@@ -32,6 +32,10 @@ class Step:
     verdicts: DataFrame
 
 
+ELEMENT_ROWS = 10 * WORK_ROWS
+"""Elements to a task that makes payloads and scans them."""
+
+
 def payload_bodies(sanitised: DataFrame, task: Column, also: Sequence[str] = ()) -> DataFrame:
     """Serialised payload per page; the elements of one page form one row. ``also``: columns of the page to keep."""
     # Texts are whole up to here, for detection and audit; a payload carries their beginnings.
@@ -53,34 +57,44 @@ def payload_bodies(sanitised: DataFrame, task: Column, also: Sequence[str] = ())
     )
 
 
-def vault_leaks(payloads: DataFrame, tokenised: DataFrame, least: int = fixed.MIN_PROTECTED_CHARS) -> DataFrame:
-    """Raw values a payload shows although its session had registered them by
-    that step: (session_id, page_id, step, raw_value, token, tokens).
+def shown_values(payloads: DataFrame, registered: DataFrame, least: int = fixed.MIN_PROTECTED_CHARS) -> DataFrame:
+    """Raw values a payload shows although its session had registered them by that step: (session_id, page_id, step,
+    raw_value, known_from, token).
 
-    A value may have been registered many times.  The search runs on distinct
-    values, each with its first token; how many tokens it had by the step of the
-    payload is a running total over registrations, so registrations and payloads
-    of a busy session are never paired. Values under ``least`` characters are not
-    looked for (``containment.too_short`` counts them per session).
+    ``registered``: session_id, token, step, pos, raw_value. A value may have been registered many times; the search
+    runs on distinct values, each with its first token.
     """
-    registered = materialise(
-        tokenised.filter(F.coalesce("value", F.lit("")) != "").select(
-            "session_id", "token", "step", "pos", F.col("value").alias("raw_value")
+    values = materialise(
+        registered.groupBy("session_id", "raw_value").agg(
+            F.min("step").alias("known_from"), F.min_by("token", F.struct("step", "pos")).alias("token")
         ),
         "vault",
     )
-    values = registered.groupBy("session_id", "raw_value").agg(
-        F.min("step").alias("known_from"), F.min_by("token", F.struct("step", "pos")).alias("token")
-    )
-    pairs = containment(
+    return containment(
         spread(payloads, "session_id", "page_id"), ["session_id", "page_id", "step"], "body", values, ["session_id", "token", "known_from"], "raw_value",
-        scope=["session_id"], least=least,
+        scope=["session_id"], least=least, since=("known_from", "step"),
+    )
+
+
+def vault_leaks(payloads: DataFrame, tokenised: DataFrame, least: int = fixed.MIN_PROTECTED_CHARS) -> DataFrame:
+    """Raw values a payload shows although its session had registered them by
+    that step: (session_id, page_id, step, raw_value, token, tokens).
+
+    How many tokens a value had by the step of the payload is a running total over
+    its registrations, so registrations and payloads of a busy session are never
+    paired; registrations of values that no payload shows are left out of it. Values
+    under ``least`` characters are not looked for (``containment.too_short`` counts
+    them per session).
+    """
+    registered = tokenised.filter(F.coalesce("value", F.lit("")) != "").select(
+        "session_id", "token", "step", "pos", F.col("value").alias("raw_value")
     )
-    leaks = materialise(pairs.filter(F.col("known_from") <= F.col("step")), "leaks")
+    leaks = materialise(shown_values(payloads, registered, least), "leaks")
+    shown = grows(registered).join(grows(leaks.select("session_id", "raw_value")), ["session_id", "raw_value"], "left_semi")
     timeline = leaks.select(
         "session_id", "raw_value", "page_id", "step", "token", F.lit(1).alias("after"), F.lit(0).alias("amount")
     ).unionByName(
-        registered.select(
+        shown.select(
             "session_id", "raw_value", F.lit(None).cast(leaks.schema["page_id"].dataType).alias("page_id"), "step", "token",
             F.lit(0).alias("after"), F.lit(1).alias("amount"),
         )

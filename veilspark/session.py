@@ -88,10 +88,11 @@ def scratch() -> Iterator[None]:
         yield
     finally:
         for path in _open.made.pop():
-            _delete(path)
+            delete(path)
 
 
-def _delete(folder: str) -> None:
+def delete(folder: str) -> None:
+    """Delete a folder below the shared one, if it is there."""
     from pyarrow import fs
 
     store, inside = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", folder if ":" in folder else f"file:{folder}"))

@@ -4,6 +4,7 @@ State lives in Spark's own state store (RocksDB, checkpointed with the stream),
 restarted query or a repeated micro-batch goes on from what was committed. A key's rows of
 one micro-batch are put in order by one task; ``maxFilesPerTrigger`` of the source bounds
 them. What outlives a batch is a count per kind, the vault's entries and one plan a session.
+Whole steps (``jobs.step_sink``) keep their vault in tables (``vaults``) and need no such task.
 
 Rows are numbered in the order in which they arrive: micro-batch by micro-batch, and inside
 one by the order columns (nulls first). Nothing is dropped for being late: no watermark is
@@ -103,62 +104,6 @@ def current_vault(rows: DataFrame) -> DataFrame:
     return held.join(latest, held["session_id"].eqNullSafe(latest["session_id"]) & (F.col("epoch") == F.col("_latest")), "left_semi")
 
 
-# ---------------------------------------------------------------------------
-class _StepVault(StatefulProcessor):
-    """Tokens for the elements of one session's pages, and the vault that its payloads must not show."""
-
-    def __init__(self, columns: Sequence[str]):
-        self.columns = list(columns)
-        self.out = Row(*columns, "token", "raw_value", "at_step", "at_pos", "is_new")
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # Lists, as each is read and written in one exchange with the state store, a map in one for each of its keys.
-        self.counts = handle.getListState("counts", "kind string, n bigint")
-        self.entries = handle.getListState("entries", "token string, raw_value string, step int, pos int")
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = _ordered(rows, ["step", "page_id", "pos"])
-        kinds: dict[tuple, str] = {}
-        for row in held:  # the first class on a selector of a page holds for all its elements
-            if row["selector"] and row["token_kind"]:
-                kinds.setdefault((row["page_id"], row["selector"]), row["token_kind"])
-        nothing = [None] * len(self.columns)
-        for token, value, step, pos in self.entries.get():  # what earlier batches registered
-            yield self.out(*nothing[:-1], key[0], token, value, step, pos, False)
-        counts, fresh = {k: n for k, n in self.counts.get()}, []
-        for row in held:
-            kind = kinds.get((row["page_id"], row["selector"])) if row["selector"] else None
-            token = None
-            if kind:
-                counts[kind] = counts.get(kind, 0) + 1
-                token = f"[{kind}_{counts[kind]}]"
-                if row["value"]:
-                    fresh.append((token, row["value"], row["step"], row["pos"]))
-            yield self.out(*[row[c] for c in self.columns], token, row["value"], row["step"], row["pos"], True)
-        if fresh:
-            self.entries.appendList(fresh)
-        if counts:
-            self.counts.put(list(counts.items()))
-
-    def close(self) -> None:
-        pass
-
-
-def step_tokens(elements: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Streaming elements (``columns``, with token_kind, selector, value, step, page_id and pos) with their token.
-
-    Adds token, raw_value, at_step, at_pos and is_new. Rows that are not new are the session's vault as it was before
-    this micro-batch; they have no element.
-    """
-    _ready(elements.sparkSession)
-    columns = [c for c in columns if c != "session_id"] + ["session_id"]
-    schema = (
-        _nullable(elements, columns).add("token", T.StringType()).add("raw_value", T.StringType()).add("at_step", T.IntegerType())
-        .add("at_pos", T.IntegerType()).add("is_new", T.BooleanType())
-    )
-    return elements.groupBy("session_id").transformWithState(_StepVault(columns), schema, "Append", "None")
-
-
 # ---------------------------------------------------------------------------
 _TEXTS = ("action", "selector", "value", "reasoning")
 _ACTION = T.StructType([*[T.StructField(c, T.StringType()) for c in _TEXTS], T.StructField("confidence", T.DoubleType())])
