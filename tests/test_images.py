@@ -169,6 +169,36 @@ def test_whole_step_blocks_what_is_not_verified(spark):
     assert step.vault.filter("token = '[USER_EMAIL_1]'").count() == 3
 
 
+def test_whole_step_neither_writes_nor_shuffles_pixels(spark, monkeypatch):
+    import pyarrow as pa
+
+    from veilspark.operators import flow
+    from tests.test_forms import table
+
+    pictures = {i: oval(160, 200).tobytes() for i in range(3)}
+
+    def load(batch):
+        return pa.array([pictures[i] for i in batch.column("image_id").to_pylist()], pa.binary())
+
+    rows = [dict(tag="input", type="email", selector="#e", label="Email", value=f"ana{i}@example.com", rect=(20, 20, 60, 20), page_id=str(i), session_id="1", pos=0)
+            for i in range(4)]
+    elements = table(spark, rows).withColumn("page_id", F.col("page_id").cast("bigint")).withColumn("session_id", F.col("session_id").cast("bigint"))
+    whole = frame(spark, *[oval(160, 200)] * 3)
+    places = spark.createDataFrame([(i, 160, 200) for i in pictures], "image_id bigint, width int, height int")
+    written, keep = [], flow.materialise
+    monkeypatch.setattr(flow, "materialise", lambda df, purpose: (written.append((purpose, df)), keep(df, purpose))[1])
+    steps = [flow.run_step(elements, images, (160.0, 200.0), F.lit("Fill the form"), opened)
+             for images, opened in ((places, load), (whole, None))]
+    told = [{(r.page_id, r.status, r.detections, r.boxes, r.verified) for r in s.verdicts.collect()} for s in steps]
+    assert told[0] == told[1] and len(told[0]) == 4 and {r[1] for r in told[0]} == {"sent", "unverified image"}
+    assert all("binary" not in {t for _, t in df.dtypes} for _, df in written)
+    with_load = [df for purpose, df in written if purpose == "verified"][0]
+    assert "data#" not in with_load._jdf.queryExecution().optimizedPlan().toString()
+    images = [{r.image_id: (bytes(r.data), r.boxes, r.verified) for r in s.images.collect()} for s in steps]
+    assert images[0] == images[1] and all(ok and data != pictures[i] for i, (data, _, ok) in images[0].items())
+    assert [{(r.page_id, r.value) for r in s.sanitised.collect()} for s in steps] == [{(i, f"[USER_EMAIL_{i + 1}]") for i in range(4)}] * 2
+
+
 def test_images_of_a_batch_are_redacted_together(spark):
     rng = np.random.default_rng(5)
     images = [rng.integers(0, 256, (h, w, 4), dtype=np.uint8) for w, h in [(40, 30), (64, 48), (40, 30), (40, 30), (9, 8)]]

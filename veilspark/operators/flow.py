@@ -18,7 +18,7 @@ from veilspark.operators import scan as S
 from veilspark.operators import vault as V
 from veilspark.operators.containment import containment
 from veilspark.operators.ranking import running_total
-from veilspark.session import WORK_ROWS, grows, materialise, spread
+from veilspark.session import WORK_ROWS, grows, materialise, spread, tasks
 
 
 @dataclass
@@ -105,9 +105,19 @@ def vault_leaks(payloads: DataFrame, tokenised: DataFrame, least: int = fixed.MI
     return counted.filter(F.col("after") == 1).drop("after", "amount")
 
 
-def run_step(elements: DataFrame, images: DataFrame, viewport: tuple[float, float], task: Column) -> Step:
+_CARRIED = (
+    "session_id", "page_id", "step", "pos", "tag", "type", "id", "name", "selector", "text", "label", "aria_label", "autocomplete", "role", "value",
+)
+
+
+def run_step(elements: DataFrame, images: DataFrame, viewport: tuple[float, float], task: Column, load: I.Load | None = None) -> Step:
     """``elements`` (page_id, session_id, step, pos, ...), ``images`` keyed by
-    ``image_id`` = page_id, of any capture size."""
+    ``image_id`` = page_id, of any capture size; with ``load`` they are references,
+    and pixels are opened where they are read and never shuffled.
+
+    Only what several branches read is written. The redacted images and the sanitised
+    elements are made as they are read; each image has the verdict on its own pixels.
+    """
     tagged = materialise(V.attach_detection(C.with_detection(elements), ["page_id"]), "tagged")
     dom = C.detections(tagged.drop("hit"), "page_id").select(
         F.col("page_id").alias("image_id"), F.col("pos").cast("long").alias("pos"), "box", "confidence", "pii_type", "mode"
@@ -117,20 +127,23 @@ def run_step(elements: DataFrame, images: DataFrame, viewport: tuple[float, floa
         F.lit(viewport[0]).alias("viewport_width"), F.lit(viewport[1]).alias("viewport_height"),
     )
     in_pixels = B.fused(dom, frames, "image_id").select(*dom.columns)
-    vision = I.faces(images).select("image_id", (F.col("pos") + 1_000_000).alias("pos"), *dom.columns[2:])
+    vision = I.faces(images, load=load).select("image_id", (F.col("pos") + 1_000_000).alias("pos"), *dom.columns[2:])
     every = materialise(in_pixels.unionByName(vision), "detections")
     applied = I.applied_boxes(images, every)
-    redacted = materialise(I.redact_images(images, applied, change=False), "redacted")
+    verified = materialise(
+        I.redact_images(images, applied, change=False, load=load, pixels=False).select("image_id", "boxes", "verified"), "verified"
+    )
 
-    tokenised = materialise(V.tokens(tagged), "tokens")  # read for the payloads and for the vault
-    sanitised = V.sanitised_elements(tagged, tokenised)
-    payloads = materialise(payload_bodies(sanitised, task), "payloads")
+    # What payloads do not carry is not shuffled to be numbered.
+    carried = tagged.select(*_CARRIED, F.when(F.col("hit").isNotNull(), F.struct("hit.token_kind")).alias("hit"))
+    tokenised = materialise(V.tokens(carried), "tokens")  # read for the payloads and for the vault
+    sanitised = V.sanitised_elements(carried, tokenised).repartition(tasks(tagged, ELEMENT_ROWS), "page_id")
+    payloads = materialise(P.count_leaks(payload_bodies(sanitised, task), "body", "pattern_leaks"), "payloads")
     leaks = vault_leaks(payloads, tokenised).groupBy("page_id").agg(F.sum("tokens").alias("vault_leaks"))
-    shown = F.size(P.scan_text(P.strip_tokens(F.col("body"))))
     counted = every.groupBy(F.col("image_id").alias("page_id")).agg(F.count("*").alias("detections"))
     verdicts = (
-        grows(payloads.select("session_id", "page_id", "step", shown.alias("pattern_leaks")))
-        .join(redacted.select(F.col("image_id").alias("page_id"), "boxes", "verified"), "page_id", "left")
+        grows(payloads.drop("body"))
+        .join(verified.select(F.col("image_id").alias("page_id"), "boxes", "verified"), "page_id", "left")
         .join(grows(leaks), "page_id", "left")
         .join(grows(counted), "page_id", "left")
         .na.fill(0, ["vault_leaks", "detections", "boxes"])
@@ -141,8 +154,9 @@ def run_step(elements: DataFrame, images: DataFrame, viewport: tuple[float, floa
             .otherwise("sent"),
         )
     )
-    sent = payloads.join(verdicts.filter(F.col("status") == "sent").select("page_id"), "page_id", "left_semi")
-    return Step(every, applied, redacted, sanitised, V.vault_rows(tokenised), sent, verdicts)
+    sent = payloads.drop("pattern_leaks").join(verdicts.filter(F.col("status") == "sent").select("page_id"), "page_id", "left_semi")
+    redacted = I.redact_images(images, applied, change=False, load=load)
+    return Step(every, applied, redacted, V.sanitised_elements(tagged, V.tokens(tagged)), V.vault_rows(tokenised), sent, verdicts)
 
 
 def audit_sent(step: Step) -> DataFrame:

@@ -3,7 +3,9 @@
 Image rows are large: Arrow batches into Python are bounded in bytes by
 ``spark.sql.execution.arrow.maxBytesPerBatch``, batches out of it by
 ``BATCH_BYTES``.  The per-image work never crosses rows, so pixels are shuffled
-only where detections from another table are joined in.
+only where detections from another table are joined in, and not even there if the
+images are references: with ``load``, which gives the pixels of a batch of images,
+each kernel opens them itself, after the join.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from veilspark.sources.captures import pam, unpam
 IMAGE = "image_id bigint, width int, height int, data binary"
 FACES = f"image_id bigint, pos bigint, box {G.BOX}, confidence double, pii_type string, mode string, source string, tier string, failure string"
 Detector = Callable[[object], list]
+Load = Callable[[pa.RecordBatch], pa.Array]
+"""The raw RGBA pixels (binary) of a batch of images without them: image_id, width, height and what else tells the place."""
 BATCH_ROWS, BATCH_BYTES = 2048, 32 << 20
 STACK_ROWS = 512
 """Images that a kernel takes at once."""
@@ -58,17 +62,32 @@ def binary_rows(table: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(table))])
 
 
-def _stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
+def _stacked(batches: Iterator[pa.RecordBatch], load: Load | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, pa.RecordBatch]]:
     """Images of one size together: their ids, their pixels (n, height, width, 4) and their rows."""
     for whole in batches:
         for begin in range(0, whole.num_rows, STACK_ROWS):
             batch = whole.slice(begin, STACK_ROWS)
             sizes = np.stack([batch.column(n).to_numpy(zero_copy_only=False) for n in ("width", "height")], axis=1)
             ids = batch.column("image_id").to_numpy(zero_copy_only=False)
-            for at, images in R.stacks(sizes, batch.column("data").to_pylist()):
+            data = batch.column("data") if load is None else load(batch)
+            for at, images in R.stacks(sizes, data.to_pylist()):
                 yield ids[at], images, batch.take(pa.array(at))
 
 
+def loaded(images: DataFrame, load: Load) -> DataFrame:
+    """Images with their pixels, out of references to them."""
+    ship_package(images.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, STACK_ROWS):
+                batch = whole.slice(begin, STACK_ROWS)
+                told = [batch.column(n) for n in ("image_id", "width", "height")]
+                yield pa.RecordBatch.from_arrays([*told, load(batch)], names=["image_id", "width", "height", "data"])
+
+    return images.mapInArrow(run, IMAGE)
+
+
 def from_data_url(df: DataFrame, column: str, output: str = "data") -> DataFrame:
     """Bytes of a ``data:`` URL (or of bare base64)."""
     return df.withColumn(output, F.unbase64(F.substring_index(column, ",", -1)))
@@ -97,6 +116,7 @@ def face_candidates(
     min_area_ratio: float = 0.0006,
     min_fill: float = 0.3,
     load_model: Callable[[], Detector] | None = None,
+    load: Load | None = None,
 ) -> DataFrame:
     """Face boxes per image, before deduplication.
 
@@ -106,10 +126,12 @@ def face_candidates(
     tells which one spoke, and ``failure`` what the model raised.
     """
     ship_package(images.sparkSession)
+    if load and load_model:
+        images, load = loaded(images, load), None
     columns = [c.split()[0] for c in FACES.replace(G.BOX, "box_t").split(", ")]
 
     def by_size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, images, _ in _stacked(batches):
+        for ids, images, _ in _stacked(batches, load):
             image, boxes, confidence = R.face_stack(images, cell, min_area_ratio, min_fill)
             pos = np.arange(len(image)) - np.searchsorted(image, image)
             box = pa.StructArray.from_arrays([pa.array(boxes[:, i].astype(np.float64)) for i in range(4)], names=["x", "y", "width", "height"])
@@ -141,7 +163,7 @@ def face_candidates(
 
         yield from _batched(found(), columns)
 
-    plain = images.select("image_id", "width", "height", "data")
+    plain = images if load else images.select("image_id", "width", "height", "data")
     return plain.mapInPandas(run, FACES) if load_model else plain.mapInArrow(by_size, FACES)
 
 
@@ -157,7 +179,7 @@ def applied_boxes(images: DataFrame, detections: DataFrame, pad: float = fixed.R
     return B.redaction_boxes(sized, F.col("width").cast("double"), F.col("height").cast("double"), pad).drop("width", "height")
 
 
-def _with_boxes(images: DataFrame, applied: DataFrame) -> DataFrame:
+def _with_boxes(images: DataFrame, applied: DataFrame, load: Load | None = None) -> DataFrame:
     """Images with their boxes as one list; the boxes of one image are a natural unit."""
     b = F.col("box")
     packed = applied.groupBy("image_id").agg(
@@ -171,7 +193,8 @@ def _with_boxes(images: DataFrame, applied: DataFrame) -> DataFrame:
             )
         ).alias("boxes")
     )
-    return grows(images).join(packed, "image_id", "left").select("image_id", "width", "height", "data", "boxes")
+    columns = images.columns if load else ["image_id", "width", "height", "data"]
+    return grows(images).join(packed, "image_id", "left").select(*columns, "boxes")
 
 
 def _pixels(images: np.ndarray) -> pa.Array:
@@ -238,18 +261,20 @@ class _Boxes:
         return np.bincount(self.image[dark == black], minlength=self.n).astype(np.int32)
 
 
-def redact_images(images: DataFrame, applied: DataFrame, smear: bool = True, change: bool = True, black: bool = False, **thresholds: float) -> DataFrame:
+def redact_images(images: DataFrame, applied: DataFrame, smear: bool = True, change: bool = True, black: bool = False, load: Load | None = None,
+                  pixels: bool = True, **thresholds: float) -> DataFrame:
     """Images with every applied box destroyed, the boxes, and the verdict.
 
     The boxes of an image travel as one list; an image without boxes passes
     unchanged and is verified. ``smear`` blurs what was pixelated; ``thresholds``
     are those of ``raster.is_destroyed``; ``least_change`` and ``black_share`` are
-    measured on request only, and null otherwise.
+    measured on request only, and null otherwise. Without ``pixels`` every image is
+    redacted and checked all the same, and only the verdict leaves its task.
     """
     ship_package(images.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, before, batch in _stacked(batches):
+        for _, before, batch in _stacked(batches, load):
             after, boxes = before.copy(), _Boxes.of(batch)
             boxes.destroy(after, smear)
             checked, ok = boxes.verdicts(after, thresholds)
@@ -258,7 +283,7 @@ def redact_images(images: DataFrame, applied: DataFrame, smear: bool = True, cha
             told = [dark + blurred, dark, blurred, checked, ok]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("image_id"), batch.column("width"), batch.column("height"), _pixels(after),
+                    batch.column("image_id"), batch.column("width"), batch.column("height"), *([_pixels(after)] if pixels else []),
                     *[pa.array(t) for t in told], pa.array(least, mask=np.isinf(least)),
                     pa.array(R.black_shares(after)) if black else pa.nulls(len(ok), pa.float64()),
                 ],
@@ -266,10 +291,10 @@ def redact_images(images: DataFrame, applied: DataFrame, smear: bool = True, cha
             )
 
     out = (
-        "image_id bigint, width int, height int, data binary, boxes int, blackouts int, blurs int, checked int, "
+        f"image_id bigint, width int, height int, {'data binary, ' if pixels else ''}boxes int, blackouts int, blurs int, checked int, "
         "verified boolean, least_change double, black_share double"
     )
-    return _with_boxes(images, applied).mapInArrow(run, out)
+    return _with_boxes(images, applied, load).mapInArrow(run, out)
 
 
 def verify_images(images: DataFrame, applied: DataFrame, **thresholds: float) -> DataFrame:

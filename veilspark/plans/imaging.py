@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from veilspark.operators import tiles as L
 from veilspark.operators.flow import run_step
 from veilspark.plans.derived import form_elements, load
 from veilspark.plans.registry import query
-from veilspark.session import WORK_ROWS, grows, materialise, shared_dir, ship_package, spread
+from veilspark.session import WORK_ROWS, grows, materialise, shared_dir, spread
 from veilspark.sources import captures
 
 SIDE = 32
@@ -40,22 +40,25 @@ def _painted(k: np.ndarray) -> np.ndarray:
 _CYCLE = 120  # the least common multiple of all divisors in ``_painted``
 
 
-def rasters(spark, sf_dir) -> DataFrame:
-    """One image per part: dark noise, a skin-coloured square for two keys of
-    three, a small second patch for one key of five."""
-    ship_package(spark)
+def raster_keys(spark, sf_dir) -> DataFrame:
+    """The images of ``rasters`` without their pixels, which ``raster_pixels`` gives."""
     keys = spread(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id")), "image_id", rows=WORK_ROWS)
+    return keys.select(F.col("image_id").cast("bigint").alias("image_id"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"))
 
-    def paint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = _painted(np.arange(_CYCLE)).reshape(_CYCLE, -1)
-        for whole in batches:
-            for begin in range(0, whole.num_rows, I.STACK_ROWS):
-                ids = whole.column("image_id").slice(begin, I.STACK_ROWS)
-                side = pa.array(np.full(len(ids), SIDE, dtype=np.int32))
-                data = I.binary_rows(kinds[ids.to_numpy(zero_copy_only=False) % _CYCLE])
-                yield pa.RecordBatch.from_arrays([ids, side, side, data], names=["image_id", "width", "height", "data"])
 
-    return keys.mapInArrow(paint, I.IMAGE)
+@cache
+def _kinds() -> np.ndarray:
+    return _painted(np.arange(_CYCLE)).reshape(_CYCLE, -1)
+
+
+def raster_pixels(batch: pa.RecordBatch) -> pa.Array:
+    return I.binary_rows(_kinds()[batch.column("image_id").to_numpy(zero_copy_only=False) % _CYCLE])
+
+
+def rasters(spark, sf_dir) -> DataFrame:
+    """One image per part: dark noise, a skin-coloured square for two keys of
+    three, a small second patch for one key of five."""
+    return I.loaded(raster_keys(spark, sf_dir), raster_pixels)
 
 
 _PX = f"""px0 AS (
@@ -309,6 +312,5 @@ def stored_captures(spark, sf_dir):
 def protected_step(spark, sf_dir):
     """The whole step for every form page, with the page's part image as capture."""
     elements = form_elements(spark, sf_dir)
-    images = rasters(spark, sf_dir)
-    step = run_step(elements, images, (1280.0, 800.0), F.lit("Fill the form"))
+    step = run_step(elements, raster_keys(spark, sf_dir), (1280.0, 800.0), F.lit("Fill the form"), raster_pixels)
     return step.verdicts.select("page_id", "detections", "boxes", "verified", "vault_leaks", "pattern_leaks", "status")
