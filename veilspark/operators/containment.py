@@ -177,7 +177,7 @@ def listed(texts: DataFrame, keys: Sequence[str], text: str, items: DataFrame, i
     complete = texts.select(*dict.fromkeys([*keys, text])).dropna(subset=list(keys))
     # The outer form and a filter above it: for the inner one the optimizer would look for all strings twice.
     pairs = grows(complete).join(lists, list(scope)).select(*keys, F.explode_outer(F.filter("_items", found)).alias("_i"))
-    return pairs.where(F.col("_i").isNotNull()).select(*keys, "_i.*").select(*dict.fromkeys([*keys, *item_keys]), item_text)
+    return pairs.where(F.col("_i").isNotNull()).select(*keys, "_i.*")
 
 
 def containment(
@@ -209,7 +209,7 @@ def containment(
     """
     wanted = items.filter(F.length(item_text) >= least)
     long = wanted.filter(F.length(item_text) >= fixed.MIN_PROTECTED_CHARS)
-    few = None
+    few, columns = None, [*dict.fromkeys([*keys, *item_keys]), item_text]
     if scope:
         long = long.dropna(subset=list(scope))
         large = long.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length(item_text)).alias("_chars"))
@@ -221,16 +221,16 @@ def containment(
             few, long = long, None
     told = None if few is None else listed(texts, keys, text, few, item_keys, item_text, scope, since)
     if long is None and least >= fixed.MIN_PROTECTED_CHARS:
-        return told
+        return told.select(*columns)
     ids = wanted.select(*dict.fromkeys([*scope, *item_keys, item_text]))
     hits = None if long is None else anchored_hits(texts, keys, text, long, item_text, scope, share)
     if least < fixed.MIN_PROTECTED_CHARS:
         short = short_hits(texts, keys, text, wanted, item_text, scope)
         hits = short if hits is None else hits.unionByName(short)
-    pairs = _scoped(hits, scope).join(ids, [*scope, item_text]).select(*dict.fromkeys([*keys, *item_keys]), item_text)
+    pairs = _scoped(hits, scope).join(ids, [*scope, item_text]).select(*dict.fromkeys(columns))
     if since is not None:
         pairs = pairs.where(F.col(since[0]) <= F.col(since[1]))
-    return pairs if told is None else told.unionByName(pairs)
+    return (pairs if told is None else told.unionByName(pairs)).select(*columns)
 
 
 def anchored_hits(texts: DataFrame, keys: Sequence[str], text: str, long: DataFrame, item_text: str, scope: Sequence[str], share: int) -> DataFrame:
